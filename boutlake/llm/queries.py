@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, neighbours, packing, secrets, token_counts, token_files, tokens, toxicity
+from . import chat, exact_dedup, mixing, neighbours, ngram_join, packing, secrets, token_counts, token_files, tokens, toxicity
 from ._common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(documents(spark, sf_dir), words=5, percent=80)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "text", "source", "copy", "shuffle_key")
 
@@ -91,7 +95,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    own = (op2_mixing, op3_token_files, op4_exact_dedup, op5_token_counts, op6_neighbours, op7_packing, op8_secrets, op9_chat, op10_toxicity)
+    own = (op1_ngram_join, op2_mixing, op3_token_files, op4_exact_dedup, op5_token_counts, op6_neighbours, op7_packing, op8_secrets, op9_chat, op10_toxicity)
     return {f.__name__: f for f in own}
 
 
