@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning
+from . import cleaning, linking, splitting
 
-_ALL = {**cleaning.Q}
+_ALL = {**cleaning.Q, **linking.Q, **splitting.Q}
 QUERIES = {name: f for name, (f, _) in _ALL.items()}
 ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}
