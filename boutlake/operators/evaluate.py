@@ -233,7 +233,7 @@ def fit_temperature(preds: DataFrame, logits: Sequence[str] = ("logit_ear", "log
     """One row: t, nll: the best of a grid from 0.1 to 10, then of a finer one within 0.5 of it (ties to the smaller)."""
     spark = preds.sparkSession
     coarse = spark.range(steps).select(F.round(0.1 + 9.9 * F.col("id") / (steps - 1), 6).alias("t"))
-    best = temperature_grid(preds, coarse, logits, classes, *()).orderBy("nll", "t").limit(1)
+    best = temperature_grid(preds, coarse, logits, classes).orderBy("nll", "t").limit(1)
     near = best.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(fine - 1)), lambda i: F.round(F.greatest(F.lit(0.1), F.col("t") - 0.5 + i / F.lit(float(fine - 1))), 6))).alias("t")).distinct()
     return temperature_grid(preds, near, logits, classes).orderBy("nll", "t").limit(1)
 

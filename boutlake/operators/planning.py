@@ -54,7 +54,7 @@ def slide_windows(df: DataFrame, length: float, overlap: float = 0.5, cap: int =
     rows = df.select(idx, F.posexplode(F.when(e - s <= length, one).otherwise(many)).alias("window", "win_start"))
     rows = rows.withColumn("flipped", F.explode(F.array(F.lit(False), F.lit(True)) if flip else F.array(F.lit(False))))
     name = F.concat(F.format_string("evt_%04d_w%02d", F.col(idx), F.col("window")), F.when(F.col("flipped"), "_flip").otherwise(""))
-    return rows.select(idx, "window", "flipped", F.bround("win_start", 3).alias("win_start"), F.bround(F.col("win_start") + length, 3).alias("win_end"), name.alias("clip_id"))
+    return rows.select(idx, "window", "flipped", F.round("win_start", 6).alias("win_start"), F.round(F.col("win_start") + length, 6).alias("win_end"), name.alias("clip_id"))
 
 
 def spread_clips(df: DataFrame, n: int, length: float, start: str = "event_start", end: str = "event_end", idx: str = "event_idx") -> DataFrame:
