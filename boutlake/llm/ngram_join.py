@@ -442,5 +442,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with the same id are one document here, and rows with a null id stay.
     """
     found = jaccard_join(docs, id_col, text_col, words, percent)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == F.col("_drop"), "left_anti")
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__boutlake_drop")).distinct()
+    return docs.join(dropped, docs[id_col].cast("long") == F.col("__boutlake_drop"), "left_anti")
