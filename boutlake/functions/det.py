@@ -5,7 +5,7 @@ Every draw is an md5 of a seed and a key, so that it doesn't depend on partition
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,22 +31,22 @@ def bin_label(value: Column, edges: Sequence[float], labels: Sequence[str], left
     return out
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str, buckets: int = 64, descending: bool = False) -> DataFrame:
-    """A running sum over the whole table (`order` distinct), without a window in a single partition.
+def running_totals(df: DataFrame, order: str, values: Mapping[str, str], buckets: int = 32, descending: bool = False) -> DataFrame:
+    """Adds running sums over the whole table (`order` distinct), as {value: name of its sum}, without a window in a
+    single partition.
 
     Two levels: rows are put into ranges of the order by a few quantiles; the ranges' totals (a handful of rows) are
     summed up in a small window and joined back; within a range the window is partitioned.
     """
-    cuts = df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.01) if buckets > 1 else []
-    cuts = sorted(set(cuts))
+    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.01)))
     place = F.lit(0)
     for c in cuts:  # a narrow expression: the number of cuts is fixed
         place = place + (F.col(order) > F.lit(c)).cast("int")
     ranged = df.withColumn("_range", place)
     by = F.desc if descending else F.asc
-    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_total"))
+    totals = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
     before = Window.orderBy(by("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_total_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values])
     within = Window.partitionBy("_range").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)
     joined = ranged.join(F.broadcast(totals), "_range")
-    return joined.withColumn(out, F.col("_before") + F.sum(value).over(within)).drop("_range", "_before")
+    return joined.withColumns({out: F.col(f"_before_{v}") + F.sum(v).over(within) for v, out in values.items()}).drop("_range", *[f"_before_{v}" for v in values])

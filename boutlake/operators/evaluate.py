@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.det import running_total, uniform
+from ..functions.det import running_totals, uniform
 
 EPS = 1e-8
 
@@ -41,9 +41,7 @@ def threshold_curve(preds: DataFrame, score: str = "prob_tail", true: str = "tru
     """score, pos, neg, tp, fp for each distinct score, from the top: running sums in two levels, none in one partition."""
     y = F.col(true) == positive
     points = preds.groupBy(F.col(score).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    packed = points.withColumn("both", F.struct("pos", "neg"))
-    out = running_total(packed.drop("both"), "score", "pos", "tp", descending=True)
-    return running_total(out.drop("_total"), "score", "neg", "fp", descending=True).drop("_total")
+    return running_totals(points, "score", {"pos": "tp", "neg": "fp"}, descending=True)
 
 
 def curve_metrics(curve: DataFrame) -> DataFrame:

@@ -186,7 +186,7 @@ def test_splits_do_not_leak(spark, data):
 def test_running_total_is_a_running_total(spark):
     rows = [(float(i), random.Random(i).randint(0, 9)) for i in range(500)]
     df = spark.createDataFrame(rows, "s double, n int")
-    out = {r["s"]: r["t"] for r in det.running_total(df, "s", "n", "t", descending=True).collect()}
+    out = {r["s"]: r["t"] for r in det.running_totals(df, "s", {"n": "t"}, descending=True).collect()}
     total = 0
     for s, n in sorted(rows, reverse=True):
         total += n
