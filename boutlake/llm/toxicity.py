@@ -1,7 +1,7 @@
 """Toxicity: a learned lexicon as a trie, met by Levenshtein automata, and scores of context windows.
 
 Lexicon: words, and stems of words (a stem stands for any word that begins with it), that labelled toxic texts hold far
-more often than others by a likelihood-ratio test. It is fitted on at most `max_labelled` labelled rows, as are the
+more often than others by a likelihood-ratio test; of these, few that cover the toxic texts. It is fitted on at most `max_labelled` labelled rows, as are the
 weights below; everything else reads all texts.
 
 Matching: the terms form a trie. A word is read by the product of the trie with Levenshtein automata of 0 errors (terms
@@ -35,6 +35,8 @@ from ._common import map_arrow, struct
 MAX_LABELLED = 8_000
 #: Letters of a stem, least and most; the least likelihood ratio (2 ln) and number of toxic texts for a term.
 STEM, MOST_STEM, LEAST_RATIO, LEAST_TEXTS = 4, 9, 20.0, 4
+#: Terms that a toxic text is to have in the lexicon, where it has them.
+COVER = 2
 WINDOW = 6
 REJECT = 0.7
 
@@ -51,8 +53,8 @@ def errors_for(term: str) -> int:
 class Matcher:
     """The terms' trie in product with Levenshtein automata, determinised step by step."""
 
-    #: Word results that are kept; beyond that, the memory of words begins anew.
-    WORDS = 300_000
+    #: Words known to match nothing that are kept; beyond that, their memory begins anew. Words that match are few.
+    WORDS = 500_000
 
     def __init__(self, terms: list[str]) -> None:
         self.children: list[dict[str, int]] = [{}]
@@ -78,8 +80,10 @@ class Matcher:
         self.states: list[dict[int, int]] = []
         self.known: dict[tuple, int] = {}
         self.moves: list[dict[str, int]] = []
+        self.stems: list[int | None] = []  # by state: the stem that is complete there
         self.begin = self._state({0: 0})
-        self.words: dict[str, tuple[int, int] | None] = {}
+        self.hits: dict[str, tuple[int, int]] = {}
+        self.clean: set[str] = set()
 
     def _state(self, nodes: dict[int, int]) -> int:
         """With what is reached by leaving out letters of terms."""
@@ -96,6 +100,7 @@ class Matcher:
             self.known[key] = len(self.states)
             self.states.append(nodes)
             self.moves.append({})
+            self.stems.append(next((self.stem[n] for n, e in nodes.items() if e == 0 and self.stem[n] is not None), None))
         return self.known[key]
 
     def _move(self, state: int, letter: str) -> int:
@@ -111,29 +116,39 @@ class Matcher:
                 reach(child, e if c == letter else e + 1)
         return self._state(out) if out else -1
 
+    def hits_in(self, words: set[str]) -> set[str]:
+        """Those of the words that match."""
+        new = words - self.clean
+        if not new:
+            return new
+        found = {w for w in new if w in self.hits or self.match(w)}
+        if len(self.clean) > self.WORDS:
+            self.clean = set()
+        self.clean |= new - found
+        return found
+
     def match(self, word: str) -> tuple[int, int] | None:
         """(number of the term, errors), the fewest errors first; a stem that begins the word counts as 0 errors."""
-        if word in self.words:
-            return self.words[word]
-        state, stem = self.begin, None
+        if word in self.hits:
+            return self.hits[word]
+        state, stem, moves = self.begin, None, self.moves
         for c in word:
-            moves = self.moves[state]
-            after = moves.get(c)
+            after = moves[state].get(c)
             if after is None:
-                after = moves[c] = self._move(state, c)
+                after = moves[state][c] = self._move(state, c)
             state = after
             if state < 0:
                 break
             if stem is None:
-                stem = next((self.stem[n] for n, e in self.states[state].items() if e == 0 and self.stem[n] is not None), None)
+                stem = self.stems[state]
         found = [(e, self.term[n][0]) for n, e in self.states[state].items() if self.term[n] and e <= self.term[n][1]] if state >= 0 else []
         if stem is not None:
             found.append((0, stem))
-        best = min(found, default=None)
-        if len(self.words) >= self.WORDS:
-            self.words = {}
-        self.words[word] = best and (best[1], best[0])
-        return self.words[word]
+        if not found:
+            return None
+        e, term = min(found)
+        self.hits[word] = (term, e)
+        return term, e
 
 
 FEATURES = ("bare", "quoted", "misspelled", "terms", "density", "window")
@@ -141,7 +156,7 @@ FEATURES = ("bare", "quoted", "misspelled", "terms", "density", "window")
 
 def features(text: str | None, matcher: Matcher) -> list[float]:
     folded = (text or "").lower()
-    hits = {w for w in set(_WORD.findall(folded)) if matcher.match(w)}
+    hits = matcher.hits_in(set(_WORD.findall(folded)))
     if not hits:
         return [0.0] * len(FEATURES)
     bare, quoted, misspelled, terms, places, n = 0, 0, 0, set(), [], 0
@@ -191,6 +206,19 @@ def _counts(rows: DataFrame, only: frozenset[str] | None) -> dict[str, int]:
     return {r["term"]: r["n"] for r in counted.where(F.col("n") >= (1 if only is not None else LEAST_TEXTS)).collect()}
 
 
+def _terms_within(rows: DataFrame, good: list[str]) -> list[list[str]]:
+    """For each of these texts (a bounded sample) the good terms that it holds."""
+    known = rows.sparkSession.sparkContext.broadcast(frozenset(good))
+
+    def make() -> object:
+        def step(batch: pa.RecordBatch) -> Iterator[dict]:
+            yield {"terms": ["\n".join(sorted(_terms_of(t) & known.value)) for t in batch.column(0).to_pylist()]}
+
+        return step
+
+    return [r["terms"].split("\n") if r["terms"] else [] for r in map_arrow(rows.select("text"), make, struct("terms string")).collect()]
+
+
 def _ratio(a: int, n: int, b: int, m: int) -> float:
     """Twice the log likelihood ratio of two shares a / n and b / m, negative if the first is lower."""
 
@@ -202,18 +230,39 @@ def _ratio(a: int, n: int, b: int, m: int) -> float:
     return g if a * m > b * n else -g
 
 
-def choose_terms(toxic: dict[str, int], n: int, clean: dict[str, int], m: int) -> list[str]:
-    """Terms over the threshold; a stem only if it says more than each word or longer stem below it, and then alone."""
+def good_terms(toxic: dict[str, int], n: int, clean: dict[str, int], m: int) -> dict[str, float]:
+    """Terms over the threshold with their ratio."""
     score = {t: _ratio(a, n, clean.get(t, 0), m) for t, a in toxic.items()}
-    good = {t for t, s in score.items() if s >= LEAST_RATIO and clean.get(t, 0) * n * 20 <= toxic[t] * m}
-    above: dict[str, float] = {}
-    for t in good:
-        bare = t.removesuffix("*")
-        for k in range(STEM, len(bare) + (not t.endswith("*"))):
-            above[bare[:k] + "*"] = max(above.get(bare[:k] + "*", 0.0), score[t])
-    stems = {t for t in good if t.endswith("*") and score[t] > above.get(t, 0.0) * 1.0001}
-    covered = lambda t: any(t[:k] + "*" in stems and t[:k] + "*" != t for k in range(STEM, len(t)))
-    return sorted(t for t in good if (t in stems or not t.endswith("*")) and not covered(t))
+    return {t: s for t, s in score.items() if s >= LEAST_RATIO and clean.get(t, 0) * n * 6 <= toxic[t] * m}
+
+
+def choose_terms(texts: list[list[str]], score: dict[str, float]) -> list[str]:
+    """Of the good terms of each toxic text, few that give every text COVER terms if it has as many: the one that helps
+    most texts first, then the higher ratio, then the shorter. So copies of one text don't bring in all of its words."""
+    need, holders = [COVER] * len(texts), {}
+    for i, terms in enumerate(texts):
+        for t in terms:
+            holders.setdefault(t, set()).add(i)
+    chosen: list[str] = []
+    while holders:
+        best = max(holders, key=lambda t: (len(holders[t]), score[t], -len(t), t))
+        if len(holders[best]) < LEAST_TEXTS:
+            break
+        chosen.append(best)
+        done = set()
+        for i in holders.pop(best):
+            need[i] -= 1
+            if not need[i]:
+                done.add(i)
+        stem = best.removesuffix("*") if best.endswith("*") else None
+        for t in [*holders]:
+            if stem is not None and t.startswith(stem):  # a chosen stem stands for what it begins
+                del holders[t]
+            else:
+                holders[t] -= done
+                if not holders[t]:
+                    del holders[t]
+    return sorted(chosen)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -271,7 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if not n or not m:
             return [], np.array([30.0 if n else -30.0, *[0.0] * len(FEATURES)])
         toxic = _counts(rows.where("toxic = 1"), None)
-        terms = choose_terms(toxic, n, _counts(rows.where("toxic = 0"), frozenset(toxic)), m)
+        good = good_terms(toxic, n, _counts(rows.where("toxic = 0"), frozenset(toxic)), m)
+        terms = choose_terms(_terms_within(rows.where("toxic = 1"), [*good]), good)
         table = np.array([[*r] for r in _featured(rows, terms).collect()], dtype=float)
         return terms, fit_weights(table[:, 1:], table[:, 0])
     finally:
