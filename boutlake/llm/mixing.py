@@ -14,7 +14,6 @@ counts. Null, empty and long texts are carried as they are. Sources of weight 0
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -76,8 +75,3 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", wei
     names = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("copy", "shuffle_key")]
     out = copies.select(*names, "copy", key.alias("shuffle_key"))
     return out.repartitionByRange(tasks_for(docs.sparkSession, 0, 1), "shuffle_key").sortWithinPartitions("shuffle_key")
-
-
-def expected_rows(rates: Mapping[str, tuple[int, float]]) -> float:
-    """The mean number of rows of a mix with the given (size, rate) by source, and a bound helper for tests."""
-    return math.fsum(n * r for n, r in rates.values())
