@@ -12,10 +12,12 @@ no link is lost. The order puts shingles that many texts hold last (they are cou
 regions stay small. Distances to {s} also give rings (by size: sizes of linked texts differ by the factor 1 - r at most).
 
 Regions of at most `REGION` texts join at once: all pairs within the rings and the bound on what may still be shared
-behind the region's shingle. Larger regions recurse. Their pivots are two of their texts; distances to these are exact.
-Each text goes to its nearer pivot's cell and, by the triangle inequality, also to the other if that is at most 2r
-farther. Cells choose pivots of their own, until they are small or LEVELS are used up; then they join in square blocks.
-Texts that links already connect need no joining: only pairs across components are looked at.
+behind the region's shingle. Larger regions recurse. Their pivots are texts of theirs; distances to these are exact. In
+the first ROUNDS a region's texts are compared with a few pivots only, which connects most of what belongs together;
+texts that links already connect need no joining, so only pairs across components are looked at from then on. What is
+left of a region beyond BLOCK texts is cut by two pivots: each text goes to its nearer pivot's cell and, by the triangle
+inequality, also to the other if that is at most 2r farther. Cells choose pivots of their own, until they are small or
+LEVELS are used up; then they join in square blocks.
 
 Pairs first meet a bound from sketches: counts of a set's shingles by class are its distances to the classes, taken as
 pivots of the symmetric difference, so the sum of differences is at most |x ^ y|, which is at most (|x| + |y|) r / (2 - r) for links.
@@ -42,8 +44,8 @@ from . import shingles
 from ._common import BROADCAST_ROWS, map_arrow, stored, struct
 from .components import components
 
-#: Texts of a region that joins at once, of a block of a larger one, and the levels of pivots between.
-REGION, BLOCK, LEVELS = 128, 512, 3
+#: Texts of a region that joins at once, rounds of pivots and levels of cells of a larger one, and texts of a block.
+REGION, ROUNDS, LEVELS, BLOCK = 48, 2, 3, 512
 #: Shingles in more texts than this are last in the order. Of these, the most frequent HOT_MOST are sent to the tasks.
 HOT, HOT_MOST = 64, 1_000_000
 #: The share of the hash range in which shingles are counted; windows reach beyond it only where most of a text is frequent.
@@ -279,7 +281,6 @@ def regions(rows: DataFrame, percent: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, text_col: str, words: int, nodes: DataFrame, clash: frozenset[int]) -> DataFrame:
     """node, items (the sorted hashes as bytes) of these nodes (a table of distinct nodes)."""
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS * 5 else nodes
 
     def make() -> object:
         seen: set[int] = set()
@@ -300,12 +301,19 @@ def full_sets(docs: DataFrame, text_col: str, words: int, nodes: DataFrame, clas
         return step
 
     found = map_arrow(docs.select(F.col(f"`{text_col}`")), make, struct("node long, items binary"))
-    return stored(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "join-sets")
+    return stored(_within(found, nodes).dropDuplicates(["node"]), "join-sets")
+
+
+def _within(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of these nodes (a table of distinct ones); found in the scan, without a shuffle, where the nodes are few."""
+    return rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS * 5 else nodes, "node", "left_semi")
 
 
 def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, n, m of these pairs, and how many shingles they share."""
-    joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    """a, b, n, m of these pairs (distinct), and how many shingles they share. Only sets of the pairs' nodes are moved."""
+    pairs = stored(pairs.select("a", "b"), "join-verify")
+    own = {c: _within(sets, pairs.select(F.col(c).alias("node")).distinct()) for c in ("a", "b")}
+    joined = pairs.join(own["a"].select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(own["b"].select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
 
     def make() -> object:
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -356,7 +364,7 @@ def large_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, verif
     radius = 1 - percent / 100 + 1e-9
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("region").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("region")
-    cells = stored(named.join(mixed, "region").select("region", "node", "component"), "join-cells")
+    cells = stored(named.join(mixed, "region").select("region", "node", "component", F.col("region").alias("home")), "join-cells")
     for level in range(LEVELS):
         order = F.xxhash64("node", F.lit(level))
         pivots = cells.groupBy("region").agg(F.count("*").alias("size"), F.min_by("node", order).alias("p"), F.max_by("node", order).alias("q")).where((F.col("size") > BLOCK) & (F.col("p") != F.col("q")))
@@ -369,38 +377,57 @@ def large_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, verif
         to = lambda c: far.select(F.col("a").alias(c), F.col("b").alias("node"), F.col("d").alias(f"d_{c}"))
         rows = rows.join(to("p"), ["p", "node"], "left").join(to("q"), ["q", "node"], "left").fillna(0.0, ["d_p", "d_q"])
         near_p, near_q = F.col("d_p") <= F.col("d_q") + 2 * radius, F.col("d_q") <= F.col("d_p") + 2 * radius
-        rows = stored(rows.select("region", "node", "component", ((F.col("d_p") <= F.col("d_q")) | near_p).alias("in_p"), ((F.col("d_q") < F.col("d_p")) | near_q).alias("in_q")), "join-homes")
+        rows = stored(rows.select("region", "node", "component", "home", ((F.col("d_p") <= F.col("d_q")) | near_p).alias("in_p"), ((F.col("d_q") < F.col("d_p")) | near_q).alias("in_q")), "join-homes")
         sides = rows.groupBy("region").agg(F.count("*").alias("all"), F.count_if("in_p").alias("n_p"), F.count_if("in_q").alias("n_q"))
         split = sides.where(F.greatest("n_p", "n_q") <= 0.75 * F.col("all")).select("region")  # else the pivots are too far from all
-        home = F.explode(F.array_compact(F.array(F.when(F.col("in_p"), F.lit(0)), F.when(F.col("in_q"), F.lit(1)))))
-        parts = rows.join(split, "region").withColumn("home", home).select(F.xxhash64("region", F.lit(level), "home").alias("region"), "node", "component")
+        side = F.explode(F.array_compact(F.array(F.when(F.col("in_p"), F.lit(0)), F.when(F.col("in_q"), F.lit(1)))))
+        parts = rows.join(split, "region").withColumn("side", side).select(F.xxhash64("region", F.lit(level), "side").alias("region"), "node", "component", "home")
         cells = stored(cells.join(split, "region", "left_anti").unionByName(parts), "join-cells")
     sizes = cells.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
     sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).select("region", "blocks")
-    dealt = cells.join(sizes, "region").join(classes.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    homes = cells.groupBy("node").agg(F.array_sort(F.collect_set("home")).alias("homes"))  # as many as a text's window at most
+    dealt = cells.join(sizes, "region").join(classes.select("node", "n", "sketch"), "node").join(homes, "node")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A block meets itself and all others once: block i goes to every square (min, max) that has it.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    squares = dealt.withColumn("other", other).select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "sketch")
-
-    def square(t: pa.Table) -> pa.Table:
-        by_size = t.sort_by("n")
-        i, j, own, node, comp, n = (by_size[c].to_numpy() for c in ("i", "j", "own", "node", "component", "n"))
-        marks = by_size["sketch"].to_pylist()
-        width = np.array([len(m) for m in marks])
-        table = {w: np.stack([np.frombuffer(m, np.uint8) if len(m) == w else np.zeros(w, np.uint8) for m in marks]).astype(np.int16) for w in set(width.tolist())}
-        a, b = [], []
-        for x in range(len(n)):
-            to = np.searchsorted(n, 100 * n[x] // percent, side="right")
-            y = np.arange(x + 1, to)
-            y = y[(comp[y] != comp[x]) & ((i[x] == j[x]) | (own[y] != own[x]))]
-            alike = y[width[y] == width[x]]
-            apart = np.abs(table[width[x]][alike] - table[width[x]][x]).sum(axis=1, dtype=np.int64) * (100 + percent)
-            near = [*alike[apart <= (100 - percent) * (n[x] + n[alike])], *(z for z in y[width[y] != width[x]] if may_link(marks[x], n[x], marks[z], n[z], percent))]
-            a += [min(node[x], node[z]) for z in near]
-            b += [max(node[x], node[z]) for z in near]
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return squares.groupBy("region", "i", "j").applyInArrow(square, struct("a long, b long")).distinct()
+    squares = dealt.withColumn("other", other).select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "sketch", "home", "homes")
+    return squares.groupBy("region", "i", "j").applyInArrow(lambda t: _square(t, percent), struct("a long, b long")).distinct()
+
+
+def _square(t: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a square that sketches don't rule out, across components, from the smallest region that both texts share."""
+    t = t.sort_by("n")
+    i, j, own, node, comp, n, home = (t[c].to_numpy() for c in ("i", "j", "own", "node", "component", "n", "home"))
+    marks, homes = t["sketch"].to_pylist(), t["homes"].to_pylist()
+    width = np.array([len(m) for m in marks])
+    groups = {w: np.flatnonzero(width == w) for w in sorted(set(width.tolist()))}
+    table = {w: np.stack([np.frombuffer(marks[k], np.uint8) for k in at]).astype(np.int16) for w, at in groups.items()}
+    a, b = [], []
+
+    def meet(left: np.ndarray, x: np.ndarray, right: np.ndarray, y: np.ndarray, same: bool) -> None:
+        step = max(1, 4_000_000 // max(1, len(right) * x.shape[1]))
+        for at in range(0, len(left), step):
+            p, q = left[at : at + step, None], right[None, :]
+            may = (comp[p] != comp[q]) & ((i[p] == j[p]) | (own[p] != own[q])) & (percent * np.maximum(n[p], n[q]) <= 100 * np.minimum(n[p], n[q]))
+            if same:
+                may &= p < q
+            for r in np.flatnonzero(may.any(axis=1)):
+                k, cols = left[at + r], np.flatnonzero(may[r])
+                apart = np.abs(y[cols] - x[at + r]).sum(axis=1, dtype=np.int64)
+                for m in right[cols[apart * (100 + percent) <= (100 - percent) * (n[k] + n[right[cols]])]]:
+                    if not any(h < home[k] and h in homes[m] for h in homes[k]):
+                        a.append(min(node[k], node[m]))
+                        b.append(max(node[k], node[m]))
+
+    for w, at in groups.items():
+        meet(at, table[w], at, table[w], True)
+        if 2 * w in groups:  # sizes of linked texts differ by so little that widths are equal or double
+            wide = table[2 * w]
+            meet(at, table[w], groups[2 * w], np.minimum(wide.reshape(len(wide), 2, w).sum(axis=1), 255).astype(np.int16), False)
+        if 4 * w in groups and percent < 60:
+            wide = table[4 * w]
+            meet(at, table[w], groups[4 * w], np.minimum(wide.reshape(len(wide), 4, w).sum(axis=1), 255).astype(np.int16), False)
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def join_classes(docs: DataFrame, profile: DataFrame, clash: frozenset[int], text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -411,17 +438,35 @@ def join_classes(docs: DataFrame, profile: DataFrame, clash: frozenset[int], tex
     large = found.where("b is null").select(F.col("key").alias("region"), F.col("a").alias("node"))
     first = large.groupBy("region").agg(F.min("node").alias("p"), F.max("node").alias("q"))
     stars = large.join(first, "region").select(F.col("node"), F.explode(F.array("p", "q")).alias("pivot")).where("node <> pivot")
-    stars = stored(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "join-stars")
+    stars = sketched(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), classes, percent)
     nodes = small.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     sets = full_sets(docs, text_col, words, stored(nodes, "join-nodes"), clash)
     verify = lambda pairs: shared_counts(pairs, sets)
     once = small.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(verify(once.unionByName(sketched(stars, classes, percent)).distinct()).where(_linked(percent)).select("a", "b"), "join-links")
-    labels = components(links)
-    rest = stored(_across(small.join(once, ["a", "b"], "left_anti"), labels).unionByName(large_pairs(large, classes, labels, verify, percent)).distinct(), "join-rest")
-    more = verify(rest).where(_linked(percent)).select("a", "b")
-    tied = stored(more.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))), "join-links")
-    return components(tied)
+    labels = components(verify(once.unionByName(stars).distinct()).where(_linked(percent)).select("a", "b"))
+    for turn in range(ROUNDS):
+        found = _to_pivots(large, labels, turn)
+        if found.isEmpty():
+            break
+        links = verify(sketched(found, classes, percent)).where(_linked(percent)).select("a", "b")
+        labels = components(links.unionByName(_as_links(labels)))
+    rest = _across(small.join(once, ["a", "b"], "left_anti"), labels).unionByName(large_pairs(large, classes, labels, verify, percent))
+    more = verify(stored(rest.distinct(), "join-rest")).where(_linked(percent)).select("a", "b")
+    return components(more.unionByName(_as_links(labels)))
+
+
+def _as_links(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
+def _to_pivots(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a text and its region's pivot of this turn that are not connected yet. Pivots are the first in one
+    order of all texts, so that regions that overlap share them."""
+    named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    order = F.xxhash64("node", F.lit(f"pivot {turn}"))
+    pivots = named.groupBy("region").agg(F.min_by(F.struct("node", "component"), order).alias("p"), F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h")
+    rows = named.join(pivots, "region").where(F.col("component") != F.col("p.component"))
+    return stored(rows.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "join-to-pivots")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
