@@ -45,10 +45,23 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
         for batch in batches:
             for out in step(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=k) for n, k in zip(names, kinds)], names=names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)
 
 
+_kept: dict = {}
+
+
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps between tasks, such as words it has met. The latest key's alone is kept, so that
+    the memory of one operator is gone when the next one runs in the same worker."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     plain = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BinaryType: pa.binary(), T.BooleanType: pa.bool_()}
     return pa.list_(arrow_type(kind.elementType)) if isinstance(kind, T.ArrayType) else plain[type(kind)]

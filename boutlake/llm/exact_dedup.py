@@ -32,7 +32,7 @@ _LOWER = bytes(range(97, 123))
 FOLD = bytes.maketrans(_UPPER, _LOWER)
 
 #: Bytes of heads that a task chains before it begins a new chain; bounds the memory of a task.
-CHAIN_BYTES = 32 << 20
+CHAIN_BYTES = 16 << 20
 
 _HEADS = "uid long, doc_id long, head long, key long, text_sha256 string, text binary"
 
@@ -115,7 +115,7 @@ def _prefix(depth: int):
     return F.shiftrightunsigned(flipped, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 10_000, max_depth: int = 40) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 4_000, max_depth: int = 40) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, uid (an own number of the row)."""
     rows = stored(map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), _chain, struct(_HEADS)), "dedup-heads")
     heads = rows.where(F.col("text").isNotNull())

@@ -22,9 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import map_arrow, struct
-
-_COUNTERS: dict[str, MergeCounter] = {}
+from ._common import kept_in_worker, map_arrow, struct
 
 
 def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -98,9 +96,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit."""
 
     def make() -> object:
-        if tokenizer not in _COUNTERS:
-            _COUNTERS[tokenizer] = MergeCounter(tokenizer)
-        counter = _COUNTERS[tokenizer]
+        counter = kept_in_worker(("counter", tokenizer), lambda: MergeCounter(tokenizer))
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             texts = batch.column(1)

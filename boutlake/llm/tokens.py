@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ._common import kept_in_worker
+
 #: Chunks remembered in each of two generations: what was met since the last turnover, and what was met before it.
 REMEMBERED = 300_000
 #: Bytes of text that are encoded at once.
@@ -40,14 +42,9 @@ _KIND[128:] = 5
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
-_ENCODERS: dict[str, Encoder] = {}
-
 
 def encoder(path: str) -> Encoder:
-    """Made once in a worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept_in_worker(("encoder", path), lambda: Encoder(path))
 
 
 def chunk_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, struct
+from ._common import kept_in_worker, map_arrow, struct
 
 #: Labelled rows that a model is fitted on at most, taken in the order of a hash of their id.
 MAX_LABELLED = 8_000
@@ -54,7 +54,7 @@ class Matcher:
     """The terms' trie in product with Levenshtein automata, determinised step by step."""
 
     #: Words known to match nothing that are kept; beyond that, their memory begins anew. Words that match are few.
-    WORDS = 500_000
+    WORDS = 250_000
 
     def __init__(self, terms: list[str]) -> None:
         self.children: list[dict[str, int]] = [{}]
@@ -284,10 +284,7 @@ def _featured(rows: DataFrame, terms: list[str]) -> DataFrame:
     kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def make() -> object:
-        key = tuple(shared.value)
-        if _MATCHERS.get("key") != key:
-            _MATCHERS.update(key=key, matcher=Matcher([*key]))
-        matcher = _MATCHERS["matcher"]
+        matcher = _matcher(shared.value)
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             found = np.array([features(t.as_py(), matcher) for t in batch.column("text")]).reshape(-1, len(FEATURES))
@@ -302,7 +299,8 @@ def _featured(rows: DataFrame, terms: list[str]) -> DataFrame:
     return map_arrow(rows, make, schema)
 
 
-_MATCHERS: dict[str, object] = {}
+def _matcher(terms: list[str]) -> Matcher:
+    return kept_in_worker(("matcher", *terms), lambda: Matcher(terms))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -347,7 +345,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weights = shared.value
-        matcher = Matcher(terms)
+        matcher = _matcher(terms)
         for batch in batches:
             x = np.array([features(t.as_py(), matcher) for t in batch.column(where)]).reshape(-1, len(FEATURES))
             p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
