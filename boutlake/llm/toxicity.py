@@ -1,12 +1,14 @@
 """Toxicity: a learned lexicon as a trie, met by Levenshtein automata, and scores of context windows.
 
 Lexicon: words, and stems of words (a stem stands for any word that begins with it), that labelled toxic texts hold far
-more often than others by a likelihood-ratio test; of these, few that cover the toxic texts. It is fitted on at most `max_labelled` labelled rows, as are the
+more often than others by a likelihood-ratio test over distinct texts. Of these: few terms that cover the toxic texts,
+which may be stems, and all words whose misspellings toxic texts hold more often too, or no text holds. So a stem
+doesn't stand in for the misspellings of its words. It is fitted on at most `max_labelled` labelled rows, as are the
 weights below; everything else reads all texts.
 
 Matching: the terms form a trie. A word is read by the product of the trie with Levenshtein automata of 0 errors (terms
 under 6 letters), 1 error (6 to 8) or 2 (9 or more). Its states, sets of (trie node, errors), are made when first met and
-kept, so that a word costs a look-up a letter and most words end after two or three. Stems match at 0 errors.
+kept (a bounded number), so that a word costs a look-up a letter and most words end after a few. Stems match at 0 errors.
 
 Scores: a hit is quoted if a quotation mark stands open before it or a word of reporting stands in the window of six
 words before it, else bare. Hits bare, quoted and misspelled, distinct terms, hits per hundred words and the most bare
@@ -55,6 +57,8 @@ class Matcher:
 
     #: Words known to match nothing that are kept; beyond that, their memory begins anew. Words that match are few.
     WORDS = 250_000
+    #: States that are kept; beyond that, they are made anew.
+    STATES = 100_000
 
     def __init__(self, terms: list[str]) -> None:
         self.children: list[dict[str, int]] = [{}]
@@ -77,13 +81,16 @@ class Matcher:
                 self.stem[node] = n
             else:
                 self.term[node] = (n, k)
+        self._begin_anew()
+        self.hits: dict[str, tuple[int, int]] = {}
+        self.clean: set[str] = set()
+
+    def _begin_anew(self) -> None:
         self.states: list[dict[int, int]] = []
         self.known: dict[tuple, int] = {}
         self.moves: list[dict[str, int]] = []
         self.stems: list[int | None] = []  # by state: the stem that is complete there
         self.begin = self._state({0: 0})
-        self.hits: dict[str, tuple[int, int]] = {}
-        self.clean: set[str] = set()
 
     def _state(self, nodes: dict[int, int]) -> int:
         """With what is reached by leaving out letters of terms."""
@@ -131,6 +138,8 @@ class Matcher:
         """(number of the term, errors), the fewest errors first; a stem that begins the word counts as 0 errors."""
         if word in self.hits:
             return self.hits[word]
+        if len(self.states) > self.STATES:
+            self._begin_anew()
         state, stem, moves = self.begin, None, self.moves
         for c in word:
             after = moves[state].get(c)
@@ -265,6 +274,35 @@ def choose_terms(texts: list[list[str]], score: dict[str, float]) -> list[str]:
     return sorted(chosen)
 
 
+def _misspelled(rows: DataFrame, words: list[str]) -> dict[str, int]:
+    """In how many of these texts each of the words stands misspelled, with what the automata allow."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def make() -> object:
+        matcher = _matcher(shared.value)
+
+        def step(batch: pa.RecordBatch) -> Iterator[dict]:
+            found: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                hits = [matcher.match(w) for w in matcher.hits_in(set(_WORD.findall((text or "").lower())))]
+                found.update({shared.value[term] for term, e in hits if e})
+            yield {"term": [*found], "n": [*found.values()]}
+
+        return step
+
+    counted = map_arrow(rows.select("text"), make, struct("term string, n long")).groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in counted.collect()}
+
+
+def sure_words(toxic: DataFrame, n: int, clean: DataFrame, m: int, good: dict[str, float]) -> list[str]:
+    """Of the good terms the words whose misspellings pass for them: no word of clean texts, by the share of good_terms."""
+    words = sorted(t for t in good if not t.endswith("*"))
+    if not words:
+        return []
+    hit, false = _misspelled(toxic, words), _misspelled(clean, words)
+    return [w for w in words if false.get(w, 0) * n * 6 <= hit.get(w, 0) * m]
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
     """Logistic regression by Newton's method; the first weight is the intercept, which the ridge leaves alone."""
     x = np.hstack([np.ones((len(x), 1)), x])
@@ -312,17 +350,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
     chosen = marked.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(max_labelled)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "_id").select("toxic", "text").persist()
+    distinct = rows.dropDuplicates(["toxic", "text"]).persist()
     try:
-        sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        sizes = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         n, m = sizes.get(1, 0), sizes.get(0, 0)
         if not n or not m:
             return [], np.array([30.0 if n else -30.0, *[0.0] * len(FEATURES)])
-        toxic = _counts(rows.where("toxic = 1"), None)
-        good = good_terms(toxic, n, _counts(rows.where("toxic = 0"), frozenset(toxic)), m)
-        terms = choose_terms(_terms_within(rows.where("toxic = 1"), [*good]), good)
+        bad, fine = distinct.where("toxic = 1"), distinct.where("toxic = 0")
+        toxic = _counts(bad, None)
+        good = good_terms(toxic, n, _counts(fine, frozenset(toxic)), m)
+        terms = sorted({*choose_terms(_terms_within(bad, [*good]), good), *sure_words(bad, n, fine, m, good)})
         table = np.array([[*r] for r in _featured(rows, terms).collect()], dtype=float)
         return terms, fit_weights(table[:, 1:], table[:, 0])
     finally:
+        distinct.unpersist()
         rows.unpersist()
 
 

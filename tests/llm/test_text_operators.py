@@ -323,6 +323,24 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in scored)
 
 
+def test_misspelled_copies_of_learnt_terms(spark):
+    rnd = random.Random(4)
+    learnt = {"worthless": "wxrthless", "disgusting": "dqsgustng", "pathetic": "pxthetic", "stupid": "stqpid", "clowns": "xlowns"}
+    plain = lambda: ["".join(rnd.choice("aeioklmr") for _ in range(rnd.randint(2, 6))) for _ in range(30)]
+    abuse = [" ".join([*plain(), *learnt]) for _ in range(40)]
+    texts = abuse + [" ".join(plain()) for _ in range(160)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < len(abuse))) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    terms, _ = toxicity.fit(docs, labels)
+    matcher = toxicity.Matcher(terms)
+    for word, wrong in learnt.items():
+        assert word in terms and matcher.match(wrong) is not None and matcher.match(wrong)[1] > 0, wrong
+    assert not matcher.hits_in({w for t in texts[len(abuse) :] for w in t.split()})
+    wrong = [(i, re.sub("|".join(learnt), lambda m: learnt[m[0]], t)) for i, t in enumerate(texts)]
+    scored = toxicity.score(docs.unionByName(spark.createDataFrame([(1_000 + i, t) for i, t in wrong], docs.schema)), labels).collect()
+    assert {r["doc_id"]: r["predicted"] for r in scored if r["doc_id"] >= 1_000} == {1_000 + i: int(i < len(abuse)) for i, _ in wrong}
+
+
 def test_toxicity_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.score(docs, labels).count() == docs.count()
