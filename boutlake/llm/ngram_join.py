@@ -23,6 +23,9 @@ Pairs first meet a bound from sketches: counts of a set's shingles by class are
 pivots of the symmetric difference, so the sum of differences is at most |x ^ y|, which is at most (|x| + |y|) r / (2 - r) for links.
 What is left is verified on the full sets, first one pair a text, then those whose texts are not yet connected.
 
+That is for components: jaccard_join skips links between texts that other links already connect. jaccard_links skips none:
+it takes all pairs of the same regions and cells. Its rows are as many as there are links, quadratic in a group of near copies.
+
 Copies (equal sets) are one node, so a group of copies is one text in all of this.
 
 Rows: null, empty and wordless texts have no set, n_shingles 0 and no links; fewer words than a shingle has make one
@@ -430,12 +433,18 @@ def _square(t: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def join_classes(docs: DataFrame, profile: DataFrame, clash: frozenset[int], text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """node, component for the nodes that have links with other nodes."""
+def _candidates(docs: DataFrame, profile: DataFrame, clash: frozenset[int], text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes (node, n, sketch), pairs (a, b) of small regions that may link, and members (region, node) of large ones."""
     classes = stored(profile.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "join-classes")
     found = stored(regions(entries(docs, text_col, words, percent, frequent(docs, text_col, words), clash), percent), "join-regions")
     small = stored(sketched(found.where("b is not null").select("a", "b").distinct(), classes, percent), "join-pairs")
     large = found.where("b is null").select(F.col("key").alias("region"), F.col("a").alias("node"))
+    return classes, small, large
+
+
+def join_classes(docs: DataFrame, profile: DataFrame, clash: frozenset[int], text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """node, component for the nodes that have links with other nodes."""
+    classes, small, large = _candidates(docs, profile, clash, text_col, words, percent)
     first = large.groupBy("region").agg(F.min("node").alias("p"), F.max("node").alias("q"))
     stars = large.join(first, "region").select(F.col("node"), F.explode(F.array("p", "q")).alias("pivot")).where("node <> pivot")
     stars = sketched(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), classes, percent)
@@ -455,6 +464,22 @@ def join_classes(docs: DataFrame, profile: DataFrame, clash: frozenset[int], tex
     return components(more.unionByName(_as_links(labels)))
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per link between different texts (sets): a, b (the smallest doc_id of either's copies, null if all are null;
+    a's node is the smaller), n, m (sizes), shared."""
+    profile, clash = profiles(docs, id_col, text_col, words)
+    classes, small, large = _candidates(docs, profile, clash, text_col, words, percent)
+    nodes = small.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
+    sets = full_sets(docs, text_col, words, stored(nodes, "join-nodes"), clash)
+    verify = lambda pairs: shared_counts(pairs, sets)
+    apart = docs.sparkSession.createDataFrame([], "node long, component long")  # no text is connected yet
+    pairs = small.unionByName(large_pairs(large, classes, apart, verify, percent)).distinct()
+    links = stored(verify(pairs).where(_linked(percent)), "join-links")
+    named = profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    one, two = (named.select(F.col("node").alias(c), F.col("least").alias(f"_{c}")) for c in ("a", "b"))
+    return links.join(one, "a").join(two, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "n", "m", "shared")
+
+
 def _as_links(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
 

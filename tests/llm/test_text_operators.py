@@ -104,6 +104,27 @@ def test_jaccard_join(docs, monkeypatch, percent, region, block):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == brute_components(rows_of(docs), percent)
 
 
+@pytest.mark.parametrize(("percent", "region", "block"), [(80, 128, 512), (50, 2, 2)])
+def test_all_links_inside_components_too(docs, monkeypatch, percent, region, block):
+    monkeypatch.setattr(ngram_join, "REGION", region)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    least = {}
+    for ident, text in rows_of(docs):
+        own = frozenset(shingle_set(text))
+        if own:
+            least[own] = min([i for i in (ident, least.get(own)) if i is not None], default=None)
+    sets, links = [*least], []
+    for j, y in enumerate(sets):
+        for x in sets[:j]:
+            both = len(x & y)
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                links.append((*sorted([(str(least[x]), len(x)), (str(least[y]), len(y))]), both))
+    found = ngram_join.jaccard_links(docs, percent=percent).collect()
+    assert sorted((*sorted([(str(r["a"]), r["n"]), (str(r["b"]), r["m"])]), r["shared"]) for r in found) == sorted(links)
+    joined = {s for link in links for s in link[:2]}
+    assert len(links) > len(joined) / 2  # some groups have more links than a tree
+
+
 def test_one_of_each(docs):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
