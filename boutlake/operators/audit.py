@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .link import clock_seconds, parse_segment_name
 
+#: Overlapping pairs that temporal_nms settles at once on the driver.
+FEW = 100_000
+
 
 def clock_offset(segment_start: Column, clock: Column) -> Column:
     """Seconds from a segment's start to a clock time put on the start's date: a time more than six hours before the
@@ -100,19 +107,53 @@ def filter_tracks(df: DataFrame, least: int = 5, confidence: float = 0.4, most_g
 def temporal_nms(df: DataFrame, iou: float = 0.5, video: str = "video", idx: str = "event_idx", start: str = "start_sec", end: str = "end_sec", score: str = "score") -> DataFrame:
     """idx of scored intervals that no kept interval of a higher score (ties: smaller idx) in their video covers by more than `iou`.
 
-    A video's intervals are cut into islands that overlap one another (gaps-and-islands), so that only an island, not a
-    video, is folded in one task; within it the choice is one after the other.
+    Overlapping pairs are found in bins of time, of a width for each octave of lengths, so that an interval is in few
+    bins. Then rounds on Spark: intervals that no open stronger one overlaps stay, those they cover go, and the pairs of
+    both are closed; what is left is written to the shared folder. The last FEW pairs are settled one after the other.
+    iou: 0 or more.
     """
-    w = Window.partitionBy(video).orderBy(start, end, idx)
-    opens = F.coalesce((F.col(start) >= F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
-    rows = df.select(video, idx, start, end, score).withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct((-F.col(score)).alias("o"), F.col(idx).alias("i"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"))
-    islands = rows.groupBy(video, "_island").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def overlap(x: Column, y: Column) -> Column:
-        both = F.greatest(F.least(x["e"], y["e"]) - F.greatest(x["s"], y["s"]), F.lit(0.0))
-        return both / F.greatest((x["e"] - x["s"]) + (y["e"] - y["s"]) - both, F.lit(1e-9))
-
-    empty = F.filter("items", lambda x: F.lit(False))
-    kept = F.aggregate("items", empty, lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y) > iou), acc).otherwise(F.concat(acc, F.array(x))))
-    return islands.select(video, F.explode(kept).alias("k")).select(video, F.col("k.i").alias(idx))
+    length = F.col(end).cast("double") - F.col(start).cast("double")
+    node = F.struct(F.col(video).alias("v"), F.col(idx).alias("i"))
+    rows = df.select(F.col(video).alias("v"), node.alias("node"), F.struct((-F.col(score)).alias("o"), F.col(idx).alias("i")).alias("rank"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.floor(F.log2(length)).cast("int").alias("octave")).where(length > 0)
+    apart = math.ceil(math.log2(1 / max(iou, 2.0**-40))) + 1  # octaves between lengths that may still have this overlap
+
+    def binned(x: DataFrame, tag: str) -> DataFrame:
+        """Columns with a tag, but octave and bin."""
+        w = F.pow(F.lit(2.0), F.col("octave") + 1)
+        x = x.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / w), F.floor(F.col("e") / w))))
+        return x.select("octave", "bin", *[F.col(c).alias(f"{c}_{tag}") for c in x.columns if c not in ("octave", "bin")])
+
+    longer = binned(rows.withColumn("own", F.col("octave")), "x")
+    shorter = binned(rows.withColumn("own", F.col("octave")).withColumn("octave", F.explode(F.sequence(F.col("octave"), F.col("octave") + apart))), "y")
+    met = longer.join(shorter, (longer["octave"] == shorter["octave"]) & (longer["bin"] == shorter["bin"]) & longer["v_x"].eqNullSafe(shorter["v_y"]))
+    both = F.greatest(F.least("e_x", "e_y") - F.greatest("s_x", "s_y"), F.lit(0.0))
+    overlap = both / F.greatest((F.col("e_x") - F.col("s_x")) + (F.col("e_y") - F.col("s_y")) - both, F.lit(1e-9))
+    once = (F.floor(F.greatest("s_x", "s_y") / F.pow(F.lit(2.0), longer["octave"] + 1)) == longer["bin"]) & ((F.col("own_y") < F.col("own_x")) | (F.col("rank_x") < F.col("rank_y")))
+    first = F.col("rank_x") < F.col("rank_y")
+    pairs = met.where(once & (overlap > iou)).select(F.when(first, F.col("node_x")).otherwise(F.col("node_y")).alias("a"), F.when(first, F.col("node_y")).otherwise(F.col("node_x")).alias("b"), F.when(first, F.col("rank_x")).otherwise(F.col("rank_y")).alias("rank"))
+    pairs = _stored(pairs, "nms-pairs")
+    gone = []
+    while pairs.count() > FEW:
+        weak = pairs.select(F.col("b").alias("a")).distinct()
+        covered = _stored(pairs.join(weak, "a", "left_anti").select("b").distinct(), "nms-covered")
+        gone.append(covered)
+        settled = pairs.join(weak, "a", "left_anti").select("a").union(covered.select(F.col("b").alias("a"))).distinct()
+        pairs = _stored(pairs.join(settled, "a", "left_anti").join(covered, "b", "left_anti").select("a", "b", "rank"), "nms-pairs")
+    last: set[tuple] = set()
+    for r in pairs.orderBy("rank").collect():
+        if tuple(r["a"]) not in last:
+            last.add(tuple(r["b"]))
+    gone.append(df.sparkSession.createDataFrame([(x,) for x in last], pairs.select("b").schema))
+    return df.select(video, idx).withColumn("b", node).join(reduce(DataFrame.unionByName, gone), "b", "left_anti").select(video, idx)
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = tempfile.mkdtemp(prefix="boutlake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/boutlake/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

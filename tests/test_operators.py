@@ -215,6 +215,24 @@ def test_nms_keeps_the_best(spark):
     assert sorted(values(audit.temporal_nms(df, 0.5), "event_idx")) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("few", [0, 50, 100_000])
+def test_nms_in_rounds_as_one_after_the_other(spark, monkeypatch, few):
+    monkeypatch.setattr(audit, "FEW", few)
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["v", "w", None]), i, s := rnd.uniform(0, 400), s + rnd.choice([0.0, 2.0, 8.0, 30.0, 64.0]) * rnd.uniform(0.5, 1.5), rnd.randint(0, 30) / 30) for i in range(300)]
+    df = spark.createDataFrame(rows, "video string, event_idx int, start_sec double, end_sec double, score double")
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[4], r[1])):
+        def covers(k):
+            both = max(min(k[3], r[3]) - max(k[2], r[2]), 0.0)
+            return k[0] == r[0] and both / max(k[3] - k[2] + r[3] - r[2] - both, 1e-9) > 0.3
+        if not any(covers(k) for k in kept):
+            kept.append(r)
+    found = audit.temporal_nms(df, 0.3)
+    assert sorted(values(found, "event_idx")) == sorted(r[1] for r in kept)
+    assert "collect_list" not in found._jdf.queryExecution().toString()  # no group in one row
+
+
 def test_softmax_is_stable(spark):
     p = one(spark.range(1).select(evaluate.softmax(F.array(F.lit(1000.0), F.lit(999.0))).alias("p")))["p"]
     assert abs(p[0] - 1 / (1 + math.exp(-1))) < 1e-12
