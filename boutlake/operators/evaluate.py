@@ -156,6 +156,34 @@ def bootstrap_ci(preds: DataFrame, replicates: int = 1000, seed: int = 42, key:
     return long.groupBy("metric").agg(six(F.avg("value"), "mean"), six(F.percentile("value", F.lit(0.025)), "low"), six(F.percentile("value", F.lit(0.975)), "high"), six(F.stddev_pop("value"), "std"))
 
 
+def bootstrap_ood(scores: DataFrame, replicates: int = 1000, seed: int = 42, key: str = "clip_id", score: str = "score", ood: str = "is_ood") -> DataFrame:
+    """metric (auroc, aupr_ood, fpr_at_95tpr), mean, low, high, std as bootstrap_ci, over replicates that have rows of both
+    sides: both are resampled, by Poisson(1) weights.
+
+    Weights are summed to a row per replicate and distinct score; running sums are within a replicate.
+    """
+    u = uniform(seed, key, "replicate")
+    weight = F.lit(0)
+    for c in poisson_one():
+        weight = weight + (u >= c).cast("int")
+    reps = scores.select(key, F.col(score).alias("s"), F.col(ood).alias("o")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", weight).where("_w > 0")
+    side = lambda c: F.sum(F.when(c, F.col("_w")).otherwise(0))
+    points = reps.groupBy("replicate", "s").agg(side(~F.col("o")).alias("pos"), side(F.col("o")).alias("neg"))
+    w = Window.partitionBy("replicate").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    curve = points.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    totals = points.groupBy("replicate").agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn")).where("np > 0 and nn > 0")
+    rows = curve.join(F.broadcast(totals), "replicate")
+    below = F.col("nn") - F.col("fp") + F.col("neg")  # OOD rows at this score or below; a row per replicate and score
+    under = F.col("np") - F.col("tp") + F.col("pos")
+    values = rows.groupBy("replicate").agg(
+        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2) / F.col("np") / F.col("nn")).alias("auroc"), F.sum(F.col("neg") / F.col("nn") * below / (below + under)).alias("aupr_ood"),
+        F.coalesce(F.min(F.when(F.col("tp") / F.col("np") >= 0.95, F.col("fp") / F.col("nn"))), F.lit(1.0)).alias("fpr_at_95tpr"),
+    )
+    long = values.unpivot([], ["auroc", "aupr_ood", "fpr_at_95tpr"], "metric", "value")
+    six = lambda c, n: F.round(c, 6).alias(n)
+    return long.groupBy("metric").agg(six(F.avg("value"), "mean"), six(F.percentile("value", F.lit(0.025)), "low"), six(F.percentile("value", F.lit(0.975)), "high"), six(F.stddev_pop("value"), "std"))
+
+
 def _at_thresholds(preds: DataFrame, grid: DataFrame, score: str, true: str, positive: str) -> DataFrame:
     """threshold, tp, fp, fn, tn: the grid is small and broadcast, sums are partial in each task."""
     rows = preds.select(F.col(true).alias("true_label"), F.col(score).alias("_s")).crossJoin(F.broadcast(grid))
@@ -319,9 +347,10 @@ def prob_clusters(preds: DataFrame, least: int = 3, score: str = "prob_tail", tr
     return preds.groupBy(F.bround(score, digits).alias("value")).agg(F.count("*").alias("n"), F.count_if(F.col(true) == positive).alias("positives")).where(F.col("n") >= least)
 
 
-def evaluate_report(preds: DataFrame, ood: str = "is_ood", replicates: int = 200, method: str = "msp") -> DataFrame:
+def evaluate_report(preds: DataFrame, ood: str = "is_ood", replicates: int = 1000, method: str = "msp", label: str = "label") -> DataFrame:
     """One row with `report`, a JSON text: metrics, confusion, calibration and bootstrap of the known rows, and the
-    out-of-distribution metrics where there are such rows. The scored rows are read once a part."""
+    out-of-distribution metrics, their bootstrap, the breakdown by `label` and the selective curve of the known rows where
+    there are such rows. The scored rows are read once a part."""
     known = preds.where(~F.col(ood))
     scored = preds.withColumn("score", ood_scores([F.col("prob_ear"), F.col("prob_tail")], method))
     matrix = confusion_matrix(known).agg(F.array_sort(F.collect_list(F.struct("true_label", "pred_label", "n"))).alias("confusion"))
@@ -329,7 +358,10 @@ def evaluate_report(preds: DataFrame, ood: str = "is_ood", replicates: int = 200
     one = lambda df, n: df.select(F.struct("*").alias(n))
     rows = one(binary_metrics(known), "binary").crossJoin(one(curve_metrics(threshold_curve(known)), "curve")).crossJoin(one(ece(known), "calibration")).crossJoin(matrix).crossJoin(ci)
     if not preds.where(ood).isEmpty():
-        rows = rows.crossJoin(one(ood_metrics(scored), "ood"))
+        listed = lambda df, n: df.agg(F.array_sort(F.collect_list(F.struct("*"))).alias(n))
+        rows = rows.crossJoin(one(ood_metrics(scored), "ood")).crossJoin(listed(bootstrap_ood(scored, replicates), "ood_bootstrap"))
+        rows = rows.crossJoin(listed(ood_breakdown(scored.where(ood), label, "score"), "ood_breakdown"))
+        rows = rows.crossJoin(listed(selective_curve(scored.where(~F.col(ood)), confidence="score"), "selective"))
     return rows.select(F.to_json(F.struct("*")).alias("report"))
 
 

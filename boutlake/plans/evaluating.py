@@ -392,7 +392,7 @@ def a36(spark, d):
 
 @query("a37_evaluate_report", None)
 def a37(spark, d):
-    return evaluate.evaluate_report(sure(spark, d), replicates=40)
+    return evaluate.evaluate_report(sure(spark, d), replicates=1000)
 
 
 @query("v9_abstain_curve", f"WITH {PR}, g AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold), x AS (SELECT threshold, greatest(prob_ear, prob_tail) >= threshold AS k, true_label = pred_label AS c FROM pr, g) SELECT threshold, round(count(*) FILTER (k) / count(*), 6) AS coverage, round(count(*) FILTER (k AND c) / nullif(count(*) FILTER (k), 0), 6) AS accuracy FROM x GROUP BY threshold")
