@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,10 +18,13 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by spark.checkpoint.dir; one is set only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share, named by spark.checkpoint.dir. Where that is unset, a folder of its own is set in
+    local mode (one machine, as in tests); on a cluster there is no place that lost executors leave alone, an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="boutlake-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="boutlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -41,27 +47,59 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     names, kinds = [f.name for f in schema.fields], [arrow_type(f.dataType) for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
+        step = begun(make)
         for batch in batches:
             for out in step(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=k) for n, k in zip(names, kinds)], names=names)
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        del step
+        given_back()
 
     return df.mapInArrow(run, schema)
 
 
 _kept: dict = {}
+_asked: list = []
 
 
 def kept_in_worker(key: object, make: Callable[[], object]) -> object:
-    """What a worker process keeps between tasks, such as words it has met. The latest key's alone is kept, so that
-    the memory of one operator is gone when the next one runs in the same worker."""
+    """What a worker process keeps between tasks, such as words it has met. The latest key's alone is kept."""
+    _asked.append(key)
     if key not in _kept:
         _kept.clear()
+        given_back()
         _kept[key] = make()
     return _kept[key]
 
 
+def begun(make: Callable[[], object]) -> object:
+    """What make gives, at the start of a task. If it asks for nothing that is kept, what an earlier operator's tasks have
+    kept in this worker goes: workers live on, and an operator is not to pay for the memory of the one before it."""
+    _asked.clear()
+    made = make()
+    if not _asked and _kept:
+        _kept.clear()
+        given_back()
+    return made
+
+
+def given_back() -> None:
+    """Hands freed memory back to the system: the worker lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+_TRIM = _trim()
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     plain = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BinaryType: pa.binary(), T.BooleanType: pa.bool_()}
     return pa.list_(arrow_type(kind.elementType)) if isinstance(kind, T.ArrayType) else plain[type(kind)]

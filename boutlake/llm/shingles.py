@@ -1,4 +1,9 @@
-"""Sets of word shingles as sorted 64-bit hashes, made with numpy for many texts at once."""
+"""Sets of word shingles as sorted 64-bit hashes, made with numpy for many texts at once.
+
+A word's hash mixes its length and then its bytes, eight at a time, each time by a bijection of 64 bits; words of more
+than LONG bytes go to xxh3. A shingle's hash mixes the hashes of its words with a factor for each place. So two different
+shingles share a hash only by chance, once in 2 ** 64 pairs; no sum over the letters can cancel out.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Bytes of text that are worked on at once.
+#: Bytes of text that are worked on at once, of several texts or of one longer text.
 SLICE_BYTES = 1 << 20
+SEED, LONG = 20_240_229, 32
 
-_rng = np.random.Generator(np.random.PCG64(20_240_229))
-_BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STEPS = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[*range(9, 14), 32]] = True
-_powers: dict[str, np.ndarray] = {}
+_STEPS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)  # masks of the first n bytes
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,17 +27,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    name = str(base)
-    if len(_powers.get(name, ())) < n:
-        p = np.full(n, base, dtype=np.uint64)
-        p[0] = 1
-        _powers[name] = np.multiply.accumulate(p)
-    return _powers[name][:n]
-
-
-def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, bytes, where each text ends) of stretches of some SLICE_BYTES, or one longer text."""
+def slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, where each text ends) of stretches of whole texts of some SLICE_BYTES, or of one longer text."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=len(texts) + texts.offset + 1)[texts.offset :]
     raw = texts.buffers()[2]
@@ -45,28 +36,46 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
-        yield at, data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at]
+        yield data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at]
         at = to
 
 
+def words_in(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of texts that lie one behind the other, and how many words there are up to each text's end."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    inner = ~((data == 32) | (data - np.uint8(9) < np.uint8(5)))
+    first, last = inner.copy(), inner.copy()
+    first[1:] &= ~inner[:-1]
+    last[:-1] &= ~inner[1:]
+    edge = ends[(ends < len(data)) & (ends > 0)]  # texts touch: a word ends with its text
+    first[edge] |= inner[edge]
+    last[edge - 1] |= inner[edge - 1]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    folded = data + ((data - np.uint8(65) < np.uint8(26)).view(np.uint8) << np.uint8(5))  # A-Z count as a-z
+    return _hashes(folded, starts, stops - starts), np.searchsorted(starts, ends)
+
+
+def _hashes(letters: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each word: of its length and all of its bytes, eight at a time; of long words by xxh3."""
+    eight = np.ndarray(len(letters) + 1, dtype="<u8", buffer=np.append(letters, np.zeros(8, np.uint8)), strides=(1,))  # unaligned
+    out = size.astype(np.uint64) * _STEPS[63] + np.uint64(SEED)
+    for done in range(0, LONG, 8):
+        more = slice(None) if not done else np.flatnonzero(size > done)
+        if done and not len(more):
+            break
+        out[more] = mixed(out[more] ^ (eight[at[more] + done] & _FIRST[np.minimum(size[more] - done, 8)]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(letters[at[i] : at[i] + size[i]], SEED)
+    return out
+
+
 def sets(texts: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles: runs of `words` words, or its whole sequence if that is
-    shorter; none without words. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Null counts as empty."""
-    for _, data, ends in slices(texts):
-        space = _SPACE[data]
-        inner = ~space
-        first, last = inner.copy(), inner.copy()
-        if len(data):
-            edge = ends[ends < len(data)]  # texts touch: a word ends with its text
-            cut = np.zeros(len(data) + 1, dtype=bool)
-            cut[edge] = True
-            first[1:] &= space[:-1] | cut[1:-1]
-            last[:-1] &= space[1:] | cut[1:-1]
-        starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
-        word = mixed((total[stops] - total[starts]) * _power(_BASE_INVERSE, len(data) + 1)[starts] + (stops - starts).astype(np.uint64))
-        upto = np.searchsorted(starts, ends)
+    shorter; none without words. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Null counts as empty. A text of any
+    length is worked on whole; what is held is some 30 bytes a word besides the text."""
+    for data, ends in slices(texts):
+        word, upto = words_in(data, ends)
         runs = np.zeros(max(0, len(word) - words + 1), dtype=np.uint64)
         for k in range(words):
             runs += word[k : k + len(runs)] * _STEPS[k]

@@ -96,7 +96,7 @@ def brute_components(rows, percent):
     return sorted(((ident, len(sets[i]), least.get(find(i)) if sets[i] else ident) for i, (ident, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("percent", "region", "block"), [(80, 128, 512), (50, 2, 2), (80, 3, 4)])
+@pytest.mark.parametrize(("percent", "region", "block"), [(80, 128, 512), (50, 2, 8), (80, 3, 4)])
 def test_jaccard_join(docs, monkeypatch, percent, region, block):
     monkeypatch.setattr(ngram_join, "REGION", region)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
@@ -104,7 +104,7 @@ def test_jaccard_join(docs, monkeypatch, percent, region, block):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == brute_components(rows_of(docs), percent)
 
 
-@pytest.mark.parametrize(("percent", "region", "block"), [(80, 128, 512), (50, 2, 2)])
+@pytest.mark.parametrize(("percent", "region", "block"), [(80, 128, 512), (80, 2, 5)])
 def test_all_links_inside_components_too(docs, monkeypatch, percent, region, block):
     monkeypatch.setattr(ngram_join, "REGION", region)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
