@@ -82,8 +82,8 @@ def _node(own: np.ndarray, clashes: Clashes) -> int:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """How many shingles of each class there are, up to 255; classes: a power of two, an eighth of the set at least."""
-    classes = 1 << max(6, (len(own) // 8 - 1).bit_length())
+    """How many shingles of each class there are, up to 255; classes: a power of two, half of the set at least."""
+    classes = 1 << max(6, (len(own) // 2 - 1).bit_length())
     return np.minimum(np.bincount((own >> np.uint64(8)).astype(np.int64) & (classes - 1), minlength=classes), 255).astype(np.uint8).tobytes()
 
 
@@ -377,11 +377,17 @@ def across(members: DataFrame, labels: DataFrame | None, classes: DataFrame, set
     """Distinct pairs (a, b) that may link and are not connected yet, of all regions."""
     named = _named(members, labels)
     sizes = named.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("region", "size")
-    mixed = stored(named.join(sizes, "region").withColumn("have", F.lit(1)), "join-mixed")
+    mixed = stored(named.join(sizes, "region"), "join-mixed")
     small = _small_pairs(mixed.where(F.col("size") <= REGION), percent).distinct()
     pairs = sketched(small, classes, percent)
-    large = mixed.where(F.col("size") > REGION).drop("size")
-    return pairs if large.isEmpty() else pairs.unionByName(_large_pairs(large, classes, sets, hot, percent)).distinct()
+    large = mixed.where(F.col("size") > REGION)
+    if large.isEmpty():
+        return pairs
+    # Regions of near copies hold much the same texts. Those whose first text in one order is the same are one cell.
+    first = large.groupBy("region").agg(F.min_by("node", F.xxhash64("node")).alias("cell"))
+    cells = large.join(first, "region").groupBy("cell", "node").agg(F.min("n").alias("n"), F.min("place").alias("place"), F.min("component").alias("component"))
+    cells = stored(cells.withColumnRenamed("cell", "region").withColumn("have", F.lit(1)), "join-cells")
+    return pairs.unionByName(_large_pairs(cells, classes, sets, hot, percent)).distinct()
 
 
 def _small_pairs(mixed: DataFrame, percent: int) -> DataFrame:
