@@ -3,13 +3,16 @@
 A row of source s is repeated on average rate(s) = budget * weight(s) / (sum of weights * size(s)) times. Its count is
 a Poisson draw with that mean, inverted from a uniform number that depends on the seed and the row's id alone; means
 beyond 500 are drawn as a sum of equal parts, where exp(-mean) would run out of range. The copies are then put into a
-global random order: by the md5 of seed, id and number of the copy, range-partitioned.
+global random order: by the md5 of seed, id and number of the copy, whose leading bits give the partition.
 
-Plan: one aggregate with map-side partials (sources), a join with the table of sources (broadcast only if counted to
-have few rows, else a shuffled join whose hot source AQE splits), explode, one range shuffle.
+Plan: one aggregate with map-side partials (sources, written to the shared folder), a join with the table of sources
+(broadcast only if counted to have few rows, else a shuffled join whose hot source AQE splits), explode, one shuffle. As
+md5 is uniform, partitions are equal without a sample, and their number grows with the rows that are expected.
 
-Rows: a null source counts as a source of its own; null ids all draw alike; repeated ids draw alike, and each row
-counts. Null, empty and long texts are carried as they are. Sources of weight 0 vanish. An empty table stays empty.
+Rows: a null source counts as a source of its own; rows with repeated ids draw alike, and each row counts; a row with a
+null id draws by all of its columns, so that such rows don't draw alike nor end up in one place unless they are equal.
+Null, empty and long texts are carried as they are. Sources of weight 0 vanish. An empty table stays empty. All columns
+of the input stay as they are: where one has the name of an added column in any case, the added one gets a "_" more.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, tasks_for
+from ._common import BROADCAST_ROWS, stored, tasks_for
 
 #: The mean up to which one draw is inverted directly.
 LARGEST_MEAN = 500.0
+#: Rows of a partition of the result.
+ROWS = 50_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -57,21 +62,40 @@ def poisson_cdf(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, add, lambda s: s["all"])
 
 
+def _free(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _hashable(df: DataFrame, row: str) -> list[Column]:
+    """The columns of a struct column, maps as JSON, for hash functions."""
+    fields = df.schema[row].dataType.fields
+    return [F.to_json(F.col(f"{row}.`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"{row}.`{f.name}`") for f in fields]
+
+
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: Mapping[str, float] | None = None, budget: float | None = None, seed: int = 42) -> DataFrame:
     """All columns of docs, with the added columns `copy` (int, from 0) and `shuffle_key` (string, ascending)."""
-    rates = source_rates(docs, source_col, weights, budget)
+    spark = docs.sparkSession
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_MEAN)).cast("int")
-    rates = rates.where("rate > 0").withColumn("_parts", parts).withColumn("_cdf", poisson_cdf(F.col("rate") / F.col("_parts")))
-    rates = rates.select(F.col("source").alias("_source"), "_parts", "_cdf")
-    if rates.count() <= BROADCAST_ROWS // 100:
+    rates = source_rates(docs, source_col, weights, budget).where("rate > 0").withColumn("_parts", parts)
+    rates = stored(rates.select(F.col("source").alias("_source"), "size", "rate", "_parts"), "mixing-rates")
+    sources, rows = rates.agg(F.count("*"), F.coalesce(F.sum(F.col("size") * F.col("rate")), F.lit(0.0))).first()
+    rates = rates.select("_source", "_parts", poisson_cdf(F.col("rate") / F.col("_parts")).alias("_cdf"))
+    if sources <= BROADCAST_ROWS // 100:
         rates = F.broadcast(rates)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    joined = docs.select(row).join(rates, F.col(f"_row.`{source_col}`").eqNullSafe(F.col("_source")))
-    ident, salt = F.col(f"_row.`{id_col}`"), F.lit(str(seed))
-    draw = lambda j: F.size(F.filter("_cdf", lambda c: c <= uniform(salt, ident, j)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, j: n + draw(j))
-    copies = joined.withColumn("_count", count).where("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-    key = F.md5(F.concat_ws("|", salt, F.coalesce(ident.cast("string"), F.lit("null")), F.lit("copy"), F.col("copy").cast("string")).cast("binary"))
-    names = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("copy", "shuffle_key")]
-    out = copies.select(*names, "copy", key.alias("shuffle_key"))
-    return out.repartitionByRange(tasks_for(docs.sparkSession, 0, 1), "shuffle_key").sortWithinPartitions("shuffle_key")
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    own = F.concat(F.lit("null "), F.xxhash64(*_hashable(nested, "_row")).cast("string"))
+    ident, salt = F.coalesce(F.col(f"_row.`{id_col}`").cast("string"), own), F.lit(str(seed))
+    joined = nested.select("_row", ident.alias("_ident")).join(rates, F.col(f"_row.`{source_col}`").eqNullSafe(F.col("_source")))
+    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: uniform(salt, F.col("_ident"), j))
+    count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda c: c <= u)))
+    # The outer form: a filter for counts over 0 would be pushed below and would draw a second time.
+    copies = joined.select("_row", "_ident", F.posexplode_outer(F.array_repeat(F.lit(0), count)).alias("_copy", "_one")).where("_one = 0")
+    key = F.md5(F.concat_ws("|", salt, F.col("_ident"), F.lit("copy"), F.col("_copy").cast("string")).cast("binary"))
+    names = [_free("copy", docs.columns), _free("shuffle_key", docs.columns)]
+    out = copies.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], F.col("_copy").alias(names[0]), key.alias(names[1]))
+    n = tasks_for(spark, int(rows), ROWS)
+    place = F.shiftright(F.conv(F.substring(F.col(names[1]), 1, 8), 16, 10).cast("long") * n, 32).cast("int")
+    return out.repartitionById(n, place).sortWithinPartitions(names[1])
