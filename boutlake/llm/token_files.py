@@ -13,7 +13,9 @@ at place k of a block lies at bit k * width, so that any run of ids is read with
 shard are the sum over the shards before it: one number a shard, kept by the reader (`shard_starts`).
 
 Rows: null text counts as empty, and its document holds the end id alone; null doc_ids come first; rows with the same
-doc_id stay separate documents. An empty table gives no rows.
+doc_id stay separate documents, in the order of a hash of their text (then of the text), so that ties have a defined
+place; repeated rows are as many documents. A text of any length is one document, whose ids are held at once. An empty
+table gives no rows. Only the id and the text are read, so that columns of any other name play no part.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from ._common import map_arrow, shared_dir, struct, tasks_for
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
-#: Documents for one task, for the number of shards.
-SHARD_DOCS = 5_000
+#: Bytes of text for one task, for the number of shards.
+SHARD_BYTES = 64 << 20
 
 BLOCKS = struct("shard int, block_start long, width int, doc_ids longs, offsets longs, payload binary")
 
@@ -62,7 +64,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     path = path or f"{shared_dir(spark)}/boutlake/tokens-{uuid.uuid4().hex}"
     width = max(1, (tokens.vocabulary_size(tokenizer) - 1).bit_length())
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    ordered = slim.repartitionByRange(tasks_for(spark, slim.count(), SHARD_DOCS), "doc_id").sortWithinPartitions("doc_id")
+    size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slim = slim.withColumn("tie", F.xxhash64("text"))  # splits and orders the rows of one id
+    ordered = slim.repartitionByRange(tasks_for(spark, size, SHARD_BYTES), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
 
     def make() -> object:
         encode, shard, written = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -110,6 +114,17 @@ def shard_starts(spark: SparkSession, path: str) -> dict[int, int]:
     return starts
 
 
+def read_ids(spark: SparkSession, path: str, doc_id: int, start: int = 0, stop: int | None = None) -> list[np.ndarray]:
+    """The ids from start to stop of each document with this doc_id. Only blocks that hold it are read, and of their
+    payloads only the bytes that hold these ids are unpacked. What is asked for goes to the driver."""
+    found = []
+    for b in spark.read.schema(BLOCKS).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id))).toLocalIterator():
+        for name, i, j in zip(b["doc_ids"], b["offsets"], b["offsets"][1:]):
+            if name == doc_id:
+                found.append(unpack(b["payload"], b["width"], min(i + start, j), j if stop is None else min(i + stop, j)))
+    return found
+
+
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids_crc32, and the ids as 32-bit integers if asked for."""
     starts = spark.sparkContext.broadcast(shard_starts(spark, path))
