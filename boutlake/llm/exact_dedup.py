@@ -3,14 +3,18 @@
 1. Every row gets a key (64 bits of a hash of its normalised text). Each task chains the rows it has read by key and
    compares their bytes, so that of a group of copies only one text a task (the task's head) goes further.
 2. The heads are written to the shared folder. A directory of the leading bits of the keys is doubled until no
-   bucket holds more heads than `bucket_rows` (or `max_depth` is reached: the heads of one key can't be split, and they
-   are at most one a task). Only the counts of buckets reach the driver: one entry per bucket.
+   bucket holds more than `bucket_bytes` of heads (or `max_depth` is reached: the heads of one key can't be split). Only
+   the buckets' sizes reach the driver: one entry per bucket, 1.6 million of them for 100 TB of distinct texts.
 3. Each bucket is a key range with one owner task, which chains the heads that have the same key and compares bytes.
-   Texts that collide in the key, but differ, stay apart.
+   Texts that collide in the key, but differ, stay apart. A task begins its chains anew after CHAIN_BYTES, so a text that
+   a share of all rows holds comes to its owner once for each task and CHAIN_BYTES of other texts; the owner reads these
+   one after the other and holds one of them.
 4. The rows find their group through their head; the group's size and survivor are aggregated with map-side partials.
 
-Rows: null text counts as empty; null doc_ids sort below all others; of rows with the same doc_id in one group, one stays.
-An empty table gives an empty result. Columns besides the key and the text play no part.
+Rows: null text counts as empty; null doc_ids sort below all others; of rows with the same doc_id in one group, one stays:
+in exact_groups the one that was read last, in drop_copies the first by a hash of all its columns (so that it doesn't
+depend on partitions). Texts of any length are compared whole. An empty table gives an empty result. Columns besides the
+id and the text play no part otherwise, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, stored, struct
+from ._common import BROADCAST_ROWS, map_arrow, stored, struct
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -33,8 +37,10 @@ FOLD = bytes.maketrans(_UPPER, _LOWER)
 
 #: Bytes of heads that a task chains before it begins a new chain; bounds the memory of a task.
 CHAIN_BYTES = 16 << 20
+#: Bytes of heads that a bucket holds at most.
+BUCKET_BYTES = 64 << 20
 
-_HEADS = "uid long, doc_id long, head long, key long, text_sha256 string, text binary"
+_HEADS = "uid long, doc_id long, head long, key long, text_sha256 string, size long, text binary"
 
 
 def _chain() -> object:
@@ -44,7 +50,7 @@ def _chain() -> object:
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         nonlocal seen, held
-        out: dict[str, list] = {n: [] for n in ("uid", "doc_id", "head", "key", "text_sha256", "text")}
+        out: dict[str, list] = {n: [] for n in ("uid", "doc_id", "head", "key", "text_sha256", "size", "text")}
         size = 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             body = (text.as_py() or b"").translate(FOLD)
@@ -56,7 +62,7 @@ def _chain() -> object:
                 found = (uid, body, hashlib.sha256(body).hexdigest())
                 chain.append(found)
                 held += len(body) + 200
-            for n, v in zip(out, (uid, doc_id, found[0], key - (1 << 63), found[2], body if found[0] == uid else None)):
+            for n, v in zip(out, (uid, doc_id, found[0], key - (1 << 63), found[2], len(body), body if found[0] == uid else None)):
                 out[n].append(v)
             size += len(body) if found[0] == uid else 0
             if held > CHAIN_BYTES:
@@ -92,18 +98,18 @@ def _own() -> object:
     return step
 
 
-def directory(heads: DataFrame, bucket_rows: int, max_depth: int) -> list[tuple[int, int]]:
-    """(prefix, depth) of each bucket. The directory begins as deep as the number of heads asks for at least; each
-    further round doubles it below the buckets that overflow, and counts only those."""
-    total = heads.count()
-    depth, done, parents = max(0, (total // bucket_rows).bit_length()), [], None
+def directory(heads: DataFrame, bucket_bytes: int, max_depth: int) -> list[tuple[int, int]]:
+    """(prefix, depth) of each bucket. The directory begins as deep as the heads' bytes ask for at least; each further
+    round doubles it below the buckets that overflow, and weighs only those."""
+    total = heads.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    depth, done, parents = max(0, (total // bucket_bytes).bit_length()), [], None
     while True:
-        found = heads.select(_prefix(depth).alias("prefix"))
+        found = heads.select(_prefix(depth).alias("prefix"), "size")
         if parents is not None:
             found = found.where(F.shiftright("prefix", 1).isin(parents))
-        counts = found.groupBy("prefix").agg(F.count("*").alias("n")).collect()
-        over = {r["prefix"] for r in counts if r["n"] > bucket_rows and depth < max_depth}
-        done += [(r["prefix"], depth) for r in counts if r["prefix"] not in over]
+        sizes = found.groupBy("prefix").agg(F.sum("size").alias("n")).collect()
+        over = {r["prefix"] for r in sizes if r["n"] > bucket_bytes and depth < max_depth}
+        done += [(r["prefix"], depth) for r in sizes if r["prefix"] not in over]
         if not over:
             return done
         parents, depth = sorted(over), depth + 1
@@ -115,11 +121,11 @@ def _prefix(depth: int):
     return F.shiftrightunsigned(flipped, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 4_000, max_depth: int = 40) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, max_depth: int = 40) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, uid (an own number of the row)."""
     rows = stored(map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), _chain, struct(_HEADS)), "dedup-heads")
     heads = rows.where(F.col("text").isNotNull())
-    buckets = sorted(((p << (64 - d)) if d else 0) for p, d in directory(heads, bucket_rows, max_depth))
+    buckets = sorted(((p << (64 - d)) if d else 0) for p, d in directory(heads, bucket_bytes, max_depth))
     starts = np.array(buckets, dtype=np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(starts)
 
@@ -143,10 +149,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns as they are; one row per group even if doc_ids repeat."""
+    """The rows of docs that stay, all columns as they are; one row per group even if doc_ids repeat.
+
+    Only groups of two rows or more are joined with the rows, by the hash of the text; they are broadcast if counted to be
+    few, so that texts aren't shuffled again. Groups whose survivor's doc_id repeats within them are settled by a hash of
+    the rows.
+    """
     fold = F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), _UPPER.decode(), _LOWER.decode()).cast("binary"), 256)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), fold.alias("_sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_keep_sha"))
-    found = rows.join(kept, rows._id.eqNullSafe(kept._keep) & (rows._sha == kept._keep_sha), "left_semi")
-    w = Window.partitionBy("_id", "_sha").orderBy(F.lit(0))
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("_row.*")
+    named = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    groups = exact_groups(docs, id_col, text_col).groupBy("text_sha256").agg(F.first("keep_id").alias("_keep"), F.count("*").alias("_n"), F.count_if(named).alias("_same")).where("_n > 1")
+    groups = stored(groups.withColumnRenamed("text_sha256", "_sha"), "dedup-groups")
+    found = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "_sha", "left")
+    found = found.where("_n is null or _id <=> _keep")
+    if groups.where("_same > 1").isEmpty():
+        return found.select("_row.*")
+    fields = docs.schema.fields
+    order = F.xxhash64(*[F.to_json(f"_row.`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"_row.`{f.name}`") for f in fields])
+    again = found.where("_same > 1").withColumn("_order", order)
+    one = again.withColumn("_at", F.row_number().over(Window.partitionBy("_sha").orderBy("_order"))).where("_at = 1")
+    return found.where("_same is null or _same = 1").select("_row.*").unionByName(one.select("_row.*"))
