@@ -1,18 +1,23 @@
 """Nearest neighbours by cosine with a block matrix join.
 
-Queries and candidates are dealt into groups of bounded size by a hash of their ids, and each pair of groups is a tile
+Queries and candidates are dealt into groups of bounded size by a hash of their rows, and each pair of groups is a tile
 of one task (the stated queries against all rows, in blocks). In a tile the vectors are scaled to length 1 and stored as
 int8 with a scale of their own. A product of int8 blocks gives each cosine up to a bound that follows from the two
 vectors' quantisation errors: with u = u' + du, |u.v - u'.v'| <= |du| + |dv| + |du||dv|. Pairs whose upper bound falls
 short of the k-th best lower bound of their query are out. The survivors are recomputed in double precision, and a
-heap of k entries per query takes them in block by block; the tiles' heaps are merged by a window over the query.
-So the result is exact.
+heap of k entries per query takes them in block by block; a query's heaps of all tiles are merged by a heap of k entries
+in the task that owns the query. So the result is exact.
+
+Vectors are divided by a power of two near their largest component before anything is squared, which changes no cosine and
+keeps the squares of any finite vector in range.
 
 Equal vectors within a tile are one candidate with its k + 1 smallest ids: more can't be among a query's k nearest.
 Only vectors of the query's dimension are candidates.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids; ties go
-to the smaller id; a row is not its own candidate (rows with the query's id are). Rows with the same id are one each.
+to the smaller id. A row is not its own candidate, but other rows with the query's id are. Rows with the same id, and
+repeated rows, are one candidate and one query each. An empty table gives no rows. Only the id and the vector are read, so
+that columns of any other name play no part.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import struct
+from ._common import begun, given_back, stored, struct
 
 #: Vectors of a candidate group and of a query group, and of a block of an int8 product.
 GROUP, QUERIES, BLOCK = 16_384, 2_048, 2_048
@@ -53,7 +58,13 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Divided by a power of two, so that the largest component of a row is between 1/2 and 1."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
+def _tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, own: bool) -> Iterator[tuple[int, int, float]]:
+    """(place of the query, id, score). own: the queries are rows of the candidates."""
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     raw = np.ascontiguousarray(c).view([("", c.dtype)] * c.shape[1]).ravel()
@@ -62,6 +73,9 @@ def _tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     begin = np.searchsorted(which[by], np.arange(len(first)))
     same = [c_ids[by[b : min(b + k + 1, e)]].tolist() for b, e in zip(begin, [*begin[1:], len(by)])]
     c = c[first]
+    place = {x.tobytes(): j for j, x in enumerate(raw[first])} if own else {}
+    mine = [place.get(x.tobytes(), -1) for x in np.ascontiguousarray(q)]
+    q, c = _scaled(q), _scaled(c)
     qn, cn = np.sqrt(_dots(q, q)), np.sqrt(_dots(c, c))
     q8, qs, ql = _quantised(q / qn[:, None])
     c8, cs, cl = _quantised(c / cn[:, None])
@@ -85,43 +99,73 @@ def _tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
                 heap = heaps[i]
                 if len(heap) == k and score < heap[0][0]:
                     continue
-                for ident in same[j]:
-                    if ident != q_ids[i]:
-                        if len(heap) < k:
-                            heapq.heappush(heap, (score, -ident))
-                        elif (score, -ident) > heap[0]:
-                            heapq.heapreplace(heap, (score, -ident))
+                others = same[j]
+                if j == mine[i] and q_ids[i] in others:  # one of the rows with the query's id and vector is the query
+                    others = [*others]
+                    others.remove(q_ids[i])
+                for ident in others:
+                    if len(heap) < k:
+                        heapq.heappush(heap, (score, -ident))
+                    elif (score, -ident) > heap[0]:
+                        heapq.heapreplace(heap, (score, -ident))
         full = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
         floor = np.maximum(floor, full - 1e-9)
-    for ident, heap in zip(q_ids.tolist(), heaps):
+    for i, heap in enumerate(heaps):
         for score, other in heap:
-            yield ident, -other, score
+            yield i, -other, score
 
 
-def nearest(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k nearest candidates, its own id left out."""
+def nearest(candidates: DataFrame, queries: DataFrame | Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k nearest candidates. Queries are the candidates' rows for
+    which a condition holds (then each row's own is left out), or a table of other rows (then none is)."""
+    own = isinstance(queries, Column)
 
     def slim(df: DataFrame) -> DataFrame:
         v = F.col(f"`{vector_col}`").cast("array<double>")
         return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
 
-    left, right = slim(queries), slim(candidates)
+    left, right = slim(candidates.where(queries) if own else queries), slim(candidates)
+    left = stored(left.withColumn("query", F.monotonically_increasing_id()), "neighbour-queries")  # its number stays
     n_left, n_right = -(-left.count() // QUERIES) or 1, -(-right.count() // GROUP) or 1
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     left = left.withColumn("g", deal(n_left)).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).withColumn("d", F.size("v"))
     right = right.withColumn("h", deal(n_right)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).withColumn("d", F.size("v"))
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        begun(lambda: None)
         found: list[tuple[int, int, float]] = []
         if len(a) and len(b):
             (q_ids, q), (c_ids, c) = (
                 (t["id"].to_numpy(), t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)) for t in (a, b)
             )
-            found = [*_tile(q_ids, q, c_ids, c, k)]
-        columns = [*zip(*found)] or [[], [], []]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
+            found = [*_tile(q_ids, q, c_ids, c, k, own)]
+        at, others, scores = [*zip(*found)] or [[], [], []]
+        which = pa.array(at, pa.int64())
+        columns = [a["query"].take(which), a["id"].take(which), pa.array(others, pa.int64()), pa.array(scores, pa.float64())]
+        return pa.table(columns, names=["query", "query_id", "vec_id", "score"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The heaps of all tiles, which come by query, into one heap of k."""
+        at, heap = None, []
+
+        def out() -> pa.RecordBatch:
+            best = sorted(heap, reverse=True)
+            columns = [[at[1]] * len(best), [*range(1, len(best) + 1)], [-x for _, x in best], [x for x, _ in best]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            for query, ident, other, score in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if at != (query, ident):
+                    if heap:
+                        yield out()
+                    at, heap = (query, ident), []
+                heapq.heappush(heap, (score, -other))
+                if len(heap) > k:
+                    heapq.heappop(heap)
+        if heap:
+            yield out()
+        given_back()
 
     keys = ("g", "h", "d")
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, struct("query_id long, vec_id long, score double"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, struct("query long, query_id long, vec_id long, score double"))
+    return near.repartition("query").sortWithinPartitions("query").mapInArrow(merge, struct("query_id long, rank int, vec_id long, score double"))

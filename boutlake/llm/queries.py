@@ -35,8 +35,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = documents(spark, sf_dir, "embeddings")
-    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+    return neighbours.nearest(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
