@@ -8,8 +8,10 @@
 3. A piece's rank within its length is its number in its task plus the pieces of this length in the tasks before (a
    window over one row per task and length). The plan's run that holds the rank gives its sequence and offset.
 
-Rows: null text counts as empty and makes a piece of one token (the end id); null and repeated doc_ids are packed like
-others. An empty table gives no rows.
+Rows: null text counts as empty and makes a piece of one token (the end id); null and repeated doc_ids and repeated rows
+are packed like others, each a document of its own. Pieces of one length are alike to the plan; which of them takes which
+of its places goes by task and order of reading. A text of any length is encoded whole, and its ids are held at once. An
+empty table gives no rows. Only the id and the text are read, so that columns of any other name play no part.
 """
 
 from __future__ import annotations

@@ -5,7 +5,10 @@ equal ones, the leftmost) is merged, which links its neighbours anew and pushes
 hold are skipped when popped. The count is the number of initial symbols minus the merges. Words come from the
 tokenizer file's own normaliser and pattern, and a worker remembers the counts of the chunks it has met.
 
-Rows: null and empty texts count 0 tokens and 0 bytes. An empty table gives no rows.
+Rows: null and empty texts count 0 tokens and 0 bytes. Null and repeated doc_ids and repeated rows keep their rows, each
+counted by its own text. Texts of any length are counted whole, a slice of texts (or one longer text) at a time. A text
+with one of the tokenizer's special strings is counted without the memory of chunks. An empty table gives no rows. Only
+the id and the text are read, so that columns of any other name play no part.
 """
 
 from __future__ import annotations

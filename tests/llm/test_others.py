@@ -5,18 +5,19 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boutlake.llm import chat, exact_dedup, neighbours, queries
 
 from .. import oracle
 
 
-def brute(vectors, queries_, k):
+def brute(vectors, asked, k):
     out = []
-    for qi, q in queries_:
-        if not usable(q):
+    for at, (qi, q) in enumerate(vectors):
+        if qi is None or not asked(qi) or not usable(q):
             continue
-        scored = sorted((-score(q, v), vi) for vi, v in vectors if vi is not None and vi != qi and usable(v) and len(v) == len(q))
+        scored = sorted((-score(q, v), vi) for i, (vi, v) in enumerate(vectors) if vi is not None and i != at and usable(v) and len(v) == len(q))
         out += [(qi, r + 1, vi, -s) for r, (s, vi) in enumerate(scored[:k])]
     return out
 
@@ -26,6 +27,7 @@ def usable(v):
 
 
 def score(a, b):
+    a, b = ([x / 2.0 ** np.floor(np.log2(max(map(abs, v)))) for x in v] for v in (a, b))
     dot = aa = bb = 0.0
     for x, y in zip(a, b):
         dot, aa, bb = dot + x * y, aa + x * x, bb + y * y
@@ -39,13 +41,16 @@ def test_nearest(spark, monkeypatch, group, block):
     rnd = np.random.default_rng(4)
     rows = [(i, rnd.normal(size=12).tolist()) for i in range(150)]
     rows += [(200 + i, rows[3][1]) for i in range(20)] + [(300, None), (301, []), (302, [0.0] * 12), (303, [None] * 12), (304, [float("nan")] * 12), (305, [float("inf")] * 12), (None, rows[1][1]), (306, [1.0, 2.0]), (307, [2.0, 1.0])]
+    rows += [(309, [1e200, 1e200]), (312, [2e200, 1e200]), (315, [1e-200, 1e-200]), (318, [3e-310, 1e-300])]  # squares are out of range
+    rows += [(3, rows[5][1]), (3, rows[3][1]), (6, rows[6][1]), (9, rows[8][1])]  # ids and rows that repeat
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    asked = df.where("vec_id % 3 = 0")
-    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, asked, 5).collect())
-    expected = sorted(brute(rows, [r for r in rows if r[0] is not None and r[0] % 3 == 0], 5))
-    assert [r[:3] for r in found] == [r[:3] for r in expected]
-    assert np.allclose([r[3] for r in found], [r[3] for r in expected], atol=1e-12)
-    assert neighbours.nearest(df.where("false"), df.where("false")).count() == 0
+    df = df.withColumn("query", F.lit("x")).withColumn("G", F.lit(1))  # names of the operator's own columns
+    found = sorted((r["query_id"], r["rank"], round(r["score"], 12), r["vec_id"]) for r in neighbours.nearest(df, F.col("vec_id") % 3 == 0, 5).collect())
+    expected = sorted((q, r, round(s, 12), v) for q, r, v, s in brute(rows, lambda i: i % 3 == 0, 5))
+    assert found == expected
+    others = neighbours.nearest(df, df.where("vec_id = 3"), 1).collect()
+    assert [(r["query_id"], r["vec_id"], round(r["score"], 12)) for r in others] == [(3, 3, 1.0)] * 3  # rows of another table leave none out
+    assert neighbours.nearest(df.where("false"), F.col("vec_id") % 3 == 0).count() == 0
 
 
 def test_escape_round_trip():

@@ -56,7 +56,7 @@ def test_exact_groups(docs):
     for body, ids in groups.items():
         best = max((i for i in ids if i is not None), default=None)
         expected += [(i, best, len(ids), hashlib.sha256(body.encode()).hexdigest()) for i in ids]
-    found = exact_dedup.exact_groups(docs, bucket_rows=7).collect()
+    found = exact_dedup.exact_groups(docs, bucket_bytes=3_000).collect()
     key = lambda t: str(t)
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found), key=key) == sorted(expected, key=key)
     assert sum(r["kept"] for r in found) == len(groups)
@@ -68,6 +68,9 @@ def test_drop_copies(docs):
     assert kept.columns == docs.columns
     texts = [fold(r["text"]) for r in kept.collect()]
     assert sorted(texts) == sorted({fold(t) for _, t in rows_of(docs)})
+    ties = docs.sparkSession.createDataFrame([(7, "Same", i) for i in range(9)] + [(None, "same", 0)], "doc_id long, text string, extra int")
+    stay = {tuple(exact_dedup.drop_copies(ties.repartition(n)).collect()) for n in (1, 2, 5)}
+    assert len(stay) == 1 and len(*stay) == 1 and next(iter(*stay))["doc_id"] == 7
 
 
 def shingle_set(text, k=5):
@@ -96,7 +99,7 @@ def brute_components(rows, percent):
     return sorted(((ident, len(sets[i]), least.get(find(i)) if sets[i] else ident) for i, (ident, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("percent", "region", "block"), [(80, 128, 512), (50, 2, 8), (80, 3, 4)])
+@pytest.mark.parametrize(("percent", "region", "block"), [(80, 48, 512), (50, 2, 12), (80, 3, 8)])
 def test_jaccard_join(docs, monkeypatch, percent, region, block):
     monkeypatch.setattr(ngram_join, "REGION", region)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
@@ -104,7 +107,7 @@ def test_jaccard_join(docs, monkeypatch, percent, region, block):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == brute_components(rows_of(docs), percent)
 
 
-@pytest.mark.parametrize(("percent", "region", "block"), [(80, 128, 512), (80, 2, 5)])
+@pytest.mark.parametrize(("percent", "region", "block"), [(80, 48, 512), (80, 2, 12)])
 def test_all_links_inside_components_too(docs, monkeypatch, percent, region, block):
     monkeypatch.setattr(ngram_join, "REGION", region)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
@@ -132,6 +135,23 @@ def test_one_of_each(docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in named.items() if i is None or i == c}
 
 
+def test_words_are_compared_whole(spark):
+    """Two words of 1,024 letters whose letters' sums agree in any polynomial modulo 2 ** 64, and long words that differ at one place."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1_024))
+    texts = [thue, thue.translate(str.maketrans("ab", "ba")), "w" * 40, "w" * 39 + "x", "w" * 32, "w" * 33, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_join(df).collect()) == [(i, i) for i in range(len(texts))]
+
+
+def test_clashing_numbers_are_told_apart():
+    own = np.arange(7, dtype=np.uint64)
+    first = ngram_join._node(own, ())
+    second = ngram_join._node(own, (frozenset([first]),))
+    third = ngram_join._node(own, (frozenset([first]), frozenset([second])))
+    assert len({first, second, third}) == 3
+    assert ngram_join._node(own, (frozenset([5]), frozenset([first]))) == first  # only sets that clashed take another number
+
+
 def test_shingles_are_those_of_words():
     import pyarrow as pa
 
@@ -168,6 +188,17 @@ def test_mixing_draws_poisson_counts(spark, docs):
     assert order == sorted(order)
 
 
+def test_mixing_keeps_clashing_columns_and_splits_null_ids(spark):
+    rows = [(None, f"t{i}", "a", i, "k") for i in range(2_000)] + [(1, "t", "a", 7, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, Copy int, shuffle_key string")
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "copy_", "shuffle_key_"]
+    found = out.collect()
+    assert {r["text"]: r["Copy"] for r in found}.items() <= {r[1]: r[3] for r in rows}.items() and {r["shuffle_key"] for r in found} == {"k"}
+    share = len({r["text"] for r in found}) / len(rows)
+    assert abs(share - 0.632) < 0.05  # drawn row by row: 1 - 1 / e of them have a copy
+
+
 def test_mixing_of_large_means(spark):
     few = spark.createDataFrame([(1, "t", "a"), (2, "u", "a")], "doc_id long, text string, source string")
     n = mixing.mix(few, budget=4_000).count()
@@ -203,6 +234,12 @@ def test_token_files(spark, docs):
     said = collections.Counter((i, np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in rows_of(docs))
     assert collections.Counter((r["doc_id"], bytes(r["ids"])) for r in found) == said
     assert all(r["ids_crc32"] == zlib.crc32(r["ids"]) for r in found)
+    whole = sorted(bytes(r["ids"]) for r in found if r["doc_id"] == 3)
+    folder = token_files.write_token_files(docs.repartition(2), path)
+    assert sorted(x.astype("<u4").tobytes() for x in token_files.read_ids(spark, folder, 3)) == whole and len(whole) == 2
+    assert sorted(x.astype("<u4").tobytes() for x in token_files.read_ids(spark, folder, 3, 2, 5)) == sorted(x[8:20] for x in whole)
+    again = {(r["start"], r["doc_id"], r["ids_crc32"]) for r in token_files.read_token_files(spark, folder).collect()}
+    assert again == {(r["start"], r["doc_id"], r["ids_crc32"]) for r in found}  # ties have a defined order
 
 
 @pytest.mark.parametrize("width", [1, 3, 7, 8, 13, 16, 17, 32])
@@ -299,6 +336,20 @@ def test_secrets_and_their_ledger(spark):
     assert found[9]["spans"].startswith("jwt:0:")
 
 
+def test_secrets_in_linear_time():
+    import time
+
+    old = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    rnd = random.Random(9)
+    for _ in range(4_000):
+        text = "".join(rnd.choice(["eyJ", "abcdefgh", "x", ".", ".", " ", "0123456789", "é"]) for _ in range(rnd.randint(0, 14)))
+        assert [(s, e) for s, k, e in secrets.findings(text) if k == 3] == [m.span() for m in old.finditer(text)], text
+    began = time.time()
+    for text in ("eyJ" * 3_400_000, "eyJ." * 2_500_000, "secret " * 1_400_000, "AKIA" * 2_500_000, "-----BEGIN " * 900_000 + "PRIVATE KEY-----"):
+        secrets.findings(text)
+    assert time.time() - began < 60
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
