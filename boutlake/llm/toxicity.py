@@ -15,8 +15,10 @@ words before it, else bare. Hits bare, quoted and misspelled, distinct terms, hi
 hits in one window go into a logistic regression.
 
 Rows: null and empty texts have no hits and get the score of such texts. Null ids count as rows outside the labels.
-Rows with the same id are scored each by their own text. An empty table gives no rows; without labelled rows of both
-kinds, the lexicon is empty and the score is the share of toxic labels (0 without labels).
+Rows with the same id, and repeated rows, are scored each by their own text; labels of a repeated id count each time.
+Texts of any length are scored whole. An empty table gives no rows; without labelled rows of both kinds, the lexicon is
+empty and the score is the share of toxic labels (0 without labels). Only the id and the text are read (drop_toxic hands
+all columns on as they are), so that columns of any other name play no part.
 """
 
 from __future__ import annotations
@@ -25,20 +27,19 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept_in_worker, map_arrow, struct
+from ._common import given_back, kept_in_worker, map_arrow, small_batches, struct
 
 #: Labelled rows that a model is fitted on at most, taken in the order of a hash of their id.
 MAX_LABELLED = 8_000
-#: Letters of a stem, least and most; the least likelihood ratio (2 ln) and number of toxic texts for a term.
-STEM, MOST_STEM, LEAST_RATIO, LEAST_TEXTS = 4, 9, 20.0, 4
-#: Terms that a toxic text is to have in the lexicon, where it has them.
-COVER = 2
+#: Letters of a stem, least and most, and the least number of toxic texts for a term.
+STEM, MOST_STEM, LEAST_TEXTS = 4, 9, 4
 WINDOW = 6
 REJECT = 0.7
 
@@ -56,9 +57,11 @@ class Matcher:
     """The terms' trie in product with Levenshtein automata, determinised step by step."""
 
     #: Words known to match nothing that are kept; beyond that, their memory begins anew. Words that match are few.
-    WORDS = 250_000
+    WORDS = 150_000
     #: States that are kept; beyond that, they are made anew.
-    STATES = 100_000
+    STATES = 30_000
+    #: Words known to match that are kept.
+    HITS = 50_000
 
     def __init__(self, terms: list[str]) -> None:
         self.children: list[dict[str, int]] = [{}]
@@ -156,10 +159,22 @@ class Matcher:
         if not found:
             return None
         e, term = min(found)
+        if len(self.hits) > self.HITS:
+            self.hits = {}
         self.hits[word] = (term, e)
         return term, e
 
 
+class Settings(NamedTuple):
+    """cover: terms that a toxic text is to have in the lexicon, where it has them; ratio: the least likelihood ratio
+    (2 ln) of a term; share: how many times more often toxic texts hold it than clean ones, at least. The defaults were
+    taken by `compare_settings`, among rows that aren't held out."""
+
+    cover: int = 2
+    ratio: float = 20.0
+    share: float = 6.0
+
+
 FEATURES = ("bare", "quoted", "misspelled", "terms", "density", "window")
 
 
@@ -239,16 +254,16 @@ def _ratio(a: int, n: int, b: int, m: int) -> float:
     return g if a * m > b * n else -g
 
 
-def good_terms(toxic: dict[str, int], n: int, clean: dict[str, int], m: int) -> dict[str, float]:
+def good_terms(toxic: dict[str, int], n: int, clean: dict[str, int], m: int, settings: Settings = Settings()) -> dict[str, float]:
     """Terms over the threshold with their ratio."""
     score = {t: _ratio(a, n, clean.get(t, 0), m) for t, a in toxic.items()}
-    return {t: s for t, s in score.items() if s >= LEAST_RATIO and clean.get(t, 0) * n * 6 <= toxic[t] * m}
+    return {t: s for t, s in score.items() if s >= settings.ratio and clean.get(t, 0) * n * settings.share <= toxic[t] * m}
 
 
-def choose_terms(texts: list[list[str]], score: dict[str, float]) -> list[str]:
-    """Of the good terms of each toxic text, few that give every text COVER terms if it has as many: the one that helps
+def choose_terms(texts: list[list[str]], score: dict[str, float], cover: int = Settings().cover) -> list[str]:
+    """Of the good terms of each toxic text, few that give every text `cover` terms if it has as many: the one that helps
     most texts first, then the higher ratio, then the shorter. So copies of one text don't bring in all of its words."""
-    need, holders = [COVER] * len(texts), {}
+    need, holders = [cover] * len(texts), {}
     for i, terms in enumerate(texts):
         for t in terms:
             holders.setdefault(t, set()).add(i)
@@ -294,13 +309,10 @@ def _misspelled(rows: DataFrame, words: list[str]) -> dict[str, int]:
     return {r["term"]: r["n"] for r in counted.collect()}
 
 
-def sure_words(toxic: DataFrame, n: int, clean: DataFrame, m: int, good: dict[str, float]) -> list[str]:
-    """Of the good terms the words whose misspellings pass for them: no word of clean texts, by the share of good_terms."""
-    words = sorted(t for t in good if not t.endswith("*"))
-    if not words:
-        return []
-    hit, false = _misspelled(toxic, words), _misspelled(clean, words)
-    return [w for w in words if false.get(w, 0) * n * 6 <= hit.get(w, 0) * m]
+def sure_words(words: list[str], hit: dict[str, int], n: int, false: dict[str, int], m: int, share: float = Settings().share) -> list[str]:
+    """Of the good words those whose misspellings pass for them: no word of clean texts, by the share of good_terms. hit,
+    false: in how many toxic (of n) and clean (of m) texts they stand misspelled."""
+    return [w for w in words if false.get(w, 0) * n * share <= hit.get(w, 0) * m]
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -345,7 +357,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, settings: Settings = Settings()) -> tuple[list[str], np.ndarray]:
     """(terms, weights), from labelled rows that aren't held out."""
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
     chosen = marked.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(max_labelled)
@@ -358,8 +370,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             return [], np.array([30.0 if n else -30.0, *[0.0] * len(FEATURES)])
         bad, fine = distinct.where("toxic = 1"), distinct.where("toxic = 0")
         toxic = _counts(bad, None)
-        good = good_terms(toxic, n, _counts(fine, frozenset(toxic)), m)
-        terms = sorted({*choose_terms(_terms_within(bad, [*good]), good), *sure_words(bad, n, fine, m, good)})
+        good = good_terms(toxic, n, _counts(fine, frozenset(toxic)), m, settings)
+        words = sorted(t for t in good if not t.endswith("*"))
+        sure = sure_words(words, _misspelled(bad, words), n, _misspelled(fine, words), m, settings.share) if words else []
+        terms = sorted({*choose_terms(_terms_within(bad, [*good]), good, settings.cover), *sure})
         table = np.array([[*r] for r in _featured(rows, terms).collect()], dtype=float)
         return terms, fit_weights(table[:, 1:], table[:, 0])
     finally:
@@ -367,6 +381,50 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows.unpersist()
 
 
+def fit_locally(rows: list[tuple[int, str]], settings: Settings = Settings()) -> tuple[list[str], np.ndarray]:
+    """What `fit` makes of a bounded sample of (toxic, text), without Spark: for comparing settings, and for tests."""
+    bad, fine = ([_terms_of(t) for t in dict.fromkeys(t for y, t in rows if y == z)] for z in (1, 0))
+    toxic = {t: k for t, k in Counter(t for s in bad for t in s).items() if k >= LEAST_TEXTS}
+    good = good_terms(toxic, len(bad), Counter(t for s in fine for t in s if t in toxic), len(fine), settings)
+    words = sorted(t for t in good if not t.endswith("*"))
+    matcher = Matcher(words)
+
+    def misspelled(texts: list[set[str]]) -> Counter[str]:
+        found: Counter[str] = Counter()
+        for s in texts:
+            hits = [matcher.match(w) for w in matcher.hits_in({w for w in s if not w.endswith("*")})]
+            found.update({words[term] for term, e in hits if e})
+        return found
+
+    sure = sure_words(words, misspelled(bad), len(bad), misspelled(fine), len(fine), settings.share)
+    terms = sorted({*choose_terms([sorted(s & good.keys()) for s in bad], good, settings.cover), *sure})
+    matcher = Matcher(terms)
+    return terms, fit_weights(np.array([features(t, matcher) for _, t in rows]), np.array([y for y, _ in rows], dtype=float))
+
+
+def predict(text: str | None, matcher: Matcher, weights: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(weights[0] + np.array(features(text, matcher)) @ weights[1:], -30, 30))))
+
+
+def compare_settings(docs: DataFrame, labels: DataFrame, grid: list[Settings], folds: int = 3, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, reject: float = REJECT) -> list[tuple[Settings, int, int, int, int]]:
+    """For each settings (them, toxic texts, those caught, clean texts, those rejected), each text judged by a model of
+    the other folds. Only labelled rows that aren't held out are read, of which max_labelled at most go to the driver."""
+    marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
+    chosen = marked.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(max_labelled)
+    fold = F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(folds))  # copies of a text are in one fold
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "_id")
+    rows = [(r["fold"], r["toxic"], r["text"] or "") for r in rows.select(fold.alias("fold"), "toxic", "text").collect()]
+    out = []
+    for settings in grid:
+        n, hit = Counter(y for _, y, _ in rows), Counter()
+        for k in range(folds):
+            terms, weights = fit_locally([(y, t) for f, y, t in rows if f != k], settings)
+            matcher = Matcher(terms)
+            hit.update(y for f, y, t in rows if f == k and predict(t, matcher, weights) >= reject)
+        out.append((settings, n[1], hit[1], n[0], hit[0]))
+    return out
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, reject: float = REJECT) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, and the features."""
     terms, weights = fit(docs, labels, id_col, text_col, max_labelled)
@@ -383,6 +441,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     terms, weights = fit(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((terms, weights))
     where = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weights = shared.value
@@ -391,5 +450,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             x = np.array([features(t.as_py(), matcher) for t in batch.column(where)]).reshape(-1, len(FEATURES))
             p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
             yield batch.filter(pa.array(p < reject))
+        del matcher
+        given_back()
 
     return docs.mapInArrow(run, docs.schema)
