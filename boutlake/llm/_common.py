@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 #: A side is broadcast only if it is counted to have no more rows than this.
 BROADCAST_ROWS = 200_000
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,14 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch where the session leaves Spark's own bound: rows are whole texts here, and each
+    task holds a few batches on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None and spark.conf.get(key, None) != str(BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for so many rows: grows with the data, and never below the session's own setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
@@ -45,6 +54,7 @@ def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: T.StructType) -> DataFrame:
     """mapInArrow with a function made once in each task; it turns one batch into dicts of column values."""
     names, kinds = [f.name for f in schema.fields], [arrow_type(f.dataType) for f in schema.fields]
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = begun(make)
@@ -112,4 +122,5 @@ def struct(spec: str) -> T.StructType:
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -562,7 +562,7 @@ def join_classes(docs: DataFrame, profile: DataFrame, clashes: Clashes, text_col
         turn += 1
         if links.count() < WORTHWHILE * max(1, tried):
             break
-    more = join.links(join.rest(labels)).select("a", "b")
+    more = stored(join.links(join.rest(labels)).select("a", "b"), "join-links")
     return components(more.unionByName(_as_links(labels)))
 
 
