@@ -303,19 +303,20 @@ def full_sets(docs: DataFrame, text_col: str, words: int, nodes: DataFrame, clas
         return step
 
     found = map_arrow(docs.select(F.col(f"`{text_col}`")), make, struct("node long, items binary"))
-    return stored(_within(found, nodes).dropDuplicates(["node"]), "join-sets")
-
-
-def _within(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of these nodes (a table of distinct ones); found in the scan, without a shuffle, where the nodes are few."""
-    return rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS * 5 else nodes, "node", "left_semi")
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS * 5 else nodes
+    return stored(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "join-sets")
 
 
 def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, n, m of these pairs (distinct), and how many shingles they share. Only sets of the pairs' nodes are moved."""
     pairs = stored(pairs.select("a", "b"), "join-verify")
-    own = {c: _within(sets, pairs.select(F.col(c).alias("node")).distinct()) for c in ("a", "b")}
-    joined = pairs.join(own["a"].select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(own["b"].select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    of = lambda c, v: sets.select(F.col("node").alias(c), F.col("items").alias(v))
+    if pairs.count() <= BROADCAST_ROWS:  # the sets are filtered in their scan, and one side of the sets is moved
+        of_b = of("b", "y").join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        joined = of("a", "x").join(F.broadcast(pairs), "a").join(of_b, "b")
+    else:
+        of_a, of_b = (of(c, v).join(pairs.select(c).distinct(), c, "left_semi") for c, v in (("a", "x"), ("b", "y")))
+        joined = pairs.join(of_a, "a").join(of_b, "b")
 
     def make() -> object:
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -338,7 +339,13 @@ def _linked(percent: int) -> str:
 
 def sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sketches don't rule out."""
-    joined = pairs.select("a", "b").join(classes.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x")), "a").join(classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+    pairs = stored(pairs.select("a", "b"), "join-pairs")
+    of = lambda c, n, v: classes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("sketch").alias(v))
+    if pairs.count() <= BROADCAST_ROWS:
+        of_b = of("b", "m", "y").join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        joined = of("a", "n", "x").join(F.broadcast(pairs), "a").join(of_b, "b")
+    else:
+        joined = pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b")
 
     def make() -> object:
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
