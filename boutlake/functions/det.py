@@ -1,13 +1,16 @@
-"""Deterministic randomness, rounding, bins and running totals.
+"""Deterministic randomness, bins, running totals and numbers over whole tables, and the shared folder.
 
 Every draw is an md5 of a seed and a key, so that it doesn't depend on partitions and SQL engines agree on it.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,22 +34,54 @@ def bin_label(value: Column, edges: Sequence[float], labels: Sequence[str], left
     return out
 
 
-def running_totals(df: DataFrame, order: str, values: Mapping[str, str], buckets: int = 32, descending: bool = False) -> DataFrame:
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share, spark.checkpoint.dir. Where that is unset, one is set in local mode
+    (one machine, as in tests); on a cluster it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="boutlake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/boutlake/{name}-{uuid.uuid4().hex}"
+
+
+#: Rows of a range that one task sorts, in running totals and numbers over a whole table.
+RANGE_ROWS = 1_000_000
+
+
+def _ranged(df: DataFrame, order: str, least: int) -> DataFrame:
+    """Adds `_range`: the row's range of the order, from 0 on, -1 where the order is null. Ranges are cut at quantiles and
+    become more as rows do (`least` of them at least), so that a task's share does not grow with the table."""
+    ranges = max(least, -(-df.count() // RANGE_ROWS))
+    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.3 / ranges)))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    return df.withColumn("_range", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(place))
+
+
+def running_totals(df: DataFrame, order: str, values: Mapping[str, str], ranges: int = 32, descending: bool = False) -> DataFrame:
     """Adds running sums over the whole table (`order` distinct), as {value: name of its sum}, without a window in a
-    single partition.
+    single partition. Rows whose order is null stay, add nothing to the others' sums, and have null sums.
 
-    Two levels: rows are put into ranges of the order by a few quantiles; the ranges' totals (a handful of rows) are
-    summed up in a small window and joined back; within a range the window is partitioned.
+    Two levels: rows are put into ranges of the order by quantiles; the ranges' totals (a row each) are summed up in a
+    small window and joined back; within a range the window is partitioned.
     """
-    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.01)))
-    place = F.lit(0)
-    for c in cuts:  # a narrow expression: the number of cuts is fixed
-        place = place + (F.col(order) > F.lit(c)).cast("int")
-    ranged = df.withColumn("_range", place)
+    ranged = _ranged(df, order, ranges)
     by = F.desc if descending else F.asc
-    totals = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
+    totals = ranged.where("_range >= 0").groupBy("_range").agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
     before = Window.orderBy(by("_range")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_range", *[F.coalesce(F.sum(f"_total_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values])
     within = Window.partitionBy("_range").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.join(F.broadcast(totals), "_range")
+    joined = ranged.join(F.broadcast(totals), "_range", "left")  # no total of null orders: their sums are null
     return joined.withColumns({out: F.col(f"_before_{v}") + F.sum(v).over(within) for v, out in values.items()}).drop("_range", *[f"_before_{v}" for v in values])
+
+
+def numbered(df: DataFrame, order: str, out: str, ranges: int = 32) -> DataFrame:
+    """Adds the row's number from 0 in this order (distinct values, nulls first): ranks within ranges plus the sizes of the
+    ranges before."""
+    ranged = _ranged(df, order, ranges)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranged = ranged.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.withColumn(out, F.col("_before") + own - 1).drop("_range", "_before")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.det import shared_folder
 from .link import clock_seconds, parse_segment_name
 
 #: Overlapping pairs that temporal_nms settles at once on the driver.
@@ -150,10 +149,6 @@ def temporal_nms(df: DataFrame, iou: float = 0.5, video: str = "video", idx: str
 def _stored(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="boutlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/boutlake/{label}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

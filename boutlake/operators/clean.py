@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Date formats in the order in which they are tried. Fixed values.
-DATE_FORMATS = ("M/d/yy", "M/d/yyyy", "yyyy-MM-dd", "d/M/yy", "d/M/yyyy", "yyyy/MM/dd")
+DATE_FORMATS = ("yyyy-M-d", "yyyy-M-d H:m:s", "M/d/yy", "M/d/yyyy", "d/M/yy", "d/M/yyyy")
 
 
 def normalize_label(value: Column, table: Mapping[str, str], missing: str = "unknown") -> Column:
@@ -60,8 +60,15 @@ def flag_counts(qa: DataFrame, top: int = 10) -> DataFrame:
 
 
 def parse_date_multi(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """ISO date by the first format that fits; what fits none is kept as it is."""
-    return F.coalesce(*[F.date_format(F.try_to_timestamp(F.trim(value), F.lit(f)), "yyyy-MM-dd") for f in formats], value)
+    """ISO date by the first format that fits; what fits none is kept, trimmed. Years of two digits are 1969 to 2068."""
+
+    def day(form: str) -> Column:
+        at = F.try_to_timestamp(F.trim(value), F.lit(form))
+        if "yyyy" not in form:
+            at = F.when(F.year(at) > 2068, F.add_months(at, -1200)).otherwise(at)
+        return F.date_format(at, "yyyy-MM-dd")
+
+    return F.coalesce(*[day(f) for f in formats], F.trim(value))
 
 
 def normalize_time(value: Column) -> Column:

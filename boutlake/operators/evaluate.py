@@ -38,9 +38,10 @@ def classification_metrics(preds: DataFrame, classes: Sequence[str], true: str =
 
 
 def threshold_curve(preds: DataFrame, score: str = "prob_tail", true: str = "true_label", positive: str = "tail") -> DataFrame:
-    """score, pos, neg, tp, fp for each distinct score, from the top: running sums in two levels, none in one partition."""
+    """score, pos, neg, tp, fp for each distinct score, from the top: running sums in two levels, none in one partition.
+    Rows without a score have no place on a curve and are left out."""
     y = F.col(true) == positive
-    points = preds.groupBy(F.col(score).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    points = preds.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
     return running_totals(points, "score", {"pos": "tp", "neg": "fp"}, descending=True)
 
 

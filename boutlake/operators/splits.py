@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.det import draw, uniform
+from ..functions.det import draw, numbered, uniform
 
 
 def _ranked(partition: Sequence[str], *order: Column | str) -> Column:
@@ -73,25 +73,11 @@ def oversample(df: DataFrame, ratio: float = 0.3, seed: int = 42, label: str = "
     counts = df.agg(F.count_if(F.col(label) == majority).alias("_maj"), F.count_if(F.col(label) == minority).alias("_min"))
     extra = counts.withColumn("_extra", F.greatest(F.lit(0), F.floor(F.round((ratio * F.col("_maj") - F.col("_min") * (1 - ratio)) / (1 - ratio), 9)).cast("int")))
     draws = extra.where("_extra > 0 and _min > 0").select(F.explode(F.sequence(F.lit(1), F.col("_extra"))).alias("draw_no"), "_min")
-    draws = draws.select("draw_no", F.floor(uniform(seed, "draw_no") * F.col("_min")).cast("int").alias("_place"))
+    draws = draws.select("draw_no", F.floor(uniform(seed, "draw_no") * F.col("_min")).cast("long").alias("_place"))
     rows = numbered(df.where(F.col(label) == minority), idx, "_place")
     return df.withColumn("draw_no", F.lit(0)).unionByName(rows.join(draws, "_place").drop("_place"))
 
 
-def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
-    """Adds the row's number from 0 in this order (distinct values): ranks within ranges plus the sizes of ranges before."""
-    cuts = sorted(set(df.approxQuantile(order, [i / 32 for i in range(1, 32)], 0.01)))
-    place = F.lit(0)
-    for c in cuts:
-        place = place + (F.col(order) > F.lit(c)).cast("int")
-    ranged = df.withColumn("_range", place)
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranged = ranged.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.withColumn(out, (F.col("_before") + own - 1).cast("int")).drop("_range", "_before")
-
-
 def sample_weights(df: DataFrame, label: str = "behavior") -> DataFrame:
     """Adds weight: one over the row's class count (1 at least)."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))

@@ -97,9 +97,9 @@ def t8(spark, d):
     return w.select("event_idx", F.round("win_start", 6).alias("win_start"), F.round("win_end", 6).alias("win_end"))
 
 
-@query("t10_static_clip_flag", f"WITH {EV}, f AS (SELECT video AS clip_id, duration_sec AS grey, duration_sec / 10 AS variance, abs(duration_sec - lag(duration_sec) OVER (PARTITION BY video ORDER BY event_idx)) AS df FROM ev WHERE event_idx % 40 = 0) SELECT clip_id, coalesce(avg(variance) < 5 OR avg(df) < 1, false) OR count(grey) = 0 AS static FROM f GROUP BY clip_id")
+@query("t10_static_clip_flag", f"WITH {EV}, f AS (SELECT video AS clip_id, duration_sec AS grey, duration_sec / 10 AS variance, abs(duration_sec - lag(duration_sec) OVER (PARTITION BY video ORDER BY event_idx)) AS df FROM ev) SELECT clip_id, coalesce(avg(variance) < 5 OR avg(df) < 1, false) OR count(grey) = 0 AS static FROM f GROUP BY clip_id")
 def t10(spark, d):
-    f = events(spark, d).where("event_idx % 40 = 0").select(F.col("video").alias("clip_id"), F.col("event_idx").alias("frame"), F.col("duration_sec").alias("grey"), (F.col("duration_sec") / 10).alias("variance"))
+    f = events(spark, d).select(F.col("video").alias("clip_id"), F.col("event_idx").alias("frame"), F.col("duration_sec").alias("grey"), (F.col("duration_sec") / 10).alias("variance"))
     return planning.static_clip_flag(f)
 
 
@@ -176,9 +176,9 @@ def v6(spark, d):
     return audit.corrupt_impact(e, e.where("duration_sec > 350"))
 
 
-@query("v7_filter_tracks", f"WITH {EV}, t AS (SELECT video, behavior AS track, event_idx % 3000 AS frame, duration_sec / 200 AS conf, event_idx FROM ev), g AS (SELECT *, coalesce(frame - lag(frame) OVER (PARTITION BY video, track ORDER BY frame) - 1, 0) AS gp FROM t WHERE event_idx < 3000) SELECT video, track, count(*) AS n, round(avg(conf), 6) AS mean_conf, sum(CASE WHEN gp > 0 AND gp <= 100 THEN gp ELSE 0 END)::BIGINT AS gaps_filled FROM g GROUP BY ALL HAVING count(*) >= 5 AND round(avg(conf), 6) >= 0.2")
+@query("v7_filter_tracks", f"WITH {EV}, t AS (SELECT video, behavior AS track, event_idx AS frame, duration_sec / 200 AS conf FROM ev), g AS (SELECT *, coalesce(frame - lag(frame) OVER (PARTITION BY video, track ORDER BY frame) - 1, 0) AS gp FROM t) SELECT video, track, count(*) AS n, round(avg(conf), 6) AS mean_conf, sum(CASE WHEN gp > 0 AND gp <= 100 THEN gp ELSE 0 END)::BIGINT AS gaps_filled FROM g GROUP BY ALL HAVING count(*) >= 5 AND round(avg(conf), 6) >= 0.2")
 def v7(spark, d):
-    t = events(spark, d).where("event_idx < 3000").select("video", F.col("behavior").alias("track"), F.expr("event_idx % 3000").alias("frame"), (F.col("duration_sec") / 200).alias("conf"))
+    t = events(spark, d).select("video", F.col("behavior").alias("track"), F.col("event_idx").alias("frame"), (F.col("duration_sec") / 200).alias("conf"))
     return audit.filter_tracks(t, 5, 0.2, 100)
 
 
@@ -274,11 +274,11 @@ _W = " + ".join(f"(u >= {c!r})::INT" for c in evaluate.poisson_one())
 _WC = _CELLS.replace("count(*)", "coalesce(sum(w)").replace("::DOUBLE AS", ", 0)::DOUBLE AS")
 
 
-@query("a24_bootstrap_ci", f"""WITH {PR}, r AS (SELECT pr.*, b AS replicate, ('0x' || substr(md5('42|' || clip_id || '|' || b), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM pr, (SELECT unnest(range(1, 41)) AS b)), w AS (SELECT *, {_W} AS w FROM r),
+@query("a24_bootstrap_ci", f"""WITH {PR}, r AS (SELECT pr.*, b AS replicate, ('0x' || substr(md5('42|' || clip_id || '|' || b), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM pr, (SELECT unnest(range(1, 1001)) AS b)), w AS (SELECT *, {_W} AS w FROM r),
 k AS (SELECT replicate, {_WC} FROM w WHERE w > 0 GROUP BY replicate), v AS (SELECT {', '.join(f'{v} AS {n}' for n, v in _BIN.items())} FROM k WHERE tp + fn > 0 AND fp + tn > 0), l AS (UNPIVOT v ON {', '.join(_BIN)} INTO NAME metric VALUE value)
 SELECT metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(stddev_pop(value), 6) AS std FROM l GROUP BY metric""")
 def a24(spark, d):
-    return evaluate.bootstrap_ci(predictions(spark, d), 40)
+    return evaluate.bootstrap_ci(predictions(spark, d), 1000)
 
 
 _SWEEP = f"{PR}, g AS (SELECT round(unnest(range(2, 19)) * 0.05::DOUBLE, 6) AS threshold), x AS (SELECT threshold, true_label, CASE WHEN prob_tail >= threshold THEN 'tail' ELSE '' END AS pred_label FROM pr, g), k AS (SELECT threshold, {_CELLS} FROM x GROUP BY threshold)"
@@ -375,9 +375,9 @@ def a14(spark, d):
     return evaluate.level_coverage(s["train"].where("grp <> 2"), s["val"], ["video", "grp"])
 
 
-@query("a15_video_purity", f"WITH {EV}, p AS (SELECT video, count(*) AS n, count(*) FILTER (behavior = 'ear') AS e, count(*) FILTER (behavior = 'tail') AS t FROM ev WHERE event_idx % 30 = 0 GROUP BY video) SELECT CASE WHEN e > 0 AND t > 0 THEN 'both' WHEN e > 0 THEN 'ear_only' WHEN t > 0 THEN 'tail_only' ELSE 'neither' END AS kind, count(*) AS videos, sum(n)::BIGINT AS events, count(*) FILTER (n > 5) AS heavy FROM p GROUP BY 1")
+@query("a15_video_purity", f"WITH {EV}, p AS (SELECT video || '/' || day AS video, count(*) AS n, count(*) FILTER (behavior = 'ear') AS e, count(*) FILTER (behavior = 'tail') AS t FROM ev GROUP BY 1) SELECT CASE WHEN e > 0 AND t > 0 THEN 'both' WHEN e > 0 THEN 'ear_only' WHEN t > 0 THEN 'tail_only' ELSE 'neither' END AS kind, count(*) AS videos, sum(n)::BIGINT AS events, count(*) FILTER (n > 5) AS heavy FROM p GROUP BY 1")
 def a15(spark, d):
-    return evaluate.video_purity(events(spark, d).where("event_idx % 30 = 0"))
+    return evaluate.video_purity(events(spark, d).withColumn("video", F.concat_ws("/", "video", "day")))
 
 
 @query("a16_prob_clusters", f"WITH {PR} SELECT round_even(prob_tail, 2) AS value, count(*) AS n, count(*) FILTER (true_label = 'tail') AS positives FROM pr GROUP BY 1 HAVING count(*) >= 3")

@@ -3,11 +3,9 @@ back through it."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..functions.det import shared_folder
 from ..sources import tables
 from ..streaming import streams
 from .bindings import EV, events, table
@@ -25,36 +23,27 @@ def query(name: str, sql: str | None):
     return add
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder in the one that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="boutlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/boutlake/{name}-{uuid.uuid4().hex}"
-
-
 @query("s1_read_events", f"WITH {EV} SELECT event_idx::VARCHAR AS event_idx, behavior, duration_sec::VARCHAR AS duration_sec FROM ev")
 def s1(spark, d):
     e = events(spark, d).select("event_idx", "behavior", "duration_sec", F.lit(0).alias("enter a 0 if unsure"))
-    out = tables.read_events(spark, tables.write_manifest(e, scratch(spark, "s1")))
+    out = tables.read_events(spark, tables.write_manifest(e, shared_folder(spark, "s1")))
     return out.withColumn("duration_sec", F.col("duration_sec").cast("double").cast("string"))
 
 
-@query("s2_read_annotation_sheet", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::INT AS event_idx, source AS grp FROM documents")
+@query("s2_read_annotation_sheet", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS event_idx, source AS grp FROM documents")
 def s2(spark, d):
     sheet = table(spark, d, "documents").select("doc_id", F.col("source").alias("Cohort"), F.lit("x").alias("Group"))
-    path = tables.write_manifest(sheet, scratch(spark, "s2"))
-    out = tables.read_annotation_sheet(spark, path, {"Cohort": "grp"}, ["Group"], order=[F.col("doc_id").cast("long")])
+    path = tables.write_manifest(sheet, shared_folder(spark, "s2"))
+    out = tables.read_annotation_sheet(spark, path, {"Cohort": "grp"}, ["Group"], order=F.col("doc_id").cast("long"))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "event_idx", "grp")
 
 
-_TILES = "tl AS (SELECT DISTINCT grp, camera, day, floor((start_sec - (day - 1) * 86400.0::DOUBLE) / 3600)::INT AS h FROM ev WHERE event_idx % 5 = 0)"
+_TILES = "tl AS (SELECT DISTINCT grp, camera, day, floor((start_sec - (day - 1) * 86400.0::DOUBLE) / 3600)::INT AS h FROM ev)"
 
 
 def _files(spark, d):
     """Recording files, one an hour with events; the last of the day can't be read (no end)."""
-    t = events(spark, d).where("event_idx % 5 = 0").select("grp", "camera", "day", F.expr("cast(floor((start_sec - (day - 1) * 86400D) / 3600) as int)").alias("h")).distinct()
+    t = events(spark, d).select("grp", "camera", "day", F.expr("cast(floor((start_sec - (day - 1) * 86400D) / 3600) as int)").alias("h")).distinct()
     name = F.format_string("f_ch%d_main_202401%02d%02d0000_202401%02d%s.mp4", "camera", "day", "h", "day", F.when(F.col("h") < 23, F.format_string("%02d0000", F.col("h") + 1)).otherwise("xx"))
     return t.select(F.concat(F.format_string("/data/group%d_day%d/Cam %d/", "grp", "day", "camera"), name).alias("path"), F.format_string("group%d_day%d", "grp", "day").alias("folder"))
 
@@ -80,15 +69,15 @@ def p9(spark, d):
     return seg.select(F.col("camera").alias("channel"), at(1).alias("day"), at(2).alias("h"), "seconds")
 
 
-@query("s4_read_video_manifest", f"WITH {EV} SELECT grp, day, camera, count(*) AS videos FROM (SELECT DISTINCT grp, day, camera, video FROM ev WHERE event_idx % 3 = 0) GROUP BY ALL")
+@query("s4_read_video_manifest", f"WITH {EV} SELECT grp, day, camera, count(*) AS videos FROM (SELECT DISTINCT grp, day, camera, video FROM ev) GROUP BY ALL")
 def s4(spark, d):
-    v = events(spark, d).where("event_idx % 3 = 0").select("grp", "day", "camera", "video").distinct()
+    v = events(spark, d).select("grp", "day", "camera", "video").distinct()
     item = F.struct(F.col("video").alias("filename"), F.concat(F.lit("/"), "video").alias("path"), F.lit("2024-01-01 00:00:00").alias("start"), F.lit("2024-01-01 00:30:00").alias("end"), F.lit(1800.0).alias("duration_sec"))
     cams = v.groupBy("grp", "day", "camera").agg(F.collect_list(item).alias("videos"))
     folders = cams.groupBy("grp", "day").agg(F.map_from_entries(F.collect_list(F.struct(F.col("camera").cast("string"), F.struct("videos")))).alias("cameras"))
     # One record a folder: the reader's map of folders may come in many records.
     row = folders.select(F.create_map(F.format_string("group%d_day%d", "grp", "day"), F.struct("cameras")).alias("labeled"))
-    path = scratch(spark, "s4")
+    path = shared_folder(spark, "s4")
     row.write.json(path)
     spark_rows = spark.read.schema(f"labeled {tables._FOLDERS}").json(path)
     return tables.flatten_manifest(spark_rows).groupBy("grp", "day", "camera").agg(F.count("*").alias("videos"))
@@ -103,13 +92,13 @@ def s5(spark, d):
 @query("s6_read_predictions", "SELECT 'event_' || vec_id AS clip_id, label::VARCHAR AS true_label, round(embedding[1]::DOUBLE, 6) AS logit_a FROM embeddings")
 def s6(spark, d):
     p = table(spark, d, "embeddings").select(F.format_string("event_%d", "vec_id").alias("clip_id"), F.col("label").alias("true_label"), F.col("label").alias("pred_label"), F.expr("round(cast(element_at(embedding, 1) as double), 6)").alias("logit_a"))
-    return tables.read_predictions(spark, tables.write_manifest(p, scratch(spark, "s6"))).select("clip_id", "true_label", "logit_a")
+    return tables.read_predictions(spark, tables.write_manifest(p, shared_folder(spark, "s6"))).select("clip_id", "true_label", "logit_a")
 
 
 @query("s7_read_run_artifacts", f"WITH {EV} SELECT 'split=' || split AS run, count(*) AS n, round(sum(duration_sec), 3) AS total FROM (SELECT *, CASE WHEN grp < 3 THEN 'a' ELSE 'b' END AS split FROM ev) GROUP BY 1")
 def s7(spark, d):
     e = events(spark, d).select(F.when(F.col("grp") < 3, "a").otherwise("b").alias("split"), "duration_sec")
-    path = scratch(spark, "s7")
+    path = shared_folder(spark, "s7")
     e.write.partitionBy("split").json(path)
     runs = tables.read_run_artifacts(spark, f"{path}/split=*/*.json", "duration_sec double", multi_line=False)
     return runs.groupBy("run").agg(F.count("*").alias("n"), F.round(F.sum("duration_sec"), 3).alias("total"))
@@ -118,7 +107,7 @@ def s7(spark, d):
 @query("s8_write_manifest", f"WITH {EV}, {TH} SELECT event_idx, behavior, split FROM sp")
 def s8(spark, d):
     rows = [df.withColumn("split", F.lit(n)).select("event_idx", "behavior", "split") for n, df in three(spark, d).items()]
-    path = tables.write_manifest(rows[0].unionByName(rows[1]).unionByName(rows[2]), scratch(spark, "s8"), "json", ["split"])
+    path = tables.write_manifest(rows[0].unionByName(rows[1]).unionByName(rows[2]), shared_folder(spark, "s8"), "json", ["split"])
     return spark.read.schema("event_idx long, behavior string, split string").json(path)
 
 
@@ -137,7 +126,7 @@ def s10(spark, d):
 @query("s11_frame_labels", f"WITH {EV}, {TH} SELECT split, 'evt_' || CASE WHEN event_idx < 10000 THEN lpad(event_idx::VARCHAR, 4, '0') ELSE event_idx::VARCHAR END || '_' || behavior || '.mp4' AS file, 16 AS n, CASE behavior WHEN 'tail' THEN 16 ELSE 0 END AS total FROM sp WHERE behavior <> 'other'")
 def s11(spark, d):
     rows = [df.withColumn("split", F.lit(n)) for n, df in three(spark, d).items()]
-    path = scratch(spark, "s11")
+    path = shared_folder(spark, "s11")
     tables.frame_labels(rows[0].unionByName(rows[1]).unionByName(rows[2]), {"ear": 0, "tail": 1}, 16).write.partitionBy("split").json(path)
     back = spark.read.schema("file string, labels array<int>, split string").json(path)
     return back.select("split", "file", F.size("labels").alias("n"), F.aggregate("labels", F.lit(0), lambda s, x: s + x).alias("total"))
@@ -163,7 +152,7 @@ def stream_bouts(spark, d):
 def _streamed(spark, d, transform):
     """Writes the events as a feed in time order, runs the stream to its end, and reads what it has put out."""
     e = events(spark, d).drop("ts")
-    feed, out, mark = (scratch(spark, n) for n in ("feed", "out", "mark"))
+    feed, out, mark = (shared_folder(spark, n) for n in ("feed", "out", "mark"))
     e.repartitionByRange(4, "start_sec").sortWithinPartitions("start_sec").write.parquet(feed)
     stream = transform(spark.readStream.schema(e.schema).parquet(feed))
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.det import numbered
+
 from ..operators.clean import base_name
 from ..operators.link import parse_segment_name
 
@@ -23,12 +25,13 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType | None = No
     return df.drop(*[c for c in df.columns if c.strip().lower().startswith("enter a 0")])
 
 
-def read_annotation_sheet(spark: SparkSession, path: str, renamed: Mapping[str, str], constant: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
-    """A sheet exported as CSV: columns dropped and renamed, and event_idx, the row's place in the file (or in an order)."""
+def read_annotation_sheet(spark: SparkSession, path: str, renamed: Mapping[str, str], constant: Sequence[str] = (), order: Column | None = None) -> DataFrame:
+    """A sheet exported as CSV: columns dropped and renamed, and event_idx, the row's place in the file, or in an order of
+    distinct values. Give an order where the sheet is more than one file: Spark packs these by size."""
     df = spark.read.option("header", True).csv(path)
     df = df.drop(*constant).withColumnsRenamed(dict(renamed))
-    if order:
-        return df.withColumn("event_idx", F.row_number().over(Window.orderBy(*order)) - 1)
+    if order is not None:
+        return numbered(df.withColumn("_order", order), "_order", "event_idx").drop("_order")
     # A file's rows in order: partitions follow the file, so sizes of the partitions before give the place.
     part = df.withColumn("_part", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id())
     sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))

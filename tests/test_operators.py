@@ -279,3 +279,27 @@ def test_entry_and_guard(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_running_totals_keep_null_orders_apart(spark):
+    df = spark.createDataFrame([(0.1, 1), (0.5, 2), (None, 3)], "k double, v long")
+    for descending, expected in ((False, {0.1: 1, 0.5: 3, None: None}), (True, {0.1: 3, 0.5: 2, None: None})):
+        assert {r["k"]: r["t"] for r in det.running_totals(df, "k", {"v": "t"}, descending=descending).collect()} == expected
+    assert {r["k"]: r["at"] for r in det.numbered(df, "k", "at").collect()} == {None: 0, 0.1: 1, 0.5: 2}
+    assert det.numbered(df.where("false"), "k", "at").count() == 0
+
+
+def test_more_rows_make_more_ranges(spark, monkeypatch):
+    monkeypatch.setattr(det, "RANGE_ROWS", 10)
+    df = spark.range(1_000).selectExpr("id * 7 % 1000 as k", "1L as v")
+    assert det._ranged(df, "k", 4).groupBy("_range").count().agg({"count": "max"}).first()[0] < 40
+    assert all(r["t"] == r["k"] + 1 for r in det.running_totals(df, "k", {"v": "t"}).collect())
+
+
+def test_dates_of_six_formats(spark):
+    said = {
+        "2024-01-05": "2024-01-05", "2024-01-05 10:00:00": "2024-01-05", "1/2/70": "1970-01-02", "1/2/68": "2068-01-02", "12/31/2023": "2023-12-31", "31/12/23": "2023-12-31",
+        " 25/1/2024 ": "2024-01-25", "2024/01/05": "2024/01/05", "soon": "soon", "": "", None: None,
+    }
+    df = spark.createDataFrame([(x,) for x in said], "x string")
+    assert {r["x"]: r["d"] for r in df.select("x", clean.parse_date_multi(F.col("x")).alias("d")).collect()} == said
