@@ -430,3 +430,17 @@ def test_empty_tables(spark, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
     assert packing.pack_documents(empty, path).count() == 0
     assert secrets.digest(secrets.scan(empty, secrets.new_ledger(spark))).count() == 0
+
+
+def test_toxicity_against_a_fit_without_spark(spark, data):
+    """Terms, weights and scores of every row against those made of plain lists."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    fitted = [(r["toxic"], texts[r["doc_id"]] or "") for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["doc_id"] in texts]
+    terms, weights = toxicity.fit_locally(fitted)
+    found, other = toxicity.fit(docs, labels)
+    assert found == terms and terms and np.allclose(weights, other, atol=1e-6)
+    matcher = toxicity.Matcher(terms)
+    for r in toxicity.score(docs, labels).collect():
+        assert abs(r["score"] - toxicity.predict(texts[r["doc_id"]], matcher, weights)) < 1e-6
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7)
