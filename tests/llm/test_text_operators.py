@@ -432,9 +432,9 @@ def test_empty_tables(spark, empty):
     assert secrets.digest(secrets.scan(empty, secrets.new_ledger(spark))).count() == 0
 
 
-def test_toxicity_against_a_fit_without_spark(spark, data):
+def test_toxicity_against_a_fit_without_spark(spark):
     """Terms, weights and scores of every row against those made of plain lists."""
-    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     fitted = [(r["toxic"], texts[r["doc_id"]] or "") for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["doc_id"] in texts]
     terms, weights = toxicity.fit_locally(fitted)
