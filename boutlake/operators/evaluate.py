@@ -103,6 +103,37 @@ def ece(preds: DataFrame, bins: int = 10, variant: str = "positive", **names: st
     return b.agg(F.round(F.sum(F.when(inside, F.col("n") * gap)) / F.sum("n"), 6).alias("ece"), F.round(F.max(F.when(inside, gap)), 6).alias("mce"), F.sum("n").alias("n"))
 
 
+#: What an error of calibration below the bound is called, and what one above all bounds is.
+ECE_RATINGS = ((0.05, "excellent"), (0.1, "good"), (0.15, "moderate"))
+ECE_POOR = "poor - consider temperature scaling"
+
+
+def _top_class(values: Sequence[Column], classes: Sequence[str]) -> Column:
+    """The class with the largest value, the first of equals."""
+    most = F.greatest(*values)
+    return F.coalesce(*[F.when(v == most, F.lit(c)) for v, c in zip(values, classes)])
+
+
+def calibration(preds: DataFrame, bins: int = 15, probs: Sequence[str] = ("prob_ear", "prob_tail"), classes: Sequence[str] = ("ear", "tail"), true: str = "true_label") -> DataFrame:
+    """One row: ece and mce of the top class, brier (squares summed over the classes), n, rating of the ece; 6 decimals."""
+    columns = [F.col(p) for p in probs]
+    square = F.lit(0.0)
+    for p, c in zip(columns, classes):
+        square = square + F.pow(p - F.coalesce((F.col(true) == c).cast("int"), F.lit(0)), F.lit(2.0))
+    top = F.greatest(*columns)
+    rows = preds.select(_bin_of(top, bins).alias("bin"), top.alias("p"), (F.col(true) == _top_class(columns, classes)).cast("double").alias("hit"), square.alias("square"))
+    gap, inside = F.abs(F.col("p") - F.col("hit")), F.col("bin").isNotNull()
+    b = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("hit").alias("hit"), F.sum("square").alias("square"))
+    out = b.agg(
+        F.round(F.sum(F.when(inside, F.col("n") * gap)) / F.sum("n"), 6).alias("ece"), F.round(F.max(F.when(inside, gap)), 6).alias("mce"),
+        F.round(F.sum("square") / F.sum("n"), 6).alias("brier"), F.sum("n").alias("n"),
+    )
+    rating = F.when(F.col("ece").isNotNull(), F.lit(ECE_POOR))
+    for bound, name in reversed(ECE_RATINGS):
+        rating = F.when(F.col("ece") < bound, F.lit(name)).otherwise(rating)
+    return out.withColumn("rating", rating)
+
+
 def ood_scores(probs: Sequence[Column], method: str = "msp") -> Column:
     """Higher means more in-distribution: largest probability, negative entropy, or log of the sum of exp of log-probabilities."""
     if method == "msp":
@@ -241,14 +272,18 @@ def accuracy_by_class(preds: DataFrame, true: str = "true_label", pred: str = "p
     return rows.rollup("class").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"))
 
 
-def temperature_grid(preds: DataFrame, grid: DataFrame, logits: Sequence[str], classes: Sequence[str], true: str = "true_label") -> DataFrame:
-    """t, nll (6 decimals) for each temperature of the grid."""
+def temperature_grid(preds: DataFrame, grid: DataFrame, logits: Sequence[str], classes: Sequence[str], true: str = "true_label", objective: str = "nll", bins: int = 15) -> DataFrame:
+    """t and nll or ece (of the top class; 6 decimals) for each temperature of the grid."""
     rows = preds.select(F.col(true).alias("y"), *logits).crossJoin(F.broadcast(grid))
     scaled = [F.col(c) / F.col("t") for c in logits]
     most = F.greatest(*scaled)
     total = F.lit(0.0)
     for s in scaled:
         total = total + F.exp(s - most)
+    if objective == "ece":
+        p, hit = F.round(1 / total, 6), (F.col("y") == _top_class(scaled, classes)).cast("double")
+        b = rows.select("t", _bin_of(p, bins).alias("bin"), p.alias("p"), hit.alias("hit")).groupBy("t", "bin").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("hit").alias("hit"))
+        return b.groupBy("t").agg(F.round(F.sum(F.col("n") * F.abs(F.col("p") - F.col("hit"))) / F.sum("n"), 6).alias("ece"))
     own = F.lit(None).cast("double")
     for c, s in zip(classes, scaled):
         own = F.when(F.col("y") == c, s).otherwise(own)
@@ -256,13 +291,13 @@ def temperature_grid(preds: DataFrame, grid: DataFrame, logits: Sequence[str], c
     return rows.groupBy("t").agg(F.round(F.avg(loss), 6).alias("nll"))
 
 
-def fit_temperature(preds: DataFrame, logits: Sequence[str] = ("logit_ear", "logit_tail"), classes: Sequence[str] = ("ear", "tail"), steps: int = 50, fine: int = 101) -> DataFrame:
-    """One row: t, nll: the best of a grid from 0.1 to 10, then of a finer one within 0.5 of it (ties to the smaller)."""
+def fit_temperature(preds: DataFrame, logits: Sequence[str] = ("logit_ear", "logit_tail"), classes: Sequence[str] = ("ear", "tail"), steps: int = 50, fine: int = 101, objective: str = "nll") -> DataFrame:
+    """One row: t, and nll or ece, the objective: the best of a grid from 0.1 to 10, then of a finer one within 0.5 of it (ties to the smaller)."""
     spark = preds.sparkSession
     coarse = spark.range(steps).select(F.round(0.1 + 9.9 * F.col("id") / (steps - 1), 6).alias("t"))
-    best = temperature_grid(preds, coarse, logits, classes).orderBy("nll", "t").limit(1)
-    near = best.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(fine - 1)), lambda i: F.round(F.greatest(F.lit(0.1), F.col("t") - 0.5 + i / F.lit(float(fine - 1))), 6))).alias("t")).distinct()
-    return temperature_grid(preds, near, logits, classes).orderBy("nll", "t").limit(1)
+    best = temperature_grid(preds, coarse, logits, classes, objective=objective).orderBy(objective, "t").limit(1)
+    near = best.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(fine - 1)), lambda i: F.round(F.least(F.lit(10.0), F.greatest(F.lit(0.1), F.col("t") - 0.5 + i / F.lit(float(fine - 1)))), 6))).alias("t")).distinct()
+    return temperature_grid(preds, near, logits, classes, objective=objective).orderBy(objective, "t").limit(1)
 
 
 def class_weights(df: DataFrame, method: str = "inv", beta: float = 0.999, label: str = "behavior") -> DataFrame:

@@ -42,9 +42,8 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _bands(words: Column, n_words: int, bands: int) -> Column:
-    """Bits of the words in `bands` strings of about equal length."""
-    bits = F.concat_ws("", F.transform(words, lambda w: F.lpad(F.conv(F.hex(w), 16, 2), 64, "0")))
+def _bands(bits: Column, n_words: int, bands: int) -> Column:
+    """A string of all bits in `bands` strings of about equal length."""
     total = 64 * n_words
     cuts = [total * i // bands for i in range(bands + 1)]
     return F.array(*[F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
@@ -57,7 +56,10 @@ def near_duplicates(queries: DataFrame, corpus: DataFrame, most: int, n_words: i
     equi-join, and only its hits are compared in full.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(key).alias(name), F.col(words).alias(f"{name}_w"), F.posexplode(_bands(F.col(words), n_words, most + 1)).alias("band", "bits"))
+        # A column of its own, so that the bits are worked out once and not for each band.
+        bits = F.concat_ws("", F.transform(words, lambda w: F.lpad(F.bin(w), 64, "0")))
+        rows = df.select(F.col(key).alias(name), F.col(words).alias(f"{name}_w"), bits.alias("_bits"))
+        return rows.select(name, f"{name}_w", F.posexplode(_bands(F.col("_bits"), n_words, most + 1)).alias("band", "bits"))
 
     met = side(queries, "query").join(side(corpus, "match"), ["band", "bits"])
     near = met.withColumn("distance", hamming(F.col("query_w"), F.col("match_w"))).where((F.col("distance") <= most) & (F.col("query") != F.col("match")))
@@ -139,13 +141,10 @@ def leak_asserts(splits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out
 
 
-def sign_bits(vector: Column, n: int) -> Column:
-    """Signs of the n - 1 differences of neighbours as one 64-bit word in an array (n at most 64)."""
-    up = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.when(F.element_at(vector, i + 1) > F.element_at(vector, i), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    return F.array(F.aggregate(up, F.lit(0).cast("bigint"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b)))
-
-
 def grid_dhash(grid: Column, rows: int = 16, columns: int = 17) -> Column:
-    """Four 64-bit words of a grey grid: a bit is set where a cell's right neighbour is brighter, row by row."""
-    bits = F.flatten(F.transform(grid, lambda r: F.zip_with(F.slice(r, 1, columns - 1), F.slice(r, 2, columns - 1), lambda x, y: F.when(y > x, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))))
-    return F.transform(F.sequence(F.lit(0), F.lit(rows * (columns - 1) // 64 - 1)), lambda i: F.aggregate(F.slice(bits, i * 64 + 1, 64), F.lit(0).cast("bigint"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b)))
+    """64-bit words of a grey grid (four of 16 x 17): a bit is set where a cell's right neighbour is brighter, row by row.
+    A word holds whole rows, so columns - 1 divides 64."""
+    per = 64 // (columns - 1)
+    ups = lambda r: F.zip_with(F.slice(r, 1, columns - 1), F.slice(r, 2, columns - 1), lambda x, y: F.when(y > x, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    row = lambda s, r: F.aggregate(ups(r), s, lambda w, b: F.shiftleft(w, 1).bitwiseOR(b))
+    return F.transform(F.sequence(F.lit(0), F.lit(rows // per - 1)), lambda i: F.aggregate(F.slice(grid, i * per + 1, per), F.lit(0).cast("bigint"), row))

@@ -81,7 +81,7 @@ def oversample(df: DataFrame, ratio: float = 0.3, seed: int = 42, label: str = "
 def sample_weights(df: DataFrame, label: str = "behavior") -> DataFrame:
     """Adds weight: one over the row's class count (1 at least)."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    return df.join(F.broadcast(counts), label).withColumn("weight", 1 / F.greatest(F.col("_n"), F.lit(1))).drop("_n")
+    return df.join(counts, label).withColumn("weight", 1 / F.greatest(F.col("_n"), F.lit(1))).drop("_n")
 
 
 def weighted_draw(df: DataFrame, n: int, seed: int = 42, weight: str = "weight", idx: str = "event_idx") -> DataFrame:

@@ -29,35 +29,38 @@ def spans(spark, d):
     return events(spark, d).select("event_idx", "behavior", F.expr("pmod(start_sec, 1800D)").alias("event_start"), F.expr("least(1800D, pmod(start_sec, 1800D) + duration_sec / 8)").alias("event_end"), F.lit(1800.0).alias("video_sec"))
 
 
+def even_spans(spark, d):
+    """The spans on a grid of 0.02 seconds: halves are whole hundredths, so that engines round a plan alike."""
+    grid = lambda c: (F.floor(F.col(c) * 50) / 50).alias(c)
+    return spans(spark, d).select("event_idx", "behavior", grid("event_start"), grid("event_end"), "video_sec")
+
+
 SN = f"{EV}, sn AS (SELECT event_idx, behavior, st AS event_start, least(1800.0::DOUBLE, st + duration_sec / 8) AS event_end, 1800.0::DOUBLE AS video_sec FROM (SELECT *, start_sec - 1800.0::DOUBLE * floor(start_sec / 1800) AS st FROM ev))"
-_CLIP = f"""{SN}, c1 AS (SELECT *, greatest(6.0 - (event_end - event_start + 3.0 + 3.0), 0.0) / 2 AS extra FROM sn), c2 AS (SELECT *, greatest(-(event_start - 3.0 - extra), 0.0) AS lost, greatest(event_start - 3.0 - extra, 0.0) AS lo, event_end + 3.0 + extra AS h0 FROM c1),
+_CLIP = f"""{SN}, se AS (SELECT event_idx, behavior, floor(event_start * 50) / 50 AS event_start, floor(event_end * 50) / 50 AS event_end, video_sec FROM sn),
+c1 AS (SELECT *, greatest(6.0 - (event_end - event_start + 3.0 + 3.0), 0.0) / 2 AS extra FROM se), c2 AS (SELECT *, greatest(-(event_start - 3.0 - extra), 0.0) AS lost, greatest(event_start - 3.0 - extra, 0.0) AS lo, event_end + 3.0 + extra AS h0 FROM c1),
 c3 AS (SELECT *, CASE WHEN lost > 0 THEN least(h0 + lost, video_sec) ELSE h0 END AS h1 FROM c2), c4 AS (SELECT *, greatest(h1 - video_sec, 0.0) AS ov FROM c3),
 c5 AS (SELECT *, CASE WHEN ov > 0 THEN greatest(lo - ov, 0.0) ELSE lo END AS low, least(h1, video_sec) AS high FROM c4)"""
 
 
-@query("t1_plan_clip", f"""WITH {_CLIP} SELECT event_idx, round(low, 3) AS low, round(high, 3) AS high, low <= event_start AND event_end <= high AS visible,
+_PLAN = f"""{_CLIP}, pl AS (SELECT event_idx, behavior, round(low, 2) AS clip_start, round(high, 2) AS clip_end, round(high - low, 2) AS clip_duration, round(event_start - low, 2) AS pad_before,
+  round(high - event_end, 2) AS pad_after, low <= event_start AND event_end <= high AS visible, lost > 0 OR ov > 0 AS clamped,
   concat_ws('|', CASE WHEN lost > 0 THEN 'start_clamped' END, CASE WHEN ov > 0 THEN 'end_clamped' END, CASE WHEN NOT (low <= event_start AND event_end <= high) THEN 'outside_clip' END,
-  CASE WHEN event_start - low < 1 AND event_start > 1 THEN 'thin_pre' END, CASE WHEN high - event_end < 1 AND video_sec - event_end > 1 THEN 'thin_post' END) AS flags FROM c5""")
-def t1(spark, d):
-    # The plan's own columns are rounded to 2 decimals half-even; padding and span give them again for the comparison.
-    p = planning.plan_clip(spans(spark, d))
-    lo, hi = F.col("event_start") - F.col("pad_before"), F.col("event_end") + F.col("pad_after")
-    near = (F.abs(lo - F.col("clip_start")) < 0.0101) & (F.abs(hi - F.col("clip_end")) < 0.0101)
-    exact = _clip_exact(spans(spark, d))
-    return p.where(near).join(exact, "event_idx").select("event_idx", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), "visible", F.array_join("flags", "|").alias("flags"))
+  CASE WHEN event_start - low < 1 AND event_start > 1 THEN 'thin_pre' END, CASE WHEN high - event_end < 1 AND video_sec - event_end > 1 THEN 'thin_post' END) AS flags FROM c5)"""
 
 
-def _clip_exact(df):
-    pad = 3.0 + F.greatest(6.0 - (F.col("event_end") - F.col("event_start") + 6.0), F.lit(0.0)) / 2
-    low, high = F.col("event_start") - pad, F.col("event_end") + pad
-    high = F.when(low < 0, F.least(high - low, F.col("video_sec"))).otherwise(high)
-    over = F.greatest(high - F.col("video_sec"), F.lit(0.0))
-    return df.select("event_idx", F.greatest(F.greatest(low, F.lit(0.0)) - over, F.lit(0.0)).alias("low"), F.least(high, F.col("video_sec")).alias("high"))
+def _plan(spark, d):
+    return planning.plan_clip(even_spans(spark, d))
 
 
-@query("t2_clip_plan_report", f"""WITH {_CLIP}, g AS (SELECT behavior, count(*) AS clips, count(*) FILTER (lost > 0 OR ov > 0) AS clamped, count(*) FILTER (NOT (low <= event_start AND event_end <= high)) AS outside FROM c5 GROUP BY ROLLUP (behavior)) SELECT * FROM g""")
+@query("t1_plan_clip", f"WITH {_PLAN} SELECT event_idx, clip_start, clip_end, clip_duration, pad_before, pad_after, visible, flags FROM pl")
+def t1(spark, d):
+    return _plan(spark, d).select("event_idx", "clip_start", "clip_end", "clip_duration", "pad_before", "pad_after", "visible", F.array_join("flags", "|").alias("flags"))
+
+
+@query("t2_clip_plan_report", f"""WITH {_PLAN} SELECT behavior, count(*) AS clips, count(*) FILTER (clamped) AS clamped, count(*) FILTER (NOT visible) AS outside, round(avg(clip_duration), 4) AS mean,
+  round(quantile_cont(clip_duration, 0.5), 4) AS median, min(clip_duration) AS least, max(clip_duration) AS most, round(sum(clip_duration) / 3600, 4) AS hours FROM pl GROUP BY ROLLUP (behavior)""")
 def t2(spark, d):
-    return planning.clip_plan_report(planning.plan_clip(spans(spark, d))).select("behavior", "clips", "clamped", "outside")
+    return planning.clip_plan_report(_plan(spark, d))
 
 
 @query("t3_slide_windows", f"""WITH {SN}, w AS (SELECT event_idx, event_start AS s, event_end AS e, greatest(least(floor(round((event_end - event_start - 8.0 + 2.0) / 4.0, 9)) + 1, 20), 1)::INT AS n FROM sn),
@@ -251,6 +254,18 @@ def a20_top(spark, d):
     return evaluate.ece(sure(spark, d), 15, "top1")
 
 
+_RATED = f"""WITH {PR}, e AS (SELECT greatest(prob_ear, prob_tail) AS p, (true_label = CASE WHEN prob_tail > prob_ear THEN 'tail' ELSE 'ear' END)::INT AS hit,
+  (prob_ear - (true_label = 'ear')::INT) ** 2 + (prob_tail - (true_label = 'tail')::INT) ** 2 AS sq FROM pr),
+b AS (SELECT least(10, ceil(p * 10 - 1e-9))::INT AS bin, count(*) AS n, abs(avg(p) - avg(hit)) AS gap, sum(sq) AS sq FROM e GROUP BY 1),
+r AS (SELECT round(sum(n * gap) / sum(n), 6) AS ece, round(max(gap), 6) AS mce, round(sum(sq) / sum(n), 6) AS brier, sum(n)::BIGINT AS n FROM b)
+SELECT *, CASE WHEN ece < 0.05 THEN 'excellent' WHEN ece < 0.1 THEN 'good' WHEN ece < 0.15 THEN 'moderate' ELSE 'poor - consider temperature scaling' END AS rating FROM r"""
+
+
+@query("a20_calibration", _RATED)
+def a20_rated(spark, d):
+    return evaluate.calibration(sure(spark, d), 10)
+
+
 @query("a21_ood_scores", f"WITH {PR} SELECT clip_id, greatest(prob_ear, prob_tail) AS msp, round(prob_ear * ln(prob_ear + 1e-10) + prob_tail * ln(prob_tail + 1e-10), 6) AS entropy, round(ln(exp(ln(prob_ear + 1e-10)) + exp(ln(prob_tail + 1e-10))), 6) + 0.0 AS energy FROM pr")
 def a21(spark, d):
     probs = [F.col("prob_ear"), F.col("prob_tail")]
@@ -327,11 +342,22 @@ def _nll_sql(grid: str) -> str:
     return f"SELECT t, round(avg(-ln(exp(own / t - greatest(logit_ear / t, logit_tail / t)) / (exp(logit_ear / t - greatest(logit_ear / t, logit_tail / t)) + exp(logit_tail / t - greatest(logit_ear / t, logit_tail / t))) + 1e-10)), 6) AS nll FROM (SELECT *, CASE true_label WHEN 'ear' THEN logit_ear ELSE logit_tail END AS own FROM pr), {grid} GROUP BY t"
 
 
-@query("a29_fit_temperature", f"WITH {PR}, g1 AS (SELECT round(0.1 + 9.9 * i / 49, 6) AS t FROM (SELECT unnest(range(50))::DOUBLE AS i)), n1 AS ({_nll_sql('g1')}), b AS (SELECT t AS b FROM n1 ORDER BY nll, t LIMIT 1), g2 AS (SELECT DISTINCT round(greatest(0.1, b - 0.5 + i / 100.0), 6) AS t FROM b, (SELECT unnest(range(101))::DOUBLE AS i)), n2 AS ({_nll_sql('g2')}) SELECT t, nll FROM n2 ORDER BY nll, t LIMIT 1")
+@query("a29_fit_temperature", f"WITH {PR}, g1 AS (SELECT round(0.1 + 9.9 * i / 49, 6) AS t FROM (SELECT unnest(range(50))::DOUBLE AS i)), n1 AS ({_nll_sql('g1')}), b AS (SELECT t AS b FROM n1 ORDER BY nll, t LIMIT 1), g2 AS (SELECT DISTINCT round(least(10.0, greatest(0.1, b - 0.5 + i / 100.0)), 6) AS t FROM b, (SELECT unnest(range(101))::DOUBLE AS i)), n2 AS ({_nll_sql('g2')}) SELECT t, nll FROM n2 ORDER BY nll, t LIMIT 1")
 def a29(spark, d):
     return evaluate.fit_temperature(predictions(spark, d))
 
 
+def _ece_grid_sql(grid: str) -> str:
+    case = " ".join(f"WHEN p > {(b - 1) / 15!r} AND p <= {b / 15!r} THEN {b}" for b in range(1, 16))
+    rows = f"SELECT t, round(1 / (1 + exp(-abs(logit_ear - logit_tail) / t)), 6)::DOUBLE AS p, (true_label = CASE WHEN logit_tail > logit_ear THEN 'tail' ELSE 'ear' END)::INT AS hit FROM pr, {grid}"
+    return f"SELECT t, round(sum(n * gap) / sum(n), 6) AS ece FROM (SELECT t, CASE {case} END AS bin, count(*) AS n, abs(avg(p) - avg(hit)) AS gap FROM ({rows}) GROUP BY ALL) GROUP BY t"
+
+
+@query("a29_fit_temperature_ece", f"WITH {PR}, g1 AS (SELECT round(0.1 + 9.9 * i / 49, 6) AS t FROM (SELECT unnest(range(50))::DOUBLE AS i)), n1 AS ({_ece_grid_sql('g1')}), b AS (SELECT t AS b FROM n1 ORDER BY ece, t LIMIT 1), g2 AS (SELECT DISTINCT round(least(10.0, greatest(0.1, b - 0.5 + i / 100.0)), 6) AS t FROM b, (SELECT unnest(range(101))::DOUBLE AS i)), n2 AS ({_ece_grid_sql('g2')}) SELECT t, ece FROM n2 ORDER BY ece, t LIMIT 1")
+def a29_ece(spark, d):
+    return evaluate.fit_temperature(predictions(spark, d), objective="ece")
+
+
 @query("a30_class_weights", f"WITH {EV}, c AS (SELECT behavior, count(*) AS n FROM ev GROUP BY 1), w AS (SELECT *, (1 - 0.999::DOUBLE) / (1 - pow(0.999::DOUBLE, n)) AS w FROM c) SELECT behavior, n, round(w / avg(w) OVER (), 6) AS weight FROM w")
 def a30(spark, d):
     return evaluate.class_weights(events(spark, d), "effective")

@@ -149,18 +149,43 @@ def j11(spark, d):
     return leak.holdout_unused(e, e.where("duration_sec > 300"), e.where("duration_sec < 0.5 and behavior = 'ear'")).select("event_idx", "video")
 
 
-def _signatures(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), leak.sign_bits(F.col("embedding"), 64).alias("words"), "label")
+#: Cell i = 17 * row + column of frame f of a clip's grids: a product of two components of the vector.
+_CELL = "embedding[{i} % 64 + 1]::DOUBLE * embedding[(5 * ({i}) + 11 * {f} + ({i}) // 64) % 64 + 1]::DOUBLE"
+_RAISED = " + CASE WHEN ({i} + 31 * {f}) % (20 + vec_id % 200) = 0 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END"
 
 
-_SIG = "sn AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN 1::BIGINT << (63 - i) ELSE 0::BIGINT END))::BIGINT AS w FROM embeddings)"
-_NEAR = f"{_SIG}, nd AS (SELECT a.id AS query, b.id AS match, bit_count(xor(a.w, b.w))::INT AS distance FROM sn a, sn b WHERE a.id % 5 = 0 AND a.id <> b.id AND bit_count(xor(a.w, b.w)) <= 15)"
+def _grids(spark, d, raised: bool = False):
+    """Each vector as a clip of three frames, grey grids of 16 x 17 cells. Raised: another encoding, some cells brighter."""
+    i = "(17 * r + c)"
+    cell = f"get(v, {i} % 64) * get(v, cast((5 * {i} + 11 * f + {i} div 64) % 64 as int))"
+    if raised:
+        cell += f" + CASE WHEN ({i} + 31 * f) % (20 + vec_id % 200) = 0 THEN 10D ELSE 0D END"
+    frames = F.expr(f"transform(sequence(0, 2), f -> transform(sequence(0, 15), r -> transform(sequence(0, 16), c -> {cell})))")
+    vectors = table(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, x -> cast(x as double))").alias("v"))
+    return vectors.select("vec_id", frames.alias("frames"))
+
+
+def _signatures(spark, d, raised: bool = False):
+    """id, words: 768 bits of a clip. The clips in another encoding have the numbers -1, -2 and so on."""
+    words = F.concat(*[leak.grid_dhash(F.get("frames", F.lit(f))) for f in range(3)])
+    ident = -F.col("vec_id") - 1 if raised else F.col("vec_id")
+    return _grids(spark, d, raised).select(ident.alias("id"), words.alias("words"))
+
+
+def _bits_sql(frames: int, raised: bool = False) -> str:
+    cell = "(" + _CELL + (_RAISED if raised else "") + ")"
+    i = "(17 * ((k % 256) // 16) + k % 16)"
+    left, right = (cell.format(i=x, f="(k // 256)") for x in (i, f"({i} + 1)"))
+    return f"list_aggregate(list_transform(range({256 * frames}), lambda k: CASE WHEN {right} > {left} THEN '1' ELSE '0' END), 'string_agg', '')"
+
+
+_NEAR = f"""qs AS MATERIALIZED (SELECT -vec_id - 1 AS id, {_bits_sql(3, True)}::BIT AS w FROM embeddings), cs AS MATERIALIZED (SELECT vec_id AS id, {_bits_sql(3)}::BIT AS w FROM embeddings),
+nd AS (SELECT a.id AS query, b.id AS match, bit_count(xor(a.w, b.w))::INT AS distance FROM qs a, cs b WHERE bit_count(xor(a.w, b.w)) <= 15)"""
 
 
 @query("j12_near_duplicates", f"WITH {_NEAR} SELECT query, match, distance FROM nd")
 def j12(spark, d):
-    s = _signatures(spark, d)
-    return leak.near_duplicates(s.where("id % 5 = 0"), s, 15, 1)
+    return leak.near_duplicates(_signatures(spark, d, raised=True), _signatures(spark, d), 15, 12)
 
 
 @query("j12_best_match", f"WITH {_NEAR} SELECT query, match, distance FROM nd QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, match) = 1")
@@ -229,6 +254,8 @@ def b12(spark, d):
     return leak.leak_asserts(e, ["video", "grp"]).select("event_idx", "split")
 
 
-@query("t9_grid_dhash", "SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN 1::BIGINT << (63 - i) ELSE 0::BIGINT END))::BIGINT AS word FROM embeddings")
+@query("t9_grid_dhash", f"SELECT vec_id, {_bits_sql(1)} AS bits FROM embeddings")
 def t9(spark, d):
-    return _signatures(spark, d).select(F.col("id").alias("vec_id"), F.element_at("words", 1).alias("word"))
+    words = leak.grid_dhash(F.get("frames", F.lit(0)))
+    bits = F.array_join(F.transform(words, lambda w: F.lpad(F.bin(w), 64, "0")), "")
+    return _grids(spark, d).select("vec_id", bits.alias("bits"))

@@ -3,6 +3,8 @@ back through it."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions.det import shared_folder
@@ -79,13 +81,14 @@ def s4(spark, d):
     row = folders.select(F.create_map(F.format_string("group%d_day%d", "grp", "day"), F.struct("cameras")).alias("labeled"))
     path = shared_folder(spark, "s4")
     row.write.json(path)
-    spark_rows = spark.read.schema(f"labeled {tables._FOLDERS}").json(path)
-    return tables.flatten_manifest(spark_rows).groupBy("grp", "day", "camera").agg(F.count("*").alias("videos"))
+    return tables.read_video_manifest(spark, path, multi_line=False).groupBy("grp", "day", "camera").agg(F.count("*").alias("videos"))
 
 
 @query("s5_rule_table", f"WITH {EV} SELECT event_idx, CASE event_type WHEN 'click' THEN 'press' WHEN 'view' THEN 'look' WHEN 'error' THEN 'fault' WHEN 'purchase' THEN 'buy' END AS norm FROM ev")
 def s5(spark, d):
-    rules = tables.rule_table(spark, {"event_type": TYPES})
+    path = shared_folder(spark, "s5")
+    spark.range(1).select(F.lit(json.dumps({"event_type": TYPES}))).coalesce(1).write.text(path)
+    rules = tables.rule_table(spark, tables.read_rules(spark, path))
     return events(spark, d).join(F.broadcast(rules.where("field = 'event_type'")), F.col("event_type") == F.col("raw"), "left").select("event_idx", "norm")
 
 

@@ -73,10 +73,10 @@ _VIDEO = "array<struct<filename:string,path:string,start:string,end:string,durat
 _FOLDERS = f"map<string,struct<group_id:int,day:int,cameras:map<string,struct<videos:{_VIDEO}>>>>"
 
 
-def read_video_manifest(spark: SparkSession, path: str, part: str = "labeled") -> DataFrame:
-    """A nested JSON manifest as flat segments: grp, day, camera, filename, path, start, end, seconds. The folder's name
+def read_video_manifest(spark: SparkSession, path: str, part: str = "labeled", multi_line: bool = True) -> DataFrame:
+    """A nested JSON manifest (a document a file, or a record a line) as flat segments: grp, day, camera, filename, path, start, end, seconds. The folder's name
     gives group and day ('group3_day2') where the fields don't."""
-    df = spark.read.schema(f"labeled {_FOLDERS}, unlabeled {_FOLDERS}").option("multiLine", True).json(path)
+    df = spark.read.schema(f"labeled {_FOLDERS}, unlabeled {_FOLDERS}").option("multiLine", multi_line).json(path)
     return flatten_manifest(df, part)
 
 
@@ -89,7 +89,7 @@ def flatten_manifest(df: DataFrame, part: str = "labeled") -> DataFrame:
 
 def read_rules(spark: SparkSession, path: str) -> dict:
     """Rules as a dict from a YAML file, if a YAML reader is installed, or a JSON file; read through Spark's readers."""
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     if path.endswith((".yaml", ".yml")):
         try:
             import yaml

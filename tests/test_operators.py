@@ -1,5 +1,6 @@
 """Edge rules on small hand-made tables."""
 
+import json
 import math
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boutlake.functions import det
 from boutlake.operators import audit, clean, evaluate, leak, link, planning, runs, sessions, splits
+from boutlake.sources import tables
 from boutlake.plans.cleaning import bouts
 from boutlake.plans.bindings import events
 
@@ -303,3 +305,47 @@ def test_dates_of_six_formats(spark):
     }
     df = spark.createDataFrame([(x,) for x in said], "x string")
     assert {r["x"]: r["d"] for r in df.select("x", clean.parse_date_multi(F.col("x")).alias("d")).collect()} == said
+
+
+def test_scan_of_a_folder(spark, tmp_path):
+    for camera, name in ((1, "a_ch1_main_20240706053001_20240706060001.mp4"), (1, "holiday.MP4"), (2, "a_ch2_main_20240706060001_20240706063001.mp4"), (2, "notes.txt")):
+        (tmp_path / f"Cam {camera}").mkdir(exist_ok=True)
+        (tmp_path / f"Cam {camera}" / name).write_bytes(b"x")
+    found = tables.scan_segments(spark, str(tmp_path))
+    assert sorted((r["camera"], r["filename"][:4], r["seconds"]) for r in found.collect()) == [(1, "a_ch", 1800.0), (1, "holi", None), (2, "a_ch", 1800.0)]
+
+
+def test_manifest_and_rules_of_files(spark, tmp_path):
+    video = {"filename": "a.mp4", "path": "/a.mp4", "start": "2024-07-06 05:30:01", "end": "2024-07-06 06:00:01", "duration_sec": 1800.0}
+    (tmp_path / "m.json").write_text(json.dumps({"labeled": {"group3_day2": {"cameras": {"1": {"videos": [video, video]}}}}, "unlabeled": {}}, indent=1))
+    rows = tables.read_video_manifest(spark, str(tmp_path / "m.json")).collect()
+    assert [(r["grp"], r["day"], r["camera"], r["seconds"]) for r in rows] == [(3, 2, 1, 1800.0)] * 2
+    rules = {"label": {"Tail ": "tail"}, "camera": {"x": "1"}}
+    (tmp_path / "r.json").write_text(json.dumps(rules, indent=1))
+    assert tables.read_rules(spark, str(tmp_path / "r.json")) == rules
+
+
+def test_grid_bits_row_by_row(spark):
+    rnd = random.Random(3)
+    grid = [[rnd.choice([0.0, 1.0, 2.0]) for _ in range(17)] for _ in range(16)]
+    words = one(spark.createDataFrame([(grid,)], "g array<array<double>>").select(leak.grid_dhash(F.col("g")).alias("w")))["w"]
+    bits = "".join(format(w & ((1 << 64) - 1), "064b") for w in words)
+    assert bits == "".join("1" if r[i + 1] > r[i] else "0" for r in grid for i in range(16))
+
+
+def test_calibration_against_plain_sums(spark):
+    rnd = random.Random(5)
+    rows = [(round(rnd.random(), 2), rnd.choice(["ear", "tail"])) for _ in range(300)]
+    df = spark.createDataFrame([(p, round(1 - p, 2), y) for p, y in rows], "prob_ear double, prob_tail double, true_label string")
+    got = one(evaluate.calibration(df, 10))
+    bins = {}
+    for p, y in rows:
+        top, hit = max(p, round(1 - p, 2)), y == ("ear" if p >= round(1 - p, 2) else "tail")
+        b = next(i for i in range(10) if i / 10 < top <= (i + 1) / 10)
+        bins.setdefault(b, []).append((top, hit))
+    gaps = {b: abs(sum(t for t, _ in v) - sum(h for _, h in v)) / len(v) for b, v in bins.items()}
+    assert got["ece"] == pytest.approx(sum(gaps[b] * len(v) for b, v in bins.items()) / 300, abs=2e-6)
+    assert got["mce"] == pytest.approx(max(gaps.values()), abs=2e-6)
+    assert got["brier"] == pytest.approx(sum((p - (y == "ear")) ** 2 + (round(1 - p, 2) - (y == "tail")) ** 2 for p, y in rows) / 300, abs=2e-6)
+    assert got["rating"] == "poor - consider temperature scaling" and got["n"] == 300
+    assert one(evaluate.calibration(df.where("false"), 10))["rating"] is None
