@@ -180,16 +180,24 @@ def parse(template: str) -> list[Node]:
 _OPS: dict[str, Callable] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "in": lambda a, b: a in b, "+": lambda a, b: a + b, "and": lambda a, b: a and b, "or": lambda a, b: a or b}
 
 
+def _worked_out(work: Callable, *values: object) -> object:
+    """What an operator or a filter makes of constants; an error of the template if they don't go with it."""
+    try:
+        return work(*values)
+    except (TypeError, AttributeError) as e:
+        raise TemplateError(f"can't be worked out with {', '.join(map(repr, values))}") from e
+
+
 def fold(node: Node) -> Node:
     """An expression with its constant parts worked out."""
     if node[0] == "op":
         left, right = fold(node[2]), fold(node[3])
         done = left[0] == right[0] == "const"
-        return ("const", _OPS[node[1]](left[1], right[1])) if done else ("op", node[1], left, right)
+        return ("const", _worked_out(_OPS[node[1]], left[1], right[1])) if done else ("op", node[1], left, right)
     if node[0] in ("not", "filter"):
         inner = fold(node[-1])
         if inner[0] == "const":
-            return ("const", not inner[1] if node[0] == "not" else _FILTERS[node[1]](inner[1]))
+            return ("const", not inner[1] if node[0] == "not" else _worked_out(_FILTERS[node[1]], inner[1]))
         return (*node[:-1], inner)
     return node
 
