@@ -76,6 +76,35 @@ def running_totals(df: DataFrame, order: str, values: Mapping[str, str], ranges:
     return joined.withColumns({out: F.col(f"_before_{v}") + F.sum(v).over(within) for v, out in values.items()}).drop("_range", *[f"_before_{v}" for v in values])
 
 
+def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), ranges: int = 8) -> DataFrame:
+    """by, and {name: share} as columns: exact quantiles by linear interpolation of the values that aren't null (by null
+    is a group of its own; without by one row, of nulls where there are no values).
+
+    Counts per value are made with map-side partials. They are put into ranges of the value, whose sums go before the sums
+    within a range, so that no task holds all distinct values; a quantile is looked up by its places in the order.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ranged = _ranged(counts, "_v", ranges)
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*by, F.lit(0))
+    before = F.coalesce(F.sum("_s").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_range").alias("_sum_range"), before.alias("_before"), F.sum("_s").over(group).alias("_all"))
+    same = F.col("_range") == F.col("_sum_range")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    within = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_before") + F.sum("_c").over(within)
+    rows = ranged.join(sums, same).withColumn("_upto", upto)
+    found, out = [], []
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("_all") - 1)
+        for end, at in (("low", F.floor(place)), ("high", F.ceil(place))):
+            found.append(F.max(F.when((F.col("_upto") - F.col("_c") <= at) & (at < F.col("_upto")), F.col("_v"))).alias(f"_{end}_{name}"))
+        part = place - F.floor(place)
+        out.append((F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * part).alias(name))
+    return rows.groupBy(*by).agg(F.max("_all").alias("_all"), *found).select(*by, *out)
+
+
 def numbered(df: DataFrame, order: str, out: str, ranges: int = 32) -> DataFrame:
     """Adds the row's number from 0 in this order (distinct values, nulls first): ranks within ranges plus the sizes of the
     ranges before."""

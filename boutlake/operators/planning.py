@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.det import quantiles
+
 
 def plan_clip(df: DataFrame, pre: float = 3.0, post: float = 3.0, least: float = 6.0, start: str = "event_start", end: str = "event_end", length: str = "video_sec") -> DataFrame:
     """Adds clip_start, clip_end, clip_duration, pad_before, pad_after, visible and flags (codes).
@@ -34,10 +36,16 @@ def clip_plan_report(plan: DataFrame, label: str = "behavior") -> DataFrame:
     """Per label (null: all): clips, clamped, outside, mean, median, least, most, hours (4 decimals)."""
     d = F.col("clip_duration")
     has = lambda f: F.array_contains("flags", f)
-    return plan.rollup(label).agg(
+    plain = plan.rollup(label).agg(
+        F.grouping_id().alias("_all"),
         F.count("*").alias("clips"), F.count_if(has("start_clamped") | has("end_clamped")).alias("clamped"), F.count_if(has("outside_clip")).alias("outside"),
-        F.round(F.avg(d), 4).alias("mean"), F.round(F.percentile(d, F.lit(0.5)), 4).alias("median"), F.min(d).alias("least"), F.max(d).alias("most"), F.round(F.sum(d) / 3600, 4).alias("hours"),
+        F.round(F.avg(d), 4).alias("mean"), F.min(d).alias("least"), F.max(d).alias("most"), F.round(F.sum(d) / 3600, 4).alias("hours"),
     )
+    both = plan.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("_of"), F.col(label), d)
+    both = both.withColumn("_label", F.when(F.col("_of") == 0, F.col(label)))
+    median = quantiles(both, "clip_duration", {"_median": 0.5}, ["_of", "_label"])
+    joined = plain.join(median, (F.col("_all") == F.col("_of")) & F.col(label).eqNullSafe(F.col("_label")), "left")
+    return joined.select(label, "clips", "clamped", "outside", "mean", F.round("_median", 4).alias("median"), "least", "most", "hours")
 
 
 def slide_windows(df: DataFrame, length: float, overlap: float = 0.5, cap: int = 20, flip: bool = False, start: str = "event_start", end: str = "event_end", idx: str = "event_idx") -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.det import bin_label
+from ..functions.det import bin_label, quantiles
 
 GAP_EDGES = (float("-inf"), 0, 5, 10, 30, 60, 300, float("inf"))
 GAP_LABELS = ("overlap", "0-5s", "5-10s", "10-30s", "30-60s", "1-5min", "5min+")
@@ -48,11 +48,13 @@ def gaps(df: DataFrame, video: str = "video", start: str = "start_sec", duration
 
 def gap_profile(df: DataFrame, **names: str) -> DataFrame:
     """One row: n, mean, median, least, most, overlaps (< 0) and clusters (< 5, overlaps too), 6 decimals."""
-    g = F.col("gap")
-    return gaps(df, **names).agg(
-        F.count("*").alias("n_gaps"), F.round(F.avg(g), 6).alias("mean_gap"), F.round(F.percentile(g, F.lit(0.5)), 6).alias("median_gap"),
-        F.round(F.min(g), 6).alias("min_gap"), F.round(F.max(g), 6).alias("max_gap"), F.count_if(g < 0).alias("overlaps"), F.count_if(g < 5).alias("clusters"),
+    g, rows = F.col("gap"), gaps(df, **names)
+    plain = rows.agg(
+        F.count("*").alias("n_gaps"), F.round(F.avg(g), 6).alias("mean_gap"), F.round(F.min(g), 6).alias("min_gap"), F.round(F.max(g), 6).alias("max_gap"),
+        F.count_if(g < 0).alias("overlaps"), F.count_if(g < 5).alias("clusters"),
     )
+    median = quantiles(rows, "gap", {"_median": 0.5}).select(F.round("_median", 6).alias("median_gap"))
+    return plain.crossJoin(F.broadcast(median)).select("n_gaps", "mean_gap", "median_gap", "min_gap", "max_gap", "overlaps", "clusters")
 
 
 def gap_bins(df: DataFrame, **names: str) -> DataFrame:
@@ -92,8 +94,12 @@ def max_event_gaps(df: DataFrame, label: str = "behavior", minority: str = "tail
 def duration_profile(df: DataFrame, duration: str = "duration_sec") -> DataFrame:
     """One row of statistics: sample standard deviation, exact quantiles by linear interpolation, 6 decimals."""
     d = F.col(duration)
-    parts = {"mean": F.avg(d), "median": F.percentile(d, F.lit(0.5)), "std": F.stddev_samp(d), "min": F.min(d), "max": F.max(d), "p25": F.percentile(d, F.lit(0.25)), "p75": F.percentile(d, F.lit(0.75)), "p90": F.percentile(d, F.lit(0.9)), "p95": F.percentile(d, F.lit(0.95))}
-    return df.agg(F.count(d).alias("n"), F.count_if(d == 0).alias("zeros"), *[F.round(c, 6).alias(n) for n, c in parts.items()])
+    parts = {"mean": F.avg(d), "std": F.stddev_samp(d), "min": F.min(d), "max": F.max(d)}
+    places = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+    plain = df.agg(F.count(d).alias("n"), F.count_if(d == 0).alias("zeros"), *[F.round(c, 6).alias(n) for n, c in parts.items()])
+    exact = quantiles(df, duration, places).select(*[F.round(n, 6).alias(n) for n in places])
+    names = ("n", "zeros", "mean", "median", "std", "min", "max", "p25", "p75", "p90", "p95")
+    return plain.crossJoin(F.broadcast(exact)).select(*names)
 
 
 def duration_bins(df: DataFrame, duration: str = "duration_sec") -> DataFrame:
@@ -102,8 +108,10 @@ def duration_bins(df: DataFrame, duration: str = "duration_sec") -> DataFrame:
 
 
 def duration_by_label(df: DataFrame, label: str = "behavior", duration: str = "duration_sec") -> DataFrame:
-    d = F.col(duration)
-    return df.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(d), 6).alias("mean"), F.round(F.percentile(d, F.lit(0.5)), 6).alias("median"))
+    """label, n, mean, median (exact); 6 decimals."""
+    plain = df.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(duration), 6).alias("mean"))
+    median = quantiles(df, duration, {"_median": 0.5}, [label]).select(F.col(label).alias("_label"), F.round("_median", 6).alias("median"))
+    return plain.join(median, F.col(label).eqNullSafe(F.col("_label")), "left").select(label, "n", "mean", "median")
 
 
 def events_per_video(df: DataFrame, video: str = "video") -> DataFrame:

@@ -349,3 +349,23 @@ def test_calibration_against_plain_sums(spark):
     assert got["brier"] == pytest.approx(sum((p - (y == "ear")) ** 2 + (round(1 - p, 2) - (y == "tail")) ** 2 for p, y in rows) / 300, abs=2e-6)
     assert got["rating"] == "poor - consider temperature scaling" and got["n"] == 300
     assert one(evaluate.calibration(df.where("false"), 10))["rating"] is None
+
+
+def test_quantiles_as_the_aggregate_gives_them(spark, monkeypatch):
+    monkeypatch.setattr(det, "RANGE_ROWS", 20)
+    rnd = random.Random(11)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, round(rnd.gauss(0, 3), 2)])) for _ in range(400)] + [("one", 4.5), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = {"q0": 0.0, "q25": 0.25, "q5": 0.5, "q95": 0.95, "q1": 1.0}
+    plain = df.where("v is not null").groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in shares.items()])
+    got = {r["k"]: [r[n] for n in shares] for r in det.quantiles(df, "v", shares, ["k"]).collect()}
+    expected = {r["k"]: [r[n] for n in shares] for r in plain.collect()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+    assert one(det.quantiles(df, "v", {"m": 0.5}))["m"] == pytest.approx(one(df.agg(F.percentile("v", F.lit(0.5)).alias("m")))["m"])
+    assert one(det.quantiles(df.where("false"), "v", {"m": 0.5}))["m"] is None
+
+
+def test_report_keeps_null_labels_apart_from_the_total(spark):
+    plan = spark.createDataFrame([("a", 6.0, []), (None, 8.0, ["end_clamped"]), (None, 9.0, [])], "behavior string, clip_duration double, flags array<string>")
+    got = sorted((str(r["behavior"]), r["clips"], r["median"]) for r in planning.clip_plan_report(plan).collect())
+    assert got == [("None", 2, 8.5), ("None", 3, 8.0), ("a", 1, 6.0)]
