@@ -76,15 +76,18 @@ def running_totals(df: DataFrame, order: str, values: Mapping[str, str], ranges:
     return joined.withColumns({out: F.col(f"_before_{v}") + F.sum(v).over(within) for v, out in values.items()}).drop("_range", *[f"_before_{v}" for v in values])
 
 
-def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), ranges: int = 8) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), ranges: int = 8, count: str | None = None) -> DataFrame:
     """by, and {name: share} as columns: exact quantiles by linear interpolation of the values that aren't null (by null
-    is a group of its own; without by one row, of nulls where there are no values).
+    is a group of its own; without by one row, of nulls where there are no values). count: a column that says how many
+    times a row's value counts.
 
-    Counts per value are made with map-side partials. They are put into ranges of the value, whose sums go before the sums
+    Counts per value are made with map-side partials and written to the shared folder once. They are put into ranges of the value, whose sums go before the sums
     within a range, so that no task holds all distinct values; a quantile is looked up by its places in the order.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    ranged = _ranged(counts, "_v", ranges)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg((F.sum(count) if count else F.count("*")).alias("_c"))
+    path = shared_folder(df.sparkSession, "quantiles")
+    counts.write.parquet(path)
+    ranged = _ranged(df.sparkSession.read.schema(counts.schema).parquet(path), "_v", ranges)
     sums = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))
     group = Window.partitionBy(*by, F.lit(0))
     before = F.coalesce(F.sum("_s").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

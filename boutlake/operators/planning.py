@@ -41,9 +41,9 @@ def clip_plan_report(plan: DataFrame, label: str = "behavior") -> DataFrame:
         F.count("*").alias("clips"), F.count_if(has("start_clamped") | has("end_clamped")).alias("clamped"), F.count_if(has("outside_clip")).alias("outside"),
         F.round(F.avg(d), 4).alias("mean"), F.min(d).alias("least"), F.max(d).alias("most"), F.round(F.sum(d) / 3600, 4).alias("hours"),
     )
-    both = plan.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("_of"), F.col(label), d)
-    both = both.withColumn("_label", F.when(F.col("_of") == 0, F.col(label)))
-    median = quantiles(both, "clip_duration", {"_median": 0.5}, ["_of", "_label"])
+    counts = plan.groupBy(label, d).agg(F.count("*").alias("_clips"))
+    both = counts.withColumn("_of", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_label", F.when(F.col("_of") == 0, F.col(label)))
+    median = quantiles(both, "clip_duration", {"_median": 0.5}, ["_of", "_label"], count="_clips")
     joined = plain.join(median, (F.col("_all") == F.col("_of")) & F.col(label).eqNullSafe(F.col("_label")), "left")
     return joined.select(label, "clips", "clamped", "outside", "mean", F.round("_median", 4).alias("median"), "least", "most", "hours")
 
