@@ -117,7 +117,7 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
 
 def struct(spec: str) -> T.StructType:
     """A schema from 'name type, ...' without a session."""
-    kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "longs": T.ArrayType(T.LongType()), "ints": T.ArrayType(T.IntegerType())}
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "longs": T.ArrayType(T.LongType()), "ints": T.ArrayType(T.IntegerType()), "strings": T.ArrayType(T.StringType())}
     return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split() for x in spec.split(","))])
 
 

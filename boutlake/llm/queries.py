@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, neighbours, ngram_join, packing, secrets, token_counts, token_files, tokens, toxicity
+from . import centroids, chat, contamination, exact_dedup, mixing, neighbours, ngram_join, packing, phrases, secrets
+from . import token_counts, token_files, tokens, toxicity
 from ._common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(documents(spark, sf_dir))
+
+
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.digest(contamination.find(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(*centroids.cluster(documents(spark, sf_dir, "embeddings")))
+
+
 _OP2_SQL = """
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS size, sqrt(count(*)::DOUBLE) AS weight FROM documents GROUP BY source),
 rates AS (SELECT source, round((SELECT sum(size) FROM sizes)::DOUBLE * weight / (SELECT round(sum(weight), 6) FROM sizes) / size, 9) AS rate FROM sizes),
@@ -93,10 +106,73 @@ FROM sized GROUP BY conv_id
 """
 
 
+_OP11_SQL = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_FOLD}, '[.,;:!?\\n\\x0B\\x0C\\r]')) AS piece FROM documents),
+runs AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda w: w <> '') AS ws FROM pieces),
+spots AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM runs, (VALUES (1), (2), (3)) t(k)),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS c FROM spots GROUP BY ALL),
+totals AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND c >= 10),
+cuts AS (SELECT lang, phrase, k, a, cut, array_to_string(ws[1:cut], ' ') AS first, array_to_string(ws[cut + 1:], ' ') AS rest
+  FROM candidates, (VALUES (1), (2)) t(cut) WHERE cut < k),
+scored AS (SELECT c.lang, c.phrase, c.k, c.a, x.c AS l, y.c AS r, cut, ((1000000::HUGEINT * a * a) // (x.c::HUGEINT * y.c))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM candidates WHERE k = 3),
+most AS (SELECT lang, phrase, max(a) AS most FROM longer GROUP BY ALL),
+ranked AS (SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank
+  FROM weakest w LEFT JOIN most m ON m.lang = w.lang AND m.phrase = w.phrase WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+_OP12_SQL = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+cut AS (SELECT item_id, ws, least(len(ws), 10) AS size FROM items WHERE len(ws) > 0),
+wins AS (SELECT DISTINCT item_id, size, array_to_string(ws[i : i + size - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM cut)),
+texts AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS ws FROM documents),
+spots AS (SELECT id, i, size, array_to_string(ws[i : i + size - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM texts, (SELECT DISTINCT size FROM wins))),
+found AS MATERIALIZED (SELECT s.id, s.i, s.size, w.item_id FROM spots s JOIN wins w ON w.size = s.size AND w.win = s.win),
+hits AS (SELECT id, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT id, unnest(range(i, i + size)) AS place FROM found) GROUP BY id),
+named AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT id, item_id::VARCHAR AS item FROM found) GROUP BY id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM texts LEFT JOIN hits USING (id) LEFT JOIN named USING (id)
+"""
+
+
+def _op13_sql() -> str:
+    """Six assignments and five moves, a table each."""
+    parts = ["""WITH kept AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+vs AS MATERIALIZED (SELECT id, unnest(v) AS x, unnest(range(64)) AS d FROM kept),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, id FROM kept QUALIFY c < 40),
+m0 AS MATERIALIZED (SELECT c, d, x FROM c0 JOIN vs USING (id))"""]
+    for k in range(6):
+        parts.append(f"""e{k} AS (SELECT id, c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS dist FROM vs v JOIN m{k} m USING (d) GROUP BY id, c),
+a{k} AS MATERIALIZED (SELECT id, c, dist FROM e{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, c) = 1)""")
+        if k < 5:
+            parts.append(f"""s{k} AS (SELECT c, d, sum(x) AS s, count(*) AS n FROM a{k} JOIN vs USING (id) GROUP BY c, d),
+m{k + 1} AS MATERIALIZED (SELECT m.c, m.d, CASE WHEN n IS NULL THEN m.x ELSE ((s - ((s % n) + n) % n) / n)::BIGINT END AS x FROM m{k} m LEFT JOIN s{k} USING (c, d))""")
+    return ",\n".join(parts) + """,
+names AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM m5 GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, dist AS distance, (sum(dist) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(dist) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a5 JOIN kept USING (id) JOIN names USING (c)"""
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_ngram_join, op2_mixing, op3_token_files, op4_exact_dedup, op5_token_counts, op6_neighbours, op7_packing, op8_secrets, op9_chat, op10_toxicity)
+    own = (
+        op1_ngram_join, op2_mixing, op3_token_files, op4_exact_dedup, op5_token_counts, op6_neighbours, op7_packing, op8_secrets,
+        op9_chat, op10_toxicity, op11_phrases, op12_contamination, op13_centroids,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _OP2_SQL, "op4_exact_dedup": _OP4_SQL, "op9_chat": _OP9_SQL}
+    return {
+        "op2_mixing": _OP2_SQL, "op4_exact_dedup": _OP4_SQL, "op9_chat": _OP9_SQL,
+        "op11_phrases": _OP11_SQL, "op12_contamination": _OP12_SQL, "op13_centroids": _op13_sql(),
+    }
