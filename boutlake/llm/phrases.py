@@ -6,7 +6,8 @@ prefixes bound what grows from them: with a <= f(p) and r >= a, no phrase that b
 than 10**6 f(p) / f(x), and by the last cut none that ends in s and its last word z more than 10**6 f(s) / f(z).
 
 1. Words are counted. A single word's bound is 10**6, the best score there is, so that these nodes come first: all pairs of
-   words that occur `least` times are counted, and their scores are exact.
+   words that occur `least` times are counted, and their scores are exact. Most pairs are rare, so they are counted by
+   a hash of 64 bits first, and by their letters only where the hash occurs `least` times.
 2. Each language has a bar, at first the score that `2 * top` of its pairs reach. The frontier, i.e. the pairs whose bound is
    at least the bar, is expanded: only three-word phrases whose prefix and whose suffix may still reach the bar are counted,
    and those around a pair that reaches it, which settle whether it survives (a longer phrase may replace it).
@@ -14,7 +15,7 @@ than 10**6 f(p) / f(x), and by the last cut none that ends in s and its last wor
    For the others the bar goes down (8, 32, ... times `top` pairs, then 0), and only what that adds to the frontier is
    counted.
 
-Counting is numpy within tasks, on stretches of some 8 MB, then sums per phrase with map-side partials, so a hot phrase is
+Counting is numpy within tasks, on stretches of some 2 MB, then sums per phrase with map-side partials, so a hot phrase is
 a row per task. Tasks know the frontier by a table of flags with at most SLOTS slots: two phrases in one slot mean
 that too much is counted, never too little. Scores are decimals of 38 digits: occurrences up to 10**15 are exact.
 
@@ -26,19 +27,20 @@ play no part. Ties at the end of a language's list go by a, then by phrase.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shingles
 from ._common import BROADCAST_ROWS, begun, given_back, small_batches, stored, struct
 
 #: Bytes of text that are counted at once.
-STRETCH = 8 << 20
+STRETCH = 2 << 20
 #: Slots of the table of flags at most (a byte each), and how many go to the driver in one row.
 SLOTS, CHUNK = 1 << 24, 1 << 14
 #: Flags: frequent; now and in earlier rounds: may begin, may end a phrase that reaches the bar, reaches it itself.
@@ -50,6 +52,7 @@ _KIND[[*b".,;:!?\x0a\x0b\x0c\x0d"]] = 2
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _COUNTS = struct("lang string, phrase string, c long, h long")
+_HASHED = struct("h long, c long")
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
@@ -137,36 +140,60 @@ def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return shingles.mixed(a * shingles._STEPS[0] + b * shingles._STEPS[1])
 
 
-def _tally(x: _Words, words: int, known: np.ndarray | None) -> pa.RecordBatch:
-    """lang, phrase, c, h of the phrases of so many words; of words also a row with the phrase '' and all their occurrences."""
-    if words == 1:
-        every = pc.unique(x.lang)
-        totals = [int(x.times[pc.equal(x.lang, v).to_numpy(zero_copy_only=False)].sum()) for v in every]
-        columns = [pa.concat_arrays([x.lang, every]), pa.concat_arrays([x.word, pa.array([""] * len(every), pa.large_string())]), np.append(x.times, totals), np.append(x.hash, np.zeros(len(every), np.uint64))]
-    else:
-        flags = known[(x.hash & np.uint64(len(known) - 1)).astype(np.int64)] if words == 2 else None
-        if words == 2:
-            often = (flags & KNOWN > 0)[x.name]
-            at = np.flatnonzero(x.next_to(2) & often[:-1] & often[1:]) if len(often) > 1 else np.zeros(0, np.int64)
-        else:
-            pair = known[(_pair_hash(x.hash[x.name[:-1]], x.hash[x.name[1:]]) & np.uint64(len(known) - 1)).astype(np.int64)]
-            one, two = pair[:-1], pair[1:]
-            at = np.flatnonzero(x.next_to(3) & _counts_as(one, two, 0) & ~_counts_as(one, two, OLD)) if len(pair) > 1 else np.zeros(0, np.int64)
-        keys = x.name[at] * len(x.word) + x.name[at + 1]
-        if words == 3:
-            pairs, place = np.unique(keys, return_inverse=True)
-            triples, times = np.unique(place * len(x.word) + x.name[at + 2], return_counts=True)
-            pairs, ends = pairs[triples // max(1, len(x.word))], [triples % max(1, len(x.word))]
-        else:
-            pairs, times = np.unique(keys, return_counts=True)
-            ends = []
-        names = [pairs // max(1, len(x.word)), pairs % max(1, len(x.word)), *ends]
-        spelled = pc.binary_join_element_wise(*[x.word.take(pa.array(n)) for n in names], pa.scalar(" ", pa.large_string()))
-        h = _pair_hash(x.hash[names[0]], x.hash[names[1]])
-        columns = [x.lang.take(pa.array(names[0])), spelled, times, h]
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-    made = [c.cast(k) if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, k) for c, k in zip(columns, kinds)]
-    return pa.RecordBatch.from_arrays(made, names=_COUNTS.names)
+def _slots(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The flags of these hashes."""
+    return known[(hashes & np.uint64(len(known) - 1)).astype(np.int64)]
+
+
+def _words(x: _Words, known: None) -> pa.RecordBatch:
+    """A row for each word, and one with the phrase '' and all words of a language."""
+    every = pc.unique(x.lang)
+    totals = [int(x.times[pc.equal(x.lang, v).to_numpy(zero_copy_only=False)].sum()) for v in every]
+    spelled = pa.concat_arrays([x.word, pa.array([""] * len(every), pa.large_string())])
+    return _rows(pa.concat_arrays([x.lang, every]), spelled, np.append(x.times, totals), np.append(x.hash, np.zeros(len(every), np.uint64)))
+
+
+def _pair_places(x: _Words, known: np.ndarray) -> np.ndarray:
+    """Where pairs of frequent words begin."""
+    often = (_slots(known, x.hash) & KNOWN > 0)[x.name]
+    return np.flatnonzero(x.next_to(2) & often[:-1] & often[1:]) if len(often) > 1 else np.zeros(0, np.int64)
+
+
+def _hashed_pairs(x: _Words, known: np.ndarray) -> pa.RecordBatch:
+    """h, c of the pairs of frequent words."""
+    at = _pair_places(x, known)
+    h, times = np.unique(_pair_hash(x.hash[x.name[at]], x.hash[x.name[at + 1]]), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times, pa.int64())], names=_HASHED.names)
+
+
+def _pairs(x: _Words, known: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """The pairs whose words and whose hash are frequent."""
+    at = _pair_places(x, known[0])
+    often = _slots(known[1], _pair_hash(x.hash[x.name[at]], x.hash[x.name[at + 1]])) & KNOWN > 0
+    at = at[often]
+    keys, times = np.unique(x.name[at] * len(x.word) + x.name[at + 1], return_counts=True)
+    names = [keys // max(1, len(x.word)), keys % max(1, len(x.word))]
+    return _rows(x.lang.take(pa.array(names[0])), _spelled(x, names), times, _pair_hash(x.hash[names[0]], x.hash[names[1]]))
+
+
+def _triples(x: _Words, known: np.ndarray) -> pa.RecordBatch:
+    """The phrases of three words that the flags ask for (h: of the first pair)."""
+    pair = _slots(known, _pair_hash(x.hash[x.name[:-1]], x.hash[x.name[1:]]))
+    one, two = pair[:-1], pair[1:]
+    at = np.flatnonzero(x.next_to(3) & _counts_as(one, two, 0) & ~_counts_as(one, two, OLD)) if len(pair) > 1 else np.zeros(0, np.int64)
+    pairs, place = np.unique(x.name[at] * len(x.word) + x.name[at + 1], return_inverse=True)
+    triples, times = np.unique(place * len(x.word) + x.name[at + 2], return_counts=True)
+    pairs, last = pairs[triples // max(1, len(x.word))], triples % max(1, len(x.word))
+    names = [pairs // max(1, len(x.word)), pairs % max(1, len(x.word)), last]
+    return _rows(x.lang.take(pa.array(names[0])), _spelled(x, names), times, _pair_hash(x.hash[names[0]], x.hash[names[1]]))
+
+
+def _spelled(x: _Words, names: list[np.ndarray]) -> pa.Array:
+    return pc.binary_join_element_wise(*[x.word.take(pa.array(n)) for n in names], pa.scalar(" ", pa.large_string()))
+
+
+def _rows(lang: pa.Array, phrase: pa.Array, times: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(times, pa.int64()), pa.array(hashes.view(np.int64))], names=_COUNTS.names)
 
 
 def _counts_as(one: np.ndarray, two: np.ndarray, shift: int) -> np.ndarray:
@@ -176,8 +203,8 @@ def _counts_as(one: np.ndarray, two: np.ndarray, shift: int) -> np.ndarray:
     return (one & two & KNOWN > 0) & ((begin & end) | reach_1 | reach_2)
 
 
-def count_phrases(texts: DataFrame, words: int, known: np.ndarray | None = None) -> DataFrame:
-    """lang, phrase, c, h from rows of lang and text."""
+def _counted(texts: DataFrame, tally: Callable[[_Words, object], pa.RecordBatch], known: object, schema: T.StructType) -> DataFrame:
+    """What the tally gives for each stretch of rows of lang and text."""
     spark = texts.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(known)
@@ -187,10 +214,31 @@ def count_phrases(texts: DataFrame, words: int, known: np.ndarray | None = None)
         for data, ends, langs in _stretches(batches):
             x = _Words(data, ends, langs)
             if len(x.name):
-                yield _tally(x, words, shared.value)
+                yield tally(x, shared.value)
         given_back()
 
-    return texts.mapInArrow(run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.max("h").alias("h"))
+    return texts.mapInArrow(run, schema)
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.max("h").alias("h"))
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """lang, phrase, c, h of words, and of '' for all words of a language."""
+    return _summed(_counted(texts, _words, None, _COUNTS))
+
+
+def count_pairs(texts: DataFrame, known: np.ndarray, least: int) -> DataFrame:
+    """The same of pairs of words flagged as frequent that occur `least` times."""
+    hashed = _counted(texts, _hashed_pairs, known, _HASHED).groupBy("h").agg(F.sum("c").alias("c"))
+    often = stored(hashed.where(F.col("c") >= least).select("h", F.lit(KNOWN).alias("flags")), "phrases-hashes")
+    return _summed(_counted(texts, _pairs, (known, flag_table(often, often.count())), _COUNTS)).where(F.col("c") >= least)
+
+
+def count_triples(texts: DataFrame, known: np.ndarray, least: int) -> DataFrame:
+    """The same of phrases of three words that the flags of pairs ask for."""
+    return _summed(_counted(texts, _triples, known, _COUNTS)).where(F.col("c") >= least)
 
 
 def flag_table(rows: DataFrame, n: int) -> np.ndarray:
@@ -250,10 +298,10 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     """lang, rank (from 1), phrase, a, l, r, n (words of the language), score: each language's first `top` phrases of two or
     three words. A phrase goes if a longer one that holds it has `share` percent of its occurrences."""
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    counted = stored(count_phrases(texts, 1).where((F.col("c") >= least) | (F.col("phrase") == "")), "phrases-words")
+    counted = stored(count_words(texts).where((F.col("c") >= least) | (F.col("phrase") == "")), "phrases-words")
     words, totals = counted.where("phrase <> ''"), counted.where("phrase = ''").select("lang", F.col("c").alias("n"))
     known = flag_table(words.select("h", F.lit(KNOWN).alias("flags")), words.count())
-    pairs = stored(count_phrases(texts, 2, known).where(F.col("c") >= least), "phrases-counts")
+    pairs = stored(count_pairs(texts, known, least), "phrases-counts")
     pairs = stored(_scored_pairs(pairs, words), "phrases-pairs")
     n_pairs, reach, longer, old = pairs.count(), 2 * top, None, None
     bars = stored(_bars(pairs, reach), "phrases-bars")
@@ -261,7 +309,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
         flags = _flags(pairs, _small(bars), 0)
         if old is not None:
             flags = flags.unionByName(_flags(pairs, _small(old), OLD))
-        found = stored(count_phrases(texts, 3, flag_table(flags, n_pairs)).where(F.col("c") >= least), "phrases-longer")
+        found = stored(count_triples(texts, flag_table(flags, n_pairs), least), "phrases-longer")
         longer = found if longer is None else longer.unionByName(found)
         alive = stored(_alive(pairs, longer, bars, share), "phrases-alive")
         enough = alive.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= top).select("lang", F.lit(True).alias("enough"))
