@@ -5,6 +5,7 @@ Every draw is an md5 of a seed and a key, so that it doesn't depend on partition
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -25,6 +26,47 @@ def uniform(seed: int | str, *keys: str | Column) -> Column:
     return F.conv(F.substring(draw(seed, *keys), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+#: The mean up to which a Poisson draw is inverted step by step.
+LARGEST_MEAN = 500
+
+
+def poisson_steps(mean: int) -> list[float]:
+    """P(X <= k) of a Poisson variable for k = 0, 1, ... as far as it differs from 1 in double precision."""
+    p = c = math.exp(-float(mean))
+    out = [c]
+    for k in range(1, math.ceil(mean + 12 * math.sqrt(mean) + 30) + 1):
+        p = p * mean / k
+        c += p
+        out.append(c)
+    return out
+
+
+def with_poisson(df: DataFrame, out: str, mean: str, seed: int | str, *keys: str | Column) -> DataFrame:
+    """Adds `out` (long), a draw from a Poisson distribution of the whole mean in a column: uniform(seed, *keys) inverted.
+
+    Beyond LARGEST_MEAN exp(-mean) would run out of range and the steps would be many. There a second draw makes the uniform
+    number a normal one, z, and the draw is the quantile mean + sqrt(mean) z + (z z - 1) / 6, rounded, whose next term
+    (below 0.06 for |z| < 4) no longer moves a draw by one.
+    """
+    name = free_name("_u", df)
+    u, n = F.col(name), F.col(mean).cast("double")
+    one = F.lit(0)  # the mean of most rows is 0 or 1
+    for c in poisson_steps(1)[:20]:
+        one = one + (u >= c).cast("int")
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * n / k
+        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), (s["k"] + (s["c"] + p <= u).cast("int")).alias("k"))
+
+    least = F.exp(-n)
+    first = F.struct(least.alias("p"), least.alias("c"), (least <= u).cast("int").alias("k"))
+    inverted = F.aggregate(F.sequence(F.lit(1), F.ceil(n + 12 * F.sqrt(n) + 30).cast("int")), first, step, lambda s: s["k"])
+    z = F.sqrt(-2 * F.ln(1 - u)) * F.cos(F.lit(2 * math.pi) * uniform(seed, *keys, F.lit("z")))
+    wide = F.greatest(F.lit(0.0), F.round(n + F.sqrt(n) * z + (z * z - 1) / 6))
+    drawn = F.when(n == 0, F.lit(0)).when(n == 1, one).when(n <= LARGEST_MEAN, inverted).otherwise(wide).cast("long")
+    return df.withColumn(name, uniform(seed, *keys)).withColumn(out, drawn).drop(name)  # a column, so that it is drawn once
+
+
 def bin_label(value: Column, edges: Sequence[float], labels: Sequence[str], left_closed: bool = True) -> Column:
     """The label of [edges[i], edges[i+1]) (or of (edges[i], edges[i+1]]); null outside."""
     out = F.lit(None).cast("string")
@@ -46,74 +88,110 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/boutlake/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back."""
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """The name, with a "_" more for as long as one of the tables has it in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows of a range that one task sorts, in running totals and numbers over a whole table.
 RANGE_ROWS = 1_000_000
 
 
-def _ranged(df: DataFrame, order: str, least: int) -> DataFrame:
-    """Adds `_range`: the row's range of the order, from 0 on, -1 where the order is null. Ranges are cut at quantiles and
-    become more as rows do (`least` of them at least), so that a task's share does not grow with the table."""
-    ranges = max(least, -(-df.count() // RANGE_ROWS))
-    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.3 / ranges)))
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    return df.withColumn("_range", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(place))
+def place_among(value: Column, cuts: Sequence[float]) -> Column:
+    """How many of the ascending cuts are below the value, by halving: log2 of their number steps, however many there are."""
+    table = F.array(*[F.lit(c) for c in cuts])
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        inside = s["low"] < s["high"]
+        below = inside & (F.get(table, middle) < value)
+        return F.struct(F.when(below, middle + 1).otherwise(s["low"]).alias("low"), F.when(inside & ~below, middle).otherwise(s["high"]).alias("high"))
+
+    if not cuts:
+        return F.lit(0)
+    ends = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), ends, halve, lambda s: s["low"])
+
+
+def _ranged(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Adds `out`: the row's range of the order, from 0 on, -1 where the order is null. Ranges hold some RANGE_ROWS rows and are
+    cut at quantiles, so that they become more as rows do, and a task's share does not grow with the table."""
+    ranges = -(-df.count() // RANGE_ROWS)
+    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.3 / ranges))) if ranges > 1 else []
+    return df.withColumn(out, F.when(F.col(order).isNull(), F.lit(-1)).otherwise(place_among(F.col(order), cuts)))
 
 
-def running_totals(df: DataFrame, order: str, values: Mapping[str, str], ranges: int = 32, descending: bool = False) -> DataFrame:
+def running_totals(df: DataFrame, order: str, values: Mapping[str, str], descending: bool = False) -> DataFrame:
     """Adds running sums over the whole table (`order` distinct), as {value: name of its sum}, without a window in a
     single partition. Rows whose order is null stay, add nothing to the others' sums, and have null sums.
 
     Two levels: rows are put into ranges of the order by quantiles; the ranges' totals (a row each) are summed up in a
     small window and joined back; within a range the window is partitioned.
     """
-    ranged = _ranged(df, order, ranges)
+    place = free_name("_range", df)
+    ranged = _ranged(df, order, place)
     by = F.desc if descending else F.asc
-    totals = ranged.where("_range >= 0").groupBy("_range").agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
-    before = Window.orderBy(by("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_range", *[F.coalesce(F.sum(f"_total_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values])
-    within = Window.partitionBy("_range").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.join(F.broadcast(totals), "_range", "left")  # no total of null orders: their sums are null
-    return joined.withColumns({out: F.col(f"_before_{v}") + F.sum(v).over(within) for v, out in values.items()}).drop("_range", *[f"_before_{v}" for v in values])
+    named = {v: (free_name(f"_total_{v}", df), free_name(f"_before_{v}", df)) for v in values}
+    totals = ranged.where(F.col(place) >= 0).groupBy(place).agg(*[F.sum(v).alias(t) for v, (t, _) in named.items()])
+    before = Window.orderBy(by(place)).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(place, *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(b) for t, b in named.values()])
+    within = Window.partitionBy(place).orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(F.broadcast(totals), place, "left")  # no total of null orders: their sums are null
+    sums = {out: F.col(named[v][1]) + F.sum(v).over(within) for v, out in values.items()}
+    return joined.withColumns(sums).drop(place, *[b for _, b in named.values()])
 
 
-def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), ranges: int = 8, count: str | None = None) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), count: str | None = None) -> DataFrame:
     """by, and {name: share} as columns: exact quantiles by linear interpolation of the values that aren't null (by null
     is a group of its own; without by one row, of nulls where there are no values). count: a column that says how many
     times a row's value counts.
 
-    Counts per value are made with map-side partials and written to the shared folder once. They are put into ranges of the value, whose sums go before the sums
-    within a range, so that no task holds all distinct values; a quantile is looked up by its places in the order.
+    Counts per value are made with map-side partials and written to the shared folder once. They are put into ranges of
+    the value, whose sums go before the sums within a range, so that no task holds all distinct values; a quantile is
+    looked up by its places in the order.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg((F.sum(count) if count else F.count("*")).alias("_c"))
-    path = shared_folder(df.sparkSession, "quantiles")
-    counts.write.parquet(path)
-    ranged = _ranged(df.sparkSession.read.schema(counts.schema).parquet(path), "_v", ranges)
-    sums = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))
-    group = Window.partitionBy(*by, F.lit(0))
-    before = F.coalesce(F.sum("_s").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_range").alias("_sum_range"), before.alias("_before"), F.sum("_s").over(group).alias("_all"))
-    same = F.col("_range") == F.col("_sum_range")
-    for i, b in enumerate(by):
-        same = same & F.col(b).eqNullSafe(F.col(f"_by{i}"))
-    within = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("_before") + F.sum("_c").over(within)
-    rows = ranged.join(sums, same).withColumn("_upto", upto)
+    keys = [F.col(b).alias(f"by{i}") for i, b in enumerate(by)]
+    names = [f"by{i}" for i in range(len(by))]
+    times = F.sum(count) if count else F.count("*")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(times.alias("c"))
+    ranged = _ranged(stored(counts, "quantiles"), "v", "range")
+    sums = ranged.groupBy(*names, "range").agg(F.sum("c").alias("s"))
+    group = Window.partitionBy(*names, F.lit(0))
+    before = F.coalesce(F.sum("s").over(group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(b).alias(f"sum_{b}") for b in names], F.col("range").alias("sum_range"), before.alias("before"), F.sum("s").over(group).alias("all"))
+    same = F.col("range") == F.col("sum_range")
+    for b in names:
+        same = same & F.col(b).eqNullSafe(F.col(f"sum_{b}"))
+    within = Window.partitionBy(*names, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.join(sums, same).withColumn("upto", F.col("before") + F.sum("c").over(within))
     found, out = [], []
     for name, share in shares.items():
-        place = F.lit(float(share)) * (F.col("_all") - 1)
+        place = F.lit(float(share)) * (F.col("all") - 1)
         for end, at in (("low", F.floor(place)), ("high", F.ceil(place))):
-            found.append(F.max(F.when((F.col("_upto") - F.col("_c") <= at) & (at < F.col("_upto")), F.col("_v"))).alias(f"_{end}_{name}"))
+            found.append(F.max(F.when((F.col("upto") - F.col("c") <= at) & (at < F.col("upto")), F.col("v"))).alias(f"{end}_{name}"))
         part = place - F.floor(place)
-        out.append((F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * part).alias(name))
-    return rows.groupBy(*by).agg(F.max("_all").alias("_all"), *found).select(*by, *out)
+        out.append((F.col(f"low_{name}") + (F.col(f"high_{name}") - F.col(f"low_{name}")) * part).alias(name))
+    return rows.groupBy(*names).agg(F.max("all").alias("all"), *found).select(*[F.col(b).alias(c) for b, c in zip(names, by)], *out)
 
 
-def numbered(df: DataFrame, order: str, out: str, ranges: int = 32) -> DataFrame:
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
     """Adds the row's number from 0 in this order (distinct values, nulls first): ranks within ranges plus the sizes of the
     ranges before."""
-    ranged = _ranged(df, order, ranges)
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranged = ranged.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.withColumn(out, F.col("_before") + own - 1).drop("_range", "_before")
+    place, size = free_name("_range", df), free_name("_before", df)
+    ranged = _ranged(df, order, place)
+    sizes = ranged.groupBy(place).agg(F.count("*").alias(size))
+    before = F.coalesce(F.sum(size).over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranged = ranged.join(F.broadcast(sizes.select(place, before.alias(size))), place)
+    own = F.row_number().over(Window.partitionBy(place).orderBy(order))
+    return ranged.withColumn(out, F.col(size) + own - 1).drop(place, size)

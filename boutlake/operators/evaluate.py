@@ -6,13 +6,13 @@ partials; what reaches a single task is at most one row per grid point or class.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.det import running_totals, uniform
+from ..functions.det import running_totals
+from .bootstrap import BUILT_IN, METRICS, bootstrap_ci, bootstrap_ood
 
 EPS = 1e-8
 
@@ -67,11 +67,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def _binary_columns() -> dict[str, Column]:
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    f1p, f1n = _ratio(2 * tp, 2 * tp + fp + fn), _ratio(2 * tn, 2 * tn + fp + fn)
-    rp, rn = _ratio(tp, tp + fn), _ratio(tn, tn + fp)
-    mcc = _ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
-    return {"f1_pos": f1p, "f1_neg": f1n, "macro_f1": (f1p + f1n) / 2, "precision_pos": _ratio(tp, tp + fp), "recall_pos": rp, "recall_neg": rn, "balanced_accuracy": (rp + rn) / 2, "mcc": mcc}
+    return {n: F.expr(METRICS[n].value) for n in BUILT_IN}
 
 
 def binary_metrics(preds: DataFrame, **names: str) -> DataFrame:
@@ -79,6 +75,12 @@ def binary_metrics(preds: DataFrame, **names: str) -> DataFrame:
     return preds.agg(*_binary_cells(**names)).select(*[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "tn")], *[F.round(c, 6).alias(n) for n, c in _binary_columns().items()])
 
 
+def binary_report(preds: DataFrame, score: str = "prob_tail", **names: str) -> DataFrame:
+    """binary_metrics with the area under the ROC curve and the average precision of the score beside them."""
+    curve = curve_metrics(threshold_curve(preds, score)).select("roc_auc", "average_precision")  # one row
+    return binary_metrics(preds, **names).crossJoin(F.broadcast(curve))
+
+
 def _bin_of(p: Column, bins: int) -> Column:
     """1 to bins for p in (lo, hi] of equal bins by comparison with the edges; null at 0 and below."""
     out = F.lit(None).cast("int")
@@ -165,57 +167,6 @@ def ood_breakdown(preds: DataFrame, label: str, score: str) -> DataFrame:
     return preds.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_pop(score), 6).alias("std"))
 
 
-def poisson_one() -> list[float]:
-    """P(X <= k) of a Poisson variable with mean 1, k from 0 to 9, 12 decimals."""
-    return [round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)), 12) for k in range(10)]
-
-
-def bootstrap_ci(preds: DataFrame, replicates: int = 1000, seed: int = 42, key: str = "clip_id", **names: str) -> DataFrame:
-    """One row per metric: metric, mean, low, high (2.5 and 97.5 %), std (population), over replicates that have both classes.
-
-    A row takes part in a replicate with a Poisson(1) weight drawn from its key. The rows times replicates are summed to
-    four cells a replicate before the shuffle.
-    """
-    u = uniform(seed, key, "replicate")
-    weight = F.lit(0)
-    for c in poisson_one():
-        weight = weight + (u >= c).cast("int")
-    reps = preds.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", weight).where("_w > 0")
-    cells = reps.groupBy("replicate").agg(*_binary_cells(F.col("_w"), **names)).where("tp + fn > 0 and fp + tn > 0")
-    values = cells.select(*[c.alias(n) for n, c in _binary_columns().items()])
-    long = values.unpivot([], list(_binary_columns()), "metric", "value")
-    six = lambda c, n: F.round(c, 6).alias(n)
-    return long.groupBy("metric").agg(six(F.avg("value"), "mean"), six(F.percentile("value", F.lit(0.025)), "low"), six(F.percentile("value", F.lit(0.975)), "high"), six(F.stddev_pop("value"), "std"))
-
-
-def bootstrap_ood(scores: DataFrame, replicates: int = 1000, seed: int = 42, key: str = "clip_id", score: str = "score", ood: str = "is_ood") -> DataFrame:
-    """metric (auroc, aupr_ood, fpr_at_95tpr), mean, low, high, std as bootstrap_ci, over replicates that have rows of both
-    sides: both are resampled, by Poisson(1) weights.
-
-    Weights are summed to a row per replicate and distinct score; running sums are within a replicate.
-    """
-    u = uniform(seed, key, "replicate")
-    weight = F.lit(0)
-    for c in poisson_one():
-        weight = weight + (u >= c).cast("int")
-    reps = scores.select(key, F.col(score).alias("s"), F.col(ood).alias("o")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", weight).where("_w > 0")
-    side = lambda c: F.sum(F.when(c, F.col("_w")).otherwise(0))
-    points = reps.groupBy("replicate", "s").agg(side(~F.col("o")).alias("pos"), side(F.col("o")).alias("neg"))
-    w = Window.partitionBy("replicate").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = points.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
-    totals = points.groupBy("replicate").agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn")).where("np > 0 and nn > 0")
-    rows = curve.join(F.broadcast(totals), "replicate")
-    below = F.col("nn") - F.col("fp") + F.col("neg")  # OOD rows at this score or below; a row per replicate and score
-    under = F.col("np") - F.col("tp") + F.col("pos")
-    values = rows.groupBy("replicate").agg(
-        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2) / F.col("np") / F.col("nn")).alias("auroc"), F.sum(F.col("neg") / F.col("nn") * below / (below + under)).alias("aupr_ood"),
-        F.coalesce(F.min(F.when(F.col("tp") / F.col("np") >= 0.95, F.col("fp") / F.col("nn"))), F.lit(1.0)).alias("fpr_at_95tpr"),
-    )
-    long = values.unpivot([], ["auroc", "aupr_ood", "fpr_at_95tpr"], "metric", "value")
-    six = lambda c, n: F.round(c, 6).alias(n)
-    return long.groupBy("metric").agg(six(F.avg("value"), "mean"), six(F.percentile("value", F.lit(0.025)), "low"), six(F.percentile("value", F.lit(0.975)), "high"), six(F.stddev_pop("value"), "std"))
-
-
 def _at_thresholds(preds: DataFrame, grid: DataFrame, score: str, true: str, positive: str) -> DataFrame:
     """threshold, tp, fp, fn, tn: the grid is small and broadcast, sums are partial in each task."""
     rows = preds.select(F.col(true).alias("true_label"), F.col(score).alias("_s")).crossJoin(F.broadcast(grid))
@@ -383,21 +334,45 @@ def prob_clusters(preds: DataFrame, least: int = 3, score: str = "prob_tail", tr
     return preds.groupBy(F.bround(score, digits).alias("value")).agg(F.count("*").alias("n"), F.count_if(F.col(true) == positive).alias("positives")).where(F.col("n") >= least)
 
 
+def _report_parts(preds: DataFrame, ood: str, replicates: int, method: str, label: str) -> dict[str, tuple[DataFrame, list[str]]]:
+    """section: (table, the columns that name its rows; none where it has one row)."""
+    known = preds.where(~F.col(ood))
+    scored = preds.withColumn("score", ood_scores([F.col("prob_ear"), F.col("prob_tail")], method))
+    parts = {
+        "binary": (binary_metrics(known), []), "curve": (curve_metrics(threshold_curve(known)), []), "calibration": (ece(known), []),
+        "confusion": (confusion_matrix(known).select("true_label", "pred_label", "n"), ["true_label", "pred_label"]),
+        "bootstrap": (bootstrap_ci(known, replicates), ["metric"]),
+    }
+    if not preds.where(ood).isEmpty():
+        parts |= {
+            "ood": (ood_metrics(scored), []), "ood_bootstrap": (bootstrap_ood(scored, replicates), ["metric"]),
+            "ood_breakdown": (ood_breakdown(scored.where(ood), label, "score"), [label]),
+            "selective": (selective_curve(scored.where(~F.col(ood)), confidence="score"), ["step"]),
+        }
+    return parts
+
+
+def report_rows(preds: DataFrame, ood: str = "is_ood", replicates: int = 1000, method: str = "msp", label: str = "label") -> DataFrame:
+    """section, item, metric, value: the report as rows; item names a row of a section that has several."""
+    out = None
+    for section, (df, keys) in _report_parts(preds, ood, replicates, method, label).items():
+        item = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("item")
+        values = [F.col(c).cast("double").alias(c) for c in df.columns if c not in keys]
+        rows = df.select(item, *values).unpivot("item", [c for c in df.columns if c not in keys], "metric", "value")
+        rows = rows.select(F.lit(section).alias("section"), "item", "metric", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def evaluate_report(preds: DataFrame, ood: str = "is_ood", replicates: int = 1000, method: str = "msp", label: str = "label") -> DataFrame:
     """One row with `report`, a JSON text: metrics, confusion, calibration and bootstrap of the known rows, and the
     out-of-distribution metrics, their bootstrap, the breakdown by `label` and the selective curve of the known rows where
     there are such rows. The scored rows are read once a part."""
-    known = preds.where(~F.col(ood))
-    scored = preds.withColumn("score", ood_scores([F.col("prob_ear"), F.col("prob_tail")], method))
-    matrix = confusion_matrix(known).agg(F.array_sort(F.collect_list(F.struct("true_label", "pred_label", "n"))).alias("confusion"))
-    ci = bootstrap_ci(known, replicates).agg(F.array_sort(F.collect_list(F.struct("metric", "mean", "low", "high", "std"))).alias("bootstrap"))
-    one = lambda df, n: df.select(F.struct("*").alias(n))
-    rows = one(binary_metrics(known), "binary").crossJoin(one(curve_metrics(threshold_curve(known)), "curve")).crossJoin(one(ece(known), "calibration")).crossJoin(matrix).crossJoin(ci)
-    if not preds.where(ood).isEmpty():
-        listed = lambda df, n: df.agg(F.array_sort(F.collect_list(F.struct("*"))).alias(n))
-        rows = rows.crossJoin(one(ood_metrics(scored), "ood")).crossJoin(listed(bootstrap_ood(scored, replicates), "ood_bootstrap"))
-        rows = rows.crossJoin(listed(ood_breakdown(scored.where(ood), label, "score"), "ood_breakdown"))
-        rows = rows.crossJoin(listed(selective_curve(scored.where(~F.col(ood)), confidence="score"), "selective"))
+    rows = None
+    for section, (df, keys) in _report_parts(preds, ood, replicates, method, label).items():
+        one = F.array_sort(F.collect_list(F.struct("*"))) if keys else F.first(F.struct("*"))
+        part = df.agg(one.alias(section))
+        rows = part if rows is None else rows.crossJoin(part)  # one row each
     return rows.select(F.to_json(F.struct("*")).alias("report"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import audit, evaluate, planning, runs
+from ..operators import audit, bootstrap, evaluate, planning, runs
 from .bindings import EV, PR, events, predictions, table
 from .linking import TH, three
 
@@ -221,9 +222,7 @@ def a18(spark, d):
     return evaluate.classification_metrics(predictions(spark, d), ["ear", "tail", "other"])
 
 
-@query("a19_binary_metrics", f"WITH {PR}, k AS (SELECT {_CELLS} FROM pr) SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, {', '.join(f'round({v}, 6) AS {n}' for n, v in _BIN.items())} FROM k")
-def a19(spark, d):
-    return evaluate.binary_metrics(predictions(spark, d))
+_BINARY = f"WITH {PR}, k AS (SELECT {_CELLS} FROM pr) SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, {', '.join(f'round({v}, 6) AS {n}' for n, v in _BIN.items())} FROM k"
 
 
 _CURVE = f"{PR}, pt AS (SELECT prob_tail AS score, count(*) FILTER (true_label = 'tail') AS pos, count(*) FILTER (true_label <> 'tail') AS neg FROM pr GROUP BY 1), cv AS (SELECT *, sum(pos) OVER (ORDER BY score DESC)::BIGINT AS tp, sum(neg) OVER (ORDER BY score DESC)::BIGINT AS fp FROM pt)"
@@ -234,7 +233,15 @@ def w7(spark, d):
     return evaluate.threshold_curve(predictions(spark, d))
 
 
-@query("w7_curve_metrics", f"WITH {_CURVE} SELECT sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg, round(sum(neg * (tp - pos / 2)) / sum(pos) / sum(neg), 6) AS roc_auc, round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS average_precision FROM cv")
+_CURVE_METRICS = f"WITH {_CURVE} SELECT sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg, round(sum(neg * (tp - pos / 2)) / sum(pos) / sum(neg), 6) AS roc_auc, round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS average_precision FROM cv"
+
+
+@query("a19_binary_metrics", f"SELECT * FROM ({_BINARY}), (SELECT roc_auc, average_precision FROM ({_CURVE_METRICS}))")
+def a19(spark, d):
+    return evaluate.binary_report(predictions(spark, d))
+
+
+@query("w7_curve_metrics", _CURVE_METRICS)
 def w7_metrics(spark, d):
     return evaluate.curve_metrics(evaluate.threshold_curve(predictions(spark, d)))
 
@@ -285,17 +292,93 @@ def a23(spark, d):
     return evaluate.ood_breakdown(sure(spark, d).where("is_ood"), "label", "msp")
 
 
-_W = " + ".join(f"(u >= {c!r})::INT" for c in evaluate.poisson_one())
-_WC = _CELLS.replace("count(*)", "coalesce(sum(w)").replace("::DOUBLE AS", ", 0)::DOUBLE AS")
+def _steps_sql(means: str) -> str:
+    """SQL of tables: the steps `cs` of the Poisson distribution for each whole mean `n` of a table up to 500."""
+    return f"""cdf(n, k, p, c) AS (SELECT DISTINCT n, 0, exp(-n::DOUBLE), exp(-n::DOUBLE) FROM ({means}) WHERE n <= 500
+  UNION ALL SELECT n, k + 1, p * n / (k + 1), c + p * n / (k + 1) FROM cdf WHERE k < ceil(n + 12 * sqrt(n) + 30)),
+steps AS (SELECT n, list(c ORDER BY k) AS cs FROM cdf GROUP BY n)"""
+
+
+def _draw_sql(rows: str, n: str, key: str, out: str) -> str:
+    """SQL of a query: the rows with a Poisson draw of mean n by this key, for each replicate from 1 to 1000."""
+    u = lambda k: f"('0x' || substr(md5({k}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
+    wide = f"greatest(0, round({n} + sqrt({n}) * z + (z * z - 1) / 6))"
+    z = f"sqrt(-2 * ln(1 - u)) * cos(2 * pi() * {u(key + " || '|z'")})"
+    return f"""SELECT * EXCLUDE (cs, u, z, m), CASE WHEN {n} <= 500 THEN len(list_filter(cs, lambda c: c <= u)) ELSE {wide} END::BIGINT AS {out}
+  FROM (SELECT *, {z} AS z FROM (SELECT *, {u(key)} AS u FROM ({rows}) LEFT JOIN (SELECT n AS m, cs FROM steps) ON m = {n}))"""
+
 
+def _interval_sql(long: str) -> str:
+    return f"""SELECT metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high,
+  round(stddev_pop(value), 6) AS std FROM ({long}) GROUP BY metric"""
 
-@query("a24_bootstrap_ci", f"""WITH {PR}, r AS (SELECT pr.*, b AS replicate, ('0x' || substr(md5('42|' || clip_id || '|' || b), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM pr, (SELECT unnest(range(1, 1001)) AS b)), w AS (SELECT *, {_W} AS w FROM r),
-k AS (SELECT replicate, {_WC} FROM w WHERE w > 0 GROUP BY replicate), v AS (SELECT {', '.join(f'{v} AS {n}' for n, v in _BIN.items())} FROM k WHERE tp + fn > 0 AND fp + tn > 0), l AS (UNPIVOT v ON {', '.join(_BIN)} INTO NAME metric VALUE value)
-SELECT metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(stddev_pop(value), 6) AS std FROM l GROUP BY metric""")
+
+_REPLICATES = "(SELECT unnest(range(1, 1001)) AS replicate)"
+_PATTERN = " || ".join(f"CASE WHEN true_label {y} 'tail' AND pred_label {z} 'tail' THEN '1' ELSE '0' END" for y, z in (("=", "="), ("<>", "="), ("=", "<>"), ("<>", "<>")))
+
+
+def _cells_sql(pattern: str, cells: tuple[str, ...]) -> str:
+    """SQL of tables up to `k`: the weighted cells of each replicate."""
+    sums = ", ".join(f"coalesce(sum(w) FILTER (substr(pattern, {i + 1}, 1) = '1'), 0)::DOUBLE AS {c}" for i, c in enumerate(cells))
+    drawn = _draw_sql(f"SELECT * FROM cells, {_REPLICATES}", "n", "'42|' || pattern || '|' || replicate", "w")
+    return f"""{PR}, cells AS (SELECT {pattern} AS pattern, count(*) AS n FROM pr GROUP BY 1), {_steps_sql("SELECT n FROM cells")},
+k AS (SELECT replicate, {sums} FROM ({drawn}) GROUP BY replicate)"""
+
+
+_BINARY_VALUES = f"SELECT {', '.join(f'{v} AS {n}' for n, v in _BIN.items())} FROM k WHERE tp + fn > 0 AND fp + tn > 0"
+_CI = _cells_sql(_PATTERN, ("tp", "fp", "fn", "tn"))
+
+
+@query("a24_bootstrap_ci", f"WITH RECURSIVE {_CI}, v AS ({_BINARY_VALUES}) {_interval_sql(f'UNPIVOT v ON {", ".join(_BIN)} INTO NAME metric VALUE value')}")
 def a24(spark, d):
     return evaluate.bootstrap_ci(predictions(spark, d), 1000)
 
 
+#: A user's metric: how many of the rows that the model is sure of are wrong, against all wrong ones.
+SURE_ERRORS = bootstrap.Metric("coalesce(try_divide(sure, wrong), 0D)", {"sure": "true_label <> pred_label and abs(prob_tail - 0.5) > 0.3", "wrong": "true_label <> pred_label"}, "wrong > 0")
+_OWN = _cells_sql("CASE WHEN true_label <> pred_label AND abs(prob_tail - 0.5) > 0.3 THEN '1' ELSE '0' END || CASE WHEN true_label <> pred_label THEN '1' ELSE '0' END", ("sure", "wrong"))
+
+
+@query("a24_bootstrap_metrics", f"""SELECT * FROM (WITH RECURSIVE {_CI}, v AS (SELECT macro_f1, mcc FROM ({_BINARY_VALUES})) {_interval_sql("UNPIVOT v ON macro_f1, mcc INTO NAME metric VALUE value")})
+UNION ALL SELECT * FROM (WITH RECURSIVE {_OWN} {_interval_sql("SELECT 'sure_errors' AS metric, sure / wrong AS value FROM k WHERE wrong > 0")})""")
+def a24_metrics(spark, d):
+    return evaluate.bootstrap_ci(predictions(spark, d), 1000, metrics=["macro_f1", "mcc", ("sure_errors", SURE_ERRORS)])
+
+
+def weighted_auc(rows: pd.DataFrame) -> float | None:
+    """A user's function of true_label, permille (a score) and weight: the area under the ROC curve."""
+    sums = rows.assign(pos=rows["weight"] * (rows["true_label"] == "tail"), neg=rows["weight"] * (rows["true_label"] != "tail"))
+    points = sums.groupby("permille")[["pos", "neg"]].sum().sort_index(ascending=False)
+    pos, neg = points["pos"].sum(), points["neg"].sum()
+    return float((points["neg"] * (points["pos"].cumsum() - points["pos"] / 2)).sum() / pos / neg) if pos and neg else None
+
+
+_CUSTOM = _draw_sql(f"SELECT * FROM cells, {_REPLICATES}", "n", "'42|' || true_label || '|' || permille || '|' || replicate", "w")
+
+
+@query("a24_bootstrap_custom", f"""WITH RECURSIVE {PR}, cells AS (SELECT true_label, round(prob_tail * 1000)::INT AS permille, count(*) AS n FROM pr GROUP BY 1, 2), {_steps_sql("SELECT n FROM cells")},
+p AS (SELECT replicate, permille, sum(CASE WHEN true_label = 'tail' THEN w ELSE 0 END) AS pos, sum(CASE WHEN true_label <> 'tail' THEN w ELSE 0 END) AS neg FROM ({_CUSTOM}) GROUP BY 1, 2),
+c AS (SELECT *, sum(pos) OVER (PARTITION BY replicate ORDER BY permille DESC) AS tp FROM p)
+{_interval_sql("SELECT 'auc' AS metric, sum(neg * (tp - pos / 2)) / sum(pos) / sum(neg) AS value FROM c GROUP BY replicate HAVING sum(pos) > 0 AND sum(neg) > 0")}""")
+def a24_custom(spark, d):
+    p = predictions(spark, d).select("true_label", F.round(F.col("prob_tail") * 1000).cast("int").alias("permille"))
+    return bootstrap.bootstrap_custom(p, weighted_auc, ["true_label", "permille"], 1000, name="auc")
+
+
+_OOD_DRAWS = _draw_sql(_draw_sql(f"SELECT * FROM points, {_REPLICATES}", "ids", "'42|' || place || '|id|' || replicate", "pos"), "oods", "'42|' || place || '|ood|' || replicate", "neg")
+_OOD_VALUES = """SELECT sum(neg * (tp - pos / 2) / np / nn) AS auroc, sum(neg / nn * otp / (otp + ofp)) AS aupr_ood, coalesce(min(fp / nn) FILTER (tp / np >= 0.95), 1.0) AS fpr_at_95tpr
+  FROM cv WHERE np > 0 AND nn > 0 GROUP BY replicate"""
+
+
+@query("a24_bootstrap_ood", f"""WITH RECURSIVE {PR}, points AS (SELECT row_number() OVER (ORDER BY s) - 1 AS place, s, ids, oods FROM (SELECT greatest(prob_ear, prob_tail) AS s, count(*) FILTER (label < 7) AS ids, count(*) FILTER (label >= 7) AS oods FROM pr GROUP BY 1)),
+{_steps_sql("SELECT ids AS n FROM points UNION SELECT oods FROM points")}, dr AS ({_OOD_DRAWS}),
+cv AS (SELECT replicate, pos, neg, sum(pos) OVER down AS tp, sum(neg) OVER down AS fp, sum(neg) OVER up AS otp, sum(pos) OVER up AS ofp, sum(pos) OVER (PARTITION BY replicate) AS np, sum(neg) OVER (PARTITION BY replicate) AS nn
+  FROM dr WHERE pos + neg > 0 WINDOW down AS (PARTITION BY replicate ORDER BY place DESC), up AS (PARTITION BY replicate ORDER BY place)),
+v AS ({_OOD_VALUES}) {_interval_sql("UNPIVOT v ON auroc, aupr_ood, fpr_at_95tpr INTO NAME metric VALUE value")}""")
+def a24_ood(spark, d):
+    return evaluate.bootstrap_ood(sure(spark, d).withColumn("score", F.col("msp")), 1000)
+
+
 _SWEEP = f"{PR}, g AS (SELECT round(unnest(range(2, 19)) * 0.05::DOUBLE, 6) AS threshold), x AS (SELECT threshold, true_label, CASE WHEN prob_tail >= threshold THEN 'tail' ELSE '' END AS pred_label FROM pr, g), k AS (SELECT threshold, {_CELLS} FROM x GROUP BY threshold)"
 
 
@@ -416,6 +499,29 @@ def a36(spark, d):
     return evaluate.error_breakdown(predictions(spark, d), ["true_label", "label"])
 
 
+def _part_sql(section: str, sql: str, keys: tuple[str, ...] = (), known: bool = False) -> str:
+    """SQL of a section of the report from the SQL of its table; known: of the rows that aren't OOD."""
+    sql = sql.replace(PR, PR.replace("FROM embeddings)", "FROM embeddings WHERE label < 7)")) if known else sql
+    item = "concat_ws('|', " + ", ".join(f"{k}::VARCHAR" for k in keys) + ")" if keys else "''"
+    plain = f"SELECT {item} AS item, COLUMNS(* EXCLUDE ({', '.join(keys)}))::DOUBLE FROM ({sql})" if keys else f"SELECT '' AS item, COLUMNS(*)::DOUBLE FROM ({sql})"
+    return f"SELECT '{section}' AS section, item, metric, value FROM (UNPIVOT ({plain}) ON COLUMNS(* EXCLUDE (item)) INTO NAME metric VALUE value)"
+
+
+def _report_sql() -> str:
+    of = lambda name: Q[name][1]
+    return " UNION ALL ".join([
+        _part_sql("binary", _BINARY, known=True), _part_sql("curve", _CURVE_METRICS, known=True), _part_sql("calibration", of("a20_ece_positive"), known=True),
+        _part_sql("confusion", f"SELECT true_label, pred_label, n FROM ({of('a17_confusion_matrix')})", ("true_label", "pred_label"), True),
+        _part_sql("bootstrap", of("a24_bootstrap_ci"), ("metric",), True), _part_sql("ood", of("a22_ood_metrics")), _part_sql("ood_bootstrap", of("a24_bootstrap_ood"), ("metric",)),
+        _part_sql("ood_breakdown", of("a23_ood_breakdown"), ("label",)), _part_sql("selective", of("a26_selective_curve"), ("step",), True),
+    ])
+
+
+@query("a37_report_rows", _report_sql())
+def a37_rows(spark, d):
+    return evaluate.report_rows(sure(spark, d), replicates=1000)
+
+
 @query("a37_evaluate_report", None)
 def a37(spark, d):
     return evaluate.evaluate_report(sure(spark, d), replicates=1000)

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.det import shared_folder
 from ..sources import tables
-from ..streaming import streams
+from ..streaming import bouts, streams
 from .bindings import EV, events, table
 from .cleaning import GAP, RANGES, TYPES, BOUTS_SQL, _DUR_SQL, _ID_SQL, _TYPE_SQL
 from .linking import TH, three
@@ -147,9 +148,34 @@ def stream_clean(spark, d):
     return _streamed(spark, d, lambda s: streams.stream_clean(s, TYPES, (1, 120, 300), RANGES).select("event_idx", "label", "flags"))
 
 
+_END = "~end of the feed"
+
+
+def _bouts(spark, d):
+    """All rows of the bouts of a feed that ends with a mark in a later year, so that the watermark passes every event."""
+    e = events(spark, d).select("event_idx", "video", "start_sec", "duration_sec")
+    feed, out, mark = (shared_folder(spark, n) for n in ("feed", "out", "mark"))
+    end = spark.createDataFrame([(0, _END, 1e9, 0.0)], e.schema)
+    e.unionByName(end).write.parquet(feed)
+    stream = bouts.stream_bouts(spark.readStream.schema(e.schema).parquet(feed), GAP, slot=86_400.0)
+    bouts.write_bouts(stream, out, mark, availableNow=True).awaitTermination()
+    return bouts.split_kinds(spark.read.schema(stream.schema).parquet(out))
+
+
 @query("stream_bouts", f"WITH {BOUTS_SQL} SELECT event_idx, video, bout_id, false AS late FROM bt")
 def stream_bouts(spark, d):
-    return _streamed(spark, d, lambda s: streams.stream_bouts(s.select("event_idx", "video", "start_sec", "duration_sec"), GAP))
+    """Bouts are numbered here as in the batch operator, by their first start."""
+    found = _bouts(spark, d)
+    first = F.min("start_sec").over(Window.partitionBy("video", "bout_id"))
+    rows = found[bouts.EVENT].withColumn("first", first)
+    number = F.dense_rank().over(Window.partitionBy("video").orderBy("first")).cast("string")
+    kept = rows.select("event_idx", "video", F.concat(F.col("video"), F.lit("__bout_"), number).alias("bout_id"), F.lit(False).alias("late"))
+    return kept.unionByName(found[bouts.LATE].select("event_idx", "video", F.lit(None).cast("string").alias("bout_id"), F.lit(True).alias("late")))
+
+
+@query("stream_closed_bouts", f"WITH {BOUTS_SQL} SELECT video, count(*) AS n_events, min(start_sec) AS start_sec, arg_max(start_sec + coalesce(duration_sec, 0), (start_sec, event_idx)) AS end_sec FROM bt GROUP BY video, bout_id")
+def stream_closed_bouts(spark, d):
+    return _bouts(spark, d)[bouts.CLOSED].select("video", "n_events", "start_sec", "end_sec")
 
 
 def _streamed(spark, d, transform):

@@ -1,13 +1,9 @@
-"""Annotation feeds as streams: cleaning is stateless and runs as it is; bouts keep a state per recording."""
+"""Annotation feeds as streams: cleaning is stateless and runs as it is (bouts: bouts.py)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import clean
 
@@ -16,25 +12,3 @@ def stream_clean(events: DataFrame, labels: dict[str, str], limits: tuple[float,
     """Adds label and flags; works on batch and streaming tables alike."""
     flags = F.array_compact(F.array(clean.flag_duration(F.col("duration_sec"), *limits), F.concat(F.lit("initiator_"), clean.flag_id(F.col("animal_id"), ranges))))
     return events.withColumn("label", clean.normalize_label(F.col("event_type"), labels)).withColumn("flags", F.array_join(flags, "|"))
-
-
-def stream_bouts(events: DataFrame, gap: float, idle: str = "NoTimeout") -> DataFrame:
-    """event_idx, video, bout_id, late for events (event_idx, video, start_sec, duration_sec) that arrive in about the order
-    of their start. The state of a video is the previous event's start and end and the bout's number; an event that
-    starts before one already seen is marked late and joins no bout (bout_id null)."""
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, bout = state.get if state.exists else (float("-inf"), float("-inf"), 0)
-        rows = pd.concat(list(parts)).sort_values(["start_sec", "event_idx"])
-        out = []
-        for idx, s, d in zip(rows["event_idx"], rows["start_sec"], rows["duration_sec"]):
-            if s < start:
-                out.append((int(idx), key[0], None, True))
-                continue
-            if bout == 0 or s - end > gap:
-                bout += 1
-            start, end = float(s), float(s + d)
-            out.append((int(idx), key[0], f"{key[0]}__bout_{bout}", False))
-        state.update((start, end, bout))
-        yield pd.DataFrame(out, columns=["event_idx", "video", "bout_id", "late"])
-
-    return events.groupBy("video").applyInPandasWithState(step, "event_idx long, video string, bout_id string, late boolean", "start double, end double, bout int", "append", getattr(GroupStateTimeout, idle))
