@@ -39,6 +39,8 @@ FOLD = bytes.maketrans(_UPPER, _LOWER)
 CHAIN_BYTES = 16 << 20
 #: Bytes of heads that a bucket holds at most.
 BUCKET_BYTES = 64 << 20
+#: Key ranges (buckets) that an owner task works off, one after the other.
+OWNED = 16
 
 _HEADS = "uid long, doc_id long, head long, key long, text_sha256 string, size long, text binary"
 
@@ -123,7 +125,7 @@ def _prefix(depth: int):
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, max_depth: int = 40) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, uid (an own number of the row)."""
-    rows = stored(map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), _chain, struct(_HEADS)), "dedup-heads")
+    rows = stored(map_arrow(docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("binary")), _chain, struct(_HEADS)), "dedup-heads")
     heads = rows.where(F.col("text").isNotNull())
     buckets = sorted(((p << (64 - d)) if d else 0) for p, d in directory(heads, bucket_bytes, max_depth))
     starts = np.array(buckets, dtype=np.uint64)
@@ -137,7 +139,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return step
 
     owned = map_arrow(heads.select("key", "head", "text"), locate, struct("bucket long, key long, head long, text binary"))
-    n = max(1, len(buckets), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, -(-len(buckets) // OWNED), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     owned = owned.repartition(n, "bucket").sortWithinPartitions("key", "head")
     roots = map_arrow(owned.select("key", "head", "text"), _own, struct("head long, root long"))
     members = stored(rows.select("uid", "doc_id", "head", "text_sha256").join(roots, "head"), "dedup-members")

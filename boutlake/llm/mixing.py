@@ -13,6 +13,8 @@ Rows: a null source counts as a source of its own; rows with repeated ids draw a
 null id draws by all of its columns, so that such rows don't draw alike nor end up in one place unless they are equal.
 Null, empty and long texts are carried as they are. Sources of weight 0 vanish. An empty table stays empty. All columns
 of the input stay as they are: where one has the name of an added column in any case, the added one gets a "_" more.
+Columns of the input that differ in case only need a session that tells cases apart (spark.sql.caseSensitive); else Spark
+itself holds their names to be ambiguous. A rate of any size is made in chunks of COPIES, which are dealt out first.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from ._common import BROADCAST_ROWS, stored, tasks_for
 
 #: The mean up to which one draw is inverted directly.
 LARGEST_MEAN = 500.0
-#: Rows of a partition of the result.
-ROWS = 50_000
+#: Rows of a partition of the result, and copies of a row that are made at once.
+ROWS, COPIES = 50_000, 10_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -81,7 +83,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", wei
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_MEAN)).cast("int")
     rates = source_rates(docs, source_col, weights, budget).where("rate > 0").withColumn("_parts", parts)
     rates = stored(rates.select(F.col("source").alias("_source"), "size", "rate", "_parts"), "mixing-rates")
-    sources, rows = rates.agg(F.count("*"), F.coalesce(F.sum(F.col("size") * F.col("rate")), F.lit(0.0))).first()
+    sources, rows, most = rates.agg(F.count("*"), F.coalesce(F.sum(F.col("size") * F.col("rate")), F.lit(0.0)), F.coalesce(F.max("rate"), F.lit(0.0))).first()
     rates = rates.select("_source", "_parts", poisson_cdf(F.col("rate") / F.col("_parts")).alias("_cdf"))
     if sources <= BROADCAST_ROWS // 100:
         rates = F.broadcast(rates)
@@ -91,8 +93,15 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", wei
     joined = nested.select("_row", ident.alias("_ident")).join(rates, F.col(f"_row.`{source_col}`").eqNullSafe(F.col("_source")))
     draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: uniform(salt, F.col("_ident"), j))
     count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda c: c <= u)))
-    # The outer form: a filter for counts over 0 would be pushed below and would draw a second time.
-    copies = joined.select("_row", "_ident", F.posexplode_outer(F.array_repeat(F.lit(0), count)).alias("_copy", "_one")).where("_one = 0")
+    # Counts are a column of their own and the explode is the outer form: a filter for counts over 0 would be pushed below
+    # and would draw a second time.
+    drawn = joined.select("_row", "_ident", count.alias("_count"))
+    chunks = F.when(F.col("_count") > 0, F.sequence(F.lit(0), F.floor((F.col("_count") - 1) / COPIES).cast("int")))
+    dealt = drawn.select("_row", "_ident", "_count", F.explode_outer(chunks).alias("_chunk")).where("_chunk is not null")
+    if most > COPIES:
+        dealt = dealt.repartition(tasks_for(spark, int(rows), ROWS * 10))  # a row's chunks go to many tasks
+    last = F.least(F.col("_count"), (F.col("_chunk") + 1) * COPIES) - 1
+    copies = dealt.select("_row", "_ident", F.explode(F.sequence(F.col("_chunk") * COPIES, last)).alias("_copy"))
     key = F.md5(F.concat_ws("|", salt, F.col("_ident"), F.lit("copy"), F.col("_copy").cast("string")).cast("binary"))
     names = [_free("copy", docs.columns), _free("shuffle_key", docs.columns)]
     out = copies.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], F.col("_copy").alias(names[0]), key.alias(names[1]))

@@ -40,7 +40,7 @@ Only the id and the text are read, so that columns of any other name play no par
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +60,8 @@ WORTHWHILE = 0.25
 HOT, HOT_MOST = 64, 1_000_000
 #: Parts that the region of a frequent shingle is dealt out in.
 PARTS = 64
-#: The share of the hash range in which shingles are counted; windows reach beyond it only where most of a text is frequent.
+#: The share of the hash range in which the shingles of all texts are counted at first. Texts whose windows reach beyond it are
+#: counted in whole after that, so it shifts work only.
 COUNTED = 0.3
 
 #: By turn: numbers of sets that two different sets had; these take the number of the next turn.
@@ -121,9 +122,27 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[D
         clashes = (*clashes, bad)
 
 
-def frequent(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
-    """Sorted hashes of shingles that more than HOT texts hold, of those counted."""
+def frequent(docs: DataFrame, text_col: str, words: int, percent: int) -> np.ndarray:
+    """Sorted hashes of the shingles that more than HOT texts hold, of all that may come into a window.
+
+    A window holds a text's first shingles that aren't frequent, by their hashes. So it is enough to count those in the
+    lowest part of the hash range at first; a text that has too few infrequent ones there (as much of it is shared
+    with many) is counted a second time, with all others of its shingles. Windows of other texts hold none of these,
+    so that they are counted where they matter.
+    """
     top = np.uint64(int(COUNTED * (1 << 64)))
+    lowest = _often(docs, text_col, words, lambda own: own[: np.searchsorted(own, top)])
+    shared = docs.sparkSession.sparkContext.broadcast(lowest)
+
+    def rest(own: np.ndarray) -> np.ndarray:
+        at = int(np.searchsorted(own, top))
+        return own[at:] if in_order(own[:at], shared.value)[1] < window_size(len(own), percent) else own[:0]
+
+    return np.union1d(lowest, _often(docs, text_col, words, rest))
+
+
+def _often(docs: DataFrame, text_col: str, words: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sorted hashes that are in a part of more than HOT texts, HOT_MOST at most."""
 
     def make() -> object:
         seen: set[int] = set()
@@ -141,8 +160,9 @@ def frequent(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
                     continue
                 if len(seen) < 200_000:
                     seen.add(name)
-                kept.append(own[: np.searchsorted(own, top)])
-                held += len(kept[-1])
+                if len(own := part(own)):
+                    kept.append(own)
+                    held += len(own)
                 if held > 1 << 20:
                     yield counted()
                     kept, held = [], 0
@@ -545,7 +565,7 @@ class _Join:
     """What components and links begin with: nodes, regions' members, full sets."""
 
     def __init__(self, docs: DataFrame, profile: DataFrame, clashes: Clashes, text_col: str, words: int, percent: int) -> None:
-        self.percent, self.hot = percent, frequent(docs, text_col, words)
+        self.percent, self.hot = percent, frequent(docs, text_col, words, percent)
         self.classes = stored(profile.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "join-classes")
         found = stored(regions(entries(docs, text_col, words, percent, self.hot, clashes)), "join-regions")
         self.members = stored(members_of(found), "join-members")

@@ -22,10 +22,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, shared_dir, struct
+from ._common import BROADCAST_ROWS, map_arrow, shared_dir, struct
 
 RULE_VERSION = "1"
 BASE = ("assign", "access", "hex")
@@ -91,16 +91,49 @@ def new_ledger(spark: SparkSession) -> str:
     return path
 
 
-def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scans the unseen blobs of these versions, appends them to the ledger, and returns doc_id, blob, kinds, starts, ends."""
-    spark = versions.sparkSession
+def _book(spark: SparkSession, ledger: str, rule_version: str) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version)
+
+
+def _blob(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def record(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION, text_col: str = "text") -> None:
+    """Scans the blobs of these versions that the ledger lacks for these rules, each once, and appends them.
+
+    Known blobs are left out before texts are moved where the ledger is counted to be small; beyond that by a join.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = versions.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
-    book = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version)
-    unseen = rows.select("blob", "text").join(book.select("blob"), "blob", "left_anti").dropDuplicates(["blob"])
+    known = _book(versions.sparkSession, ledger, rule_version).select("blob")
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    rows = versions.select(_blob(text).alias("blob"), text.alias("text"))
+    unseen = rows.join(known, "blob", "left_anti").dropDuplicates(["blob"])
     map_arrow(unseen, _scan(rule_version), LEDGER).write.mode("append").parquet(ledger)
-    book = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version)
-    return rows.select("doc_id", "blob").join(book.drop("rule_version").dropDuplicates(["blob"]), "blob")
+
+
+def findings_of(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text", version_col: str | None = None) -> DataFrame:
+    """doc_id (the path), version (null without a column for it), blob, kinds, starts, ends of all versions that the ledger
+    knows the blob of."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    version = F.lit(None).cast("string") if version_col is None else F.col(f"`{version_col}`").cast("string")
+    rows = versions.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), version.alias("version"), _blob(text).alias("blob"))
+    book = _book(versions.sparkSession, ledger, rule_version).drop("rule_version").dropDuplicates(["blob"])
+    return rows.join(book, "blob").select("doc_id", "version", "blob", "kinds", "starts", "ends")
+
+
+def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text", version_col: str | None = None) -> DataFrame:
+    """Records the unseen blobs of these versions, and returns the findings of all of them."""
+    record(versions, ledger, rule_version, text_col)
+    return findings_of(versions, ledger, rule_version, id_col, text_col, version_col)
+
+
+def compacted(spark: SparkSession, ledger: str) -> str:
+    """A new ledger with each blob and rule version of the old one once, in few files: scans append, so that a ledger that is
+    scanned often has many small ones. The old one is left as it is."""
+    path = f"{shared_dir(spark)}/boutlake/ledger-{uuid.uuid4().hex}"
+    spark.read.schema(LEDGER).parquet(ledger).dropDuplicates(["blob", "rule_version"]).write.parquet(path)
+    return path
 
 
 def digest(found: DataFrame) -> DataFrame:

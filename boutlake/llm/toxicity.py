@@ -361,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(terms, weights), from labelled rows that aren't held out."""
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
     chosen = marked.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(max_labelled)
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "_id").select("toxic", "text").persist()
+    rows = _at_most(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "_id"), max_labelled).select("toxic", "text").persist()
     distinct = rows.dropDuplicates(["toxic", "text"]).persist()
     try:
         sizes = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -381,6 +381,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows.unpersist()
 
 
+def _at_most(rows: DataFrame, most: int) -> DataFrame:
+    """The rows (_id, toxic, text), of which ids that repeat may make more than there are labels: then the first `most` in the
+    order of a hash of all three."""
+    if rows.limit(most + 1).count() <= most:
+        return rows
+    return rows.orderBy(F.xxhash64("_id", "toxic", "text"), "_id", "toxic", "text").limit(most)
+
+
 def fit_locally(rows: list[tuple[int, str]], settings: Settings = Settings()) -> tuple[list[str], np.ndarray]:
     """What `fit` makes of a bounded sample of (toxic, text), without Spark: for comparing settings, and for tests."""
     bad, fine = ([_terms_of(t) for t in dict.fromkeys(t for y, t in rows if y == z)] for z in (1, 0))
@@ -413,7 +421,7 @@ def compare_settings(docs: DataFrame, labels: DataFrame, grid: list[Settings], f
     chosen = marked.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(max_labelled)
     fold = F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(folds))  # copies of a text are in one fold
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "_id")
-    rows = [(r["fold"], r["toxic"], r["text"] or "") for r in rows.select(fold.alias("fold"), "toxic", "text").collect()]
+    rows = [(r["fold"], r["toxic"], r["text"] or "") for r in _at_most(rows, max_labelled).select(fold.alias("fold"), "toxic", "text").collect()]
     out = []
     for settings in grid:
         n, hit = Counter(y for _, y, _ in rows), Counter()
