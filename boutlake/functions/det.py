@@ -104,6 +104,13 @@ def free_name(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int = 1) -> DataFrame:
+    """The first k rows, by this order, of each value of the keys; all columns as they are."""
+    at = free_name("_at", df)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(at, number).where(F.col(at) <= k).drop(at)
+
+
 #: Rows of a range that one task sorts, in running totals and numbers over a whole table.
 RANGE_ROWS = 1_000_000
 

@@ -6,10 +6,11 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.det import shared_folder
+from ..functions.det import free_name, stored
 from .link import clock_seconds, parse_segment_name
 
 #: Overlapping pairs that temporal_nms settles at once on the driver.
@@ -25,21 +26,52 @@ def clock_offset(segment_start: Column, clock: Column) -> Column:
     return F.when(off < 0, off + 86_400).otherwise(off)
 
 
+#: The tables that issues of the alignment are listed in, by the reason or the flag of a row.
+ISSUES = {
+    "missing_video": "reason = 'missing_video'", "parse_errors": "reason in ('cannot_parse_segment', 'cannot_parse_event_time')",
+    "offset_exceeds_segment": "reason = 'offset_exceeds_segment'", "offset_mismatch": "offset_mismatch", "bad_duration": "bad_duration",
+}
+#: Beside the issues: all rows with what was worked out, and those that are in order.
+FIXED, VERIFIED = "fixed", "verified"
+
+
 def verify_alignment(df: DataFrame, files: DataFrame, most_diff: float = 1.0, least: float = 1.0) -> DataFrame:
-    """df with calc_offset_sec, segment_sec, reason (the first check that fails, or ok), offset_mismatch and
-    duration_fixed. df: event_idx, filename, path, start_time, end_time, duration_sec, offset_sec. files: path."""
-    there = files.select("path").distinct().withColumn("_there", F.lit(True))
-    rows = df.join(there, "path", "left").withColumn("_seg", parse_segment_name(F.col("filename")))
-    rows = rows.withColumn("segment_sec", F.col("_seg.seconds")).withColumn("calc_offset_sec", clock_offset(F.col("_seg.start"), F.col("start_time")))
+    """df with calc_offset_sec, segment_sec, reason (the first check that fails, or ok), offset_mismatch, bad_duration (none
+    or not above 0, of rows that are ok otherwise) and duration_fixed (of those what the clock times say; `least` at least).
+    df: event_idx, filename, path, start_time, end_time, duration_sec, offset_sec. files: path."""
+    there, seg = free_name("_there", df), free_name("_seg", df)
+    rows = df.join(files.select("path").distinct().withColumn(there, F.lit(True)), "path", "left").withColumn(seg, parse_segment_name(F.col("filename")))
+    rows = rows.withColumn("segment_sec", F.col(f"{seg}.seconds")).withColumn("calc_offset_sec", clock_offset(F.col(f"{seg}.start"), F.col("start_time")))
     reason = (
-        F.when(F.col("_seg").isNull() | (F.col("segment_sec") <= 0), "cannot_parse_segment")
-        .when(F.col("_there").isNull(), "missing_video").when(F.col("calc_offset_sec").isNull(), "cannot_parse_event_time")
+        F.when(F.col(seg).isNull() | (F.col("segment_sec") <= 0), "cannot_parse_segment")
+        .when(F.col(there).isNull(), "missing_video").when(F.col("calc_offset_sec").isNull(), "cannot_parse_event_time")
         .when(F.col("calc_offset_sec") > F.col("segment_sec"), "offset_exceeds_segment").otherwise("ok")
     )
     spent = F.pmod(clock_seconds(F.col("end_time")) - clock_seconds(F.col("start_time")), F.lit(86_400.0))
-    fixed = F.when(F.coalesce("duration_sec", F.lit(0.0)) < least, F.greatest(F.coalesce(spent, F.lit(0.0)), F.lit(least))).otherwise(F.col("duration_sec"))
-    mismatch = (reason == "ok") & F.coalesce(F.abs(F.col("calc_offset_sec") - F.col("offset_sec")) > most_diff, F.lit(False))
-    return rows.withColumns({"reason": reason, "offset_mismatch": mismatch, "duration_fixed": fixed}).drop("_seg", "_there")
+    bad = ~F.coalesce(F.col("duration_sec") > 0, F.lit(False))
+    fixed = F.greatest(F.when(bad, F.coalesce(spent, F.lit(0.0))).otherwise(F.col("duration_sec")), F.lit(least))
+    off = F.coalesce(F.abs(F.col("calc_offset_sec") - F.col("offset_sec")) > most_diff, F.lit(False))
+    ok = reason == "ok"
+    return rows.withColumns({"reason": reason, "offset_mismatch": ok & off, "bad_duration": ok & bad, "duration_fixed": fixed}).drop(seg, there)
+
+
+def alignment_outcomes(checked: DataFrame) -> DataFrame:
+    """The rows of verify_alignment once for each table that they belong to, by `outcome`: fixed, verified, and the issues."""
+    tables = F.array_compact(F.array(F.lit(FIXED), F.when(F.col("reason") == "ok", VERIFIED), *[F.when(F.expr(c), n) for n, c in ISSUES.items()]))
+    return checked.withColumn("outcome", F.explode(tables))
+
+
+def write_alignment(checked: DataFrame, path: str, kind: str = "parquet") -> str:
+    """Writes all tables in one pass, a folder each (`outcome=<name>`); read_alignment reads one back."""
+    alignment_outcomes(checked).write.mode("overwrite").option("header", True).partitionBy("outcome").format(kind).save(path)
+    return path
+
+
+def read_alignment(checked_schema: StructType, spark: SparkSession, path: str, outcome: str, kind: str = "parquet") -> DataFrame:
+    """One table of write_alignment; only its folder is read. A table without rows is empty."""
+    schema = StructType([*checked_schema.fields, StructField("outcome", StringType())])
+    rows = spark.read.option("header", True).schema(schema).format(kind).load(path)
+    return rows.where(F.col("outcome") == outcome).drop("outcome")
 
 
 def alignment_summary(checked: DataFrame) -> DataFrame:
@@ -67,6 +99,12 @@ def audit_events(df: DataFrame, videos: DataFrame, most_diff: float = 5.0) -> Da
     return rows.withColumn("_issues", issues).select("event_idx", status.alias("status"), F.array_join("_issues", "|").alias("issues"))
 
 
+def audit_by_class(df: DataFrame, audited: DataFrame, label: str = "behavior", idx: str = "event_idx") -> DataFrame:
+    """label, issue, n: how many events of each class failed or were warned of for each issue (of audit_events)."""
+    rows = audited.where(F.col("issues") != "").select(idx, "status", F.explode(F.split("issues", r"\|")).alias("issue"))
+    return rows.join(df.select(idx, label), idx).groupBy(label, "status", "issue").agg(F.count("*").alias("n"))
+
+
 def verify_paths(manifest: DataFrame, files: DataFrame, k: int = 3, camera: str = "camera", path: str = "path") -> DataFrame:
     """camera, path, present: of the first k files of each camera by path."""
     first = manifest.select(camera, path).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(camera).orderBy(path))).where(F.col("_r") <= k)
@@ -103,6 +141,26 @@ def filter_tracks(df: DataFrame, least: int = 5, confidence: float = 0.4, most_g
     return out.where((F.col("n") >= least) & (F.col("mean_conf") >= confidence))
 
 
+def fill_tracks(df: DataFrame, values: Sequence[str], least: int = 5, confidence: float = 0.4, most_gap: int = 10, keys: Sequence[str] = ("video", "track"), frame: str = "frame") -> DataFrame:
+    """keys, frame, values, filled: the frames of the tracks that filter_tracks keeps, and a row for each missing frame of a gap
+    of up to most_gap frames, with values on the line between the frames beside it (null where one of them is null). Gaps
+    that are longer stay open. Of rows of a track with the same frame the first by its values counts."""
+    once = F.row_number().over(Window.partitionBy(*keys, frame).orderBy(*values))
+    names = {n: free_name(n, df) for n in ("_once", "_from", "_part")}
+    rows = df.withColumn(names["_once"], once).where(F.col(names["_once"]) == 1).drop(names["_once"])
+    kept = filter_tracks(rows, least, confidence, most_gap, keys, frame).select(*keys)
+    track = Window.partitionBy(*keys).orderBy(frame)
+    gap = F.col(frame) - F.lag(frame).over(track) - 1
+    start = F.when((gap > 0) & (gap <= most_gap), F.lag(frame).over(track) + 1).otherwise(F.col(frame))
+    before = [F.lag(v).over(track).cast("double").alias(f"_before_{i}") for i, v in enumerate(values)]
+    rows = rows.join(kept, list(keys), "left_semi").select(*keys, F.col(frame).alias(names["_from"]), start.alias("_start"), *before, *[F.col(v).cast("double").alias(f"_at_{i}") for i, v in enumerate(values)])
+    rows = rows.withColumn("_frame", F.explode(F.sequence("_start", names["_from"])))
+    share = (F.col("_frame") - F.col("_start") + 1) / (F.col(names["_from"]) - F.col("_start") + 1)
+    filled = F.col("_frame") < F.col(names["_from"])
+    lines = [F.when(filled, F.col(f"_before_{i}") + (F.col(f"_at_{i}") - F.col(f"_before_{i}")) * share).otherwise(F.col(f"_at_{i}")).alias(v) for i, v in enumerate(values)]
+    return rows.select(*keys, F.col("_frame").alias(frame), *lines, filled.alias("filled"))
+
+
 def temporal_nms(df: DataFrame, iou: float = 0.5, video: str = "video", idx: str = "event_idx", start: str = "start_sec", end: str = "end_sec", score: str = "score") -> DataFrame:
     """idx of scored intervals that no kept interval of a higher score (ties: smaller idx) in their video covers by more than `iou`.
 
@@ -130,25 +188,17 @@ def temporal_nms(df: DataFrame, iou: float = 0.5, video: str = "video", idx: str
     once = (F.floor(F.greatest("s_x", "s_y") / F.pow(F.lit(2.0), longer["octave"] + 1)) == longer["bin"]) & ((F.col("own_y") < F.col("own_x")) | (F.col("rank_x") < F.col("rank_y")))
     first = F.col("rank_x") < F.col("rank_y")
     pairs = met.where(once & (overlap > iou)).select(F.when(first, F.col("node_x")).otherwise(F.col("node_y")).alias("a"), F.when(first, F.col("node_y")).otherwise(F.col("node_x")).alias("b"), F.when(first, F.col("rank_x")).otherwise(F.col("rank_y")).alias("rank"))
-    pairs = _stored(pairs, "nms-pairs")
+    pairs = stored(pairs, "nms-pairs")
     gone = []
     while pairs.count() > FEW:
         weak = pairs.select(F.col("b").alias("a")).distinct()
-        covered = _stored(pairs.join(weak, "a", "left_anti").select("b").distinct(), "nms-covered")
+        covered = stored(pairs.join(weak, "a", "left_anti").select("b").distinct(), "nms-covered")
         gone.append(covered)
         settled = pairs.join(weak, "a", "left_anti").select("a").union(covered.select(F.col("b").alias("a"))).distinct()
-        pairs = _stored(pairs.join(settled, "a", "left_anti").join(covered, "b", "left_anti").select("a", "b", "rank"), "nms-pairs")
+        pairs = stored(pairs.join(settled, "a", "left_anti").join(covered, "b", "left_anti").select("a", "b", "rank"), "nms-pairs")
     last: set[tuple] = set()
     for r in pairs.orderBy("rank").collect():
         if tuple(r["a"]) not in last:
             last.add(tuple(r["b"]))
     gone.append(df.sparkSession.createDataFrame([(x,) for x in last], pairs.select("b").schema))
     return df.select(video, idx).withColumn("b", node).join(reduce(DataFrame.unionByName, gone), "b", "left_anti").select(video, idx)
-
-
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = shared_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

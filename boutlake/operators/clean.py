@@ -137,6 +137,52 @@ def parse_external_sheet(df: DataFrame, video: str, ours: str, labels: Sequence[
     return df.where(name.isNotNull() & (name != "") & ~name.rlike(r"^\d+$") & is_file).select(name.alias("video"), F.when(said.startswith("Y"), True).when(said.startswith("N"), False).alias("ours"), found.alias("labels"))
 
 
+#: What a column's name (in lower case, trimmed) has to be or to hold for a role. A column has the first role that
+#: it fits.
+SHEET_ROLES = (("ours", ("our video",)), ("notes", ("note",)), *[(name, (name, "1-0")) for name in ("none", "ear", "tail", "teat", "other")])
+SHEET_VIDEO = "video"
+#: Words that say yes and no.
+YES, NO = ("Y", "YES", "TRUE", "1"), ("N", "NO", "FALSE", "0")
+
+
+def detect_columns(columns: Sequence[str]) -> dict[str, str]:
+    """role: column of an external sheet, by parts of the names: video, ours, notes and the classes. Of several columns that
+    fit a role the last one has it. A sheet without a video column is an error."""
+    found: dict[str, str] = {}
+    for column in columns:
+        name = column.strip().lower()
+        role = "video" if name == SHEET_VIDEO else next((r for r, parts in SHEET_ROLES if all(p in name for p in parts)), None)
+        if role is not None:
+            found[role] = column
+    if "video" not in found:
+        raise ValueError(f"no column for video in {list(columns)}")
+    return found
+
+
+def read_external_sheet(df: DataFrame, extensions: Sequence[str] = (".mp4", ".mov", ".avi")) -> DataFrame:
+    """video, ours (true, false, null), notes, labels (the classes whose column says 1): rows of a sheet that name a video file,
+    whatever its columns are called (detect_columns). Roles without a column are null, or no label."""
+    at = detect_columns(df.columns)
+    text = lambda role: F.trim(F.col(f"`{at[role]}`").cast("string")) if role in at else F.lit(None).cast("string")
+    name, said = text("video"), F.upper(text("ours"))
+    is_file = F.lit(False)
+    for e in extensions:
+        is_file = is_file | F.lower(name).endswith(e)
+    classes = [r for r, parts in SHEET_ROLES if "1-0" in parts and r in at]
+    labels = F.array_compact(F.array(*[F.when(text(c).isin("1", "1.0"), F.lit(c)) for c in classes])) if classes else F.array().cast("array<string>")
+    ours = F.when(said.isin(*YES), True).when(said.isin(*NO), False)
+    rows = df.where(name.isNotNull() & (name != "") & ~name.rlike(r"^\d+$") & is_file)
+    return rows.select(name.alias("video"), ours.alias("ours"), text("notes").alias("notes"), labels.alias("labels"))
+
+
+def sheet_statistics(df: DataFrame, extensions: Sequence[str] = (".mp4", ".mov", ".avi")) -> DataFrame:
+    """One row: rows of the sheet, clips that were read, and how many of these say yes, no or neither in the column of `ours`."""
+    clips = read_external_sheet(df, extensions)
+    ours = F.col("ours")
+    counts = clips.agg(F.count("*").alias("clips"), F.count_if(ours).alias("yes"), F.count_if(~ours).alias("no"), F.count_if(ours.isNull()).alias("unknown"))
+    return df.agg(F.count("*").alias("rows")).crossJoin(F.broadcast(counts))
+
+
 def onehot_invalid_cells(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """key, column, value of cells that are not 0, 1 or blank."""
     text = df.select(key, *[F.col(c).cast("string").alias(c) for c in columns])
@@ -159,6 +205,15 @@ def cleaning_audit(df: DataFrame, pairs: Mapping[str, tuple[Column, Column]], fl
     return df.agg(F.count("*").alias("rows"), *changed).crossJoin(flagged.agg(F.count("*").alias("flagged")))
 
 
+def cleaning_distributions(df: DataFrame, pairs: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """field, value, before, after: how many rows have a value before and after cleaning ('(null)' counts as one); all
+    fields in one pass."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("(null)"))
+    cells = F.array(*[F.struct(F.lit(n).alias("field"), text(c).alias("value"), F.lit(i).alias("side")) for n, both in pairs.items() for i, c in enumerate(both)])
+    rows = df.select(F.explode(cells).alias("c")).select("c.*")
+    return rows.groupBy("field", "value").agg(F.count_if(F.col("side") == 0).alias("before"), F.count_if(F.col("side") == 1).alias("after"))
+
+
 def null_profile(df: DataFrame) -> DataFrame:
     """column, nulls: one aggregate over the table."""
     counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])

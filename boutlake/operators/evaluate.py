@@ -289,8 +289,8 @@ def label_agreement(df: DataFrame, automatic: str, human: str) -> DataFrame:
     return df.where(h.isNotNull()).agg(F.count_if(a & h).alias("tp"), F.count_if(~a & ~h).alias("tn"), F.count_if(a & ~h).alias("fp"), F.count_if(~a & h).alias("fn"), F.round(F.count_if(a == h) / n, 6).alias("accuracy"))
 
 
-def loss_ranking(preds: DataFrame, top: int = 10, logits: Sequence[str] = ("logit_ear", "logit_tail"), classes: Sequence[str] = ("ear", "tail"), true: str = "true_label", pred: str = "pred_label", idx: str = "clip_id") -> DataFrame:
-    """idx, loss (6 decimals), correct of the `top` highest cross-entropies (log-sum-exp)."""
+def losses(preds: DataFrame, logits: Sequence[str] = ("logit_ear", "logit_tail"), classes: Sequence[str] = ("ear", "tail"), true: str = "true_label", pred: str = "pred_label", idx: str = "clip_id") -> DataFrame:
+    """idx, class (the true one), loss (cross-entropy by log-sum-exp, 6 decimals), correct."""
     most = F.greatest(*logits)
     total = F.lit(0.0)
     for c in logits:
@@ -299,7 +299,30 @@ def loss_ranking(preds: DataFrame, top: int = 10, logits: Sequence[str] = ("logi
     for c, name in zip(classes, logits):
         own = F.when(F.col(true) == c, F.col(name)).otherwise(own)
     loss = F.round(most + F.ln(total) - own, 6)
-    return preds.select(idx, loss.alias("loss"), (F.col(true) == F.col(pred)).alias("correct")).orderBy(F.desc("loss"), idx).limit(top)
+    return preds.select(idx, F.col(true).alias("class"), loss.alias("loss"), (F.col(true) == F.col(pred)).alias("correct"))
+
+
+def loss_ranking(preds: DataFrame, top: int = 10, idx: str = "clip_id", **names: object) -> DataFrame:
+    """idx, loss, correct of the `top` highest losses."""
+    return losses(preds, idx=idx, **names).select(idx, "loss", "correct").orderBy(F.desc("loss"), idx).limit(top)
+
+
+def loss_ranking_by_class(preds: DataFrame, top: int = 10, idx: str = "clip_id", **names: object) -> DataFrame:
+    """class, rank (from 1), idx, loss, correct of the `top` highest losses of each class. Two levels: the first `top` of
+    each part of a class, then of the class."""
+    rows = losses(preds, idx=idx, **names).where("class is not null")
+    order = (F.desc("loss"), F.asc(idx))
+    part = F.row_number().over(Window.partitionBy("class", F.pmod(F.xxhash64(idx), F.lit(64))).orderBy(*order))
+    rows = rows.withColumn("rank", part).where(F.col("rank") <= top)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(*order)))
+    return rows.where(F.col("rank") <= top).select("class", "rank", idx, "loss", "correct")
+
+
+def loss_summary(preds: DataFrame, **names: object) -> DataFrame:
+    """class (null: all), n, mean_loss, max_loss, wrong, wrong_percent (4 decimals)."""
+    rows = losses(preds, **names).where("class is not null")
+    out = rows.rollup("class").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("mean_loss"), F.max("loss").alias("max_loss"), F.count_if(~F.col("correct")).alias("wrong"))
+    return out.withColumn("wrong_percent", F.round(100 * F.col("wrong") / F.col("n"), 4))
 
 
 def confound_by(df: DataFrame, columns: Sequence[str], label: str = "behavior", minority: str = "tail", majority: str = "ear", warn: float = 0.1) -> DataFrame:
@@ -329,6 +352,12 @@ def video_purity(df: DataFrame, video: str = "video", label: str = "behavior", m
     return per.groupBy(kind.alias("kind")).agg(F.count("*").alias("videos"), F.sum("n").alias("events"), F.count_if(F.col("n") > heavy).alias("heavy"))
 
 
+def purest_videos(df: DataFrame, k: int = 10, video: str = "video", label: str = "behavior", minority: str = "tail", majority: str = "ear") -> DataFrame:
+    """video, n, ear, tail of the k videos with most events among those of one class only (ties by the video)."""
+    per = df.groupBy(video).agg(F.count("*").alias("n"), F.count_if(F.col(label) == majority).alias("ear"), F.count_if(F.col(label) == minority).alias("tail"))
+    return per.where("(ear > 0) <> (tail > 0)").orderBy(F.desc("n"), video).limit(k)
+
+
 def prob_clusters(preds: DataFrame, least: int = 3, score: str = "prob_tail", true: str = "true_label", positive: str = "tail", digits: int = 4) -> DataFrame:
     """value (half-even to 4 digits), n, positives of scores that occur `least` times or more."""
     return preds.groupBy(F.bround(score, digits).alias("value")).agg(F.count("*").alias("n"), F.count_if(F.col(true) == positive).alias("positives")).where(F.col("n") >= least)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.det import first_rows, stored
+
 
 def duplicate_files(segments: DataFrame, name: str = "filename", place: str = "path") -> DataFrame:
     """name, first_path, path: every later place of a file with the first one."""
@@ -20,7 +22,7 @@ def exclude_known(pool: DataFrame, known: Sequence[DataFrame], key: str, order:
     """Rows of the pool whose key is in none of the known tables, the first of each key by this order."""
     keys = reduce(DataFrame.unionByName, [k.select(key) for k in known])
     rest = pool.join(keys, key, "left_anti")
-    return rest.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
+    return first_rows(rest, [key], [order])
 
 
 def disjoint_splits(train: DataFrame, val: DataFrame, test: DataFrame, key: str) -> dict[str, DataFrame]:
@@ -42,34 +44,55 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _bands(bits: Column, n_words: int, bands: int) -> Column:
-    """A string of all bits in `bands` strings of about equal length."""
-    total = 64 * n_words
-    cuts = [total * i // bands for i in range(bands + 1)]
-    return F.array(*[F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
+#: Rows of the corpus with one key, above which the key is split up by a second band.
+HOT = 1_000
+
 
+def _masks(n_words: int, bands: int) -> list[list[int]]:
+    """For each band its bits as words: every `bands`-th bit, so that a part of the bits that is constant for many rows (a dark
+    half of a frame) makes up a part of each band only."""
+    out = [[0] * n_words for _ in range(bands)]
+    for bit in range(64 * n_words):
+        out[bit % bands][bit // 64] |= 1 << bit % 64
+    return [[w - (1 << 64) if w >= 1 << 63 else w for w in words] for words in out]
 
-def near_duplicates(queries: DataFrame, corpus: DataFrame, most: int, n_words: int, key: str = "id", words: str = "words") -> DataFrame:
+
+def near_duplicates(queries: DataFrame, corpus: DataFrame, most: int, n_words: int, key: str = "id", words: str = "words", hot: int = HOT) -> DataFrame:
     """query, match, distance of all pairs within `most` bits; exact.
 
-    With most + 1 bands at least one band of such a pair is equal, so (band number, band bits) is the key of an
-    equi-join, and only its hits are compared in full.
+    The bits are dealt out to most + 2 bands. A pair differs in `most` of them at most, so two bands at least are equal. The
+    key of an equi-join is (band, hash of its bits); keys that more than `hot` rows of the corpus have are left out
+    and give way to keys of that band and a second one. A pair that shares a key that isn't hot meets there; one
+    whose equal bands are all hot has two of them, and meets by the two. Only what meets is compared in full.
     """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        # A column of its own, so that the bits are worked out once and not for each band.
-        bits = F.concat_ws("", F.transform(words, lambda w: F.lpad(F.bin(w), 64, "0")))
-        rows = df.select(F.col(key).alias(name), F.col(words).alias(f"{name}_w"), bits.alias("_bits"))
-        return rows.select(name, f"{name}_w", F.posexplode(_bands(F.col("_bits"), n_words, most + 1)).alias("band", "bits"))
+    bands = most + 2
+    masks = F.array(*[F.array(*[F.lit(w) for w in m]) for m in _masks(n_words, bands)])
 
-    met = side(queries, "query").join(side(corpus, "match"), ["band", "bits"])
+    def side(df: DataFrame, name: str) -> DataFrame:
+        keys = F.transform(masks, lambda m: F.xxhash64(F.zip_with(F.col("w"), m, lambda w, x: w.bitwiseAND(x))))
+        rows = stored(df.select(F.col(key).alias(name), F.col(words).alias("w")), f"signatures-{name}")  # worked out once
+        rows = rows.select(name, F.col("w").alias(f"{name}_w"), keys.alias(f"{name}_k"))
+        return rows.select(name, f"{name}_w", f"{name}_k", F.posexplode(f"{name}_k").alias("band", "bits"))
+
+    left, right = side(queries, "query"), side(corpus, "match")
+    many = stored(right.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("band", "bits"), "hot-bands")
+    few = F.broadcast(many) if many.count() <= 100_000 else many  # counted: a row for `hot` rows of the corpus at least
+    cold = [x.join(few, ["band", "bits"], "left_anti").drop("query_k", "match_k") for x in (left, right)]
+
+    def split(x: DataFrame, name: str) -> DataFrame:
+        """A row for each second band of rows with a hot key."""
+        x = x.join(few, ["band", "bits"], "left_semi").select(name, f"{name}_w", "band", "bits", F.posexplode(f"{name}_k").alias("other", "more"))
+        return x.where("other <> band")
+
+    met = cold[0].join(cold[1], ["band", "bits"]).select("query", "query_w", "match", "match_w")
+    met = met.unionByName(split(left, "query").join(split(right, "match"), ["band", "bits", "other", "more"]).select("query", "query_w", "match", "match_w"))
     near = met.withColumn("distance", hamming(F.col("query_w"), F.col("match_w"))).where((F.col("distance") <= most) & (F.col("query") != F.col("match")))
     return near.select("query", "match", "distance").distinct()
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
     """The nearest match of each query, ties to the smaller."""
-    w = Window.partitionBy("query").orderBy("distance", "match")
-    return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return first_rows(pairs, ["query"], ["distance", "match"])
 
 
 def name_overlap(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
@@ -131,6 +154,12 @@ def pairwise_overlap(named: DataFrame, key: str, name: str = "split") -> DataFra
     return left.join(right, key).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def set_duplicates(named: DataFrame, key: str, name: str = "split") -> DataFrame:
+    """name, rows, keys (distinct, nulls left out), repeated (keys that more than one row has), extra (rows beyond the first)."""
+    per = named.where(F.col(key).isNotNull()).groupBy(name, key).agg(F.count("*").alias("n"))
+    return per.groupBy(name).agg(F.sum("n").alias("rows"), F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum(F.col("n") - 1).alias("extra"))
+
+
 def leak_asserts(splits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The splits as they are; an error when a key's value is in two of them, raised by the job that reads the result."""
     out = splits

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.det import bin_label, quantiles
+from ..functions.det import bin_label, first_rows, free_name, quantiles
 
+#: Edges and names of the bins of gaps, durations and counts.
 GAP_EDGES = (float("-inf"), 0, 5, 10, 30, 60, 300, float("inf"))
 GAP_LABELS = ("overlap", "0-5s", "5-10s", "10-30s", "30-60s", "1-5min", "5min+")
 DURATION_EDGES = (0, 1, 3, 5, 10, 30, 60, float("inf"))
@@ -30,8 +31,9 @@ def assign_bouts(df: DataFrame, gap: float = 30.0, video: str = "video", start:
     w = _by_start(video, start, idx)
     ended = F.lag(F.col(start) + F.coalesce(F.col(duration), F.lit(0.0))).over(w)
     opens = F.coalesce((F.col(start) - ended > gap).cast("int"), F.lit(0))
-    numbered = df.withColumn("_opens", opens).withColumn("_bout", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1)
-    return numbered.withColumn("bout_id", F.concat(F.col(video), F.lit("__bout_"), F.col("_bout").cast("string"))).drop("_opens", "_bout")
+    mark = free_name("_opens", df)
+    number = F.sum(mark).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1
+    return df.withColumn(mark, opens).withColumn("bout_id", F.concat(F.col(video), F.lit("__bout_"), number.cast("string"))).drop(mark)
 
 
 def bout_summary(df: DataFrame, minority: str = "tail", label: str = "behavior", video: str = "video") -> DataFrame:
@@ -40,6 +42,14 @@ def bout_summary(df: DataFrame, minority: str = "tail", label: str = "behavior",
     return df.groupBy("bout_id", video).agg(F.count("*").alias("n_events"), n.alias("n_tail"), (n > 0).alias("has_tail"))
 
 
+def bout_sizes(summary: DataFrame) -> DataFrame:
+    """One row over a bout summary: bouts, mean_size, largest, single (bouts of one event), with_tail; 6 decimals."""
+    return summary.agg(
+        F.count("*").alias("bouts"), F.round(F.avg("n_events"), 6).alias("mean_size"), F.max("n_events").alias("largest"),
+        F.count_if(F.col("n_events") == 1).alias("single"), F.count_if("has_tail").alias("with_tail"),
+    )
+
+
 def gaps(df: DataFrame, video: str = "video", start: str = "start_sec", duration: str = "duration_sec", idx: str = "event_idx") -> DataFrame:
     """One row per event that has a predecessor in its video: idx, gap (to the predecessor's end)."""
     ended = F.lag(F.col(start) + F.col(duration)).over(_by_start(video, start, idx))
@@ -70,7 +80,8 @@ def overlapping_pairs(df: DataFrame, video: str = "video", start: str = "start_s
 
 def duplicate_events(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All rows whose values in these columns occur more than once (nulls equal nulls)."""
-    return df.withColumn("_n", F.count("*").over(Window.partitionBy(*columns))).where("_n > 1").drop("_n")
+    times = free_name("_times", df)
+    return df.withColumn(times, F.count("*").over(Window.partitionBy(*columns))).where(F.col(times) > 1).drop(times)
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -81,7 +92,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def dedupe_first(df: DataFrame, columns: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row, by this order, of each value of these columns."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*columns).orderBy(*order))).where("_n = 1").drop("_n")
+    return first_rows(df, columns, order)
 
 
 def max_event_gaps(df: DataFrame, label: str = "behavior", minority: str = "tail", idx: str = "event_idx", least: float = 0.3) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.det import draw, numbered, uniform
+from ..functions.det import draw, first_rows, free_name, numbered, uniform
 
 
 def _ranked(partition: Sequence[str], *order: Column | str) -> Column:
@@ -73,15 +73,17 @@ def oversample(df: DataFrame, ratio: float = 0.3, seed: int = 42, label: str = "
     counts = df.agg(F.count_if(F.col(label) == majority).alias("_maj"), F.count_if(F.col(label) == minority).alias("_min"))
     extra = counts.withColumn("_extra", F.greatest(F.lit(0), F.floor(F.round((ratio * F.col("_maj") - F.col("_min") * (1 - ratio)) / (1 - ratio), 9)).cast("int")))
     draws = extra.where("_extra > 0 and _min > 0").select(F.explode(F.sequence(F.lit(1), F.col("_extra"))).alias("draw_no"), "_min")
-    draws = draws.select("draw_no", F.floor(uniform(seed, "draw_no") * F.col("_min")).cast("long").alias("_place"))
-    rows = numbered(df.where(F.col(label) == minority), idx, "_place")
-    return df.withColumn("draw_no", F.lit(0)).unionByName(rows.join(draws, "_place").drop("_place"))
+    place = free_name("_place", df)
+    draws = draws.select("draw_no", F.floor(uniform(seed, "draw_no") * F.col("_min")).cast("long").alias(place))
+    rows = numbered(df.where(F.col(label) == minority), idx, place)
+    return df.withColumn("draw_no", F.lit(0)).unionByName(rows.join(draws, place).drop(place))
 
 
 def sample_weights(df: DataFrame, label: str = "behavior") -> DataFrame:
     """Adds weight: one over the row's class count (1 at least)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    return df.join(counts, label).withColumn("weight", 1 / F.greatest(F.col("_n"), F.lit(1))).drop("_n")
+    size = free_name("_size", df)
+    counts = df.groupBy(label).agg(F.count("*").alias(size))
+    return df.join(counts, label).withColumn("weight", 1 / F.greatest(F.col(size), F.lit(1))).drop(size)
 
 
 def weighted_draw(df: DataFrame, n: int, seed: int = 42, weight: str = "weight", idx: str = "event_idx") -> DataFrame:
@@ -104,8 +106,11 @@ def move_minority_videos(train: DataFrame, val: DataFrame, add: int, seed: int =
     return top.withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("_before") < add).drop("_before")
 
 
-def select_diverse(df: DataFrame, n: int, seed: int = 42, label: str = "behavior", rare: Sequence[str] = ("tail", "other"), majority: str = "ear", cells: Sequence[str] = ("grp", "camera"), idx: str = "event_idx", share: float = 0.35) -> DataFrame:
-    """n rows: rare classes up to a share, the majority evenly over cells, the rest at random; adds `tier` (1, 2, 3)."""
+def select_diverse(df: DataFrame, n: int, seed: int = 42, label: str = "behavior", rare: Sequence[str] = ("tail", "other"), majority: str = "ear", cells: Sequence[str] = ("grp", "camera"), idx: str = "event_idx", share: float = 0.35, done: DataFrame | None = None) -> DataFrame:
+    """n rows: rare classes up to a share, the majority evenly over cells, the rest at random; adds `tier` (1, 2, 3). done: a
+    table with idx of rows that aren't to be chosen again."""
+    if done is not None:
+        df = df.join(done.select(idx), idx, "left_anti")
     order = draw(seed, idx)
     is_rare = F.col(label).isin(*rare)
     rare_n = int(n * share)
@@ -113,14 +118,14 @@ def select_diverse(df: DataFrame, n: int, seed: int = 42, label: str = "behavior
     sizes = df.where(F.col(label) == majority).select(*cells).distinct().count()
     slots = n - first.count()
     per = max(1, slots // max(1, sizes))
-    second = df.where(F.col(label) == majority).withColumn("_r", _ranked(cells, order, idx)).where(F.col("_r") <= per).drop("_r").withColumn("tier", F.lit(2))
+    second = df.where(F.col(label) == majority).transform(first_rows, cells, [order, idx], per).withColumn("tier", F.lit(2))
     taken = first.select(idx).unionByName(second.select(idx))
     third = df.join(taken, idx, "left_anti").orderBy(order, idx).limit(n).withColumn("tier", F.lit(3))
     return first.unionByName(second).unionByName(third).orderBy("tier", order, idx).limit(n)
 
 
 def sample_per_class(df: DataFrame, k: int, seed: int = 42, label: str = "behavior", idx: str = "event_idx") -> DataFrame:
-    return df.withColumn("_r", _ranked([label], draw(seed, idx), idx)).where(F.col("_r") <= k).drop("_r")
+    return first_rows(df, [label], [draw(seed, idx), idx], k)
 
 
 def pick_longest(df: DataFrame, k: int, least: float = 3.0, keys: Sequence[str] = ("grp", "day"), duration: str = "duration_sec", idx: str = "event_idx") -> DataFrame:

@@ -72,8 +72,17 @@ def j3(spark, d):
     return link.relink_priority(linked(spark, d), segments(spark, d), _priority(spark, d)).withColumn("offset_sec", F.round("offset_sec", 6))
 
 
-@query("j4_candidate_cameras", f"""WITH {LK} SELECT e.event_idx, s.camera, s.seg_idx, round(greatest(time_sec - seg_start - 3, 0), 6) AS clip_start, round(least(time_sec - seg_start + duration_sec + 3, seg_end - seg_start), 6) AS clip_end, s.camera = e.link_camera AS is_current
-FROM lk e JOIN sg s USING (grp, day) WHERE linked AND time_sec >= seg_start AND time_sec < seg_end""")
+#: The link of LK with time bins of half an hour for the joins, each table worked out once.
+_LINK_BINS = f"""{SEG}, t4 AS MATERIALIZED (SELECT *, floor(time_sec / 1800)::INT AS bin FROM tm WHERE time_sec IS NOT NULL),
+s4 AS MATERIALIZED (SELECT *, unnest(range(seg_idx - 1, seg_idx + 3))::INT AS bin FROM sg),
+h4 AS (SELECT e.event_idx, s.camera, s.seg_idx, s.camera_order, time_sec >= seg_start AND time_sec < seg_end AS exact, greatest(time_sec - seg_start, 0.0) AS offset_sec
+  FROM t4 e JOIN s4 s USING (grp, day, bin) WHERE time_sec BETWEEN seg_start - 60 AND seg_end + 60),
+b4 AS MATERIALIZED (SELECT event_idx, camera AS link_camera FROM h4 QUALIFY row_number() OVER (PARTITION BY event_idx ORDER BY camera_order, exact DESC, CASE WHEN exact THEN offset_sec END, seg_idx) = 1)"""
+
+
+@query("j4_candidate_cameras", f"""WITH {_LINK_BINS}
+SELECT e.event_idx, s.camera, s.seg_idx, round(greatest(time_sec - seg_start - 3, 0), 6) AS clip_start, round(least(time_sec - seg_start + duration_sec + 3, seg_end - seg_start), 6) AS clip_end, s.camera = link_camera AS is_current
+FROM t4 e JOIN b4 USING (event_idx) JOIN s4 s ON s.grp = e.grp AND s.day = e.day AND s.bin = e.bin WHERE time_sec >= seg_start AND time_sec < seg_end""")
 def j4(spark, d):
     out = link.candidate_cameras(linked(spark, d), segments(spark, d))
     return out.withColumn("clip_start", F.round("clip_start", 6)).withColumn("clip_end", F.round("clip_end", 6))

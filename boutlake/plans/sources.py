@@ -121,6 +121,17 @@ def s9(spark, d):
     return tables.split_protocol(rows[0].unionByName(rows[1]).unionByName(rows[2]), {"seed": 42, "val": 0.2})
 
 
+_PROTOCOL = "parameters string, splits map<string, struct<events: bigint, videos: bigint, labels: map<string, bigint>>>"
+
+
+@query("s9_protocol_rows", f"""WITH {EV}, {TH}, c AS (SELECT split, behavior, count(*) AS n FROM sp GROUP BY ALL), t AS (SELECT split, count(*) AS events, count(DISTINCT video) AS videos FROM sp GROUP BY split)
+SELECT '{{"seed": 42, "val": 0.2}}' AS parameters, split, events, videos, behavior, n FROM c JOIN t USING (split)""")
+def s9_rows(spark, d):
+    """The protocol, read back from its JSON."""
+    back = s9(spark, d).select(F.from_json("protocol", _PROTOCOL).alias("p")).select("p.parameters", F.explode("p.splits").alias("split", "c"))
+    return back.select("parameters", "split", "c.events", "c.videos", F.explode("c.labels").alias("behavior", "n"))
+
+
 @query("s10_annotation_tasks", f"WITH {EV} SELECT event_idx, behavior, video FROM ev")
 def s10(spark, d):
     t = tables.annotation_tasks(events(spark, d))

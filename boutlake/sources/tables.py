@@ -4,14 +4,14 @@ that splits, plans and annotation tools read. All of it goes through Spark's rea
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.det import numbered
-
+from ..functions.det import free_name, numbered
 from ..operators.clean import base_name
 from ..operators.link import parse_segment_name
 
@@ -20,24 +20,29 @@ VIDEO_EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv")
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV events with a header, without columns whose name begins with 'enter a 0'; text unless a schema is given."""
+    # Fixed value: 'enter a 0'.
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.drop(*[c for c in df.columns if c.strip().lower().startswith("enter a 0")])
 
 
 def read_annotation_sheet(spark: SparkSession, path: str, renamed: Mapping[str, str], constant: Sequence[str] = (), order: Column | None = None) -> DataFrame:
-    """A sheet exported as CSV: columns dropped and renamed, and event_idx, the row's place in the file, or in an order of
-    distinct values. Give an order where the sheet is more than one file: Spark packs these by size."""
+    """A sheet exported as CSV: columns dropped and renamed, and event_idx, the row's place in the sheet, or in an order of
+    distinct values. A sheet of several files goes by their paths, and a file's rows in their order, however Spark packs
+    files and cuts large ones: a row is numbered within the block that it was read in, behind the blocks before."""
     df = spark.read.option("header", True).csv(path)
+    file, block, number = (free_name(n, df) for n in ("_file", "_block", "_number"))
+    if order is None:
+        df = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(number))
     df = df.drop(*constant).withColumnsRenamed(dict(renamed))
     if order is not None:
-        return numbered(df.withColumn("_order", order), "_order", "event_idx").drop("_order")
-    # A file's rows in order: partitions follow the file, so sizes of the partitions before give the place.
-    part = df.withColumn("_part", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id())
-    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = part.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
-    return rows.withColumn("event_idx", F.col("_before") + F.pmod("_no", F.lit(1 << 33))).drop("_part", "_no", "_before")
+        return numbered(df.withColumn(number, order), number, "event_idx").drop(number)
+    size = free_name("_before", df)
+    sizes = df.groupBy(file, block).agg(F.count("*").alias(size))  # a row per block
+    before = F.coalesce(F.sum(size).over(Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(file, block).orderBy(number))  # a block is read by one task, so it fits in one
+    rows = df.withColumn(number, own).join(F.broadcast(sizes.select(file, block, before.alias(size))), [file, block])
+    return rows.withColumn("event_idx", F.col(size) + F.col(number) - 1).drop(file, block, number, size)
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -121,6 +126,40 @@ def read_run_artifacts(spark: SparkSession, glob: str, schema: str, multi_line:
     return df.withColumn("run", F.element_at(F.split(F.input_file_name(), "/"), -2))
 
 
+def read_run_configs(spark: SparkSession, glob: str) -> DataFrame:
+    """run, key, value: the settings of runs from their config.yaml (or .json) files, nested ones as 'model.backbone', lists as
+    JSON. A file is read whole by one task; one that can't be parsed gives the key '_error' with the parser's message."""
+    texts = spark.read.text(glob, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run"), "value")
+
+    def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(run, k, v) for run, text in zip(part["run"], part["value"]) for k, v in settings_of(text)]
+            yield pd.DataFrame(rows, columns=["run", "key", "value"])
+
+    return texts.mapInPandas(parsed, "run string, key string, value string")
+
+
+def settings_of(text: str) -> list[tuple[str, str | None]]:
+    """(key, value) of a YAML or JSON text, nested keys joined by dots; values as JSON, but texts as they are."""
+    try:
+        import yaml
+    except ImportError:
+        yaml = None
+    try:
+        top = yaml.safe_load(text) if yaml else json.loads(text)
+    except (yaml.YAMLError if yaml else ValueError) as e:
+        return [("_error", str(e))]
+    out: list[tuple[str, str | None]] = []
+    todo = [("", top)]
+    while todo:
+        name, x = todo.pop()
+        if isinstance(x, dict):
+            todo += [(f"{name}.{k}" if name else str(k), v) for k, v in reversed(x.items())]
+        elif name:
+            out.append((name, x if isinstance(x, str) or x is None else json.dumps(x, default=str)))
+    return out
+
+
 def write_manifest(df: DataFrame, path: str, kind: str = "csv", by: Sequence[str] = ()) -> str:
     """CSV with a header, JSON records or Parquet, in folders by these columns."""
     writer = df.write.mode("overwrite").option("header", True)
