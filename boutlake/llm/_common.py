@@ -51,8 +51,15 @@ def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
+def dotless(df: DataFrame) -> DataFrame:
+    """With other names for columns that have a dot in theirs."""
+    return df.toDF(*[f"__column_{i}" if "." in c else c for i, c in enumerate(df.columns)]) if any("." in c for c in df.columns) else df
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: T.StructType) -> DataFrame:
-    """mapInArrow with a function made once in each task; it turns one batch into dicts of column values."""
+    """mapInArrow with a function made once in each task; it turns one batch into dicts of column values. Columns with a dot in
+    their name, which mapInArrow doesn't find, go by their place."""
+    df = dotless(df)
     names, kinds = [f.name for f in schema.fields], [arrow_type(f.dataType) for f in schema.fields]
     small_batches(df.sparkSession)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import given_back, kept_in_worker, map_arrow, small_batches, struct
+from ._common import dotless, given_back, kept_in_worker, map_arrow, small_batches, struct
 
 #: Labelled rows that a model is fitted on at most, taken in the order of a hash of their id.
 MAX_LABELLED = 8_000
@@ -448,7 +448,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The rows of docs that the model doesn't reject, all columns as they are."""
     terms, weights = fit(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((terms, weights))
-    where = docs.columns.index(text_col)
+    where, names = docs.columns.index(text_col), docs.columns
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,8 +457,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             x = np.array([features(t.as_py(), matcher) for t in batch.column(where)]).reshape(-1, len(FEATURES))
             p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
-            yield batch.filter(pa.array(p < reject))
+            yield batch.filter(pa.array(p < reject)).rename_columns(names)
         del matcher
         given_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return dotless(docs).mapInArrow(run, docs.schema)
