@@ -60,11 +60,15 @@ def with_poisson(df: DataFrame, out: str, mean: str, seed: int | str, *keys: str
 
     least = F.exp(-n)
     first = F.struct(least.alias("p"), least.alias("c"), (least <= u).cast("int").alias("k"))
-    inverted = F.aggregate(F.sequence(F.lit(1), F.ceil(n + 12 * F.sqrt(n) + 30).cast("int")), first, step, lambda s: s["k"])
+    inverted = F.aggregate(
+        F.sequence(F.lit(1), F.ceil(n + 12 * F.sqrt(n) + 30).cast("int")), first, step, lambda s: s["k"]
+    )
     z = F.sqrt(-2 * F.ln(1 - u)) * F.cos(F.lit(2 * math.pi) * uniform(seed, *keys, F.lit("z")))
     wide = F.greatest(F.lit(0.0), F.round(n + F.sqrt(n) * z + (z * z - 1) / 6))
     drawn = F.when(n == 0, F.lit(0)).when(n == 1, one).when(n <= LARGEST_MEAN, inverted).otherwise(wide).cast("long")
-    return df.withColumn(name, uniform(seed, *keys)).withColumn(out, drawn).drop(name)  # a column, so that it is drawn once
+    return df.withColumn(
+        name, uniform(seed, *keys)
+    ).withColumn(out, drawn).drop(name)  # a column, so that it is drawn once
 
 
 def bin_label(value: Column, edges: Sequence[float], labels: Sequence[str], left_closed: bool = True) -> Column:
@@ -79,7 +83,9 @@ def bin_label(value: Column, edges: Sequence[float], labels: Sequence[str], left
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the one that all executors share, spark.checkpoint.dir. Where that is unset, one is set in local mode
     (one machine, as in tests); on a cluster it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get(
+        "spark.checkpoint.dir", None
+    ) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -123,7 +129,10 @@ def place_among(value: Column, cuts: Sequence[float]) -> Column:
         middle = F.shiftright(s["low"] + s["high"], 1)
         inside = s["low"] < s["high"]
         below = inside & (F.get(table, middle) < value)
-        return F.struct(F.when(below, middle + 1).otherwise(s["low"]).alias("low"), F.when(inside & ~below, middle).otherwise(s["high"]).alias("high"))
+        return F.struct(
+            F.when(below, middle + 1).otherwise(s["low"]).alias("low"),
+            F.when(inside & ~below, middle).otherwise(s["high"]).alias("high")
+        )
 
     if not cuts:
         return F.lit(0)
@@ -135,7 +144,9 @@ def _ranged(df: DataFrame, order: str, out: str) -> DataFrame:
     """Adds `out`: the row's range of the order, from 0 on, -1 where the order is null. Ranges hold some RANGE_ROWS rows and are
     cut at quantiles, so that they become more as rows do, and a task's share does not grow with the table."""
     ranges = -(-df.count() // RANGE_ROWS)
-    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.3 / ranges))) if ranges > 1 else []
+    cuts = sorted(
+        set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.3 / ranges))
+    ) if ranges > 1 else []
     return df.withColumn(out, F.when(F.col(order).isNull(), F.lit(-1)).otherwise(place_among(F.col(order), cuts)))
 
 
@@ -159,7 +170,9 @@ def running_totals(df: DataFrame, order: str, values: Mapping[str, str], descend
     return joined.withColumns(sums).drop(place, *[b for _, b in named.values()])
 
 
-def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), count: str | None = None) -> DataFrame:
+def quantiles(
+    df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), count: str | None = None
+) -> DataFrame:
     """by, and {name: share} as columns: exact quantiles by linear interpolation of the values that aren't null (by null
     is a group of its own; without by one row, of nulls where there are no values). count: a column that says how many
     times a row's value counts.
@@ -171,12 +184,17 @@ def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequen
     keys = [F.col(b).alias(f"by{i}") for i, b in enumerate(by)]
     names = [f"by{i}" for i in range(len(by))]
     times = F.sum(count) if count else F.count("*")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(times.alias("c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(
+        *keys, F.col(value).cast("double").alias("v")
+    ).agg(times.alias("c"))
     ranged = _ranged(stored(counts, "quantiles"), "v", "range")
     sums = ranged.groupBy(*names, "range").agg(F.sum("c").alias("s"))
     group = Window.partitionBy(*names, F.lit(0))
     before = F.coalesce(F.sum("s").over(group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*[F.col(b).alias(f"sum_{b}") for b in names], F.col("range").alias("sum_range"), before.alias("before"), F.sum("s").over(group).alias("all"))
+    sums = sums.select(
+        *[F.col(b).alias(f"sum_{b}") for b in names], F.col("range").alias("sum_range"), before.alias("before"),
+        F.sum("s").over(group).alias("all")
+    )
     same = F.col("range") == F.col("sum_range")
     for b in names:
         same = same & F.col(b).eqNullSafe(F.col(f"sum_{b}"))
@@ -186,10 +204,16 @@ def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequen
     for name, share in shares.items():
         place = F.lit(float(share)) * (F.col("all") - 1)
         for end, at in (("low", F.floor(place)), ("high", F.ceil(place))):
-            found.append(F.max(F.when((F.col("upto") - F.col("c") <= at) & (at < F.col("upto")), F.col("v"))).alias(f"{end}_{name}"))
+            found.append(
+                F.max(
+                    F.when((F.col("upto") - F.col("c") <= at) & (at < F.col("upto")), F.col("v"))
+                ).alias(f"{end}_{name}")
+            )
         part = place - F.floor(place)
         out.append((F.col(f"low_{name}") + (F.col(f"high_{name}") - F.col(f"low_{name}")) * part).alias(name))
-    return rows.groupBy(*names).agg(F.max("all").alias("all"), *found).select(*[F.col(b).alias(c) for b, c in zip(names, by)], *out)
+    return rows.groupBy(*names).agg(F.max("all").alias("all"), *found).select(
+        *[F.col(b).alias(c) for b, c in zip(names, by)], *out
+    )
 
 
 def numbered(df: DataFrame, order: str, out: str) -> DataFrame:

@@ -28,8 +28,10 @@ def clock_offset(segment_start: Column, clock: Column) -> Column:
 
 #: The tables that issues of the alignment are listed in, by the reason or the flag of a row.
 ISSUES = {
-    "missing_video": "reason = 'missing_video'", "parse_errors": "reason in ('cannot_parse_segment', 'cannot_parse_event_time')",
-    "offset_exceeds_segment": "reason = 'offset_exceeds_segment'", "offset_mismatch": "offset_mismatch", "bad_duration": "bad_duration",
+    "missing_video": "reason = 'missing_video'",
+    "parse_errors": "reason in ('cannot_parse_segment', 'cannot_parse_event_time')",
+    "offset_exceeds_segment": "reason = 'offset_exceeds_segment'", "offset_mismatch": "offset_mismatch",
+    "bad_duration": "bad_duration",
 }
 #: Beside the issues: all rows with what was worked out, and those that are in order.
 FIXED, VERIFIED = "fixed", "verified"
@@ -40,8 +42,12 @@ def verify_alignment(df: DataFrame, files: DataFrame, most_diff: float = 1.0, le
     or not above 0, of rows that are ok otherwise) and duration_fixed (of those what the clock times say; `least` at least).
     df: event_idx, filename, path, start_time, end_time, duration_sec, offset_sec. files: path."""
     there, seg = free_name("_there", df), free_name("_seg", df)
-    rows = df.join(files.select("path").distinct().withColumn(there, F.lit(True)), "path", "left").withColumn(seg, parse_segment_name(F.col("filename")))
-    rows = rows.withColumn("segment_sec", F.col(f"{seg}.seconds")).withColumn("calc_offset_sec", clock_offset(F.col(f"{seg}.start"), F.col("start_time")))
+    rows = df.join(
+        files.select("path").distinct().withColumn(there, F.lit(True)), "path", "left"
+    ).withColumn(seg, parse_segment_name(F.col("filename")))
+    rows = rows.withColumn("segment_sec", F.col(f"{seg}.seconds")).withColumn(
+        "calc_offset_sec", clock_offset(F.col(f"{seg}.start"), F.col("start_time"))
+    )
     reason = (
         F.when(F.col(seg).isNull() | (F.col("segment_sec") <= 0), "cannot_parse_segment")
         .when(F.col(there).isNull(), "missing_video").when(F.col("calc_offset_sec").isNull(), "cannot_parse_event_time")
@@ -52,12 +58,19 @@ def verify_alignment(df: DataFrame, files: DataFrame, most_diff: float = 1.0, le
     fixed = F.greatest(F.when(bad, F.coalesce(spent, F.lit(0.0))).otherwise(F.col("duration_sec")), F.lit(least))
     off = F.coalesce(F.abs(F.col("calc_offset_sec") - F.col("offset_sec")) > most_diff, F.lit(False))
     ok = reason == "ok"
-    return rows.withColumns({"reason": reason, "offset_mismatch": ok & off, "bad_duration": ok & bad, "duration_fixed": fixed}).drop(seg, there)
+    return rows.withColumns(
+        {"reason": reason, "offset_mismatch": ok & off, "bad_duration": ok & bad, "duration_fixed": fixed}
+    ).drop(seg, there)
 
 
 def alignment_outcomes(checked: DataFrame) -> DataFrame:
     """The rows of verify_alignment once for each table that they belong to, by `outcome`: fixed, verified, and the issues."""
-    tables = F.array_compact(F.array(F.lit(FIXED), F.when(F.col("reason") == "ok", VERIFIED), *[F.when(F.expr(c), n) for n, c in ISSUES.items()]))
+    tables = F.array_compact(
+        F.array(
+            F.lit(FIXED), F.when(F.col("reason") == "ok", VERIFIED),
+            *[F.when(F.expr(c), n) for n, c in ISSUES.items()]
+        )
+    )
     return checked.withColumn("outcome", F.explode(tables))
 
 
@@ -67,7 +80,9 @@ def write_alignment(checked: DataFrame, path: str, kind: str = "parquet") -> str
     return path
 
 
-def read_alignment(checked_schema: StructType, spark: SparkSession, path: str, outcome: str, kind: str = "parquet") -> DataFrame:
+def read_alignment(
+    checked_schema: StructType, spark: SparkSession, path: str, outcome: str, kind: str = "parquet"
+) -> DataFrame:
     """One table of write_alignment; only its folder is read. A table without rows is empty."""
     schema = StructType([*checked_schema.fields, StructField("outcome", StringType())])
     rows = spark.read.option("header", True).schema(schema).format(kind).load(path)
@@ -84,7 +99,9 @@ def audit_events(df: DataFrame, videos: DataFrame, most_diff: float = 5.0) -> Da
 
     All checks count, but what follows a missing recording is left out; a computed offset of 0 counts as none.
     """
-    rows = df.join(videos.select("path", "actual_sec"), "path", "left").withColumn("_seg", parse_segment_name(F.col("filename")))
+    rows = df.join(
+        videos.select("path", "actual_sec"), "path", "left"
+    ).withColumn("_seg", parse_segment_name(F.col("filename")))
     calc = F.when(F.col("_seg").isNotNull(), clock_offset(F.col("_seg.start"), F.col("start_time")))
     rows = rows.withColumn("_calc", F.nullif(calc, F.lit(0.0))).withColumn("_there", F.col("actual_sec").isNotNull())
     offset = F.coalesce("_calc", "offset_sec", F.lit(0.0))
@@ -92,22 +109,33 @@ def audit_events(df: DataFrame, videos: DataFrame, most_diff: float = 5.0) -> Da
     hidden = F.coalesce(F.col("filename").startswith("._"), F.lit(False))
     exceeds = there & (F.col("actual_sec") > 0) & (offset > F.col("actual_sec"))
     issues = F.array_compact(F.array(
-        F.when(hidden, "hidden_file"), F.when(F.coalesce("duration_sec", F.lit(0.0)) <= 0, "zero_duration"), F.when(~there, "video_not_found"),
-        F.when(there & F.col("_seg").isNull(), "cannot_parse_filename"), F.when(there & (F.abs(F.col("_calc") - F.col("offset_sec")) > most_diff), "offset_mismatch"), F.when(exceeds, "offset_exceeds_duration"),
+        F.when(hidden, "hidden_file"), F.when(F.coalesce("duration_sec", F.lit(0.0)) <= 0, "zero_duration"),
+        F.when(~there, "video_not_found"),
+        F.when(there & F.col("_seg").isNull(), "cannot_parse_filename"),
+        F.when(there & (F.abs(F.col("_calc") - F.col("offset_sec")) > most_diff), "offset_mismatch"),
+        F.when(exceeds, "offset_exceeds_duration"),
     ))
     status = F.when(hidden | ~there | exceeds, "FAIL").when(F.size("_issues") > 0, "WARN").otherwise("OK")
-    return rows.withColumn("_issues", issues).select("event_idx", status.alias("status"), F.array_join("_issues", "|").alias("issues"))
+    return rows.withColumn("_issues", issues).select(
+        "event_idx", status.alias("status"), F.array_join("_issues", "|").alias("issues")
+    )
 
 
 def audit_by_class(df: DataFrame, audited: DataFrame, label: str = "behavior", idx: str = "event_idx") -> DataFrame:
     """label, issue, n: how many events of each class failed or were warned of for each issue (of audit_events)."""
-    rows = audited.where(F.col("issues") != "").select(idx, "status", F.explode(F.split("issues", r"\|")).alias("issue"))
+    rows = audited.where(F.col("issues") != "").select(
+        idx, "status", F.explode(F.split("issues", r"\|")).alias("issue")
+    )
     return rows.join(df.select(idx, label), idx).groupBy(label, "status", "issue").agg(F.count("*").alias("n"))
 
 
-def verify_paths(manifest: DataFrame, files: DataFrame, k: int = 3, camera: str = "camera", path: str = "path") -> DataFrame:
+def verify_paths(
+    manifest: DataFrame, files: DataFrame, k: int = 3, camera: str = "camera", path: str = "path"
+) -> DataFrame:
     """camera, path, present: of the first k files of each camera by path."""
-    first = manifest.select(camera, path).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(camera).orderBy(path))).where(F.col("_r") <= k)
+    first = manifest.select(camera, path).distinct().withColumn(
+        "_r", F.row_number().over(Window.partitionBy(camera).orderBy(path))
+    ).where(F.col("_r") <= k)
     there = files.select(path).distinct().withColumn("present", F.lit(True))
     return first.join(there, path, "left").select(camera, path, F.coalesce("present", F.lit(False)).alias("present"))
 
@@ -116,32 +144,50 @@ def pool_validity(df: DataFrame) -> DataFrame:
     """Rows of a pool that are valid: by its column `valid`, else with hash and size and a blank error."""
     if "valid" in df.columns:
         return df.where(F.lower(F.col("valid").cast("string")).isin("true", "1", "yes"))
-    return df.where(F.col("hash").isNotNull() & F.col("size").isNotNull() & (F.coalesce(F.trim("error"), F.lit("")) == ""))
+    return df.where(
+        F.col("hash").isNotNull() & F.col("size").isNotNull() & (F.coalesce(F.trim("error"), F.lit("")) == "")
+    )
 
 
 def clip_presence(df: DataFrame, files: DataFrame, label: str = "behavior", idx: str = "event_idx") -> DataFrame:
     """Adds clip and present: whether evt_<4 digits>_<label>.mp4 is among the files' names."""
-    clip = F.concat(F.lit("evt_"), F.when(F.col(idx) < 10_000, F.lpad(F.col(idx).cast("string"), 4, "0")).otherwise(F.col(idx).cast("string")), F.lit("_"), F.col(label), F.lit(".mp4"))
+    clip = F.concat(
+        F.lit("evt_"),
+        F.when(F.col(idx) < 10_000, F.lpad(F.col(idx).cast("string"), 4, "0")).otherwise(F.col(idx).cast("string")),
+        F.lit("_"), F.col(label), F.lit(".mp4")
+    )
     there = files.select("name").distinct().withColumn("_there", F.lit(True))
     rows = df.withColumn("clip", clip)
-    return rows.join(there, rows["clip"] == there["name"], "left").withColumn("present", F.col("_there").isNotNull()).drop("_there", "name")
+    return rows.join(
+        there, rows["clip"] == there["name"], "left"
+    ).withColumn("present", F.col("_there").isNotNull()).drop("_there", "name")
 
 
 def corrupt_impact(events: DataFrame, bad: DataFrame, video: str = "video", group: str = "grp") -> DataFrame:
     """group, events, videos that unreadable recordings touch."""
-    return events.join(bad.select(video).distinct(), video, "left_semi").groupBy(group).agg(F.count("*").alias("events"), F.countDistinct(video).alias("videos"))
+    return events.join(bad.select(video).distinct(), video, "left_semi").groupBy(group).agg(
+        F.count("*").alias("events"), F.countDistinct(video).alias("videos")
+    )
 
 
-def filter_tracks(df: DataFrame, least: int = 5, confidence: float = 0.4, most_gap: int = 10, keys: Sequence[str] = ("video", "track"), frame: str = "frame") -> DataFrame:
+def filter_tracks(
+    df: DataFrame, least: int = 5, confidence: float = 0.4, most_gap: int = 10,
+    keys: Sequence[str] = ("video", "track"), frame: str = "frame"
+) -> DataFrame:
     """keys, n, mean_conf, gaps_filled of tracks that stay: long and sure enough; gaps of up to most_gap frames count as filled."""
     gap = F.col(frame) - F.lag(frame).over(Window.partitionBy(*keys).orderBy(frame)) - 1
     rows = df.withColumn("_gap", F.coalesce(gap, F.lit(0)))
     fill = F.when((F.col("_gap") > 0) & (F.col("_gap") <= most_gap), F.col("_gap")).otherwise(0)
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("conf"), 6).alias("mean_conf"), F.sum(fill).alias("gaps_filled"))
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.round(F.avg("conf"), 6).alias("mean_conf"), F.sum(fill).alias("gaps_filled")
+    )
     return out.where((F.col("n") >= least) & (F.col("mean_conf") >= confidence))
 
 
-def fill_tracks(df: DataFrame, values: Sequence[str], least: int = 5, confidence: float = 0.4, most_gap: int = 10, keys: Sequence[str] = ("video", "track"), frame: str = "frame") -> DataFrame:
+def fill_tracks(
+    df: DataFrame, values: Sequence[str], least: int = 5, confidence: float = 0.4, most_gap: int = 10,
+    keys: Sequence[str] = ("video", "track"), frame: str = "frame"
+) -> DataFrame:
     """keys, frame, values, filled: the frames of the tracks that filter_tracks keeps, and a row for each missing frame of a gap
     of up to most_gap frames, with values on the line between the frames beside it (null where one of them is null). Gaps
     that are longer stay open. Of rows of a track with the same frame the first by its values counts."""
@@ -153,15 +199,26 @@ def fill_tracks(df: DataFrame, values: Sequence[str], least: int = 5, confidence
     gap = F.col(frame) - F.lag(frame).over(track) - 1
     start = F.when((gap > 0) & (gap <= most_gap), F.lag(frame).over(track) + 1).otherwise(F.col(frame))
     before = [F.lag(v).over(track).cast("double").alias(f"_before_{i}") for i, v in enumerate(values)]
-    rows = rows.join(kept, list(keys), "left_semi").select(*keys, F.col(frame).alias(names["_from"]), start.alias("_start"), *before, *[F.col(v).cast("double").alias(f"_at_{i}") for i, v in enumerate(values)])
+    rows = rows.join(kept, list(keys), "left_semi").select(
+        *keys, F.col(frame).alias(names["_from"]), start.alias("_start"), *before,
+        *[F.col(v).cast("double").alias(f"_at_{i}") for i, v in enumerate(values)]
+    )
     rows = rows.withColumn("_frame", F.explode(F.sequence("_start", names["_from"])))
     share = (F.col("_frame") - F.col("_start") + 1) / (F.col(names["_from"]) - F.col("_start") + 1)
     filled = F.col("_frame") < F.col(names["_from"])
-    lines = [F.when(filled, F.col(f"_before_{i}") + (F.col(f"_at_{i}") - F.col(f"_before_{i}")) * share).otherwise(F.col(f"_at_{i}")).alias(v) for i, v in enumerate(values)]
+    lines = [
+        F.when(
+            filled, F.col(f"_before_{i}") + (F.col(f"_at_{i}") - F.col(f"_before_{i}")) * share
+        ).otherwise(F.col(f"_at_{i}")).alias(v)
+        for i, v in enumerate(values)
+    ]
     return rows.select(*keys, F.col("_frame").alias(frame), *lines, filled.alias("filled"))
 
 
-def temporal_nms(df: DataFrame, iou: float = 0.5, video: str = "video", idx: str = "event_idx", start: str = "start_sec", end: str = "end_sec", score: str = "score") -> DataFrame:
+def temporal_nms(
+    df: DataFrame, iou: float = 0.5, video: str = "video", idx: str = "event_idx", start: str = "start_sec",
+    end: str = "end_sec", score: str = "score"
+) -> DataFrame:
     """idx of scored intervals that no kept interval of a higher score (ties: smaller idx) in their video covers by more than `iou`.
 
     Overlapping pairs are found in bins of time, of a width for each octave of lengths, so that an interval is in few
@@ -171,23 +228,46 @@ def temporal_nms(df: DataFrame, iou: float = 0.5, video: str = "video", idx: str
     """
     length = F.col(end).cast("double") - F.col(start).cast("double")
     node = F.struct(F.col(video).alias("v"), F.col(idx).alias("i"))
-    rows = df.select(F.col(video).alias("v"), node.alias("node"), F.struct((-F.col(score)).alias("o"), F.col(idx).alias("i")).alias("rank"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.floor(F.log2(length)).cast("int").alias("octave")).where(length > 0)
+    rows = df.select(
+        F.col(video).alias("v"), node.alias("node"),
+        F.struct((-F.col(score)).alias("o"), F.col(idx).alias("i")).alias("rank"),
+        F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"),
+        F.floor(F.log2(length)).cast("int").alias("octave")
+    ).where(length > 0)
     apart = math.ceil(math.log2(1 / max(iou, 2.0**-40))) + 1  # octaves between lengths that may still have this overlap
 
     def binned(x: DataFrame, tag: str) -> DataFrame:
         """Columns with a tag, but octave and bin."""
         w = F.pow(F.lit(2.0), F.col("octave") + 1)
         x = x.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / w), F.floor(F.col("e") / w))))
-        return x.select("octave", "bin", *[F.col(c).alias(f"{c}_{tag}") for c in x.columns if c not in ("octave", "bin")])
+        return x.select(
+            "octave", "bin", *[F.col(c).alias(f"{c}_{tag}") for c in x.columns if c not in ("octave", "bin")]
+        )
 
     longer = binned(rows.withColumn("own", F.col("octave")), "x")
-    shorter = binned(rows.withColumn("own", F.col("octave")).withColumn("octave", F.explode(F.sequence(F.col("octave"), F.col("octave") + apart))), "y")
-    met = longer.join(shorter, (longer["octave"] == shorter["octave"]) & (longer["bin"] == shorter["bin"]) & longer["v_x"].eqNullSafe(shorter["v_y"]))
+    shorter = binned(
+        rows.withColumn("own", F.col("octave")).withColumn(
+            "octave", F.explode(F.sequence(F.col("octave"), F.col("octave") + apart))
+        ),
+        "y"
+    )
+    met = longer.join(
+        shorter,
+        (
+            longer["octave"] == shorter["octave"]
+        ) & (longer["bin"] == shorter["bin"]) & longer["v_x"].eqNullSafe(shorter["v_y"])
+    )
     both = F.greatest(F.least("e_x", "e_y") - F.greatest("s_x", "s_y"), F.lit(0.0))
     overlap = both / F.greatest((F.col("e_x") - F.col("s_x")) + (F.col("e_y") - F.col("s_y")) - both, F.lit(1e-9))
-    once = (F.floor(F.greatest("s_x", "s_y") / F.pow(F.lit(2.0), longer["octave"] + 1)) == longer["bin"]) & ((F.col("own_y") < F.col("own_x")) | (F.col("rank_x") < F.col("rank_y")))
+    once = (
+        F.floor(F.greatest("s_x", "s_y") / F.pow(F.lit(2.0), longer["octave"] + 1)) == longer["bin"]
+    ) & ((F.col("own_y") < F.col("own_x")) | (F.col("rank_x") < F.col("rank_y")))
     first = F.col("rank_x") < F.col("rank_y")
-    pairs = met.where(once & (overlap > iou)).select(F.when(first, F.col("node_x")).otherwise(F.col("node_y")).alias("a"), F.when(first, F.col("node_y")).otherwise(F.col("node_x")).alias("b"), F.when(first, F.col("rank_x")).otherwise(F.col("rank_y")).alias("rank"))
+    pairs = met.where(once & (overlap > iou)).select(
+        F.when(first, F.col("node_x")).otherwise(F.col("node_y")).alias("a"),
+        F.when(first, F.col("node_y")).otherwise(F.col("node_x")).alias("b"),
+        F.when(first, F.col("rank_x")).otherwise(F.col("rank_y")).alias("rank")
+    )
     pairs = stored(pairs, "nms-pairs")
     gone = []
     while pairs.count() > FEW:
@@ -195,10 +275,15 @@ def temporal_nms(df: DataFrame, iou: float = 0.5, video: str = "video", idx: str
         covered = stored(pairs.join(weak, "a", "left_anti").select("b").distinct(), "nms-covered")
         gone.append(covered)
         settled = pairs.join(weak, "a", "left_anti").select("a").union(covered.select(F.col("b").alias("a"))).distinct()
-        pairs = stored(pairs.join(settled, "a", "left_anti").join(covered, "b", "left_anti").select("a", "b", "rank"), "nms-pairs")
+        pairs = stored(
+            pairs.join(settled, "a", "left_anti").join(covered, "b", "left_anti").select("a", "b", "rank"),
+            "nms-pairs"
+        )
     last: set[tuple] = set()
     for r in pairs.orderBy("rank").collect():
         if tuple(r["a"]) not in last:
             last.add(tuple(r["b"]))
     gone.append(df.sparkSession.createDataFrame([(x,) for x in last], pairs.select("b").schema))
-    return df.select(video, idx).withColumn("b", node).join(reduce(DataFrame.unionByName, gone), "b", "left_anti").select(video, idx)
+    return df.select(video, idx).withColumn("b", node).join(
+        reduce(DataFrame.unionByName, gone), "b", "left_anti"
+    ).select(video, idx)

@@ -51,7 +51,8 @@ _RECALL_POS, _RECALL_NEG = over("tp", "tp + fn"), over("tn", "tn + fp")
 #: The metrics that are known by name; register_metric adds to them.
 METRICS: dict[str, Metric] = {
     "f1_pos": Metric(_F1_POS), "f1_neg": Metric(_F1_NEG), "macro_f1": Metric(f"({_F1_POS} + {_F1_NEG}) / 2"),
-    "precision_pos": Metric(over("tp", "tp + fp")), "recall_pos": Metric(_RECALL_POS), "recall_neg": Metric(_RECALL_NEG),
+    "precision_pos": Metric(over("tp", "tp + fp")), "recall_pos": Metric(_RECALL_POS),
+    "recall_neg": Metric(_RECALL_NEG),
     "balanced_accuracy": Metric(f"({_RECALL_POS} + {_RECALL_NEG}) / 2"),
     "mcc": Metric(over("tp * tn - fp * fn", "sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))")),
 }
@@ -70,7 +71,9 @@ def _interval(long: DataFrame) -> DataFrame:
     """metric, mean, low, high, std from metric, value: a row per replicate and metric."""
     six = lambda c, n: F.round(c, 6).alias(n)
     low, high = (F.percentile("value", F.lit(q)) for q in (0.025, 0.975))
-    return long.groupBy("metric").agg(six(F.avg("value"), "mean"), six(low, "low"), six(high, "high"), six(F.stddev_pop("value"), "std"))
+    return long.groupBy("metric").agg(
+        six(F.avg("value"), "mean"), six(low, "low"), six(high, "high"), six(F.stddev_pop("value"), "std")
+    )
 
 
 def _grid(spark: SparkSession, replicates: int) -> DataFrame:
@@ -79,34 +82,54 @@ def _grid(spark: SparkSession, replicates: int) -> DataFrame:
     return grid.repartition(max(1, min(replicates, spark.sparkContext.defaultParallelism)), "replicate")
 
 
-def bootstrap_values(preds: DataFrame, metrics: Sequence[str | tuple[str, Metric]] = BUILT_IN, replicates: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_values(
+    preds: DataFrame, metrics: Sequence[str | tuple[str, Metric]] = BUILT_IN, replicates: int = 1000,
+    seed: int = 42
+) -> DataFrame:
     """metric, replicate, value of the replicates that have what the metric needs. metrics: names, or names with a Metric."""
     chosen = {m: METRICS[m] if isinstance(m, str) else m for m in metrics if isinstance(m, str)}
     chosen |= {name: metric for name, metric in (m for m in metrics if not isinstance(m, str))}
     parts = []
-    for cells in {tuple(sorted(m.cells.items())): m.cells for m in chosen.values()}.values():  # metrics with the same cells share the draws
+    for cells in {
+        tuple(sorted(m.cells.items())): m.cells for m in chosen.values()
+    }.values():  # metrics with the same cells share the draws
         names = [*cells]
         marks = [F.when(F.expr(c), "1").otherwise("0") for c in cells.values()]
         counts = preds.groupBy(F.concat(*marks).alias("pattern")).agg(F.count("*").alias("n"))
         few = F.broadcast(counts)  # a row per pattern: 2 ** cells at most
-        drawn = with_poisson(_grid(preds.sparkSession, replicates).crossJoin(few), "w", "n", seed, "pattern", "replicate")
-        sums = [F.sum(F.when(F.substring("pattern", i + 1, 1) == "1", F.col("w")).otherwise(0)).cast("double").alias(c) for i, c in enumerate(names)]
+        drawn = with_poisson(
+            _grid(preds.sparkSession, replicates).crossJoin(few), "w", "n", seed, "pattern", "replicate"
+        )
+        sums = [
+            F.sum(F.when(F.substring("pattern", i + 1, 1) == "1", F.col("w")).otherwise(0)).cast("double").alias(c)
+            for i, c in enumerate(names)
+        ]
         of = {n: m for n, m in chosen.items() if m.cells == cells}
         values = [F.when(F.expr(m.needs), F.expr(m.value)).cast("double").alias(n) for n, m in of.items()]
         rows = drawn.groupBy("replicate").agg(*sums).select("replicate", *values)
-        parts.append(rows.unpivot("replicate", [*of], "metric", "value").where(F.col("value").isNotNull()).select("metric", "replicate", "value"))
+        parts.append(
+            rows.unpivot(
+                "replicate", [*of], "metric", "value"
+            ).where(F.col("value").isNotNull()).select("metric", "replicate", "value")
+        )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def bootstrap_ci(preds: DataFrame, replicates: int = 1000, seed: int = 42, metrics: Sequence[str | tuple[str, Metric]] = BUILT_IN) -> DataFrame:
+def bootstrap_ci(
+    preds: DataFrame, replicates: int = 1000, seed: int = 42,
+    metrics: Sequence[str | tuple[str, Metric]] = BUILT_IN
+) -> DataFrame:
     """A row per metric: metric, mean, low, high (2.5 and 97.5 %), std (population), over replicates that have what it needs."""
     return _interval(bootstrap_values(preds, metrics, replicates, seed))
 
 
-def bootstrap_custom(preds: DataFrame, metric: Callable[[pd.DataFrame], float | None], columns: Sequence[str], replicates: int = 1000, seed: int = 42, name: str = "custom", most_rows: int = 200_000) -> DataFrame:
+def bootstrap_custom(
+    preds: DataFrame, metric: Callable[[pd.DataFrame], float | None], columns: Sequence[str],
+    replicates: int = 1000, seed: int = 42, name: str = "custom", most_rows: int = 200_000
+) -> DataFrame:
     """The same for a metric that SQL can't express: `metric` gets a frame of the columns and `weight`, a row per distinct row
     that takes part, and returns a number, or None where the replicate doesn't count.
 
@@ -119,17 +142,25 @@ def bootstrap_custom(preds: DataFrame, metric: Callable[[pd.DataFrame], float |
     spark = preds.sparkSession
     said = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in columns]
     named = distinct.withColumn("_key", F.concat_ws("|", *said))
-    rows = with_poisson(_grid(spark, replicates).crossJoin(F.broadcast(named)), "weight", "_n", seed, "_key", "replicate")
+    rows = with_poisson(
+        _grid(spark, replicates).crossJoin(F.broadcast(named)), "weight", "_n", seed, "_key", "replicate"
+    )
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        value = metric(part[part["weight"] > 0].drop(columns="replicate"))  # a filter in Spark would be pushed down and draw again
+        value = metric(
+            part[part["weight"] > 0].drop(columns="replicate")
+        )  # a filter in Spark would be pushed down and draw again
         return pd.DataFrame({"metric": [name], "value": [None if value is None else float(value)]})
 
-    long = rows.select("replicate", *columns, "weight").groupBy("replicate").applyInPandas(one, "metric string, value double")
+    long = rows.select("replicate", *columns, "weight").groupBy("replicate").applyInPandas(
+        one, "metric string, value double"
+    )
     return _interval(long.where("value is not null"))
 
 
-def bootstrap_ood(scores: DataFrame, replicates: int = 1000, seed: int = 42, score: str = "score", ood: str = "is_ood") -> DataFrame:
+def bootstrap_ood(
+    scores: DataFrame, replicates: int = 1000, seed: int = 42, score: str = "score", ood: str = "is_ood"
+) -> DataFrame:
     """metric (auroc, aupr_ood, fpr_at_95tpr), mean, low, high, std as bootstrap_ci, over replicates that have rows of both
     sides: both are resampled. Rows without a score are left out.
 
@@ -141,21 +172,33 @@ def bootstrap_ood(scores: DataFrame, replicates: int = 1000, seed: int = 42, sco
     points = stored(numbered(points, "s", "place"), "bootstrap-points")
     spark = scores.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, -(-points.count() * replicates // DRAWS))
-    drawn = points.repartition(tasks, "place").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = points.repartition(tasks, "place").withColumn(
+        "replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
+    )
     drawn = with_poisson(drawn, "pos", "ids", seed, "place", F.lit("id"), "replicate")
     drawn = with_poisson(drawn, "neg", "oods", seed, "place", F.lit("ood"), "replicate")
-    drawn = drawn.select("replicate", "place", F.expr(f"place div {POINTS}").alias("range"), "pos", "neg")  # a filter would be pushed down and draw again
+    drawn = drawn.select(
+        "replicate", "place", F.expr(f"place div {POINTS}").alias("range"), "pos", "neg"
+    )  # a filter would be pushed down and draw again
     sums = drawn.groupBy("replicate", "range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     own = Window.partitionBy("replicate")
     above = own.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
-    sums = sums.select("replicate", "range", before("p").alias("p0"), before("n").alias("n0"), F.sum("p").over(own).alias("np"), F.sum("n").over(own).alias("nn"))
+    sums = sums.select(
+        "replicate", "range", before("p").alias("p0"), before("n").alias("n0"), F.sum("p").over(own).alias("np"),
+        F.sum("n").over(own).alias("nn")
+    )
     within = Window.partitionBy("replicate", "range").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = drawn.withColumns({"tp": F.sum("pos").over(within), "fp": F.sum("neg").over(within)}).join(sums.where("np > 0 and nn > 0"), ["replicate", "range"])
-    tp, fp, pos, neg, np_, nn = F.col("p0") + F.col("tp"), F.col("n0") + F.col("fp"), *(F.col(c) for c in ("pos", "neg", "np", "nn"))
+    curve = drawn.withColumns(
+        {"tp": F.sum("pos").over(within), "fp": F.sum("neg").over(within)}
+    ).join(sums.where("np > 0 and nn > 0"), ["replicate", "range"])
+    tp, fp, pos, neg, np_, nn = F.col("p0") + F.col("tp"), F.col("n0") + F.col("fp"), *(
+        F.col(c) for c in ("pos", "neg", "np", "nn")
+    )
     below, under = nn - fp + neg, np_ - tp + pos  # OOD and known rows at this score or below
     values = curve.groupBy("replicate").agg(
-        F.sum(neg * (tp - pos / 2) / np_ / nn).alias("auroc"), F.sum(F.when(neg > 0, neg / nn * below / F.nullif(below + under, F.lit(0)))).alias("aupr_ood"),
+        F.sum(neg * (tp - pos / 2) / np_ / nn).alias("auroc"),
+        F.sum(F.when(neg > 0, neg / nn * below / F.nullif(below + under, F.lit(0)))).alias("aupr_ood"),
         F.coalesce(F.min(F.when(tp / np_ >= 0.95, fp / nn)), F.lit(1.0)).alias("fpr_at_95tpr"),
     )
     return _interval(values.unpivot([], ["auroc", "aupr_ood", "fpr_at_95tpr"], "metric", "value"))

@@ -14,14 +14,18 @@ DATE_FORMATS = ("yyyy-M-d", "yyyy-M-d H:m:s", "M/d/yy", "M/d/yyyy", "d/M/yy", "d
 def normalize_label(value: Column, table: Mapping[str, str], missing: str = "unknown") -> Column:
     """Null gives `missing`; else the table by the trimmed lower-case value, then by the value as it is, else the former."""
     folded = F.lower(F.trim(value))
-    return F.when(value.isNull(), F.lit(missing)).otherwise(F.coalesce(F.try_element_at(_table(table), folded), F.try_element_at(_table(table), value), folded))
+    return F.when(value.isNull(), F.lit(missing)).otherwise(
+        F.coalesce(F.try_element_at(_table(table), folded), F.try_element_at(_table(table), value), folded)
+    )
 
 
 def _table(table: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in (table or {"": ""}).items() for x in kv])
 
 
-def normalize_by_substring(value: Column, patterns: Sequence[tuple[str, Sequence[str]]], default: str = "unknown") -> Column:
+def normalize_by_substring(
+    value: Column, patterns: Sequence[tuple[str, Sequence[str]]], default: str = "unknown"
+) -> Column:
     """The first role, in the order given, of which any pattern stands in the lower-case value."""
     folded = F.lower(value)
     out = F.lit(default)
@@ -35,7 +39,9 @@ def normalize_by_substring(value: Column, patterns: Sequence[tuple[str, Sequence
 
 def flag_duration(value: Column, least: float, threshold: float, most: float) -> Column:
     """missing, below_min, above_max, above_threshold or null, in this order of precedence."""
-    return F.when(value.isNull(), "missing").when(value < least, "below_min").when(value > most, "above_max").when(value > threshold, "above_threshold")
+    return F.when(value.isNull(), "missing").when(value < least, "below_min").when(value > most, "above_max").when(
+        value > threshold, "above_threshold"
+    )
 
 
 def flag_id(value: Column, ranges: Sequence[tuple[int, int]], flag_outside: bool = True) -> Column:
@@ -51,12 +57,16 @@ def flag_id(value: Column, ranges: Sequence[tuple[int, int]], flag_outside: bool
 def qa_flags(df: DataFrame, flags: Mapping[str, Column], key: str) -> DataFrame:
     """Rows with a flag: key and `flags`, joined by '|' in the order given, each with its name as a prefix if not empty."""
     said = F.array_compact(F.array(*[F.concat(F.lit(f"{n}_" if n else ""), c) for n, c in flags.items()]))
-    return df.select(key, said.alias("_flags")).where(F.size("_flags") > 0).select(key, F.array_join("_flags", "|").alias("flags"))
+    return df.select(key, said.alias("_flags")).where(F.size("_flags") > 0).select(
+        key, F.array_join("_flags", "|").alias("flags")
+    )
 
 
 def flag_counts(qa: DataFrame, top: int = 10) -> DataFrame:
     """flag, n of the `top` most frequent; ties by name."""
-    return qa.select(F.explode(F.split("flags", r"\|")).alias("flag")).groupBy("flag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "flag").limit(top)
+    return qa.select(
+        F.explode(F.split("flags", r"\|")).alias("flag")
+    ).groupBy("flag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "flag").limit(top)
 
 
 def parse_date_multi(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
@@ -93,7 +103,9 @@ def filter_classes(df: DataFrame, column: str, keep: Sequence[str]) -> DataFrame
     return out
 
 
-def remap_paths(df: DataFrame, columns: Sequence[str], prefixes: Sequence[tuple[str, str]], out: str = "path") -> DataFrame:
+def remap_paths(
+    df: DataFrame, columns: Sequence[str], prefixes: Sequence[tuple[str, str]], out: str = "path"
+) -> DataFrame:
     """The first of these columns that exists, prefixes replaced one after the other, backslashes as slashes."""
     found = next((c for c in columns if c in df.columns), None)
     if found is None:
@@ -126,7 +138,9 @@ def video_key(df: DataFrame, path: str, name: str | None = None, variant: str =
     return text
 
 
-def parse_external_sheet(df: DataFrame, video: str, ours: str, labels: Sequence[str], extensions: Sequence[str]) -> DataFrame:
+def parse_external_sheet(
+    df: DataFrame, video: str, ours: str, labels: Sequence[str], extensions: Sequence[str]
+) -> DataFrame:
     """video, ours (true, false, null), labels: of rows that name a video file; one-hot columns as an array."""
     name = F.trim(F.col(f"`{video}`"))
     is_file = F.lit(False)
@@ -134,12 +148,18 @@ def parse_external_sheet(df: DataFrame, video: str, ours: str, labels: Sequence[
         is_file = is_file | F.lower(name).endswith(e)
     said = F.upper(F.trim(F.col(f"`{ours}`")))
     found = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").try_cast("double") == 1, F.lit(c)) for c in labels]))
-    return df.where(name.isNotNull() & (name != "") & ~name.rlike(r"^\d+$") & is_file).select(name.alias("video"), F.when(said.startswith("Y"), True).when(said.startswith("N"), False).alias("ours"), found.alias("labels"))
+    return df.where(name.isNotNull() & (name != "") & ~name.rlike(r"^\d+$") & is_file).select(
+        name.alias("video"), F.when(said.startswith("Y"), True).when(said.startswith("N"), False).alias("ours"),
+        found.alias("labels")
+    )
 
 
 #: What a column's name (in lower case, trimmed) has to be or to hold for a role. A column has the first role that
 #: it fits.
-SHEET_ROLES = (("ours", ("our video",)), ("notes", ("note",)), *[(name, (name, "1-0")) for name in ("none", "ear", "tail", "teat", "other")])
+SHEET_ROLES = (
+    ("ours", ("our video",)), ("notes", ("note",)),
+    *[(name, (name, "1-0")) for name in ("none", "ear", "tail", "teat", "other")]
+)
 SHEET_VIDEO = "video"
 #: Words that say yes and no.
 YES, NO = ("Y", "YES", "TRUE", "1"), ("N", "NO", "FALSE", "0")
@@ -151,7 +171,9 @@ def detect_columns(columns: Sequence[str]) -> dict[str, str]:
     found: dict[str, str] = {}
     for column in columns:
         name = column.strip().lower()
-        role = "video" if name == SHEET_VIDEO else next((r for r, parts in SHEET_ROLES if all(p in name for p in parts)), None)
+        role = "video" if name == SHEET_VIDEO else next(
+            (r for r, parts in SHEET_ROLES if all(p in name for p in parts)), None
+        )
         if role is not None:
             found[role] = column
     if "video" not in found:
@@ -163,13 +185,17 @@ def read_external_sheet(df: DataFrame, extensions: Sequence[str] = (".mp4", ".mo
     """video, ours (true, false, null), notes, labels (the classes whose column says 1): rows of a sheet that name a video file,
     whatever its columns are called (detect_columns). Roles without a column are null, or no label."""
     at = detect_columns(df.columns)
-    text = lambda role: F.trim(F.col(f"`{at[role]}`").cast("string")) if role in at else F.lit(None).cast("string")
+    text = lambda role: F.trim(
+        F.col(f"`{at[role]}`").cast("string")
+    ) if role in at else F.lit(None).cast("string")
     name, said = text("video"), F.upper(text("ours"))
     is_file = F.lit(False)
     for e in extensions:
         is_file = is_file | F.lower(name).endswith(e)
     classes = [r for r, parts in SHEET_ROLES if "1-0" in parts and r in at]
-    labels = F.array_compact(F.array(*[F.when(text(c).isin("1", "1.0"), F.lit(c)) for c in classes])) if classes else F.array().cast("array<string>")
+    labels = F.array_compact(
+        F.array(*[F.when(text(c).isin("1", "1.0"), F.lit(c)) for c in classes])
+    ) if classes else F.array().cast("array<string>")
     ours = F.when(said.isin(*YES), True).when(said.isin(*NO), False)
     rows = df.where(name.isNotNull() & (name != "") & ~name.rlike(r"^\d+$") & is_file)
     return rows.select(name.alias("video"), ours.alias("ours"), text("notes").alias("notes"), labels.alias("labels"))
@@ -179,7 +205,10 @@ def sheet_statistics(df: DataFrame, extensions: Sequence[str] = (".mp4", ".mov",
     """One row: rows of the sheet, clips that were read, and how many of these say yes, no or neither in the column of `ours`."""
     clips = read_external_sheet(df, extensions)
     ours = F.col("ours")
-    counts = clips.agg(F.count("*").alias("clips"), F.count_if(ours).alias("yes"), F.count_if(~ours).alias("no"), F.count_if(ours.isNull()).alias("unknown"))
+    counts = clips.agg(
+        F.count("*").alias("clips"), F.count_if(ours).alias("yes"), F.count_if(~ours).alias("no"),
+        F.count_if(ours.isNull()).alias("unknown")
+    )
     return df.agg(F.count("*").alias("rows")).crossJoin(F.broadcast(counts))
 
 
@@ -196,12 +225,17 @@ def label_distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias(c) for c in columns])
     counts = text.unpivot([], list(columns), "column", "value").groupBy("column", "value").agg(F.count("*").alias("n"))
     totals = counts.groupBy("column").agg(F.sum("n").alias("_all"))
-    return counts.join(totals, "column").select("column", "value", "n", F.round(100 * F.col("n") / F.col("_all"), 4).alias("percent"))
+    return counts.join(totals, "column").select(
+        "column", "value", "n", F.round(100 * F.col("n") / F.col("_all"), 4).alias("percent")
+    )
 
 
 def cleaning_audit(df: DataFrame, pairs: Mapping[str, tuple[Column, Column]], flagged: DataFrame) -> DataFrame:
     """rows, flagged rows and changes per field: raw (lower-case, untrimmed, null as 'nan') against clean."""
-    changed = [F.count_if(F.coalesce(F.lower(raw), F.lit("nan")) != clean).alias(f"{n}_changes") for n, (raw, clean) in pairs.items()]
+    changed = [
+        F.count_if(F.coalesce(F.lower(raw), F.lit("nan")) != clean).alias(f"{n}_changes")
+        for n, (raw, clean) in pairs.items()
+    ]
     return df.agg(F.count("*").alias("rows"), *changed).crossJoin(flagged.agg(F.count("*").alias("flagged")))
 
 
@@ -209,9 +243,16 @@ def cleaning_distributions(df: DataFrame, pairs: Mapping[str, tuple[Column, Colu
     """field, value, before, after: how many rows have a value before and after cleaning ('(null)' counts as one); all
     fields in one pass."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit("(null)"))
-    cells = F.array(*[F.struct(F.lit(n).alias("field"), text(c).alias("value"), F.lit(i).alias("side")) for n, both in pairs.items() for i, c in enumerate(both)])
+    cells = F.array(
+        *[
+            F.struct(F.lit(n).alias("field"), text(c).alias("value"), F.lit(i).alias("side"))
+            for n, both in pairs.items() for i, c in enumerate(both)
+        ]
+    )
     rows = df.select(F.explode(cells).alias("c")).select("c.*")
-    return rows.groupBy("field", "value").agg(F.count_if(F.col("side") == 0).alias("before"), F.count_if(F.col("side") == 1).alias("after"))
+    return rows.groupBy("field", "value").agg(
+        F.count_if(F.col("side") == 0).alias("before"), F.count_if(F.col("side") == 1).alias("after")
+    )
 
 
 def null_profile(df: DataFrame) -> DataFrame:

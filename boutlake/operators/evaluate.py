@@ -23,25 +23,44 @@ def confusion_matrix(preds: DataFrame, true: str = "true_label", pred: str = "pr
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(true)), 6))
 
 
-def classification_metrics(preds: DataFrame, classes: Sequence[str], true: str = "true_label", pred: str = "pred_label", eps: float = EPS) -> DataFrame:
+def classification_metrics(
+    preds: DataFrame, classes: Sequence[str], true: str = "true_label", pred: str = "pred_label", eps: float = EPS
+) -> DataFrame:
     """class, precision, recall, f1, support for each class, and class null with macro means, accuracy as support_share."""
     tp = [F.count_if((F.col(true) == c) & (F.col(pred) == c)).cast("double") for c in classes]
     sup = [F.count_if(F.col(true) == c).cast("double") for c in classes]
     said = [F.count_if(F.col(pred) == c).cast("double") for c in classes]
-    items = F.array(*[F.struct(F.lit(c).alias("class"), t.alias("tp"), s.alias("support"), p.alias("said")) for c, t, s, p in zip(classes, tp, sup, said)])
+    items = F.array(
+        *[
+            F.struct(F.lit(c).alias("class"), t.alias("tp"), s.alias("support"), p.alias("said"))
+            for c, t, s, p in zip(classes, tp, sup, said)
+        ]
+    )
     rows = preds.agg(items.alias("items")).select(F.explode("items").alias("i")).select("i.*")
     p, r = F.col("tp") / (F.col("said") + eps), F.col("tp") / (F.col("support") + eps)
     rows = rows.withColumn("precision", p).withColumn("recall", r).withColumn("f1", 2 * p * r / (p + r + eps))
-    out = rows.rollup("class").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.sum("support").alias("support"), F.sum("tp").alias("correct"))
+    out = rows.rollup("class").agg(
+        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
+        F.sum("support").alias("support"), F.sum("tp").alias("correct")
+    )
     six = [F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
-    return out.select("class", *six, F.col("support").cast("long").alias("support"), F.when(F.col("class").isNull(), F.round(F.col("correct") / F.greatest(F.col("support"), F.lit(1.0)), 6)).alias("accuracy"))
+    return out.select(
+        "class", *six, F.col("support").cast("long").alias("support"),
+        F.when(
+            F.col("class").isNull(), F.round(F.col("correct") / F.greatest(F.col("support"), F.lit(1.0)), 6)
+        ).alias("accuracy")
+    )
 
 
-def threshold_curve(preds: DataFrame, score: str = "prob_tail", true: str = "true_label", positive: str = "tail") -> DataFrame:
+def threshold_curve(
+    preds: DataFrame, score: str = "prob_tail", true: str = "true_label", positive: str = "tail"
+) -> DataFrame:
     """score, pos, neg, tp, fp for each distinct score, from the top: running sums in two levels, none in one partition.
     Rows without a score have no place on a curve and are left out."""
     y = F.col(true) == positive
-    points = preds.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    points = preds.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
+        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")
+    )
     return running_totals(points, "score", {"pos": "tp", "neg": "fp"}, descending=True)
 
 
@@ -52,10 +71,16 @@ def curve_metrics(curve: DataFrame) -> DataFrame:
     ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     sums = curve.agg(area.alias("area"), ap.alias("ap"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    return totals.crossJoin(sums).select("n_pos", "n_neg", F.when(both, F.round(F.col("area") / F.col("n_pos") / F.col("n_neg"), 6)).alias("roc_auc"), F.when(both, F.round(F.col("ap") / F.col("n_pos"), 6)).alias("average_precision"))
+    return totals.crossJoin(sums).select(
+        "n_pos", "n_neg",
+        F.when(both, F.round(F.col("area") / F.col("n_pos") / F.col("n_neg"), 6)).alias("roc_auc"),
+        F.when(both, F.round(F.col("ap") / F.col("n_pos"), 6)).alias("average_precision")
+    )
 
 
-def _binary_cells(weight: Column | None = None, true: str = "true_label", pred: str = "pred_label", positive: str = "tail") -> list[Column]:
+def _binary_cells(
+    weight: Column | None = None, true: str = "true_label", pred: str = "pred_label", positive: str = "tail"
+) -> list[Column]:
     y, z = F.col(true) == positive, F.col(pred) == positive  # whatever is not the positive prediction counts as the other
     w = weight if weight is not None else F.lit(1)
     cell = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0)).cast("double")
@@ -72,7 +97,10 @@ def _binary_columns() -> dict[str, Column]:
 
 def binary_metrics(preds: DataFrame, **names: str) -> DataFrame:
     """One row: F1 of both classes and macro, precision and recall, balanced accuracy, MCC; 6 decimals."""
-    return preds.agg(*_binary_cells(**names)).select(*[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "tn")], *[F.round(c, 6).alias(n) for n, c in _binary_columns().items()])
+    return preds.agg(*_binary_cells(**names)).select(
+        *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "tn")],
+        *[F.round(c, 6).alias(n) for n, c in _binary_columns().items()]
+    )
 
 
 def binary_report(preds: DataFrame, score: str = "prob_tail", **names: str) -> DataFrame:
@@ -90,11 +118,18 @@ def _bin_of(p: Column, bins: int) -> Column:
     return out
 
 
-def ece_bins(preds: DataFrame, bins: int = 10, variant: str = "positive", true: str = "true_label", pred: str = "pred_label", score: str = "prob_tail", positive: str = "tail", top: str = "msp") -> DataFrame:
+def ece_bins(
+    preds: DataFrame, bins: int = 10, variant: str = "positive", true: str = "true_label",
+    pred: str = "pred_label", score: str = "prob_tail", positive: str = "tail", top: str = "msp"
+) -> DataFrame:
     """bin, n, confidence, observed. positive: positive probability against positive rate; top1: top probability against accuracy."""
-    p, hit = (F.col(score), F.col(true) == positive) if variant == "positive" else (F.col(top), F.col(true) == F.col(pred))
+    p, hit = (F.col(score), F.col(true) == positive) if variant == "positive" else (
+        F.col(top), F.col(true) == F.col(pred)
+    )
     rows = preds.select(_bin_of(p, bins).alias("bin"), p.alias("p"), hit.cast("double").alias("hit"))
-    return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("confidence"), F.avg("hit").alias("observed"))
+    return rows.groupBy("bin").agg(
+        F.count("*").alias("n"), F.avg("p").alias("confidence"), F.avg("hit").alias("observed")
+    )
 
 
 def ece(preds: DataFrame, bins: int = 10, variant: str = "positive", **names: str) -> DataFrame:
@@ -102,7 +137,10 @@ def ece(preds: DataFrame, bins: int = 10, variant: str = "positive", **names: st
     b = ece_bins(preds, bins, variant, **names)
     gap = F.abs(F.col("confidence") - F.col("observed"))
     inside = F.col("bin").isNotNull()
-    return b.agg(F.round(F.sum(F.when(inside, F.col("n") * gap)) / F.sum("n"), 6).alias("ece"), F.round(F.max(F.when(inside, gap)), 6).alias("mce"), F.sum("n").alias("n"))
+    return b.agg(
+        F.round(F.sum(F.when(inside, F.col("n") * gap)) / F.sum("n"), 6).alias("ece"),
+        F.round(F.max(F.when(inside, gap)), 6).alias("mce"), F.sum("n").alias("n")
+    )
 
 
 #: What an error of calibration below the bound is called, and what one above all bounds is.
@@ -116,18 +154,27 @@ def _top_class(values: Sequence[Column], classes: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(v == most, F.lit(c)) for v, c in zip(values, classes)])
 
 
-def calibration(preds: DataFrame, bins: int = 15, probs: Sequence[str] = ("prob_ear", "prob_tail"), classes: Sequence[str] = ("ear", "tail"), true: str = "true_label") -> DataFrame:
+def calibration(
+    preds: DataFrame, bins: int = 15, probs: Sequence[str] = ("prob_ear", "prob_tail"),
+    classes: Sequence[str] = ("ear", "tail"), true: str = "true_label"
+) -> DataFrame:
     """One row: ece and mce of the top class, brier (squares summed over the classes), n, rating of the ece; 6 decimals."""
     columns = [F.col(p) for p in probs]
     square = F.lit(0.0)
     for p, c in zip(columns, classes):
         square = square + F.pow(p - F.coalesce((F.col(true) == c).cast("int"), F.lit(0)), F.lit(2.0))
     top = F.greatest(*columns)
-    rows = preds.select(_bin_of(top, bins).alias("bin"), top.alias("p"), (F.col(true) == _top_class(columns, classes)).cast("double").alias("hit"), square.alias("square"))
+    rows = preds.select(
+        _bin_of(top, bins).alias("bin"), top.alias("p"),
+        (F.col(true) == _top_class(columns, classes)).cast("double").alias("hit"), square.alias("square")
+    )
     gap, inside = F.abs(F.col("p") - F.col("hit")), F.col("bin").isNotNull()
-    b = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("hit").alias("hit"), F.sum("square").alias("square"))
+    b = rows.groupBy("bin").agg(
+        F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("hit").alias("hit"), F.sum("square").alias("square")
+    )
     out = b.agg(
-        F.round(F.sum(F.when(inside, F.col("n") * gap)) / F.sum("n"), 6).alias("ece"), F.round(F.max(F.when(inside, gap)), 6).alias("mce"),
+        F.round(F.sum(F.when(inside, F.col("n") * gap)) / F.sum("n"), 6).alias("ece"),
+        F.round(F.max(F.when(inside, gap)), 6).alias("mce"),
         F.round(F.sum("square") / F.sum("n"), 6).alias("brier"), F.sum("n").alias("n"),
     )
     rating = F.when(F.col("ece").isNotNull(), F.lit(ECE_POOR))
@@ -156,43 +203,85 @@ def ood_metrics(scores: DataFrame, score: str = "score", ood: str = "is_ood") ->
     down = scores.select((-F.col(score)).alias("s"), F.when(F.col(ood), "p").otherwise("n").alias("y"))
     curve = threshold_curve(up, "s", "y", "p")
     totals = curve.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
-    rates = curve.crossJoin(F.broadcast(totals)).select((F.col("tp") / F.col("np")).alias("tpr"), (F.col("fp") / F.col("nn")).alias("fpr"))
-    ends = rates.agg(F.coalesce(F.min(F.when(F.col("tpr") >= 0.95, F.col("fpr"))), F.lit(1.0)).alias("a"), F.coalesce(F.max(F.when(F.col("fpr") <= 0.05, F.col("tpr"))), F.lit(0.0)).alias("b"))
+    rates = curve.crossJoin(F.broadcast(totals)).select(
+        (F.col("tp") / F.col("np")).alias("tpr"), (F.col("fp") / F.col("nn")).alias("fpr")
+    )
+    ends = rates.agg(
+        F.coalesce(F.min(F.when(F.col("tpr") >= 0.95, F.col("fpr"))), F.lit(1.0)).alias("a"),
+        F.coalesce(F.max(F.when(F.col("fpr") <= 0.05, F.col("tpr"))), F.lit(0.0)).alias("b")
+    )
     aupr = curve_metrics(threshold_curve(down, "s", "y", "p")).select(F.col("average_precision").alias("aupr_ood"))
-    head = curve_metrics(curve).select(F.col("roc_auc").alias("auroc"), F.col("n_pos").alias("n_id"), F.col("n_neg").alias("n_ood"))
-    return head.crossJoin(aupr).crossJoin(ends).select("auroc", "aupr_ood", F.round("a", 6).alias("fpr_at_95tpr"), F.round("b", 6).alias("tpr_at_5fpr"), "n_id", "n_ood")
+    head = curve_metrics(curve).select(
+        F.col("roc_auc").alias("auroc"), F.col("n_pos").alias("n_id"), F.col("n_neg").alias("n_ood")
+    )
+    return head.crossJoin(aupr).crossJoin(ends).select(
+        "auroc", "aupr_ood", F.round("a", 6).alias("fpr_at_95tpr"), F.round("b", 6).alias("tpr_at_5fpr"), "n_id",
+        "n_ood"
+    )
 
 
 def ood_breakdown(preds: DataFrame, label: str, score: str) -> DataFrame:
-    return preds.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_pop(score), 6).alias("std"))
+    return preds.groupBy(label).agg(
+        F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean"),
+        F.round(F.stddev_pop(score), 6).alias("std")
+    )
 
 
 def _at_thresholds(preds: DataFrame, grid: DataFrame, score: str, true: str, positive: str) -> DataFrame:
     """threshold, tp, fp, fn, tn: the grid is small and broadcast, sums are partial in each task."""
     rows = preds.select(F.col(true).alias("true_label"), F.col(score).alias("_s")).crossJoin(F.broadcast(grid))
-    rows = rows.withColumn("pred_label", F.when(F.col("_s") >= F.col("threshold"), F.lit(positive)).otherwise(F.lit("")))
+    rows = rows.withColumn(
+        "pred_label", F.when(F.col("_s") >= F.col("threshold"), F.lit(positive)).otherwise(F.lit(""))
+    )
     return rows.groupBy("threshold").agg(*_binary_cells(positive=positive))
 
 
-def threshold_sweep(preds: DataFrame, first: int = 2, last: int = 18, step: float = 0.05, score: str = "prob_tail", true: str = "true_label", positive: str = "tail") -> DataFrame:
+def threshold_sweep(
+    preds: DataFrame, first: int = 2, last: int = 18, step: float = 0.05, score: str = "prob_tail",
+    true: str = "true_label", positive: str = "tail"
+) -> DataFrame:
     """threshold (k * step), precision, recall and F1 of both classes, macro_f1, best (the first of the highest)."""
     grid = preds.sparkSession.range(first, last + 1).select(F.round(F.col("id") * step, 6).alias("threshold"))
     cols = _binary_columns()
     tn, fn = F.col("tn"), F.col("fn")
-    out = _at_thresholds(preds, grid, score, true, positive).select("threshold", *[F.round(cols[c], 6).alias(c) for c in ("precision_pos", "recall_pos", "f1_pos", "recall_neg", "f1_neg", "macro_f1")], F.round(_ratio(tn, tn + fn), 6).alias("precision_neg"))
+    out = _at_thresholds(preds, grid, score, true, positive).select(
+        "threshold",
+        *[
+            F.round(cols[c], 6).alias(c)
+            for c in ("precision_pos", "recall_pos", "f1_pos", "recall_neg", "f1_neg", "macro_f1")
+        ],
+        F.round(_ratio(tn, tn + fn), 6).alias("precision_neg")
+    )
     best = F.row_number().over(Window.orderBy(F.desc("macro_f1"), "threshold")) == 1  # a row per threshold
     return out.withColumn("best", best)
 
 
-def selective_curve(preds: DataFrame, n: int = 20, confidence: str = "msp", true: str = "true_label", pred: str = "pred_label", positive: str = "tail") -> DataFrame:
+def selective_curve(
+    preds: DataFrame, n: int = 20, confidence: str = "msp", true: str = "true_label", pred: str = "pred_label",
+    positive: str = "tail"
+) -> DataFrame:
     """threshold, coverage, macro_f1 (accuracy where one class is left), risk: rows at least that sure, n thresholds from least to most."""
     ends = preds.agg(F.min(confidence).alias("a"), F.max(confidence).alias("b"), F.count("*").alias("_all"))
-    grid = ends.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(F.col("a") + (F.col("b") - F.col("a")) * i / F.lit(max(1, n - 1)), 9))).alias("step", "threshold"), "_all")
-    rows = preds.select(F.col(true).alias("true_label"), F.col(pred).alias("pred_label"), F.col(confidence).alias("_s")).crossJoin(F.broadcast(grid)).where("_s >= threshold - 1e-9")
+    grid = ends.select(
+        F.posexplode(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(n - 1)),
+                lambda i: F.round(F.col("a") + (F.col("b") - F.col("a")) * i / F.lit(max(1, n - 1)), 9)
+            )
+        ).alias("step", "threshold"),
+        "_all"
+    )
+    rows = preds.select(
+        F.col(true).alias("true_label"), F.col(pred).alias("pred_label"), F.col(confidence).alias("_s")
+    ).crossJoin(F.broadcast(grid)).where("_s >= threshold - 1e-9")
     cells = rows.groupBy("step", "threshold", "_all").agg(*_binary_cells(positive=positive), F.count("*").alias("kept"))
     both = (F.col("tp") + F.col("fn") > 0) & (F.col("fp") + F.col("tn") > 0)
     quality = F.when(both, _binary_columns()["macro_f1"]).otherwise((F.col("tp") + F.col("tn")) / F.col("kept"))
-    return cells.select("step", F.round("threshold", 6).alias("threshold"), F.round(F.col("kept") / F.col("_all"), 6).alias("coverage"), F.round(quality, 6).alias("macro_f1"), F.round(1 - quality, 6).alias("risk"))
+    return cells.select(
+        "step", F.round("threshold", 6).alias("threshold"),
+        F.round(F.col("kept") / F.col("_all"), 6).alias("coverage"), F.round(quality, 6).alias("macro_f1"),
+        F.round(1 - quality, 6).alias("risk")
+    )
 
 
 def softmax(logits: Column) -> Column:
@@ -201,7 +290,9 @@ def softmax(logits: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
 
 
-def aggregate_clips(clips: DataFrame, method: str = "mean", event: str = "event_id", logits: str = "logits") -> DataFrame:
+def aggregate_clips(
+    clips: DataFrame, method: str = "mean", event: str = "event_id", logits: str = "logits"
+) -> DataFrame:
     """event, k, prob, n_clips, is_top: clips' logit vectors by mean or max, then softmax; or softmax_mean: softmax each,
     mean, log(+1e-8), softmax. A row per event and class."""
     values = softmax(F.col(logits)) if method == "softmax_mean" else F.col(logits)
@@ -223,7 +314,10 @@ def accuracy_by_class(preds: DataFrame, true: str = "true_label", pred: str = "p
     return rows.rollup("class").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"))
 
 
-def temperature_grid(preds: DataFrame, grid: DataFrame, logits: Sequence[str], classes: Sequence[str], true: str = "true_label", objective: str = "nll", bins: int = 15) -> DataFrame:
+def temperature_grid(
+    preds: DataFrame, grid: DataFrame, logits: Sequence[str], classes: Sequence[str], true: str = "true_label",
+    objective: str = "nll", bins: int = 15
+) -> DataFrame:
     """t and nll or ece (of the top class; 6 decimals) for each temperature of the grid."""
     rows = preds.select(F.col(true).alias("y"), *logits).crossJoin(F.broadcast(grid))
     scaled = [F.col(c) / F.col("t") for c in logits]
@@ -233,8 +327,12 @@ def temperature_grid(preds: DataFrame, grid: DataFrame, logits: Sequence[str], c
         total = total + F.exp(s - most)
     if objective == "ece":
         p, hit = F.round(1 / total, 6), (F.col("y") == _top_class(scaled, classes)).cast("double")
-        b = rows.select("t", _bin_of(p, bins).alias("bin"), p.alias("p"), hit.alias("hit")).groupBy("t", "bin").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("hit").alias("hit"))
-        return b.groupBy("t").agg(F.round(F.sum(F.col("n") * F.abs(F.col("p") - F.col("hit"))) / F.sum("n"), 6).alias("ece"))
+        b = rows.select("t", _bin_of(p, bins).alias("bin"), p.alias("p"), hit.alias("hit")).groupBy("t", "bin").agg(
+            F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("hit").alias("hit")
+        )
+        return b.groupBy("t").agg(
+            F.round(F.sum(F.col("n") * F.abs(F.col("p") - F.col("hit"))) / F.sum("n"), 6).alias("ece")
+        )
     own = F.lit(None).cast("double")
     for c, s in zip(classes, scaled):
         own = F.when(F.col("y") == c, s).otherwise(own)
@@ -242,42 +340,79 @@ def temperature_grid(preds: DataFrame, grid: DataFrame, logits: Sequence[str], c
     return rows.groupBy("t").agg(F.round(F.avg(loss), 6).alias("nll"))
 
 
-def fit_temperature(preds: DataFrame, logits: Sequence[str] = ("logit_ear", "logit_tail"), classes: Sequence[str] = ("ear", "tail"), steps: int = 50, fine: int = 101, objective: str = "nll") -> DataFrame:
+def fit_temperature(
+    preds: DataFrame, logits: Sequence[str] = ("logit_ear", "logit_tail"),
+    classes: Sequence[str] = ("ear", "tail"), steps: int = 50, fine: int = 101, objective: str = "nll"
+) -> DataFrame:
     """One row: t, and nll or ece, the objective: the best of a grid from 0.1 to 10, then of a finer one within 0.5 of it (ties to the smaller)."""
     spark = preds.sparkSession
     coarse = spark.range(steps).select(F.round(0.1 + 9.9 * F.col("id") / (steps - 1), 6).alias("t"))
     best = temperature_grid(preds, coarse, logits, classes, objective=objective).orderBy(objective, "t").limit(1)
-    near = best.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(fine - 1)), lambda i: F.round(F.least(F.lit(10.0), F.greatest(F.lit(0.1), F.col("t") - 0.5 + i / F.lit(float(fine - 1)))), 6))).alias("t")).distinct()
+    near = best.select(
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(fine - 1)),
+                lambda i: F.round(
+                    F.least(F.lit(10.0), F.greatest(F.lit(0.1), F.col("t") - 0.5 + i / F.lit(float(fine - 1)))), 6
+                )
+            )
+        ).alias("t")
+    ).distinct()
     return temperature_grid(preds, near, logits, classes, objective=objective).orderBy(objective, "t").limit(1)
 
 
 def class_weights(df: DataFrame, method: str = "inv", beta: float = 0.999, label: str = "behavior") -> DataFrame:
     """label, n, weight (mean 1): inv, inv_sqrt or effective number."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    raw = {"inv": 1 / F.col("n"), "inv_sqrt": 1 / F.sqrt(F.col("n").cast("double")), "effective": (1 - beta) / (1 - F.pow(F.lit(beta), F.col("n")))}[method]
+    raw = {
+        "inv": 1 / F.col("n"), "inv_sqrt": 1 / F.sqrt(F.col("n").cast("double")),
+        "effective": (1 - beta) / (1 - F.pow(F.lit(beta), F.col("n")))
+    }[method]
     rows = counts.withColumn("_w", raw)
     mean = F.avg("_w").over(Window.partitionBy())  # a row per class
     return rows.select(label, "n", F.round(F.col("_w") / mean, 6).alias("weight"))
 
 
-def error_slices(preds: DataFrame, true: str = "true_label", pred: str = "pred_label", score: str = "prob_tail", positive: str = "tail") -> DataFrame:
+def error_slices(
+    preds: DataFrame, true: str = "true_label", pred: str = "pred_label", score: str = "prob_tail",
+    positive: str = "tail"
+) -> DataFrame:
     """One row: misses and false alarms with the statistics of their scores, sure misses (score < 0.3), rows in (0.4, 0.6)."""
-    fn, fp = (F.col(true) == positive) & (F.col(pred) != positive), (F.col(true) != positive) & (F.col(pred) == positive)
+    fn, fp = (
+        F.col(true) == positive
+    ) & (F.col(pred) != positive), (F.col(true) != positive) & (F.col(pred) == positive)
     s = F.col(score)
     cols = []
     for n, c in (("fn", fn), ("fp", fp)):
         v = F.when(c, s)
-        cols += [F.count_if(c).alias(f"{n}_n"), F.round(F.avg(v), 6).alias(f"{n}_mean"), F.min(v).alias(f"{n}_min"), F.max(v).alias(f"{n}_max")]
-    return preds.agg(*cols, F.count_if(fn & (s < 0.3)).alias("sure_misses"), F.count_if((s > 0.4) & (s < 0.6)).alias("boundary"))
-
-
-def range_slices(preds: DataFrame, bins: int = 5, idx: str = "clip_id", true: str = "true_label", pred: str = "pred_label", score: str = "prob_tail", positive: str = "tail") -> DataFrame:
+        cols += [
+            F.count_if(c).alias(f"{n}_n"), F.round(F.avg(v), 6).alias(f"{n}_mean"), F.min(v).alias(f"{n}_min"),
+            F.max(v).alias(f"{n}_max")
+        ]
+    return preds.agg(
+        *cols, F.count_if(fn & (s < 0.3)).alias("sure_misses"), F.count_if((s > 0.4) & (s < 0.6)).alias("boundary")
+    )
+
+
+def range_slices(
+    preds: DataFrame, bins: int = 5, idx: str = "clip_id", true: str = "true_label", pred: str = "pred_label",
+    score: str = "prob_tail", positive: str = "tail"
+) -> DataFrame:
     """slice, n, recall, accuracy, mean_score over equal ranges of idx, with spread: the sample deviation of the mean scores over 0.1."""
     ends = preds.agg(F.min(idx).alias("_a"), F.max(idx).alias("_b"))
-    place = F.least(F.floor((F.col(idx) - F.col("_a")) * bins / F.greatest(F.col("_b") - F.col("_a"), F.lit(1))), F.lit(bins - 1)).cast("int")
+    place = F.least(
+        F.floor((F.col(idx) - F.col("_a")) * bins / F.greatest(F.col("_b") - F.col("_a"), F.lit(1))),
+        F.lit(bins - 1)
+    ).cast("int")
     rows = preds.crossJoin(F.broadcast(ends)).withColumn("slice", place)
     y = F.col(true) == positive
-    out = rows.groupBy("slice").agg(F.count("*").alias("n"), F.round(_ratio(F.count_if(y & (F.col(pred) == positive)).cast("double"), F.count_if(y).cast("double")), 6).alias("recall"), F.round(F.avg((F.col(true) == F.col(pred)).cast("double")), 6).alias("accuracy"), F.avg(score).alias("_m"))
+    out = rows.groupBy("slice").agg(
+        F.count("*").alias("n"),
+        F.round(
+            _ratio(F.count_if(y & (F.col(pred) == positive)).cast("double"), F.count_if(y).cast("double")), 6
+        ).alias("recall"),
+        F.round(F.avg((F.col(true) == F.col(pred)).cast("double")), 6).alias("accuracy"), F.avg(score).alias("_m")
+    )
     spread = F.coalesce(F.stddev_samp("_m").over(Window.partitionBy()) > 0.1, F.lit(False))  # a row per slice
     return out.select("slice", "n", "recall", "accuracy", F.round("_m", 6).alias("mean_score"), spread.alias("spread"))
 
@@ -286,10 +421,17 @@ def label_agreement(df: DataFrame, automatic: str, human: str) -> DataFrame:
     """One row: tp, tn, fp, fn and accuracy of an automatic flag against a human one."""
     a, h = F.col(automatic), F.col(human)
     n = F.greatest(F.count("*"), F.lit(1))
-    return df.where(h.isNotNull()).agg(F.count_if(a & h).alias("tp"), F.count_if(~a & ~h).alias("tn"), F.count_if(a & ~h).alias("fp"), F.count_if(~a & h).alias("fn"), F.round(F.count_if(a == h) / n, 6).alias("accuracy"))
+    return df.where(h.isNotNull()).agg(
+        F.count_if(a & h).alias("tp"), F.count_if(~a & ~h).alias("tn"), F.count_if(a & ~h).alias("fp"),
+        F.count_if(~a & h).alias("fn"), F.round(F.count_if(a == h) / n, 6).alias("accuracy")
+    )
 
 
-def losses(preds: DataFrame, logits: Sequence[str] = ("logit_ear", "logit_tail"), classes: Sequence[str] = ("ear", "tail"), true: str = "true_label", pred: str = "pred_label", idx: str = "clip_id") -> DataFrame:
+def losses(
+    preds: DataFrame, logits: Sequence[str] = ("logit_ear", "logit_tail"),
+    classes: Sequence[str] = ("ear", "tail"), true: str = "true_label", pred: str = "pred_label",
+    idx: str = "clip_id"
+) -> DataFrame:
     """idx, class (the true one), loss (cross-entropy by log-sum-exp, 6 decimals), correct."""
     most = F.greatest(*logits)
     total = F.lit(0.0)
@@ -299,7 +441,9 @@ def losses(preds: DataFrame, logits: Sequence[str] = ("logit_ear", "logit_tail")
     for c, name in zip(classes, logits):
         own = F.when(F.col(true) == c, F.col(name)).otherwise(own)
     loss = F.round(most + F.ln(total) - own, 6)
-    return preds.select(idx, F.col(true).alias("class"), loss.alias("loss"), (F.col(true) == F.col(pred)).alias("correct"))
+    return preds.select(
+        idx, F.col(true).alias("class"), loss.alias("loss"), (F.col(true) == F.col(pred)).alias("correct")
+    )
 
 
 def loss_ranking(preds: DataFrame, top: int = 10, idx: str = "clip_id", **names: object) -> DataFrame:
@@ -321,54 +465,98 @@ def loss_ranking_by_class(preds: DataFrame, top: int = 10, idx: str = "clip_id",
 def loss_summary(preds: DataFrame, **names: object) -> DataFrame:
     """class (null: all), n, mean_loss, max_loss, wrong, wrong_percent (4 decimals)."""
     rows = losses(preds, **names).where("class is not null")
-    out = rows.rollup("class").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("mean_loss"), F.max("loss").alias("max_loss"), F.count_if(~F.col("correct")).alias("wrong"))
+    out = rows.rollup("class").agg(
+        F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("mean_loss"), F.max("loss").alias("max_loss"),
+        F.count_if(~F.col("correct")).alias("wrong")
+    )
     return out.withColumn("wrong_percent", F.round(100 * F.col("wrong") / F.col("n"), 4))
 
 
-def confound_by(df: DataFrame, columns: Sequence[str], label: str = "behavior", minority: str = "tail", majority: str = "ear", warn: float = 0.1) -> DataFrame:
+def confound_by(
+    df: DataFrame, columns: Sequence[str], label: str = "behavior", minority: str = "tail", majority: str = "ear",
+    warn: float = 0.1
+) -> DataFrame:
     """column, value, n, ear, tail, ratio, and if the ratios' population deviation within the column is over `warn`."""
-    cells = df.select(label, *[F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias(c) for c in columns]).unpivot(label, list(columns), "column", "value")
+    cells = df.select(
+        label, *[F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias(c) for c in columns]
+    ).unpivot(label, list(columns), "column", "value")
     tail = F.count_if(F.col(label) == minority)
-    rows = cells.groupBy("column", "value").agg(F.count("*").alias("n"), F.count_if(F.col(label) == majority).alias("ear"), tail.alias("tail"), (tail / F.count("*")).alias("_r"))
+    rows = cells.groupBy("column", "value").agg(
+        F.count("*").alias("n"), F.count_if(F.col(label) == majority).alias("ear"), tail.alias("tail"),
+        (tail / F.count("*")).alias("_r")
+    )
     warned = F.stddev_pop("_r").over(Window.partitionBy("column")) > warn
     return rows.select("column", "value", "n", "ear", "tail", F.round("_r", 6).alias("ratio"), warned.alias("warned"))
 
 
-def level_coverage(train: DataFrame, val: DataFrame, columns: Sequence[str], label: str = "behavior", minority: str = "tail") -> DataFrame:
+def level_coverage(
+    train: DataFrame, val: DataFrame, columns: Sequence[str], label: str = "behavior", minority: str = "tail"
+) -> DataFrame:
     """column, only_train, only_val, both, and minority rows of val whose value train has not."""
     def cells(df: DataFrame, side: str) -> DataFrame:
         text = df.select(label, *[F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias(c) for c in columns])
         return text.unpivot(label, list(columns), "column", "value").withColumn("side", F.lit(side))
 
-    sides = cells(train, "t").unionByName(cells(val, "v")).groupBy("column", "value").agg(F.bool_or(F.col("side") == "t").alias("t"), F.bool_or(F.col("side") == "v").alias("v"), F.count_if((F.col("side") == "v") & (F.col(label) == minority)).alias("tail"))
+    sides = cells(train, "t").unionByName(cells(val, "v")).groupBy("column", "value").agg(
+        F.bool_or(F.col("side") == "t").alias("t"), F.bool_or(F.col("side") == "v").alias("v"),
+        F.count_if((F.col("side") == "v") & (F.col(label) == minority)).alias("tail")
+    )
     t, v = F.col("t"), F.col("v")
-    return sides.groupBy("column").agg(F.count_if(t & ~v).alias("only_train"), F.count_if(v & ~t).alias("only_val"), F.count_if(t & v).alias("both"), F.coalesce(F.sum(F.when(v & ~t, F.col("tail"))), F.lit(0)).alias("uncovered"))
+    return sides.groupBy("column").agg(
+        F.count_if(t & ~v).alias("only_train"), F.count_if(v & ~t).alias("only_val"),
+        F.count_if(t & v).alias("both"),
+        F.coalesce(F.sum(F.when(v & ~t, F.col("tail"))), F.lit(0)).alias("uncovered")
+    )
 
 
-def video_purity(df: DataFrame, video: str = "video", label: str = "behavior", minority: str = "tail", majority: str = "ear", heavy: int = 5) -> DataFrame:
+def video_purity(
+    df: DataFrame, video: str = "video", label: str = "behavior", minority: str = "tail", majority: str = "ear",
+    heavy: int = 5
+) -> DataFrame:
     """kind (both, ear_only, tail_only, neither), videos, events, heavy: videos of more than `heavy` events."""
-    per = df.groupBy(video).agg(F.count("*").alias("n"), F.count_if(F.col(label) == majority).alias("e"), F.count_if(F.col(label) == minority).alias("t"))
-    kind = F.expr("CASE WHEN e > 0 AND t > 0 THEN 'both' WHEN e > 0 THEN 'ear_only' WHEN t > 0 THEN 'tail_only' ELSE 'neither' END")
-    return per.groupBy(kind.alias("kind")).agg(F.count("*").alias("videos"), F.sum("n").alias("events"), F.count_if(F.col("n") > heavy).alias("heavy"))
-
-
-def purest_videos(df: DataFrame, k: int = 10, video: str = "video", label: str = "behavior", minority: str = "tail", majority: str = "ear") -> DataFrame:
+    per = df.groupBy(video).agg(
+        F.count("*").alias("n"), F.count_if(F.col(label) == majority).alias("e"),
+        F.count_if(F.col(label) == minority).alias("t")
+    )
+    kind = F.expr(
+        "CASE WHEN e > 0 AND t > 0 THEN 'both' WHEN e > 0 THEN 'ear_only' WHEN t > 0 THEN 'tail_only' ELSE 'neither' END"
+    )
+    return per.groupBy(kind.alias("kind")).agg(
+        F.count("*").alias("videos"), F.sum("n").alias("events"), F.count_if(F.col("n") > heavy).alias("heavy")
+    )
+
+
+def purest_videos(
+    df: DataFrame, k: int = 10, video: str = "video", label: str = "behavior", minority: str = "tail",
+    majority: str = "ear"
+) -> DataFrame:
     """video, n, ear, tail of the k videos with most events among those of one class only (ties by the video)."""
-    per = df.groupBy(video).agg(F.count("*").alias("n"), F.count_if(F.col(label) == majority).alias("ear"), F.count_if(F.col(label) == minority).alias("tail"))
+    per = df.groupBy(video).agg(
+        F.count("*").alias("n"), F.count_if(F.col(label) == majority).alias("ear"),
+        F.count_if(F.col(label) == minority).alias("tail")
+    )
     return per.where("(ear > 0) <> (tail > 0)").orderBy(F.desc("n"), video).limit(k)
 
 
-def prob_clusters(preds: DataFrame, least: int = 3, score: str = "prob_tail", true: str = "true_label", positive: str = "tail", digits: int = 4) -> DataFrame:
+def prob_clusters(
+    preds: DataFrame, least: int = 3, score: str = "prob_tail", true: str = "true_label", positive: str = "tail",
+    digits: int = 4
+) -> DataFrame:
     """value (half-even to 4 digits), n, positives of scores that occur `least` times or more."""
-    return preds.groupBy(F.bround(score, digits).alias("value")).agg(F.count("*").alias("n"), F.count_if(F.col(true) == positive).alias("positives")).where(F.col("n") >= least)
+    return preds.groupBy(F.bround(score, digits).alias("value")).agg(
+        F.count("*").alias("n"), F.count_if(F.col(true) == positive).alias("positives")
+    ).where(F.col("n") >= least)
 
 
-def _report_parts(preds: DataFrame, ood: str, replicates: int, method: str, label: str) -> dict[str, tuple[DataFrame, list[str]]]:
+def _report_parts(
+    preds: DataFrame, ood: str, replicates: int, method: str, label: str
+) -> dict[str, tuple[DataFrame, list[str]]]:
     """section: (table, the columns that name its rows; none where it has one row)."""
     known = preds.where(~F.col(ood))
     scored = preds.withColumn("score", ood_scores([F.col("prob_ear"), F.col("prob_tail")], method))
     parts = {
-        "binary": (binary_metrics(known), []), "curve": (curve_metrics(threshold_curve(known)), []), "calibration": (ece(known), []),
+        "binary": (binary_metrics(known), []), "curve": (curve_metrics(threshold_curve(known)), []),
+        "calibration": (ece(known), []),
         "confusion": (confusion_matrix(known).select("true_label", "pred_label", "n"), ["true_label", "pred_label"]),
         "bootstrap": (bootstrap_ci(known, replicates), ["metric"]),
     }
@@ -381,7 +569,9 @@ def _report_parts(preds: DataFrame, ood: str, replicates: int, method: str, labe
     return parts
 
 
-def report_rows(preds: DataFrame, ood: str = "is_ood", replicates: int = 1000, method: str = "msp", label: str = "label") -> DataFrame:
+def report_rows(
+    preds: DataFrame, ood: str = "is_ood", replicates: int = 1000, method: str = "msp", label: str = "label"
+) -> DataFrame:
     """section, item, metric, value: the report as rows; item names a row of a section that has several."""
     out = None
     for section, (df, keys) in _report_parts(preds, ood, replicates, method, label).items():
@@ -393,7 +583,9 @@ def report_rows(preds: DataFrame, ood: str = "is_ood", replicates: int = 1000, m
     return out
 
 
-def evaluate_report(preds: DataFrame, ood: str = "is_ood", replicates: int = 1000, method: str = "msp", label: str = "label") -> DataFrame:
+def evaluate_report(
+    preds: DataFrame, ood: str = "is_ood", replicates: int = 1000, method: str = "msp", label: str = "label"
+) -> DataFrame:
     """One row with `report`, a JSON text: metrics, confusion, calibration and bootstrap of the known rows, and the
     out-of-distribution metrics, their bootstrap, the breakdown by `label` and the selective curve of the known rows where
     there are such rows. The scored rows are read once a part."""
@@ -412,13 +604,22 @@ def match_by_tiou(preds: DataFrame, truth: DataFrame, iou: float, video: str = "
     Intervals are put into bins of ten minutes, so that only neighbours in time are compared."""
     cut = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 600), F.floor(F.col(b) / 600)))
     left = preds.withColumn("_bin", cut("start_sec", "end_sec"))
-    right = truth.select(video, "truth_id", F.col("start_sec").alias("s"), F.col("end_sec").alias("e")).withColumn("_bin", cut("s", "e"))
+    right = truth.select(
+        video, "truth_id", F.col("start_sec").alias("s"), F.col("end_sec").alias("e")
+    ).withColumn("_bin", cut("s", "e"))
     both = F.least("end_sec", "e") - F.greatest("start_sec", "s")
-    met = left.join(right, [video, "_bin"]).where(both > 0).withColumn("tiou", F.round(both / (F.greatest("end_sec", "e") - F.least("start_sec", "s")), 6))
+    met = left.join(right, [video, "_bin"]).where(both > 0).withColumn(
+        "tiou", F.round(both / (F.greatest("end_sec", "e") - F.least("start_sec", "s")), 6)
+    )
     pairs = met.select("pred_id", "truth_id", "score", "tiou").distinct()
-    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("pred_id").orderBy(F.desc("tiou"), "truth_id"))).where("_r = 1")
+    best = pairs.withColumn(
+        "_r", F.row_number().over(Window.partitionBy("pred_id").orderBy(F.desc("tiou"), "truth_id"))
+    ).where("_r = 1")
     owner = F.row_number().over(Window.partitionBy("truth_id").orderBy(F.desc("score"), "pred_id"))
-    return best.withColumn("_o", F.when(F.col("tiou") >= iou, owner)).select("pred_id", "truth_id", "tiou", F.coalesce((F.col("_o") == 1) & (F.col("tiou") >= iou), F.lit(False)).alias("is_match"))
+    return best.withColumn("_o", F.when(F.col("tiou") >= iou, owner)).select(
+        "pred_id", "truth_id", "tiou",
+        F.coalesce((F.col("_o") == 1) & (F.col("tiou") >= iou), F.lit(False)).alias("is_match")
+    )
 
 
 def map_at_tiou(preds: DataFrame, truth: DataFrame, ious: Sequence[float] = (0.3, 0.5, 0.7)) -> DataFrame:
@@ -432,18 +633,34 @@ def map_at_tiou(preds: DataFrame, truth: DataFrame, ious: Sequence[float] = (0.3
         rows = preds.select("pred_id", "score").join(hit, "pred_id", "left").fillna("n", ["y"])
         curve = threshold_curve(rows, "score", "y", "p")
         ap = curve.agg(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s")).crossJoin(total)
-        out.append(ap.select(F.lit(iou).alias("iou"), F.round(F.coalesce("s", F.lit(0.0)) / F.col("_truths"), 6).alias("average_precision")))
+        out.append(
+            ap.select(
+                F.lit(iou).alias("iou"),
+                F.round(F.coalesce("s", F.lit(0.0)) / F.col("_truths"), 6).alias("average_precision")
+            )
+        )
     return reduce(DataFrame.unionByName, out)
 
 
-def error_breakdown(preds: DataFrame, columns: Sequence[str], true: str = "true_label", pred: str = "pred_label") -> DataFrame:
+def error_breakdown(
+    preds: DataFrame, columns: Sequence[str], true: str = "true_label", pred: str = "pred_label"
+) -> DataFrame:
     """columns (null: all), n, errors: for every combination."""
     return preds.cube(*columns).agg(F.count("*").alias("n"), F.count_if(F.col(true) != F.col(pred)).alias("errors"))
 
 
-def abstain_curve(preds: DataFrame, grid: Sequence[float] = (0.5, 0.6, 0.7, 0.8, 0.9), confidence: str = "msp", true: str = "true_label", pred: str = "pred_label") -> DataFrame:
+def abstain_curve(
+    preds: DataFrame, grid: Sequence[float] = (0.5, 0.6, 0.7, 0.8, 0.9), confidence: str = "msp",
+    true: str = "true_label", pred: str = "pred_label"
+) -> DataFrame:
     """threshold, coverage, accuracy of the rows that are sure enough."""
     points = preds.sparkSession.createDataFrame([(float(t),) for t in grid], "threshold double")
     hit = F.col(confidence) >= F.col("threshold")
-    rows = preds.crossJoin(F.broadcast(points)).groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(hit).alias("k"), F.count_if(hit & (F.col(true) == F.col(pred))).alias("c"))
-    return rows.select("threshold", F.round(F.col("k") / F.col("n"), 6).alias("coverage"), F.when(F.col("k") > 0, F.round(F.col("c") / F.col("k"), 6)).alias("accuracy"))
+    rows = preds.crossJoin(F.broadcast(points)).groupBy("threshold").agg(
+        F.count("*").alias("n"), F.count_if(hit).alias("k"),
+        F.count_if(hit & (F.col(true) == F.col(pred))).alias("c")
+    )
+    return rows.select(
+        "threshold", F.round(F.col("k") / F.col("n"), 6).alias("coverage"),
+        F.when(F.col("k") > 0, F.round(F.col("c") / F.col("k"), 6)).alias("accuracy")
+    )

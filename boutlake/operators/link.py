@@ -25,7 +25,10 @@ def parse_segment_name(name: Column) -> Column:
     part = [F.regexp_extract(name, SEGMENT_NAME, i) for i in (1, 2, 3)]
     start, end = (F.try_to_timestamp(p, F.lit("yyyyMMddHHmmss")) for p in part[1:])
     seconds = F.unix_timestamp(end) - F.unix_timestamp(start)
-    made = F.struct(part[0].try_cast("int").alias("channel"), start.alias("start"), end.alias("end"), seconds.cast("double").alias("seconds"))
+    made = F.struct(
+        part[0].try_cast("int").alias("channel"), start.alias("start"), end.alias("end"),
+        seconds.cast("double").alias("seconds")
+    )
     return F.when(start.isNotNull() & end.isNotNull(), made)
 
 
@@ -36,7 +39,9 @@ def clock_seconds(text: Column) -> Column:
 
 
 def _binned(segments: DataFrame, tolerance: float, keys: Sequence[str]) -> DataFrame:
-    low, high = F.greatest(F.col("seg_start") - tolerance, F.lit(0.0)), F.least(F.col("seg_end") + tolerance, F.lit(86_399.999))
+    low, high = F.greatest(F.col("seg_start") - tolerance, F.lit(0.0)), F.least(
+        F.col("seg_end") + tolerance, F.lit(86_399.999)
+    )
     bins = F.sequence(F.floor(low / BIN), F.floor(high / BIN))
     return segments.where(low <= high).withColumn("_bin", F.explode(bins))
 
@@ -50,7 +55,9 @@ def _hits(events: DataFrame, segments: DataFrame, tolerance: float, keys: Sequen
     return met.withColumn("exact", exact).where(exact | near if tolerance > 0 else exact).drop("_bin")
 
 
-def link_events(events: DataFrame, segments: DataFrame, tolerance: float = 60.0, keys: Sequence[str] = ("grp", "day")) -> DataFrame:
+def link_events(
+    events: DataFrame, segments: DataFrame, tolerance: float = 60.0, keys: Sequence[str] = ("grp", "day")
+) -> DataFrame:
     """Each event with its segment: columns of events, linked, camera, seg_idx, offset_sec.
 
     events: event_idx, keys, time_sec (second of the day; null if unreadable). segments: keys, camera, camera_order,
@@ -59,46 +66,77 @@ def link_events(events: DataFrame, segments: DataFrame, tolerance: float = 60.0,
     exact ones), or the first segment (of near ones). The offset is 0 for events before the segment. Events without a
     readable time or without any segment of their keys are not in the result (see unlinked_reasons).
     """
-    hits = _hits(events, segments, tolerance, keys).withColumn("offset_sec", F.greatest(F.col("time_sec") - F.col("seg_start"), F.lit(0.0)))
+    hits = _hits(events, segments, tolerance, keys).withColumn(
+        "offset_sec", F.greatest(F.col("time_sec") - F.col("seg_start"), F.lit(0.0))
+    )
     order = ["camera_order", F.desc("exact"), F.when(F.col("exact"), F.col("offset_sec")), "seg_idx"]
     best = hits.withColumn("_r", F.row_number().over(Window.partitionBy("event_idx").orderBy(*order))).where("_r = 1")
     days = segments.select(*keys).distinct()
     known = events.where("time_sec is not null").join(days, [*keys], "left_semi")
-    return known.join(best.select("event_idx", "camera", "seg_idx", "offset_sec"), "event_idx", "left").withColumn("linked", F.col("seg_idx").isNotNull())
+    return known.join(
+        best.select("event_idx", "camera", "seg_idx", "offset_sec"), "event_idx", "left"
+    ).withColumn("linked", F.col("seg_idx").isNotNull())
 
 
-def unlinked_reasons(events: DataFrame, segments: DataFrame, tolerance: float = 60.0, keys: Sequence[str] = ("grp", "day")) -> DataFrame:
+def unlinked_reasons(
+    events: DataFrame, segments: DataFrame, tolerance: float = 60.0, keys: Sequence[str] = ("grp", "day")
+) -> DataFrame:
     """event_idx, reason of every event that isn't linked: no_time, no_segments or no_match."""
-    linked = link_events(events, segments, tolerance, keys).where("linked").select("event_idx", F.lit(True).alias("_linked"))
+    linked = link_events(events, segments, tolerance, keys).where("linked").select(
+        "event_idx", F.lit(True).alias("_linked")
+    )
     days = segments.select(*keys).distinct().withColumn("_day", F.lit(True))
     rows = events.join(linked, "event_idx", "left").where("_linked is null").join(days, [*keys], "left")
-    return rows.select("event_idx", F.when(F.col("time_sec").isNull(), "no_time").when(F.col("_day").isNull(), "no_segments").otherwise("no_match").alias("reason"))
+    return rows.select(
+        "event_idx",
+        F.when(
+            F.col("time_sec").isNull(), "no_time"
+        ).when(F.col("_day").isNull(), "no_segments").otherwise("no_match").alias("reason")
+    )
 
 
-def relink_priority(linked: DataFrame, segments: DataFrame, priority: DataFrame, keys: Sequence[str] = ("grp", "day")) -> DataFrame:
+def relink_priority(
+    linked: DataFrame, segments: DataFrame, priority: DataFrame, keys: Sequence[str] = ("grp", "day")
+) -> DataFrame:
     """Linked events moved to the camera that ranks first: event_idx, camera, seg_idx, offset_sec, status.
 
     priority: grp, camera, rank, excluded. Only exact hits count; cameras without a rank come behind, by number;
     excluded ones never. Without a hit the old link stays (failed); rows that were not linked stay (unlinked).
     """
-    olds = linked.select("event_idx", F.col("camera").alias("old_camera"), F.col("seg_idx").alias("old_seg"), F.col("offset_sec").alias("old_offset"), "linked")
+    olds = linked.select(
+        "event_idx", F.col("camera").alias("old_camera"), F.col("seg_idx").alias("old_seg"),
+        F.col("offset_sec").alias("old_offset"), "linked"
+    )
     hits = _hits(linked.where("linked").select("event_idx", *keys, "time_sec"), segments, 0.0, keys)
-    ranked = hits.join(priority.select("grp", "camera", "rank", "excluded"), ["grp", "camera"], "left").where(~F.coalesce("excluded", F.lit(False)))
+    ranked = hits.join(
+        priority.select("grp", "camera", "rank", "excluded"), ["grp", "camera"], "left"
+    ).where(~F.coalesce("excluded", F.lit(False)))
     order = [F.coalesce(F.col("rank"), 1000 + F.col("camera")), "seg_idx"]
     best = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("event_idx").orderBy(*order))).where("_r = 1")
     best = best.select("event_idx", "camera", "seg_idx", (F.col("time_sec") - F.col("seg_start")).alias("offset_sec"))
     rows = olds.join(best, "event_idx", "left")
-    status = F.when(~F.col("linked"), "unlinked").when(F.col("seg_idx").isNull(), "failed").when((F.col("camera") == F.col("old_camera")) & (F.col("seg_idx") == F.col("old_seg")), "unchanged").otherwise("changed")
-    return rows.select("event_idx", F.coalesce("camera", "old_camera").alias("camera"), F.coalesce("seg_idx", "old_seg").alias("seg_idx"), F.coalesce("offset_sec", "old_offset").alias("offset_sec"), status.alias("status"))
-
-
-def candidate_cameras(linked: DataFrame, segments: DataFrame, pad: float = 3.0, keys: Sequence[str] = ("grp", "day")) -> DataFrame:
+    status = F.when(~F.col("linked"), "unlinked").when(F.col("seg_idx").isNull(), "failed").when(
+        (F.col("camera") == F.col("old_camera")) & (F.col("seg_idx") == F.col("old_seg")), "unchanged"
+    ).otherwise("changed")
+    return rows.select(
+        "event_idx", F.coalesce("camera", "old_camera").alias("camera"),
+        F.coalesce("seg_idx", "old_seg").alias("seg_idx"),
+        F.coalesce("offset_sec", "old_offset").alias("offset_sec"), status.alias("status")
+    )
+
+
+def candidate_cameras(
+    linked: DataFrame, segments: DataFrame, pad: float = 3.0, keys: Sequence[str] = ("grp", "day")
+) -> DataFrame:
     """All cameras that saw an event: event_idx, camera, seg_idx, clip_start, clip_end, is_current."""
     hits = _hits(linked.where("linked").select("event_idx", *keys, "time_sec"), segments, 0.0, keys)
     current = linked.select("event_idx", F.col("camera").alias("_camera"), "duration_sec")
     offset = F.col("time_sec") - F.col("seg_start")
     end = F.least(offset + F.col("duration_sec") + pad, F.col("seg_end") - F.col("seg_start"))
-    return hits.join(current, "event_idx").select("event_idx", "camera", "seg_idx", F.greatest(offset - pad, F.lit(0.0)).alias("clip_start"), end.alias("clip_end"), F.coalesce(F.col("camera") == F.col("_camera"), F.lit(False)).alias("is_current"))
+    return hits.join(current, "event_idx").select(
+        "event_idx", "camera", "seg_idx", F.greatest(offset - pad, F.lit(0.0)).alias("clip_start"),
+        end.alias("clip_end"), F.coalesce(F.col("camera") == F.col("_camera"), F.lit(False)).alias("is_current")
+    )
 
 
 def fix_segment_mapping(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -113,18 +151,27 @@ def fix_segment_mapping(rows: DataFrame, files: DataFrame) -> DataFrame:
     hits = placed.join(binned, ["folder", "_bin"]).where("seconds >= seg_start and seconds < seg_end")
     best = hits.groupBy("event_idx").agg(F.min("new_file").alias("new_file"))
     out = rows.join(best, "event_idx", "left")
-    status = F.when(F.col("file").isNull(), "bad_filename").when(F.col("seconds").isNull(), "bad_start_time").when(F.col("new_file").isNull(), "no_segment").otherwise("ok")
+    status = F.when(F.col("file").isNull(), "bad_filename").when(
+        F.col("seconds").isNull(), "bad_start_time"
+    ).when(F.col("new_file").isNull(), "no_segment").otherwise("ok")
     return out.select("event_idx", F.coalesce("new_file", "file").alias("file"), status.alias("status"))
 
 
-def shift_segment(df: DataFrame, seg: str = "seg_idx", offset: str = "offset_sec", length: str = "seg_len", most_excess: float = 120.0) -> DataFrame:
+def shift_segment(
+    df: DataFrame, seg: str = "seg_idx", offset: str = "offset_sec", length: str = "seg_len",
+    most_excess: float = 120.0
+) -> DataFrame:
     """An offset behind the segment's end by `most_excess` at most goes to the next segment; adds `shifted`."""
     excess = F.col(offset) - F.col(length)
     over = F.coalesce((excess > 0) & (excess <= most_excess), F.lit(False))
-    return df.withColumn("shifted", over).withColumn(seg, F.when(over, F.col(seg) + 1).otherwise(F.col(seg))).withColumn(offset, F.when(over, excess).otherwise(F.col(offset)))
+    return df.withColumn("shifted", over).withColumn(
+        seg, F.when(over, F.col(seg) + 1).otherwise(F.col(seg))
+    ).withColumn(offset, F.when(over, excess).otherwise(F.col(offset)))
 
 
-def resolve_segment(df: DataFrame, files: DataFrame, most_shift: int = 3, keys: Sequence[str] = ("grp", "day", "camera")) -> DataFrame:
+def resolve_segment(
+    df: DataFrame, files: DataFrame, most_shift: int = 3, keys: Sequence[str] = ("grp", "day", "camera")
+) -> DataFrame:
     """The nearest existing segment around a row's own that holds it: event_idx, seg_idx, offset_sec, shift.
 
     df: event_idx, keys, seg_idx, time_sec, seg_start, seg_len. files: keys, seg_idx. Shifts are tried 0, 1, -1, 2, ...;
@@ -133,16 +180,25 @@ def resolve_segment(df: DataFrame, files: DataFrame, most_shift: int = 3, keys:
     """
     order = [0, *(s for k in range(1, most_shift + 1) for s in (k, -k))]
     tries = F.posexplode(F.array(*[F.lit(s) for s in order])).alias("_order", "shift")
-    rows = df.select("*", tries).withColumn("_from", F.col("seg_start") + F.col("shift") * F.col("seg_len")).withColumn("_seg", F.col("seg_idx") + F.col("shift"))
+    rows = df.select("*", tries).withColumn(
+        "_from", F.col("seg_start") + F.col("shift") * F.col("seg_len")
+    ).withColumn("_seg", F.col("seg_idx") + F.col("shift"))
     inside = rows.where((F.col("time_sec") >= F.col("_from")) & (F.col("time_sec") < F.col("_from") + F.col("seg_len")))
     there = inside.join(files.select(*keys, F.col("seg_idx").alias("_seg")).distinct(), [*keys, "_seg"], "left_semi")
-    best = there.groupBy("event_idx").agg(F.min_by(F.struct("_seg", (F.col("time_sec") - F.col("_from")).alias("o"), "shift"), "_order").alias("b"))
+    best = there.groupBy("event_idx").agg(
+        F.min_by(F.struct("_seg", (F.col("time_sec") - F.col("_from")).alias("o"), "shift"), "_order").alias("b")
+    )
     off = F.col("time_sec") - F.col("seg_start")
     rest = F.when(off < 0, off + F.col("seg_len")).otherwise(F.pmod(off, F.col("seg_len")))
-    return df.join(best, "event_idx", "left").select("event_idx", F.coalesce("b._seg", "seg_idx").alias("seg_idx"), F.coalesce(F.col("b.o"), rest).alias("offset_sec"), F.col("b.shift").alias("shift"))
+    return df.join(best, "event_idx", "left").select(
+        "event_idx", F.coalesce("b._seg", "seg_idx").alias("seg_idx"),
+        F.coalesce(F.col("b.o"), rest).alias("offset_sec"), F.col("b.shift").alias("shift")
+    )
 
 
-def attach_manifest(preds: DataFrame, manifest: DataFrame, clip: str = "clip_id", columns: Sequence[str] = ("grp", "camera")) -> DataFrame:
+def attach_manifest(
+    preds: DataFrame, manifest: DataFrame, clip: str = "clip_id", columns: Sequence[str] = ("grp", "camera")
+) -> DataFrame:
     """Predictions with event_idx from 'event_<n>' in the clip's name, and the manifest's columns (null without a match)."""
     idx = F.regexp_extract(clip, r"event_(\d+)", 1).try_cast("long")
     return preds.withColumn("event_idx", idx).join(manifest.select("event_idx", *columns), "event_idx", "left")
@@ -162,5 +218,10 @@ def merge_results(plan: DataFrame, results: DataFrame, videos: DataFrame) -> Dat
     rows = plan.join(results.select("event_idx", "ok", "duration"), "event_idx", "left").join(there, "video", "left")
     missing = F.col("_there").isNull()
     success = F.when(missing, False).otherwise(F.coalesce("ok", F.lit(True)))
-    reason = F.when(missing, "video_missing").when(F.col("ok").isNull(), "existing").when(F.col("ok"), "extracted").otherwise("failed")
-    return rows.select("event_idx", success.alias("success"), F.when(success, F.coalesce("duration", "clip_duration")).alias("actual_duration"), reason.alias("reason"))
+    reason = F.when(missing, "video_missing").when(
+        F.col("ok").isNull(), "existing"
+    ).when(F.col("ok"), "extracted").otherwise("failed")
+    return rows.select(
+        "event_idx", success.alias("success"),
+        F.when(success, F.coalesce("duration", "clip_duration")).alias("actual_duration"), reason.alias("reason")
+    )

@@ -32,7 +32,9 @@ class BoutProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "slot long", "idx array<long>, start array<double>, end array<double>")
+        self.pending = handle.getMapState(
+            "pending", "slot long", "idx array<long>, start array<double>, end array<double>"
+        )
         self.bout = handle.getValueState("bout", "first double, end double, n long")
 
     def _timer(self, slot: int) -> int:
@@ -46,7 +48,12 @@ class BoutProcessor(StatefulProcessor):
             end = part["start_sec"] + part["duration_sec"].fillna(0.0)
             slot = (part["start_sec"] // self.slot).astype("int64")
             late = slot.map(self._timer) <= passed
-            yield frame([(LATE, key[0], i, None, None, s, e) for i, s, e in zip(part["event_idx"][late], part["start_sec"][late], end[late])])
+            yield frame(
+                [
+                    (LATE, key[0], i, None, None, s, e)
+                    for i, s, e in zip(part["event_idx"][late], part["start_sec"][late], end[late])
+                ]
+            )
             fresh = part.assign(end_sec=end, slot=slot)[~late]
             for number, own in fresh.groupby("slot"):
                 number = int(number)
@@ -58,7 +65,9 @@ class BoutProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
         out, state = [], tuple(self.bout.get()) if self.bout.exists() else None
-        for number in sorted(k[0] for k in self.pending.keys() if self._timer(k[0]) <= at):  # one, as timers come in order
+        for number in sorted(
+            k[0] for k in self.pending.keys() if self._timer(k[0]) <= at
+        ):  # one, as timers come in order
             idx, start, end = self.pending.getValue((number,))
             for s, i, e in sorted(zip(start, idx, end)):
                 if state is not None and s - state[1] > self.gap:
@@ -70,7 +79,9 @@ class BoutProcessor(StatefulProcessor):
             self.pending.removeKey((number,))
         if state is not None:
             last = math.floor((state[1] + self.gap) / self.slot)  # events up to its end may still be of the bout
-            if self._timer(last) <= timerValues.getCurrentWatermarkInMs() and not any(k[0] <= last for k in self.pending.keys()):
+            if self._timer(last) <= timerValues.getCurrentWatermarkInMs() and not any(
+                k[0] <= last for k in self.pending.keys()
+            ):
                 out.append(self._closed(key, state))
                 state = None
             else:
@@ -96,7 +107,9 @@ def bout_name(video: str | None, first: float) -> str | None:
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
     names = ["kind", "video", "event_idx", "bout_id", "n_events", "start_sec", "end_sec"]
-    return pd.DataFrame(rows, columns=names).astype({"event_idx": "Int64", "n_events": "Int64", "start_sec": "float64", "end_sec": "float64"})
+    return pd.DataFrame(rows, columns=names).astype(
+        {"event_idx": "Int64", "n_events": "Int64", "start_sec": "float64", "end_sec": "float64"}
+    )
 
 
 def stream_bouts(events: DataFrame, gap: float, delay: str = "0 seconds", slot: float = 60.0) -> DataFrame:
@@ -114,7 +127,9 @@ def stream_bouts(events: DataFrame, gap: float, delay: str = "0 seconds", slot:
     """
     at = F.timestamp_micros((F.col("start_sec") * 1_000_000).cast("long"))
     # The time itself is left out behind the watermark: Spark would drop late rows before the operator sees them.
-    rows = events.withColumn("_time", at).withWatermark("_time", delay).select("event_idx", "video", "start_sec", "duration_sec")
+    rows = events.withColumn("_time", at).withWatermark("_time", delay).select(
+        "event_idx", "video", "start_sec", "duration_sec"
+    )
     return rows.groupBy("video").transformWithStateInPandas(BoutProcessor(gap, slot), SCHEMA, "append", "eventTime")
 
 
@@ -133,7 +148,9 @@ def write_bouts(stream: DataFrame, path: str, checkpoint: str, **trigger: object
     before = spark.conf.get(key, None)
     spark.conf.set(key, PROVIDER)  # a query keeps what was set when it began
     try:
-        writer = stream.writeStream.format("parquet").partitionBy("kind").option("path", path).option("checkpointLocation", checkpoint)
+        writer = stream.writeStream.format("parquet").partitionBy("kind").option("path", path).option(
+            "checkpointLocation", checkpoint
+        )
         return writer.outputMode("append").trigger(**trigger).start()
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
