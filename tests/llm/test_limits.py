@@ -109,3 +109,38 @@ def test_names_with_dots(spark, dotted):
     assert state.count() == n
     turns = dotted.withColumn("conv_id", F.col("`doc.id`")).withColumn("turn", F.lit(0)).withColumn("role", F.lit("user")).withColumn("text", F.col("`the.text`"))
     assert chat.read_back(chat.format_conversations(turns)).count() == 12
+
+
+def test_pipeline_of_odd_rows(spark, data):
+    """Nulls, blanks, long and repeated texts, repeated rows and ids, and columns with the stages' own names."""
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 60))) for _ in range(30)]
+    long = " ".join(rnd.choice(words) for _ in range(30_000))
+    texts += [None, "", None, " ", texts[0], texts[1].upper(), long, long + " more", *[f"{texts[2]} {texts[3]} {texts[4]} {texts[5]} {x}" for x in ("a", "b")]]
+    rows = [(10_000 + i, t, rnd.choice(["s0", "s1", None]), "x", i, "y", 0.5, "z") for i, t in enumerate(texts)]
+    rows += [rows[0], (None, "a null id", "s0", "x", 0, "y", 0.5, "z"), (None, None, None, None, None, None, None, None), (10_001, "another text for this id", "s1", "x", 0, "y", 0.5, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copy string, shuffle_key int, _row string, `a.score` double, node string").repartition(3)
+    docs, seen = df, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = ngram_join.stored(stage(spark, docs, data), "odd-stage")
+        seen[name] = [r.asDict() for r in docs.collect()]
+        assert name == "best-fit packing" or docs.columns == df.columns
+    assert len(seen["toxicity"]) == len(rows)  # nothing like a toxic text is in here
+    fold = lambda r: "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "")
+    assert sorted(map(fold, seen["exact dedup"])) == sorted({fold({"text": r[1]}) for r in rows})
+    near = {fold(r) for r in seen["n-gram Jaccard join"]}
+    gone = {fold(r) for r in seen["exact dedup"]} - near
+    assert long + " more" in gone and long in near and len(gone) == 2
+    mixed, packed = seen["mixing sources"], seen["best-fit packing"]
+    assert {fold(r) for r in mixed} <= near and sum(r["piece"] == 0 for r in packed) == len(mixed)
+    per = {}
+    for r in packed:
+        per.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in per.values():
+        ends = [0, *[o + n for o, n in sorted(parts)]]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 4096
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.where("false"), data).count() == 0
