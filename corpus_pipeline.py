@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again. The last one returns the plan of the
 training sequences: one row per piece of a document, and a document repeated by the mix is as many documents.
+
+Rows: null and empty texts are documents like others (equal to one another, so that one of them stays; with a length of the
+end id alone when packed), texts of any length are taken whole. A null doc_id stays where an id alone would decide: it is no
+reason to go in the n-gram join, and it draws by its columns in the mix. Of rows that repeat, one stays. Labels for a doc_id
+that repeats mark all of its rows. A null source is a source of its own. Columns besides doc_id, text and source are carried
+through all stages but the last, whatever their names; an empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -9,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boutlake.llm import exact_dedup, mixing, ngram_join, packing, tokens, toxicity
 from boutlake.llm._common import documents, stored
@@ -31,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated towards weights by the square root of the sources' sizes, in a global random order."""
-    return mixing.mix(docs, seed=42).select(*docs.columns)
+    return mixing.mix(docs, seed=42).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
