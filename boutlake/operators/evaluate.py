@@ -198,26 +198,24 @@ def ood_scores(probs: Sequence[Column], method: str = "msp") -> Column:
 
 
 def ood_metrics(scores: DataFrame, score: str = "score", ood: str = "is_ood") -> DataFrame:
-    """One row: auroc (ID above OOD), aupr_ood (OOD positive, negated score), fpr_at_95tpr, tpr_at_5fpr, n_id, n_ood."""
-    up = scores.select(F.col(score).alias("s"), F.when(F.col(ood), "n").otherwise("p").alias("y"))
-    down = scores.select((-F.col(score)).alias("s"), F.when(F.col(ood), "p").otherwise("n").alias("y"))
-    curve = threshold_curve(up, "s", "y", "p")
-    totals = curve.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
-    rates = curve.crossJoin(F.broadcast(totals)).select(
-        (F.col("tp") / F.col("np")).alias("tpr"), (F.col("fp") / F.col("nn")).alias("fpr")
-    )
-    ends = rates.agg(
+    """One row: auroc (ID above OOD), aupr_ood (OOD positive, negated score), fpr_at_95tpr, tpr_at_5fpr, n_id, n_ood; the
+    first two null without both sides. One curve from the top serves both: what is at a score or below follows from the totals."""
+    rows = scores.where(F.col(score).isNotNull())
+    totals = rows.agg(F.count_if(~F.col(ood)).alias("np"), F.count_if(ood).alias("nn"))
+    curve = threshold_curve(rows.select(F.col(score).alias("s"), F.when(F.col(ood), "n").otherwise("p").alias("y")), "s", "y", "p")
+    curve = curve.crossJoin(F.broadcast(totals)).select("*", _ratio(F.col("tp"), F.col("np")).alias("tpr"), _ratio(F.col("fp"), F.col("nn")).alias("fpr"))
+    below, under = F.col("nn") - F.col("fp") + F.col("neg"), F.col("np") - F.col("tp") + F.col("pos")
+    sums = curve.agg(
+        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"), F.sum(F.col("neg") * below / (below + under)).alias("ap"),
         F.coalesce(F.min(F.when(F.col("tpr") >= 0.95, F.col("fpr"))), F.lit(1.0)).alias("a"),
-        F.coalesce(F.max(F.when(F.col("fpr") <= 0.05, F.col("tpr"))), F.lit(0.0)).alias("b")
-    )
-    aupr = curve_metrics(threshold_curve(down, "s", "y", "p")).select(F.col("average_precision").alias("aupr_ood"))
-    head = curve_metrics(curve).select(
-        F.col("roc_auc").alias("auroc"), F.col("n_pos").alias("n_id"), F.col("n_neg").alias("n_ood")
-    )
-    return head.crossJoin(aupr).crossJoin(ends).select(
-        "auroc", "aupr_ood", F.round("a", 6).alias("fpr_at_95tpr"), F.round("b", 6).alias("tpr_at_5fpr"), "n_id",
-        "n_ood"
-    )
+        F.coalesce(F.max(F.when(F.col("fpr") <= 0.05, F.col("tpr"))), F.lit(0.0)).alias("b"),
+    )
+    both = (F.col("np") > 0) & (F.col("nn") > 0)
+    return sums.crossJoin(totals).select(
+        F.when(both, F.round(F.col("area") / F.nullif(F.col("np"), F.lit(0)) / F.nullif(F.col("nn"), F.lit(0)), 6)).alias("auroc"),
+        F.when(both, F.round(F.col("ap") / F.nullif(F.col("nn"), F.lit(0)), 6)).alias("aupr_ood"),
+        F.round("a", 6).alias("fpr_at_95tpr"), F.round("b", 6).alias("tpr_at_5fpr"), F.col("np").alias("n_id"), F.col("nn").alias("n_ood"),
+    )
 
 
 def ood_breakdown(preds: DataFrame, label: str, score: str) -> DataFrame:
