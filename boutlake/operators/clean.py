@@ -138,6 +138,10 @@ def video_key(df: DataFrame, path: str, name: str | None = None, variant: str =
     return text
 
 
+#: Words that say yes and no.
+YES, NO = ("Y", "YES", "TRUE", "1"), ("N", "NO", "FALSE", "0")
+
+
 def parse_external_sheet(
     df: DataFrame, video: str, ours: str, labels: Sequence[str], extensions: Sequence[str]
 ) -> DataFrame:
@@ -149,7 +153,7 @@ def parse_external_sheet(
     said = F.upper(F.trim(F.col(f"`{ours}`")))
     found = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").try_cast("double") == 1, F.lit(c)) for c in labels]))
     return df.where(name.isNotNull() & (name != "") & ~name.rlike(r"^\d+$") & is_file).select(
-        name.alias("video"), F.when(said.startswith("Y"), True).when(said.startswith("N"), False).alias("ours"),
+        name.alias("video"), F.when(said.isin(*YES), True).when(said.isin(*NO), False).alias("ours"),
         found.alias("labels")
     )
 
@@ -161,8 +165,6 @@ SHEET_ROLES = (
     *[(name, (name, "1-0")) for name in ("none", "ear", "tail", "teat", "other")]
 )
 SHEET_VIDEO = "video"
-#: Words that say yes and no.
-YES, NO = ("Y", "YES", "TRUE", "1"), ("N", "NO", "FALSE", "0")
 
 
 def detect_columns(columns: Sequence[str]) -> dict[str, str]:
