@@ -324,7 +324,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     some = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
     rows = alive.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top)  # at most 64 * top rows go on
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    return rows.join(_small(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return rows.join(_small(totals), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def _alive(pairs: DataFrame, longer: DataFrame, bars: DataFrame, share: int) -> DataFrame:

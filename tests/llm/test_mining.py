@@ -59,7 +59,7 @@ def test_phrases(spark, monkeypatch, top, stretch, slots):
     df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "lang string, text string, phrase string, c int, h string").repartition(3)
     found = phrases.mine(df, least=3, top=top)
     assert sorted(tuple(r) for r in found.collect()) == brute_phrases(rows, 3, 50, top)
-    assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert [(c, t) for c, t in found.dtypes] == [("lang", "string"), ("rank", "bigint"), ("phrase", "string"), *[(c, "bigint") for c in ("a", "l", "r", "n", "score")]]
     assert phrases.mine(df.where("false")).count() == 0
 
 
