@@ -9,13 +9,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A side is broadcast only if it is counted to have no more rows than this.
 BROADCAST_ROWS = 200_000
 BATCH_BYTES = 4 << 20
+#: Slots of a table of flags at most (a byte each), and how many go to the driver in one row.
+SLOTS, CHUNK = 1 << 24, 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -131,3 +135,21 @@ def struct(spec: str) -> T.StructType:
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def flag_table(rows: DataFrame, n: int) -> np.ndarray:
+    """From h and flags (int): the flags of each slot, a byte each; slots are some 16 times n, SLOTS at most."""
+    slots = min(SLOTS, 1 << max(16, (16 * n).bit_length()))
+    slot = F.col("h").bitwiseAND(F.lit(slots - 1))
+    each = rows.select(slot.alias("slot"), "flags").groupBy("slot").agg(F.bit_or("flags").alias("flags"))
+    each = each.select(F.shiftright("slot", CHUNK.bit_length() - 1).alias("chunk"), F.col("slot").bitwiseAND(F.lit(CHUNK - 1)).alias("place"), "flags")
+
+    def packed(t: pa.Table) -> pa.Table:
+        out = np.zeros(CHUNK, np.uint8)
+        out[t["place"].to_numpy()] = t["flags"].to_numpy().astype(np.uint8)
+        return pa.table({"chunk": t["chunk"].slice(0, 1).cast(pa.int64()), "bytes": [out.tobytes()]})
+
+    table = np.zeros(max(slots, CHUNK), np.uint8)
+    for row in each.groupBy("chunk").applyInArrow(packed, struct("chunk long, bytes binary")).collect():
+        table[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["bytes"], np.uint8)
+    return table

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from ._common import BROADCAST_ROWS, begun, given_back, map_arrow, stored, struct
+from ._common import BROADCAST_ROWS, begun, flag_table, given_back, map_arrow, stored, struct
 from .components import components
 
 #: Texts of a region whose pairs are made without sketches, and of a block.
@@ -63,6 +63,7 @@ PARTS = 64
 #: The share of the hash range in which the shingles of all texts are counted at first. Texts whose windows reach beyond it are
 #: counted in whole after that, so it shifts work only.
 COUNTED = 0.3
+TOP = np.uint64(int(COUNTED * (1 << 64)))
 
 #: By turn: numbers of sets that two different sets had; these take the number of the next turn.
 Clashes = tuple[frozenset[int], ...]
@@ -122,27 +123,34 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[D
         clashes = (*clashes, bad)
 
 
-def frequent(docs: DataFrame, text_col: str, words: int, percent: int) -> np.ndarray:
-    """Sorted hashes of the shingles that more than HOT texts hold, of all that may come into a window.
+def frequent(docs: DataFrame, text_col: str, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes of the shingles that more than HOT texts hold, of all that may come into a window; a table of flags of
+    the counted ones that two texts hold at least).
 
     A window holds a text's first shingles that aren't frequent, by their hashes. So it is enough to count those in the
     lowest part of the hash range at first; a text that has too few infrequent ones there (as much of it is shared
     with many) is counted a second time, with all others of its shingles. Windows of other texts hold none of these,
     so that they are counted where they matter.
     """
-    top = np.uint64(int(COUNTED * (1 << 64)))
-    lowest = _often(docs, text_col, words, lambda own: own[: np.searchsorted(own, top)])
+    lowest, repeated = _often(docs, text_col, words, lambda own: own[: np.searchsorted(own, TOP)])
     shared = docs.sparkSession.sparkContext.broadcast(lowest)
 
     def rest(own: np.ndarray) -> np.ndarray:
-        at = int(np.searchsorted(own, top))
+        at = int(np.searchsorted(own, TOP))
         return own[at:] if in_order(own[:at], shared.value)[1] < window_size(len(own), percent) else own[:0]
 
-    return np.union1d(lowest, _often(docs, text_col, words, rest))
+    more, _ = _often(docs, text_col, words, rest)
+    twice = flag_table(repeated.select(F.col("key").alias("h"), F.lit(1).alias("flags")), repeated.count())
+    return np.union1d(lowest, more), twice
 
 
-def _often(docs: DataFrame, text_col: str, words: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sorted hashes that are in a part of more than HOT texts, HOT_MOST at most."""
+def alone(own: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Which shingles no other text holds: of the counted ones, those without a flag."""
+    return (own < TOP) & (twice[(own & np.uint64(len(twice) - 1)).astype(np.int64)] == 0)
+
+
+def _often(docs: DataFrame, text_col: str, words: int, part: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, DataFrame]:
+    """Sorted hashes that are in a part of more than HOT texts, HOT_MOST at most; and key, c of those in two texts at least."""
 
     def make() -> object:
         seen: set[int] = set()
@@ -172,11 +180,12 @@ def _often(docs: DataFrame, text_col: str, words: int, part: Callable[[np.ndarra
         return step
 
     counts = map_arrow(docs.select(F.col(f"`{text_col}`")), make, struct("key long, c long")).groupBy("key").agg(F.sum("c").alias("c"))
-    many = stored(counts.where(F.col("c") > HOT), "join-frequent")
+    many = stored(counts.where("c > 1"), "join-counts")
     least = HOT
     while many.where(F.col("c") > least).count() > HOT_MOST:  # the order may be any; less of it makes regions larger only
         least *= 2
-    return np.sort(np.array([r["key"] for r in many.where(F.col("c") > least).select("key").collect()], dtype=np.int64).view(np.uint64))
+    keys = many.where(F.col("c") > least).select("key").collect()
+    return np.sort(np.array([r["key"] for r in keys], dtype=np.int64).view(np.uint64)), many
 
 
 _ENTRIES = struct("key long, part int, node long, n int, place int")
@@ -192,22 +201,23 @@ def in_order(own: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate([cold, own[is_hot]]), len(cold)
 
 
-def entries(docs: DataFrame, text_col: str, words: int, percent: int, hot: np.ndarray, clashes: Clashes) -> DataFrame:
+def entries(docs: DataFrame, text_col: str, words: int, percent: int, hot: np.ndarray, twice: np.ndarray, clashes: Clashes) -> DataFrame:
     """A row for each text and shingle of its window: key, node, n, place in the text's order, and for frequent shingles a
-    part from 1 on (else 0) that their region is dealt out by. Copies within a task come once."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    part from 1 on (else 0) that their region is dealt out by. Copies within a task come once. Shingles that are counted and
+    no other text holds have no row: nothing meets there."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, twice))
 
     def make() -> object:
         seen: set[int] = set()
-        order = shared.value
+        order, twice = shared.value
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             rows, held = [], 0
 
             def out() -> dict:
-                keys, names, sizes, colds = zip(*rows)
+                keys, places, names, sizes, colds = zip(*rows)
                 many = [len(k) for k in keys]
-                place = np.concatenate([np.arange(k) for k in many])
+                place = np.concatenate(places)
                 part = np.where(place >= np.repeat(colds, many), 1 + np.repeat(np.array(names, np.int64) % PARTS, many), 0)
                 return {"key": np.concatenate(keys).view(np.int64), "part": part, "node": np.repeat(names, many), "n": np.repeat(sizes, many), "place": place}
 
@@ -221,8 +231,10 @@ def entries(docs: DataFrame, text_col: str, words: int, percent: int, hot: np.nd
                 if len(seen) < 100_000:
                     seen.add(node)
                 front, cold = in_order(own, order)
-                front = front[: window_size(n, percent)].copy()
-                rows.append((front, node, n, cold))
+                front = front[: window_size(n, percent)]
+                place = np.flatnonzero(~alone(front, twice))
+                front = front[place]
+                rows.append((front, place, node, n, cold))
                 held += len(front)
                 if held > 200_000:
                     yield out()
@@ -565,9 +577,10 @@ class _Join:
     """What components and links begin with: nodes, regions' members, full sets."""
 
     def __init__(self, docs: DataFrame, profile: DataFrame, clashes: Clashes, text_col: str, words: int, percent: int) -> None:
-        self.percent, self.hot = percent, frequent(docs, text_col, words, percent)
+        self.percent = percent
+        self.hot, twice = frequent(docs, text_col, words, percent)
         self.classes = stored(profile.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "join-classes")
-        found = stored(regions(entries(docs, text_col, words, percent, self.hot, clashes)), "join-regions")
+        found = stored(regions(entries(docs, text_col, words, percent, self.hot, twice, clashes)), "join-regions")
         self.members = stored(members_of(found), "join-members")
         self.sets = full_sets(docs, text_col, words, stored(self.members.select("node").distinct(), "join-nodes"), clashes)
 

@@ -16,7 +16,7 @@ than 10**6 f(p) / f(x), and by the last cut none that ends in s and its last wor
    counted.
 
 Counting is numpy within tasks, on stretches of some 2 MB, then sums per phrase with map-side partials, so a hot phrase is
-a row per task. Tasks know the frontier by a table of flags with at most SLOTS slots: two phrases in one slot mean
+a row per task. Tasks know the frontier by a table of flags with a bounded number of slots: two phrases in one slot mean
 that too much is counted, never too little. Scores are decimals of 38 digits: occurrences up to 10**15 are exact.
 
 Rows: null text is empty, null language is `und` (and one with rows of that name); empty texts give nothing; repeated rows
@@ -37,12 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from ._common import BROADCAST_ROWS, begun, given_back, small_batches, stored, struct
+from ._common import BROADCAST_ROWS, begun, flag_table, given_back, small_batches, stored, struct
 
 #: Bytes of text that are counted at once.
 STRETCH = 2 << 20
-#: Slots of the table of flags at most (a byte each), and how many go to the driver in one row.
-SLOTS, CHUNK = 1 << 24, 1 << 14
 #: Flags: frequent; now and in earlier rounds: may begin, may end a phrase that reaches the bar, reaches it itself.
 KNOWN, BEGIN, END, REACH, OLD = 1, 2, 4, 8, 3
 
@@ -241,24 +239,6 @@ def count_triples(texts: DataFrame, known: np.ndarray, least: int) -> DataFrame:
     return _summed(_counted(texts, _triples, known, _COUNTS)).where(F.col("c") >= least)
 
 
-def flag_table(rows: DataFrame, n: int) -> np.ndarray:
-    """From h and flags (int): the flags of each slot, a byte each; slots are some 16 times n, SLOTS at most."""
-    slots = min(SLOTS, 1 << max(16, (16 * n).bit_length()))
-    slot = F.col("h").bitwiseAND(F.lit(slots - 1))
-    each = rows.select(slot.alias("slot"), "flags").groupBy("slot").agg(F.bit_or("flags").alias("flags"))
-    each = each.select(F.shiftright("slot", CHUNK.bit_length() - 1).alias("chunk"), F.col("slot").bitwiseAND(F.lit(CHUNK - 1)).alias("place"), "flags")
-
-    def packed(t: pa.Table) -> pa.Table:
-        out = np.zeros(CHUNK, np.uint8)
-        out[t["place"].to_numpy()] = t["flags"].to_numpy().astype(np.uint8)
-        return pa.table({"chunk": t["chunk"].slice(0, 1).cast(pa.int64()), "bytes": [out.tobytes()]})
-
-    table = np.zeros(max(slots, CHUNK), np.uint8)
-    for row in each.groupBy("chunk").applyInArrow(packed, struct("chunk long, bytes binary")).collect():
-        table[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["bytes"], np.uint8)
-    return table
-
-
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 

@@ -19,9 +19,9 @@ def test_boilerplate_is_no_hot_key_and_makes_no_pairs(spark, monkeypatch):
     """Texts that share most of their words, but too few to be linked: their windows are split and bounded."""
     rows = boilerplate(1_500, 15, 89)  # 85 of 115 shingles shared
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    hot = ngram_join.frequent(df, "text", 5, 80)
+    hot, twice = ngram_join.frequent(df, "text", 5, 80)
     assert len(hot) == 85
-    found = ngram_join.entries(df, "text", 5, 80, hot, ())
+    found = ngram_join.entries(df, "text", 5, 80, hot, twice, ())
     assert found.groupBy("key", "part").count().agg(F.max("count")).first()[0] <= 64
     verified = []
     held = ngram_join.shared_counts
@@ -36,8 +36,8 @@ def test_frequent_shingles_of_windows_are_all_counted(spark):
     footers = [[f"f{k}w{i}" for i in range(rnd.randint(20, 80))] for k in range(5)]
     rows = [(i, " ".join([f"o{i}x{j}" for j in range(rnd.randint(0, 30))] + rnd.choice(footers) + rnd.choice(footers))) for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    hot = ngram_join.frequent(df, "text", 5, 80)
-    cold = ngram_join.entries(df, "text", 5, 80, hot, ()).where("part = 0")
+    hot, twice = ngram_join.frequent(df, "text", 5, 80)
+    cold = ngram_join.entries(df, "text", 5, 80, hot, twice, ()).where("part = 0")
     assert cold.groupBy("key").agg(F.countDistinct("node").alias("n")).agg(F.max("n")).first()[0] <= ngram_join.HOT
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boutlake.llm import centroids, contamination, phrases
+from boutlake.llm import _common, centroids, contamination, phrases
 
 from .test_text_operators import fold
 
@@ -54,7 +54,7 @@ def phrase_rows(seed):
 @pytest.mark.parametrize(("top", "stretch", "slots"), [(3, 8 << 20, 1 << 24), (5, 40, 1 << 16), (2_000, 400, 1 << 16)])
 def test_phrases(spark, monkeypatch, top, stretch, slots):
     monkeypatch.setattr(phrases, "STRETCH", stretch)
-    monkeypatch.setattr(phrases, "SLOTS", slots)
+    monkeypatch.setattr(_common, "SLOTS", slots)
     rows = phrase_rows(top)
     df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "lang string, text string, phrase string, c int, h string").repartition(3)
     found = phrases.mine(df, least=3, top=top)
