@@ -11,8 +11,13 @@ in the task that owns the query. So the result is exact.
 Vectors are divided by a power of two near their largest component before anything is squared, which changes no cosine and
 keeps the squares of any finite vector in range.
 
-Equal vectors within a tile are one candidate with its k + 1 smallest ids: more can't be among a query's k nearest.
-Only vectors of the query's dimension are candidates.
+Both groups of a tile have about TILE_BYTES of vectors: with square tiles the candidates are copied once for every
+TILE_BYTES of queries, and not once for every block of an int8 product.
+
+Rows with the same id and vector are counted with map-side partials before they are dealt out, so that a row which a
+share of the table repeats is one candidate and one query, with its number. Equal vectors of different ids within a tile
+are one candidate with its k + 1 smallest ids: more can't be among a query's k nearest. Only vectors of the query's
+dimension are candidates.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids; ties go
 to the smaller id. A row is not its own candidate, but other rows with the query's id are. Rows with the same id, and
@@ -32,8 +37,8 @@ from pyspark.sql import functions as F
 
 from ._common import begun, given_back, stored, struct
 
-#: Vectors of a candidate group and of a query group, and of a block of an int8 product.
-GROUP, QUERIES, BLOCK = 16_384, 2_048, 2_048
+#: Bytes of vectors of a candidate group and of a query group, and vectors of either side of a block of an int8 product.
+TILE_BYTES, BLOCK = 8 << 20, 2_048
 
 
 def usable(vector: Column) -> Column:
@@ -63,22 +68,32 @@ def _scaled(v: np.ndarray) -> np.ndarray:
     return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
 
 
-def _tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, own: bool) -> Iterator[tuple[int, int, float]]:
-    """(place of the query, id, score). own: the queries are rows of the candidates."""
+def _tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, times: np.ndarray, k: int, own: bool) -> Iterator[tuple[int, int, float]]:
+    """(place of the query, id, score). times: how many rows a candidate stands for. own: the queries are rows of the candidates."""
     order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
+    c_ids, c, times = c_ids[order], c[order], np.minimum(times[order], k + 1)
     raw = np.ascontiguousarray(c).view([("", c.dtype)] * c.shape[1]).ravel()
     _, first, which = np.unique(raw, return_index=True, return_inverse=True)
+    c_ids, which = np.repeat(c_ids, times), np.repeat(which, times)
     by = np.argsort(which, kind="stable")
     begin = np.searchsorted(which[by], np.arange(len(first)))
     same = [c_ids[by[b : min(b + k + 1, e)]].tolist() for b, e in zip(begin, [*begin[1:], len(by)])]
-    c = c[first]
     place = {x.tobytes(): j for j, x in enumerate(raw[first])} if own else {}
-    mine = [place.get(x.tobytes(), -1) for x in np.ascontiguousarray(q)]
-    q, c = _scaled(q), _scaled(c)
-    qn, cn = np.sqrt(_dots(q, q)), np.sqrt(_dots(c, c))
+    c = _scaled(c[first])
+    cn = np.sqrt(_dots(c, c))
+    codes = (c, cn, *_quantised(c / cn[:, None]))
+    for at in range(0, len(q), BLOCK):
+        part = q[at : at + BLOCK]
+        mine = [place.get(x.tobytes(), -1) for x in np.ascontiguousarray(part)]
+        for i, other, score in _block(q_ids[at : at + BLOCK], _scaled(part), mine, codes, same, k):
+            yield at + i, other, score
+
+
+def _block(q_ids: np.ndarray, q: np.ndarray, mine: list[int], codes: tuple, same: list[list[int]], k: int) -> Iterator[tuple[int, int, float]]:
+    """The heaps of a block of queries over all candidates of a tile."""
+    c, cn, c8, cs, cl = codes
+    qn = np.sqrt(_dots(q, q))
     q8, qs, ql = _quantised(q / qn[:, None])
-    c8, cs, cl = _quantised(c / cn[:, None])
     heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
     # Sums of products of int8 are exact in float32 below 2 ** 24, else in float64.
     kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
@@ -120,16 +135,23 @@ def nearest(candidates: DataFrame, queries: DataFrame | Column, k: int = 5, id_c
     which a condition holds (then each row's own is left out), or a table of other rows (then none is)."""
     own = isinstance(queries, Column)
 
-    def slim(df: DataFrame) -> DataFrame:
+    def merged(df: DataFrame, asked: Column, label: str) -> DataFrame:
+        """id, v, n and asked: how many rows are alike, and how many of them are queries."""
         v = F.col(f"`{vector_col}`").cast("array<double>")
-        return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+        rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"), F.coalesce(asked.cast("long"), F.lit(0)).alias("asked"))
+        rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id", "v").agg(F.count("*").alias("n"), F.sum("asked").alias("asked"))
+        return stored(rows.withColumn("d", F.size("v")).withColumn("row", F.monotonically_increasing_id()), label)  # its number stays
+
+    right = merged(candidates, queries if own else F.lit(False), "neighbour-rows")
+    left = (right if own else merged(queries, F.lit(True), "neighbour-queries")).where("asked > 0").withColumnRenamed("row", "query")
+
+    def groups(df: DataFrame) -> int:
+        return -(-df.agg(F.coalesce(F.sum(F.col("d") * 8), F.lit(0))).first()[0] // TILE_BYTES) or 1
 
-    left, right = slim(candidates.where(queries) if own else queries), slim(candidates)
-    left = stored(left.withColumn("query", F.monotonically_increasing_id()), "neighbour-queries")  # its number stays
-    n_left, n_right = -(-left.count() // QUERIES) or 1, -(-right.count() // GROUP) or 1
+    n_left, n_right = groups(left), groups(right)
     deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
-    left = left.withColumn("g", deal(n_left)).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).withColumn("d", F.size("v"))
-    right = right.withColumn("h", deal(n_right)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).withColumn("d", F.size("v"))
+    left = left.select("query", "id", "v", "d", "asked", deal(n_left).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("h"))
+    right = right.select("id", "v", "d", "n", deal(n_right).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("g"))
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
         begun(lambda: None)
@@ -138,27 +160,28 @@ def nearest(candidates: DataFrame, queries: DataFrame | Column, k: int = 5, id_c
             (q_ids, q), (c_ids, c) = (
                 (t["id"].to_numpy(), t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)) for t in (a, b)
             )
-            found = [*_tile(q_ids, q, c_ids, c, k, own)]
+            found = [*_tile(q_ids, q, c_ids, c, b["n"].to_numpy(), k, own)]
         at, others, scores = [*zip(*found)] or [[], [], []]
         which = pa.array(at, pa.int64())
-        columns = [a["query"].take(which), a["id"].take(which), pa.array(others, pa.int64()), pa.array(scores, pa.float64())]
-        return pa.table(columns, names=["query", "query_id", "vec_id", "score"])
+        columns = [*(a[n].take(which) for n in ("query", "id", "asked")), pa.array(others, pa.int64()), pa.array(scores, pa.float64())]
+        return pa.table(columns, names=["query", "query_id", "asked", "vec_id", "score"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The heaps of all tiles, which come by query, into one heap of k."""
+        """The heaps of all tiles, which come by query, into one heap of k; asked stays beside it."""
         at, heap = None, []
 
         def out() -> pa.RecordBatch:
             best = sorted(heap, reverse=True)
-            columns = [[at[1]] * len(best), [*range(1, len(best) + 1)], [-x for _, x in best], [x for x, _ in best]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
+            columns = [[at[1]] * len(best), [*range(1, len(best) + 1)], [-x for _, x in best], [x for x, _ in best], [at[2]] * len(best)]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "rank", "vec_id", "score", "asked"])
 
         for batch in batches:
-            for query, ident, other, score in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if at != (query, ident):
+            for query, ident, asked, other, score in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if at != (query, ident, asked):
                     if heap:
                         yield out()
-                    at, heap = (query, ident), []
+                    at, heap = (query, ident, asked), []
                 heapq.heappush(heap, (score, -other))
                 if len(heap) > k:
                     heapq.heappop(heap)
@@ -167,5 +190,6 @@ def nearest(candidates: DataFrame, queries: DataFrame | Column, k: int = 5, id_c
         given_back()
 
     keys = ("g", "h", "d")
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, struct("query long, query_id long, vec_id long, score double"))
-    return near.repartition("query").sortWithinPartitions("query").mapInArrow(merge, struct("query_id long, rank int, vec_id long, score double"))
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, struct("query long, query_id long, asked long, vec_id long, score double"))
+    best = near.repartition("query").sortWithinPartitions("query").mapInArrow(merge, struct("query_id long, rank int, vec_id long, score double, asked long"))
+    return best.withColumn("asked", F.explode(F.sequence(F.lit(1).cast("long"), "asked"))).drop("asked")

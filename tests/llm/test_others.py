@@ -34,15 +34,16 @@ def score(a, b):
     return max(-1.0, min(1.0, dot / (np.sqrt(aa) * np.sqrt(bb))))
 
 
-@pytest.mark.parametrize(("group", "block"), [(16_384, 2_048), (40, 7)])
-def test_nearest(spark, monkeypatch, group, block):
-    monkeypatch.setattr(neighbours, "GROUP", group)
+@pytest.mark.parametrize(("tile", "block"), [(8 << 20, 2_048), (3_840, 7)])
+def test_nearest(spark, monkeypatch, tile, block):
+    monkeypatch.setattr(neighbours, "TILE_BYTES", tile)
     monkeypatch.setattr(neighbours, "BLOCK", block)
     rnd = np.random.default_rng(4)
     rows = [(i, rnd.normal(size=12).tolist()) for i in range(150)]
     rows += [(200 + i, rows[3][1]) for i in range(20)] + [(300, None), (301, []), (302, [0.0] * 12), (303, [None] * 12), (304, [float("nan")] * 12), (305, [float("inf")] * 12), (None, rows[1][1]), (306, [1.0, 2.0]), (307, [2.0, 1.0])]
     rows += [(309, [1e200, 1e200]), (312, [2e200, 1e200]), (315, [1e-200, 1e-200]), (318, [3e-310, 1e-300])]  # squares are out of range
     rows += [(3, rows[5][1]), (3, rows[3][1]), (6, rows[6][1]), (9, rows[8][1])]  # ids and rows that repeat
+    rows += [(12, rows[12][1])] * 40 + [(14, rows[14][1])] * 40 + [(15, [-0.0, *rows[16][1][1:]]), (16, [0.0, *rows[16][1][1:]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     df = df.withColumn("query", F.lit("x")).withColumn("G", F.lit(1))  # names of the operator's own columns
     found = sorted((r["query_id"], r["rank"], round(r["score"], 12), r["vec_id"]) for r in neighbours.nearest(df, F.col("vec_id") % 3 == 0, 5).collect())
