@@ -5,12 +5,14 @@ Every draw is an md5 of a seed and a key, so that it doesn't depend on partition
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,34 @@ def with_poisson(df: DataFrame, out: str, mean: str, seed: int | str, *keys: str
     ).withColumn(out, drawn).drop(name)  # a column, so that it is drawn once
 
 
+def uniforms(keys: Sequence[str], numbers: Sequence[int | str]) -> np.ndarray:
+    """What uniform() gives for each key ('seed|key') followed by each number, made in a task: a row per key."""
+    ends = [f"|{n}".encode() for n in numbers]
+
+    def digest(start: object, end: bytes) -> bytes:
+        h = start.copy()
+        h.update(end)
+        return h.digest()
+
+    digests = b"".join([digest(start, end) for start in (hashlib.md5(k.encode()) for k in keys) for end in ends])
+    return ((np.frombuffer(digests, ">u8")[::2] >> 12).astype("float64") / (1 << 52)).reshape(len(keys), len(ends))
+
+
+def poisson_draws(keys: Sequence[str], means: np.ndarray, numbers: Sequence[int]) -> np.ndarray:
+    """The draws of with_poisson for each key, of the key's mean, and each number, made in a task: a row per key."""
+    out = np.zeros((len(keys), len(numbers)), "int64")
+    for mean in np.unique(means[means > 0]):
+        at = np.flatnonzero(means == mean)
+        own, n = [keys[i] for i in at], float(mean)
+        u = uniforms(own, numbers)
+        if mean <= LARGEST_MEAN:
+            out[at] = np.searchsorted(poisson_steps(int(mean)), u, side="right")
+        else:
+            z = np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * math.pi * uniforms(own, [f"{r}|z" for r in numbers]))
+            out[at] = np.maximum(0, np.floor(n + math.sqrt(n) * z + (z * z - 1) / 6 + 0.5))
+    return out
+
+
 def bin_label(value: Column, edges: Sequence[float], labels: Sequence[str], left_closed: bool = True) -> Column:
     """The label of [edges[i], edges[i+1]) (or of (edges[i], edges[i+1]]); null outside."""
     out = F.lit(None).cast("string")

@@ -13,15 +13,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.det import numbered, stored, with_poisson
+from ..functions.det import numbered, poisson_draws, stored, with_poisson
 
-#: Points of a replicate that one task sums up, and draws of a task.
-POINTS, DRAWS = 20_000, 2_000_000
+#: Points of a replicate that one task sums up, replicates that it does at a time, and draws of a task.
+POINTS, BAND, DRAWS = 20_000, 50, 2_000_000
 
 #: What the four cells count, for columns true_label, pred_label and the positive class 'tail'.
 BINARY_CELLS = {
@@ -165,40 +167,61 @@ def bootstrap_ood(
     sides: both are resampled. Rows without a score are left out.
 
     Distinct scores are counted and numbered once. Each gets a Poisson draw for either side in each replicate, and sums
-    from the top are made in two levels: in ranges of POINTS scores of a replicate, after the sums of the ranges above.
+    from the top are made in two levels: in ranges of POINTS scores, after the sums of the ranges above. A task makes the
+    draws of a range for BAND replicates at a time where they are needed, so that no draw is shuffled or kept.
     """
     known = scores.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(ood).alias("o"))
     points = known.groupBy("s").agg(F.count_if(~F.col("o")).alias("ids"), F.count_if("o").alias("oods"))
     points = stored(numbered(points, "s", "place"), "bootstrap-points")
-    spark = scores.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, -(-points.count() * replicates // DRAWS))
-    drawn = points.repartition(tasks, "place").withColumn(
-        "replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
+    tasks = max(scores.sparkSession.sparkContext.defaultParallelism, -(-points.count() * replicates // DRAWS))
+    dealt = lambda df: df.repartition(tasks, "range", "band")
+    parts = dealt(points.select(
+        F.expr(f"place div {POINTS}").alias("range"), F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BAND))).alias("band"),
+        "place", "ids", "oods"
+    ))
+    band_of = (F.col("replicate") - 1).cast("int")
+    sums = parts.groupBy("range", "band").applyInPandas(
+        partial(_range_sums, replicates, seed), "range long, replicate long, p long, n long"
     )
-    drawn = with_poisson(drawn, "pos", "ids", seed, "place", F.lit("id"), "replicate")
-    drawn = with_poisson(drawn, "neg", "oods", seed, "place", F.lit("ood"), "replicate")
-    drawn = drawn.select(
-        "replicate", "place", F.expr(f"place div {POINTS}").alias("range"), "pos", "neg"
-    )  # a filter would be pushed down and draw again
-    sums = drawn.groupBy("replicate", "range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     own = Window.partitionBy("replicate")
     above = own.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
     sums = sums.select(
-        "replicate", "range", before("p").alias("p0"), before("n").alias("n0"), F.sum("p").over(own).alias("np"),
-        F.sum("n").over(own).alias("nn")
+        "range", F.floor(band_of / BAND).cast("int").alias("band"), "replicate", before("p").alias("p0"),
+        before("n").alias("n0"), F.sum("p").over(own).alias("np"), F.sum("n").over(own).alias("nn")
     )
-    within = Window.partitionBy("replicate", "range").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = drawn.withColumns(
-        {"tp": F.sum("pos").over(within), "fp": F.sum("neg").over(within)}
-    ).join(sums.where("np > 0 and nn > 0"), ["replicate", "range"])
-    tp, fp, pos, neg, np_, nn = F.col("p0") + F.col("tp"), F.col("n0") + F.col("fp"), *(
-        F.col(c) for c in ("pos", "neg", "np", "nn")
+    curve = parts.groupBy("range", "band").cogroup(dealt(sums).groupBy("range", "band")).applyInPandas(
+        partial(_range_curve, replicates, seed), "replicate long, np long, nn long, auroc double, aupr double, fpr double"
     )
-    below, under = nn - fp + neg, np_ - tp + pos  # OOD and known rows at this score or below
-    values = curve.groupBy("replicate").agg(
-        F.sum(neg * (tp - pos / 2) / np_ / nn).alias("auroc"),
-        F.sum(F.when(neg > 0, neg / nn * below / F.nullif(below + under, F.lit(0)))).alias("aupr_ood"),
-        F.coalesce(F.min(F.when(tp / np_ >= 0.95, fp / nn)), F.lit(1.0)).alias("fpr_at_95tpr"),
+    values = curve.where("np > 0 and nn > 0").groupBy("replicate").agg(
+        F.sum("auroc").alias("auroc"), F.sum("aupr").alias("aupr_ood"),
+        F.coalesce(F.min("fpr"), F.lit(1.0)).alias("fpr_at_95tpr"),
     )
     return _interval(values.unpivot([], ["auroc", "aupr_ood", "fpr_at_95tpr"], "metric", "value"))
+
+
+def _range_draws(replicates: int, seed: int, part: pd.DataFrame) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The replicates of a band, and the draws of either side for a range's scores from the top: a row per score."""
+    part, first = part.sort_values("place", ascending=False), int(part["band"].iloc[0]) * BAND + 1
+    numbers = [*range(first, min(first + BAND, replicates + 1))]
+    draws = lambda tag, n: poisson_draws([f"{seed}|{p}|{tag}" for p in part["place"]], part[n].to_numpy(), numbers)
+    return numbers, draws("id", "ids"), draws("ood", "oods")
+
+
+def _range_sums(replicates: int, seed: int, part: pd.DataFrame) -> pd.DataFrame:
+    numbers, pos, neg = _range_draws(replicates, seed, part)
+    return pd.DataFrame({"range": int(part["range"].iloc[0]), "replicate": numbers, "p": pos.sum(axis=0), "n": neg.sum(axis=0)})
+
+
+def _range_curve(replicates: int, seed: int, part: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+    """Of a range: its shares of both areas, and the least rate of OOD rows at a score that keeps 95 % of the known ones."""
+    numbers, pos, neg = _range_draws(replicates, seed, part)
+    p0, n0, np_, nn = (sums.sort_values("replicate")[c].to_numpy() for c in ("p0", "n0", "np", "nn"))
+    tp, fp = p0 + pos.cumsum(axis=0), n0 + neg.cumsum(axis=0)
+    below, under = nn - fp + neg, np_ - tp + pos  # OOD and known rows at this score or below
+    with np.errstate(divide="ignore", invalid="ignore"):  # replicates without a side don't count
+        auroc = (neg * (tp - pos / 2) / np_ / nn).sum(axis=0)
+        aupr = np.where(neg > 0, neg / nn * below / (below + under), 0.0).sum(axis=0)
+        fpr = np.where(tp / np_ >= 0.95, fp / nn, np.inf).min(axis=0)
+    fpr = pd.Series(fpr).astype(object).where(np.isfinite(fpr), None)
+    return pd.DataFrame({"replicate": numbers, "np": np_, "nn": nn, "auroc": auroc, "aupr": aupr, "fpr": fpr})
