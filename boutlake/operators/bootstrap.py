@@ -4,14 +4,16 @@ A row takes part in a replicate with a Poisson(1) weight. The sum of such weight
 which a metric can't tell apart are counted first and get one draw together: what is drawn and shuffled doesn't depend on
 the number of rows. Rows are told apart by
 
-* the pattern of a metric's cells (bootstrap_ci): a few patterns, a draw for each and replicate;
+* the pattern of a metric's cells (bootstrap_ci): a few patterns, a draw for each and replicate; with a `key` every row
+  draws for itself instead, in the task that reads it;
 * the distinct scores (bootstrap_ood): sums along the scores are made in ranges within a replicate;
 * the distinct rows of the columns that a function asks for (bootstrap_custom): at most `most_rows`, counted before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -20,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.det import numbered, poisson_draws, stored, with_poisson
+from ..functions.det import numbered, poisson_draws, stored, uniforms, with_poisson
 
 #: Points of a replicate that one task sums up, replicates that it does at a time, and draws of a task.
 POINTS, BAND, DRAWS = 20_000, 50, 2_000_000
+#: Rows whose own draws a task holds at once.
+KEYS = 1_000
 
 #: What the four cells count, for columns true_label, pred_label and the positive class 'tail'.
 BINARY_CELLS = {
@@ -78,6 +82,25 @@ def _interval(long: DataFrame) -> DataFrame:
     )
 
 
+def poisson_one() -> list[float]:
+    """P(X <= k) of a Poisson variable with mean 1, k from 0 to 9, 12 decimals."""
+    return [round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)), 12) for k in range(10)]
+
+
+def _row_draws(
+    replicates: int, seed: int, parts: Iterator[pd.DataFrame]
+) -> Iterator[pd.DataFrame]:
+    """pattern, replicate, w: what a task's rows (pattern, key) weigh together, each with its own draws."""
+    numbers, steps, sums = [*range(1, replicates + 1)], poisson_one(), {}
+    for part in parts:
+        for pattern, keys in part.groupby("pattern")["key"]:
+            for at in range(0, len(keys), KEYS):
+                u = uniforms([f"{seed}|{k}" for k in keys.iloc[at : at + KEYS]], numbers)
+                sums[pattern] = sums.get(pattern, 0) + np.searchsorted(steps, u, side="right").sum(axis=0)
+    for pattern, w in sums.items():
+        yield pd.DataFrame({"pattern": pattern, "replicate": numbers, "w": w})
+
+
 def _grid(spark: SparkSession, replicates: int) -> DataFrame:
     """replicate from 1 on, dealt out by it, so that what is joined to it is grouped by it where it is."""
     grid = spark.range(1, replicates + 1).select(F.col("id").alias("replicate"))
@@ -86,9 +109,10 @@ def _grid(spark: SparkSession, replicates: int) -> DataFrame:
 
 def bootstrap_values(
     preds: DataFrame, metrics: Sequence[str | tuple[str, Metric]] = BUILT_IN, replicates: int = 1000,
-    seed: int = 42
+    seed: int = 42, key: str | None = None
 ) -> DataFrame:
-    """metric, replicate, value of the replicates that have what the metric needs. metrics: names, or names with a Metric."""
+    """metric, replicate, value of the replicates that have what the metric needs. metrics: names, or names with a Metric.
+    key: a column that tells rows apart, by which each draws its own weight; without, a pattern's rows draw together."""
     chosen = {m: METRICS[m] if isinstance(m, str) else m for m in metrics if isinstance(m, str)}
     chosen |= {name: metric for name, metric in (m for m in metrics if not isinstance(m, str))}
     parts = []
@@ -97,11 +121,20 @@ def bootstrap_values(
     }.values():  # metrics with the same cells share the draws
         names = [*cells]
         marks = [F.when(F.expr(c), "1").otherwise("0") for c in cells.values()]
-        counts = preds.groupBy(F.concat(*marks).alias("pattern")).agg(F.count("*").alias("n"))
-        few = F.broadcast(counts)  # a row per pattern: 2 ** cells at most
-        drawn = with_poisson(
-            _grid(preds.sparkSession, replicates).crossJoin(few), "w", "n", seed, "pattern", "replicate"
-        )
+        if key is None:
+            counts = preds.groupBy(F.concat(*marks).alias("pattern")).agg(F.count("*").alias("n"))
+            few = F.broadcast(counts)  # a row per pattern: 2 ** cells at most
+            drawn = with_poisson(
+                _grid(preds.sparkSession, replicates).crossJoin(few), "w", "n", seed, "pattern", "replicate"
+            )
+        else:
+            said = F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key")
+            tasks = max(
+                preds.sparkSession.sparkContext.defaultParallelism, -(-preds.count() * replicates // (10 * DRAWS))
+            )
+            drawn = preds.select(F.concat(*marks).alias("pattern"), said).repartition(tasks).mapInPandas(
+                partial(_row_draws, replicates, seed), "pattern string, replicate long, w long"
+            )
         sums = [
             F.sum(F.when(F.substring("pattern", i + 1, 1) == "1", F.col("w")).otherwise(0)).cast("double").alias(c)
             for i, c in enumerate(names)
@@ -122,10 +155,10 @@ def bootstrap_values(
 
 def bootstrap_ci(
     preds: DataFrame, replicates: int = 1000, seed: int = 42,
-    metrics: Sequence[str | tuple[str, Metric]] = BUILT_IN
+    metrics: Sequence[str | tuple[str, Metric]] = BUILT_IN, key: str | None = None
 ) -> DataFrame:
     """A row per metric: metric, mean, low, high (2.5 and 97.5 %), std (population), over replicates that have what it needs."""
-    return _interval(bootstrap_values(preds, metrics, replicates, seed))
+    return _interval(bootstrap_values(preds, metrics, replicates, seed, key))
 
 
 def bootstrap_custom(
@@ -179,7 +212,6 @@ def bootstrap_ood(
         F.expr(f"place div {POINTS}").alias("range"), F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BAND))).alias("band"),
         "place", "ids", "oods"
     ))
-    band_of = (F.col("replicate") - 1).cast("int")
     sums = parts.groupBy("range", "band").applyInPandas(
         partial(_range_sums, replicates, seed), "range long, replicate long, p long, n long"
     )
@@ -187,7 +219,7 @@ def bootstrap_ood(
     above = own.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
     sums = sums.select(
-        "range", F.floor(band_of / BAND).cast("int").alias("band"), "replicate", before("p").alias("p0"),
+        "range", F.expr(f"cast((replicate - 1) div {BAND} as int)").alias("band"), "replicate", before("p").alias("p0"),
         before("n").alias("n0"), F.sum("p").over(own).alias("np"), F.sum("n").over(own).alias("nn")
     )
     curve = parts.groupBy("range", "band").cogroup(dealt(sums).groupBy("range", "band")).applyInPandas(

@@ -329,9 +329,17 @@ _BINARY_VALUES = f"SELECT {', '.join(f'{v} AS {n}' for n, v in _BIN.items())} FR
 _CI = _cells_sql(_PATTERN, ("tp", "fp", "fn", "tn"))
 
 
-@query("a24_bootstrap_ci", f"WITH RECURSIVE {_CI}, v AS ({_BINARY_VALUES}) {_interval_sql(f'UNPIVOT v ON {", ".join(_BIN)} INTO NAME metric VALUE value')}")
+#: The bootstrap of the report, whose rows draw by counts.
+_CI_COUNTED = f"WITH RECURSIVE {_CI}, v AS ({_BINARY_VALUES}) {_interval_sql(f'UNPIVOT v ON {", ".join(_BIN)} INTO NAME metric VALUE value')}"
+_W = " + ".join(f"(u >= {c!r})::INT" for c in bootstrap.poisson_one())
+_WC = _CELLS.replace("count(*)", "coalesce(sum(w)").replace("::DOUBLE AS", ", 0)::DOUBLE AS")
+
+
+@query("a24_bootstrap_ci", f"""WITH {PR}, r AS (SELECT pr.*, b AS replicate, ('0x' || substr(md5('42|' || clip_id || '|' || b), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM pr, (SELECT unnest(range(1, 1001)) AS b)), w AS (SELECT *, {_W} AS w FROM r),
+k AS (SELECT replicate, {_WC} FROM w WHERE w > 0 GROUP BY replicate), v AS (SELECT {', '.join(f'{v} AS {n}' for n, v in _BIN.items())} FROM k WHERE tp + fn > 0 AND fp + tn > 0), l AS (UNPIVOT v ON {', '.join(_BIN)} INTO NAME metric VALUE value)
+SELECT metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(stddev_pop(value), 6) AS std FROM l GROUP BY metric""")
 def a24(spark, d):
-    return evaluate.bootstrap_ci(predictions(spark, d), 1000)
+    return evaluate.bootstrap_ci(predictions(spark, d), 1000, key="clip_id")
 
 
 #: A user's metric: how many of the rows that the model is sure of are wrong, against all wrong ones.
@@ -512,7 +520,7 @@ def _report_sql() -> str:
     return " UNION ALL ".join([
         _part_sql("binary", _BINARY, known=True), _part_sql("curve", _CURVE_METRICS, known=True), _part_sql("calibration", of("a20_ece_positive"), known=True),
         _part_sql("confusion", f"SELECT true_label, pred_label, n FROM ({of('a17_confusion_matrix')})", ("true_label", "pred_label"), True),
-        _part_sql("bootstrap", of("a24_bootstrap_ci"), ("metric",), True), _part_sql("ood", of("a22_ood_metrics")), _part_sql("ood_bootstrap", of("a24_bootstrap_ood"), ("metric",)),
+        _part_sql("bootstrap", _CI_COUNTED, ("metric",), True), _part_sql("ood", of("a22_ood_metrics")), _part_sql("ood_bootstrap", of("a24_bootstrap_ood"), ("metric",)),
         _part_sql("ood_breakdown", of("a23_ood_breakdown"), ("label",)), _part_sql("selective", of("a26_selective_curve"), ("step",), True),
     ])
 
