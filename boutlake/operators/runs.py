@@ -114,21 +114,32 @@ def explode_history(runs: DataFrame, run: str, columns: list[str]) -> DataFrame:
 
 
 def pair_tubes(tracks: DataFrame, near: float = 150.0, least: int = 5) -> DataFrame:
-    """video, a, b, frames: pairs of tracks that are within `near` in `least` frames or more. Positions are put into cells
-    as wide as `near`, and a position meets the nine cells around it."""
-    cell = lambda c: F.floor(F.col(c) / near)
-    left = tracks.select(
-        "video", "frame", F.col("track").alias("a"), F.col("x").alias("x1"), F.col("y").alias("y1"),
-        cell("x").alias("cx"), cell("y").alias("cy")
-    )
-    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    right = tracks.select(
-        "video", "frame", F.col("track").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"),
-        around("x").alias("cx")
-    ).join(tracks.select("video", "frame", F.col("track").alias("b"), around("y").alias("cy")), ["video", "frame", "b"])
-    met = left.join(right, ["video", "frame", "cx", "cy"]).where(
-        (F.col("a") < F.col("b")) & (
-            F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2) <= near * near
-        )
-    )
-    return met.groupBy("video", "a", "b").agg(F.countDistinct("frame").alias("frames")).where(F.col("frames") >= least)
+    """video, a, b, frames: pairs of tracks that are within `near` in `least` frames or more; a track may have several
+    positions in a frame.
+
+    Positions are put into cells whose diagonal is below `near`. Two tracks with a cell in common are near each other there,
+    however many positions they have in it; so a frame's cells stand for its positions, and positions are only compared for
+    tracks that have no cell in common in the frame, in cells that are near enough.
+    """
+    side = near / 1.5
+    placed = tracks.select(
+        "video", "frame", "track", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")
+    ).where("cx is not null and cy is not null")
+    cells = placed.select("video", "frame", "track", "cx", "cy").distinct()
+    a = cells.select("video", "frame", F.col("track").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
+    b = cells.select("video", "frame", F.col("track").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
+    at = ["video", "frame", "a", "b"]
+    here = [F.col("ax").alias("bx"), F.col("ay").alias("by")]
+    same = a.select("video", "frame", "a", *here).join(b, ["video", "frame", "bx", "by"]).where("a < b").select(*at).distinct()
+    step = F.sequence(F.lit(-2), F.lit(2))
+    around = a.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).where("dx <> 0 or dy <> 0")
+    around = around.withColumns({"bx": F.col("ax") + F.col("dx"), "by": F.col("ay") + F.col("dy")}).drop("dx", "dy")
+    open_ = around.join(b, ["video", "frame", "bx", "by"]).where("a < b").join(same, at, "left_anti")
+    of = lambda t, n: placed.select(
+        "video", "frame", F.col("track").alias(t), F.col("cx").alias(f"{t}x"), F.col("cy").alias(f"{t}y"),
+        F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")
+    ).distinct()
+    met = open_.join(of("a", 1), ["video", "frame", "a", "ax", "ay"]).join(of("b", 2), ["video", "frame", "b", "bx", "by"])
+    met = met.where(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2) <= near * near)
+    every = same.unionByName(met.select(*at).distinct())  # a frame of a pair is in one of them, once
+    return every.groupBy("video", "a", "b").agg(F.count("*").alias("frames")).where(F.col("frames") >= least)
