@@ -63,9 +63,14 @@ def boundary_errors(preds: DataFrame, truth: DataFrame, tolerances: Sequence[flo
     hit = F.coalesce(F.col("away") <= F.col("tolerance"), F.lit(False))
     out = rows.groupBy("side", "edge", "tolerance").agg(
         F.count("*").alias("n"), F.count_if(hit).alias("hits"),
-        F.round(F.avg(F.when(hit, F.col("away"))), 6).alias("mean_error")
+        F.sum(F.when(hit, F.round(F.col("away") * 1_000_000).cast("long"))).alias("micros")
+    )
+    # The mean of whole millionths: a sum of doubles would depend on the order of its rows.
+    mean = F.round(F.col("micros") / F.nullif(F.col("hits"), F.lit(0))) / 1_000_000
+    return out.select(
+        "side", "edge", "tolerance", "n", "hits", mean.alias("mean_error"),
+        F.round(F.col("hits") / F.col("n"), 6).alias("share")
     )
-    return out.withColumn("share", F.round(F.col("hits") / F.col("n"), 6))
 
 
 def role_accuracy(

@@ -31,16 +31,22 @@ def _near_intervals(spark, d):
     """Events of one class, and the same moved by up to 3 seconds and stretched a little as predictions of it; one in seven
     is missing. Roles are animals; one in five predictions has them exchanged, one in eleven another receiver."""
     e = events(spark, d).where("behavior = 'tail'")
-    truth = e.select("video", F.col("event_idx").alias("truth_id"), F.round("start_sec", 3).alias("start_sec"), F.round(F.col("start_sec") + F.col("duration_sec"), 3).alias("end_sec"), *_roles("event_idx % 9", "event_idx % 4"))
+    truth = e.select("video", F.col("event_idx").alias("truth_id"), _thousandths("start_sec").alias("start_sec"), _thousandths(F.col("start_sec") + F.col("duration_sec")).alias("end_sec"), *_roles("event_idx % 9", "event_idx % 4"))
     moved = F.expr("(event_idx % 61 - 30) / 10D")
-    start = F.round(F.col("start_sec") + moved, 3).alias("start_sec")
-    end = F.round(F.col("start_sec") + moved + F.col("duration_sec") * F.expr("(100 + event_idx % 13 - 6) / 100D"), 3).alias("end_sec")
+    start = _thousandths(F.col("start_sec") + moved).alias("start_sec")
+    end = _thousandths(F.col("start_sec") + moved + F.col("duration_sec") * F.expr("(100 + event_idx % 13 - 6) / 100D")).alias("end_sec")
     swapped = "event_idx % 5 = 0"
     roles = _roles(f"case when {swapped} then event_idx % 4 else event_idx % 9 end", f"case when {swapped} then event_idx % 9 when event_idx % 11 = 0 then 100 else event_idx % 4 end")
     preds = e.where("event_idx % 7 <> 0").select("video", (F.col("event_idx") + 1_000_000).alias("pred_id"), start, end, F.col("duration_sec").alias("score"), *roles)
     return preds.where("end_sec > start_sec"), truth.where("end_sec > start_sec")
 
 
+def _thousandths(c):
+    """Rounded to 3 decimals as the SQL does it, by the whole number of thousandths: a sum such as 36640.7585 is a binary number
+    just below the tie, and its decimals would be rounded down."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 1000) / 1000
+
+
 def _roles(a: str, b: str):
     return F.expr(f"cast({a} as int)").alias("initiator"), F.expr(f"cast({b} as int)").alias("receiver")
 
