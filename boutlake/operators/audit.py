@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.det import free_name, stored
-from .link import clock_seconds, parse_segment_name
+from .link import clock_seconds, parse_segment_name, segment_times
 
 #: Overlapping pairs that temporal_nms settles at once on the driver.
 FEW = 100_000
@@ -20,8 +20,12 @@ FEW = 100_000
 def clock_offset(segment_start: Column, clock: Column) -> Column:
     """Seconds from a segment's start to a clock time put on the start's date: a time more than six hours before the
     start is of the next day, and what is still negative gets a day."""
+    return _offset(segment_start, clock_seconds(clock))
+
+
+def _offset(segment_start: Column, seconds: Column) -> Column:
     day_start = F.hour(segment_start) * 3600 + F.minute(segment_start) * 60 + F.second(segment_start)
-    off = clock_seconds(clock) - day_start
+    off = seconds - day_start
     off = F.when(off < -6 * 3600, off + 86_400).otherwise(off)
     return F.when(off < 0, off + 86_400).otherwise(off)
 
@@ -94,15 +98,21 @@ def alignment_summary(checked: DataFrame) -> DataFrame:
     return checked.groupBy("reason").agg(F.count("*").alias("n"), F.count_if("offset_mismatch").alias("mismatches"))
 
 
-def audit_events(df: DataFrame, videos: DataFrame, most_diff: float = 5.0) -> DataFrame:
-    """event_idx, status (OK, WARN, FAIL), issues (joined by '|'). videos: path, actual_sec.
+def audit_events(
+    df: DataFrame, videos: DataFrame, most_diff: float = 5.0, keep: Sequence[str] = ()
+) -> DataFrame:
+    """event_idx, status (OK, WARN, FAIL), issues (joined by '|'), and the columns to keep. videos: path, actual_sec.
 
     All checks count, but what follows a missing recording is left out; a computed offset of 0 counts as none.
     """
     rows = df.join(
         videos.select("path", "actual_sec"), "path", "left"
-    ).withColumn("_seg", parse_segment_name(F.col("filename")))
-    calc = F.when(F.col("_seg").isNotNull(), clock_offset(F.col("_seg.start"), F.col("start_time")))
+    )
+    start, end = segment_times(F.col("filename"))
+    # Columns, so that each text is parsed once however often its time is used.
+    rows = rows.withColumns({"_start": start, "_end": end, "_clock": clock_seconds(F.col("start_time"))})
+    named = F.col("_start").isNotNull() & F.col("_end").isNotNull()
+    calc = F.when(named, _offset(F.col("_start"), F.col("_clock")))
     rows = rows.withColumn("_calc", F.nullif(calc, F.lit(0.0))).withColumn("_there", F.col("actual_sec").isNotNull())
     offset = F.coalesce("_calc", "offset_sec", F.lit(0.0))
     there = F.col("_there")
@@ -111,22 +121,24 @@ def audit_events(df: DataFrame, videos: DataFrame, most_diff: float = 5.0) -> Da
     issues = F.array_compact(F.array(
         F.when(hidden, "hidden_file"), F.when(F.coalesce("duration_sec", F.lit(0.0)) <= 0, "zero_duration"),
         F.when(~there, "video_not_found"),
-        F.when(there & F.col("_seg").isNull(), "cannot_parse_filename"),
+        F.when(there & ~named, "cannot_parse_filename"),
         F.when(there & (F.abs(F.col("_calc") - F.col("offset_sec")) > most_diff), "offset_mismatch"),
         F.when(exceeds, "offset_exceeds_duration"),
     ))
     status = F.when(hidden | ~there | exceeds, "FAIL").when(F.size("_issues") > 0, "WARN").otherwise("OK")
     return rows.withColumn("_issues", issues).select(
-        "event_idx", status.alias("status"), F.array_join("_issues", "|").alias("issues")
+        "event_idx", status.alias("status"), F.array_join("_issues", "|").alias("issues"), *keep
     )
 
 
 def audit_by_class(df: DataFrame, audited: DataFrame, label: str = "behavior", idx: str = "event_idx") -> DataFrame:
-    """label, issue, n: how many events of each class failed or were warned of for each issue (of audit_events)."""
-    rows = audited.where(F.col("issues") != "").select(
-        idx, "status", F.explode(F.split("issues", r"\|")).alias("issue")
-    )
-    return rows.join(df.select(idx, label), idx).groupBy(label, "status", "issue").agg(F.count("*").alias("n"))
+    """label, issue, n: how many events of each class failed or were warned of for each issue (of audit_events). Audited rows that
+    keep the label aren't joined to df."""
+    # Outer, and the filter behind it: a filter on issues would be pushed down and work all checks out again.
+    rows = audited.withColumn("issue", F.explode_outer(F.split("issues", r"\|"))).where(F.col("issue") != "")
+    if label not in audited.columns:
+        rows = rows.join(df.select(idx, label), idx)
+    return rows.groupBy(label, "status", "issue").agg(F.count("*").alias("n"))
 
 
 def verify_paths(

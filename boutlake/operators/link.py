@@ -20,13 +20,19 @@ SEGMENT_NAME = r"_ch(\d+)_main_(\d{14})_(\d{14})"
 CLOCK = r"^(\d{1,2}):(\d{2}):(\d{2})$"
 
 
+def segment_times(name: Column) -> tuple[Column, Column]:
+    """Start and end that a recording's file name says; either is null if it says none."""
+    part = [F.regexp_extract(name, SEGMENT_NAME, i) for i in (2, 3)]
+    return tuple(F.try_to_timestamp(p, F.lit("yyyyMMddHHmmss")) for p in part)
+
+
 def parse_segment_name(name: Column) -> Column:
     """struct(channel, start, end, seconds) of a recording's file name; null if it is none."""
-    part = [F.regexp_extract(name, SEGMENT_NAME, i) for i in (1, 2, 3)]
-    start, end = (F.try_to_timestamp(p, F.lit("yyyyMMddHHmmss")) for p in part[1:])
+    channel = F.regexp_extract(name, SEGMENT_NAME, 1)
+    start, end = segment_times(name)
     seconds = F.unix_timestamp(end) - F.unix_timestamp(start)
     made = F.struct(
-        part[0].try_cast("int").alias("channel"), start.alias("start"), end.alias("end"),
+        channel.try_cast("int").alias("channel"), start.alias("start"), end.alias("end"),
         seconds.cast("double").alias("seconds")
     )
     return F.when(start.isNotNull() & end.isNotNull(), made)

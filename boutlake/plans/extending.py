@@ -138,7 +138,7 @@ c AS (SELECT event_idx, behavior, gone OR exceeds AS fails, list_filter([CASE WH
 @query("v2_audit_by_class", f"WITH {_AUDIT} SELECT behavior, CASE WHEN fails THEN 'FAIL' ELSE 'WARN' END AS status, issue, count(*) AS n FROM (SELECT behavior, fails, unnest(issues) AS issue FROM c) GROUP BY ALL")
 def v2_classes(spark, d):
     m = manifest(spark, d)
-    return audit.audit_by_class(m, audit.audit_events(m, _files(spark, d).withColumn("actual_sec", F.lit(1700.0))))
+    return audit.audit_by_class(m, audit.audit_events(m, _files(spark, d).withColumn("actual_sec", F.lit(1700.0)), keep=["behavior"]))
 
 
 # --- sheets and run settings --------------------------------------------------------------------------------------------
